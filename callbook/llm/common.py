@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -50,7 +51,12 @@ def row_key(*cols: str) -> list:
     return [F.xxhash64(F.lit(11), *texts).alias("k1"), F.xxhash64(F.lit(29), *texts).alias("k2")]
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def schema_with(df: DataFrame, more: str) -> T.StructType:
+    """df's schema and, after it, the fields of a DDL string."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(more).fields])
+
+
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType) -> DataFrame:
     """mapInArrow with a function of one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

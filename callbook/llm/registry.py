@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from callbook.llm import line_dedup
+from callbook.llm import langid, line_dedup, toxicity
 
-QUERIES = {"op1_line_dedup": line_dedup.query}
+QUERIES = {"op1_line_dedup": line_dedup.query, "op6_language_id": langid.query, "op8_toxicity": toxicity.query}
 ORACLE_SQL = {"op1_line_dedup": line_dedup.SQL}
