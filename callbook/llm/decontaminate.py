@@ -1,8 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
 1. The n-grams of all test items are looked up in every document; Spark sums in how many documents each occurs.
-2. An item's seeds are the rarer half of its n-grams by that count. The rank is within the item, so an item whose
-   passage fills a third of the corpus keeps its seeds.
+2. An item's seeds are its rare n-grams: those in at most `rarity` times as many documents as its lower quartile. That
+   is relative to the item, so one whose passage fills a third of the corpus keeps its seeds, and the n-grams that
+   exact and edited copies share stay seeds beside those that only exact copies have.
 3. Where a seed of an item occurs in a document, the words around it, as far as the item would reach plus a margin,
    are aligned with the item's words: Smith-Waterman over word hashes, all pairs of a batch in lockstep. The score is
    divided by that of the item with itself, so edited, reordered or lengthened copies score between 0 and 1.
@@ -141,14 +142,15 @@ def _document_counts(docs: DataFrame, items: Items) -> dict[int, int]:
     return {r["gram"] & 0xFFFFFFFFFFFFFFFF: r["docs"] for r in parts.collect()}
 
 
-def _seeds(items: Items, docs: dict[int, int]) -> np.ndarray:
-    """Marks the rarer half of each item's n-grams (ties by place)."""
+def _seeds(items: Items, docs: dict[int, int], rarity: float) -> np.ndarray:
+    """Marks each item's n-grams that are at most `rarity` times as frequent as its lower quartile (1 document at least)."""
     seed = np.zeros(len(items.gram), bool)
-    count = np.array([docs.get(int(g), 0) for g in items.gram.tolist()], np.int64)
-    order = np.lexsort((items.at, count, items.item))
+    count = np.array([docs.get(g, 0) for g in items.gram.tolist()], np.int64)
+    order = np.lexsort((count, items.item))
     begins = np.searchsorted(items.item[order], np.arange(len(items.ids) + 1))
     for a, b in zip(begins[:-1], begins[1:], strict=True):
-        seed[order[a : a + -(-(b - a) // 2)]] = True
+        own = order[a:b]
+        seed[own] = count[own] <= rarity * max(1, count[own[len(own) // 4]])
     return seed
 
 
@@ -206,7 +208,7 @@ def _matches(docs: DataFrame, items: Items, seed: np.ndarray, threshold: float)
     return map_arrow(keyed, run, "doc_id long, k1 long, k2 long, item_id long, score double, word_end long")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.3, width: int = 3, min_words: int = 8, slice_words: int = 2_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.3, width: int = 3, min_words: int = 8, rarity: float = 20, slice_words: int = 2_000_000) -> DataFrame:
     """(doc_id, k1, k2, item_id, score, word_end): each document's best alignment with each item that it holds.
 
     k1, k2 name the row (see row_key), word_end is how many of its words end with the passage. Null and wordless texts
@@ -216,7 +218,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.3,
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     parts = []
     for items in _slices(benchmark.withColumn("item_id", F.col("item_id").cast("long")), width, min_words, slice_words):
-        parts.append(_matches(docs, items, _seeds(items, _document_counts(docs, items)), threshold))
+        parts.append(_matches(docs, items, _seeds(items, _document_counts(docs, items), rarity), threshold))
     if not parts:
         return docs.sparkSession.createDataFrame([], "doc_id long, k1 long, k2 long, item_id long, score double, word_end long")
     found = reduce(DataFrame.unionByName, parts)
