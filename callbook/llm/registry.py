@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from callbook.llm import decontaminate, jaccard, langid, line_dedup, nearest, pieces, pii, token_counts, toxicity
+from callbook.llm import decontaminate, jaccard, langid, line_dedup, lm_score, nearest, pieces, pii, token_counts, toxicity
 
-QUERIES = {"op1_line_dedup": line_dedup.query, "op2_nearest": nearest.query, "op4_sentencepiece": pieces.query, "op5_jaccard_join": jaccard.query, "op6_language_id": langid.query, "op7_decontamination": decontaminate.query, "op8_toxicity": toxicity.query, "op9_token_counts": token_counts.query, "op10_pii": pii.query}
+QUERIES = {"op1_line_dedup": line_dedup.query, "op2_nearest": nearest.query, "op3_lm_score": lm_score.query, "op4_sentencepiece": pieces.query, "op5_jaccard_join": jaccard.query, "op6_language_id": langid.query, "op7_decontamination": decontaminate.query, "op8_toxicity": toxicity.query, "op9_token_counts": token_counts.query, "op10_pii": pii.query}
 ORACLE_SQL = {"op1_line_dedup": line_dedup.SQL}
