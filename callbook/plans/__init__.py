@@ -1 +1 @@
-"""plans of the library (see README)."""
+"""Jobs made of several operators: outcomes, scores, signals, research, strategies, portfolio, screening."""
