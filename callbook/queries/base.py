@@ -30,21 +30,23 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if isinstance(t, T.DoubleType) else F.col(c) for c, t in ((f.name, f.dataType) for f in df.schema.fields)])
 
 
-def query(name: str, sql: str | None = None, tables: tuple[str, ...] = (), more: str = ""):
+def query(name: str, sql: str | None = None, tables: tuple[str, ...] = (), more: str = "", digits: int = 6):
     """Register fn(tables) -> DataFrame; `more` adds CTEs after the derived tables."""
 
     def add(fn: Callable[[Tables], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: rounded(fn(Tables(spark, sf_dir)))
+        QUERIES[name] = lambda spark, sf_dir: rounded(fn(Tables(spark, sf_dir)), digits)
         if sql is not None:
             head = ctes(*tables) if tables else ""
             if more:
                 head = f"{head},\n{more}" if head else f"WITH {more}"
+            if "WITH RECURSIVE" not in head and " rec AS (" in head:
+                head = head.replace("WITH ", "WITH RECURSIVE ", 1)
             ORACLE_SQL[name] = f"{head}\n{sql}"
         return fn
 
     return add
 
 
-def r6(*names: str) -> str:
+def r6(*names: str, digits: int = 6) -> str:
     """SQL that rounds columns as `rounded` does."""
-    return ", ".join(f"round({n}, 6) + 0.0e0 AS {n}" for n in names)
+    return ", ".join(f"round({n}, {digits}) + 0.0e0 AS {n}" for n in names)
