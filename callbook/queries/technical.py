@@ -96,13 +96,13 @@ def _(t):
     return I.swings(t.bars).withColumns({"bar_no": F.col("bar_no").cast("long"), "confirmed_no": F.col("confirmed_no").cast("long")})
 
 
-@query("w15_nearest_levels", f"""SELECT ticker, round(at,6) AS at, round(support,6) AS support, round(resistance,6) AS resistance, n_highs, n_lows, round(at/support-1,6)+0.0e0 AS support_distance, round(resistance/at-1,6)+0.0e0 AS resistance_distance FROM (
- SELECT n.ticker, n.close AS at, max(price) FILTER (WHERE price<close) AS support, min(price) FILTER (WHERE price>close) AS resistance, least(5, count(*) FILTER (WHERE kind='high')) AS n_highs, least(5, count(*) FILTER (WHERE kind='low')) AS n_lows
+@query("w15_nearest_levels", f"""SELECT ticker, round(price_now,6) AS price_now, round(support,6) AS support, round(resistance,6) AS resistance, n_highs, n_lows, round(price_now/support-1,6)+0.0e0 AS support_distance, round(resistance/price_now-1,6)+0.0e0 AS resistance_distance FROM (
+ SELECT n.ticker, n.close AS price_now, max(price) FILTER (WHERE price<close) AS support, min(price) FILTER (WHERE price>close) AS resistance, least(5, count(*) FILTER (WHERE kind='high')) AS n_highs, least(5, count(*) FILTER (WHERE kind='low')) AS n_lows
  FROM (SELECT * FROM nb WHERE bar_no=n_bars-20) n JOIN swings s ON s.ticker=n.ticker AND s.bar_no+5<=n.bar_no AND s.bar_no>n.bar_no-252 GROUP BY 1,2) x""", ("bars",), SWINGS)
 def _(t):
     at = t.bars.groupBy("ticker").agg((F.count(F.lit(1)) - 20).alias("as_of_no"))
     out = I.nearest_levels(t.bars, at)
-    return out.select("ticker", "at", "support", "resistance", F.size("swing_highs").cast("long").alias("n_highs"), F.size("swing_lows").cast("long").alias("n_lows"), "support_distance", "resistance_distance")
+    return out.select("ticker", F.col("at").alias("price_now"), "support", "resistance", F.size("swing_highs").cast("long").alias("n_highs"), F.size("swing_lows").cast("long").alias("n_lows"), "support_distance", "resistance_distance")
 
 
 REGIME = f"reg AS (SELECT ts, CASE WHEN c IS NULL THEN 'unknown' WHEN c>0.02e0 THEN 'up' WHEN c<-0.02e0 THEN 'down' ELSE 'flat' END AS regime FROM (SELECT ts, close/lag(close,21) OVER (ORDER BY ts)-1 AS c FROM bars WHERE ticker='T00') x)"
