@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -39,7 +40,7 @@ def query(name: str, sql: str | None = None, tables: tuple[str, ...] = (), more:
             head = ctes(*tables) if tables else ""
             if more:
                 head = f"{head},\n{more}" if head else f"WITH {more}"
-            if "WITH RECURSIVE" not in head and " rec AS (" in head:
+            if re.search(r"\brec AS \(", head):
                 head = head.replace("WITH ", "WITH RECURSIVE ", 1)
             ORACLE_SQL[name] = f"{head}\n{sql}"
         return fn

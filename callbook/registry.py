@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from callbook.queries import calls, signals, strategies, technical  # noqa: F401
+from callbook.queries import calls, signals, strategies, tables, technical  # noqa: F401
 from callbook.queries.base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
