@@ -70,14 +70,16 @@ class CrossParser:
         for text in texts:
             s = self.symbol[text[:most]]
             nxt = _automaton(s)
-            table = np.full((len(nxt), self.width), -1, np.int64)
+            dead = len(nxt)  # the state after a symbol that the sample lacks: a phrase of its own
+            table = np.full((dead + 1, self.width), -1, np.int64)
             for state, moves in enumerate(nxt):
                 for c, to in moves.items():
                     table[state, c] = to
-            root = np.where(table[0] < 0, 0, table[0])
-            # a dead move ends the phrase and starts the next with this symbol: kept as the complement of that state
-            table = np.where(table < 0, ~((root[None, :] * self.width) + base), table * self.width + base)
-            table[:, 0] = np.arange(len(nxt)) * self.width + base
+            first = np.where(table[0] < 0, dead, table[0])
+            # where a phrase cannot go on, the next one begins with this symbol: kept as the complement of that state
+            table[1:] = np.where(table[1:] < 0, ~(first * self.width + base), table[1:] * self.width + base)
+            table[0] = first * self.width + base
+            table[:, 0] = np.arange(dead + 1) * self.width + base
             tables.append(table.astype(np.int32).ravel())
             roots.append(base)
             base += table.size
