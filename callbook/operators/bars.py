@@ -88,3 +88,20 @@ def tradeable(as_ofs: DataFrame, bars: DataFrame, days: int = 14, min_volume: in
 
 def price_in(lower: Column, upper: Column, value: Column) -> Column:
     return F.coalesce((value >= lower) & (value <= upper), F.lit(False))
+
+
+def knowable_slice(as_ofs: DataFrame, bars: DataFrame, lookback_days: int) -> DataFrame:
+    """bars visible at each as_of (as_of, knowable_through): up to the last closed session, from lookback_days before as_of.
+
+    Bars are laid over the days that they feed and met by an equi-join on the day of knowable_through.
+    """
+    fed = bars.withColumn("day", F.explode(F.sequence(F.to_date("ts"), F.date_add(F.to_date("ts"), lookback_days + 7))))
+    near = fed.join(F.broadcast(as_ofs.withColumn("day", F.to_date("knowable_through"))), "day").drop("day")  # as_ofs: bounded by the calendar
+    return near.where((F.col("ts") <= F.col("knowable_through")) & (F.col("ts") >= F.col("as_of") - F.expr(f"interval {lookback_days} days")))
+
+
+def forward_slice(as_ofs: DataFrame, bars: DataFrame, forward_days: int) -> DataFrame:
+    """the complement of F2: bars after the last closed session, up to forward_days after as_of."""
+    fed = bars.withColumn("day", F.explode(F.sequence(F.date_sub(F.to_date("ts"), forward_days + 1), F.to_date("ts"))))
+    near = fed.join(F.broadcast(as_ofs.withColumn("day", F.to_date("as_of"))), "day").drop("day")
+    return near.where((F.col("ts") > F.col("knowable_through")) & (F.col("ts") <= F.col("as_of") + F.expr(f"interval {forward_days} days")))

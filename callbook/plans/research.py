@@ -30,3 +30,10 @@ def scan(tickers: DataFrame, bars: DataFrame, benchmark: str, as_of) -> DataFram
 def scan_counts(scanned: DataFrame) -> DataFrame:
     """Rows, rows without enough data, and candidates of a scan."""
     return scanned.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("setup_type") == "insufficient_data").alias("n_insufficient"), F.count_if(F.col("setup_type").isin("uptrend_pullback", "breakout_candidate")).alias("n_candidates"))
+
+
+def snapshot_history(snapshots: DataFrame, ticker: str, until, days: int, limit: int) -> DataFrame:
+    """F8: a ticker's snapshots of the last days, oldest first."""
+    end = F.lit(until).cast("timestamp")
+    rows = snapshots.where((F.col("ticker") == ticker) & (F.col("as_of") <= end) & (F.col("as_of") >= end - F.expr(f"interval {days} days")))
+    return rows.orderBy("as_of", "snapshot_id").limit(limit)
