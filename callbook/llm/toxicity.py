@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callbook.llm.common import map_arrow, schema_with, texts_of
+from callbook.llm.common import map_arrow, saved, schema_with, texts_of
 
 SIZES = (3, 4, 5, 6)
 BITS = 18
@@ -123,9 +123,9 @@ def _features(sample: DataFrame, chosen: np.ndarray) -> DataFrame:
                 ids, n = np.unique(p[p >= 0], return_counts=True)
                 at.append(ids)
                 value.append(n / (len(g) / 1000 + _SMOOTH))
-        return pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float64())), batch.column("label").cast(pa.int32())], ["at", "value", "label"])
+        return pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32())), batch.column("label").cast(pa.int32())], ["at", "value", "label"])
 
-    return map_arrow(sample.select("text", "label"), run, "at array<int>, value array<double>, label int")
+    return map_arrow(sample.select("text", "label"), run, "at array<int>, value array<float>, label int")
 
 
 def _fit(rows: pd.DataFrame, scale: np.ndarray, bias: float, steps: int = 300, l2: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -146,13 +146,14 @@ def _fit(rows: pd.DataFrame, scale: np.ndarray, bias: float, steps: int = 300, l
     return w[:-1], float(w[-1])
 
 
-def learn(training: DataFrame, fit_rows: int = 4000, min_z: float = 3.5, min_docs: int = 3) -> ToxicityModel:
+def learn(training: DataFrame, fit_rows: int = 3000, min_z: float = 3.5, min_docs: int = 3, max_features: int = 4096) -> ToxicityModel:
     """Model from rows (doc_id, text, label 0/1); null labels are left out, null text counts as empty.
 
-    fit_rows bounds the regression's sample; counts and ratios come from all rows. With rows of one class only, or
+    fit_rows bounds the regression's sample and max_features the n-grams it weighs (those of the most significant
+    ratios); counts and ratios come from all rows. With rows of one class only, or
     none, the model gives every text the smoothed share of label 1.
     """
-    training = training.where(F.col("label").isin(0, 1))
+    training = saved(training.where(F.col("label").isin(0, 1)).select("doc_id", "text", "label"), "labelled")
     counts = _counts(training).toPandas()  # at most 2**BITS rows
     rows = counts[counts["bucket"] < 0]
     clean, toxic = (int(rows["clean"].sum()), int(rows["toxic"].sum())) if len(rows) else (0, 0)
@@ -162,7 +163,8 @@ def learn(training: DataFrame, fit_rows: int = 4000, min_z: float = 3.5, min_doc
     p, q = counts["toxic"].to_numpy(float) + 1, counts["clean"].to_numpy(float) + 1
     ratio = np.log(p / (toxic + 2)) - np.log(q / (clean + 2))
     error = np.sqrt(np.maximum(1 / p - 1 / (toxic + 2) + 1 / q - 1 / (clean + 2), 1e-12))
-    keep = (np.abs(ratio / error) >= min_z) & (p + q - 2 >= min_docs)
+    z = np.where(p + q - 2 >= min_docs, np.abs(ratio / error), 0)
+    keep = (z >= min_z) & (z >= np.sort(z)[-max_features:].min(initial=np.inf))
     if not (keep.any() and toxic and clean):
         return ToxicityModel(weights, bias)
     chosen, scale = counts["bucket"].to_numpy(np.int64)[keep], ratio[keep]
