@@ -8,8 +8,8 @@ not worth splitting (its sets really are alike) and is brute-forced too. Runs re
 a pair at the threshold is found with probability `recall`, even if it was split `depth` times in each run.
 
 Brute force is exact: intersections of the full sets. Each pair is checked once, in the first run that brings it
-together, since every set knows its bucket in all runs. Large buckets are cut into tiles of at most `tile` sets, and
-a task compares two tiles; sets that an earlier run has brought together are not compared again. No pairs leave a
+together, since every set knows its bucket in all runs. Large buckets are cut into tiles of about `tile` sets or
+`tile_tokens` tokens, and a task compares two tiles; sets that an earlier run has brought together are not compared again. No pairs leave a
 task: each set gets the number of its links there, and an edge to the smallest id that it is connected with.
 
 Equal sets are joined first: one stands for all, and counts as many. Nothing is capped or sampled.
@@ -26,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callbook.llm.common import map_arrow, mix, saved, shingles, word_hashes
+from callbook.llm.common import map_arrow, mix, saved, shingles, slices, word_hashes
 from callbook.llm.components import components
 
 SPARE = 12  # hash functions for deeper splits, chosen by path
+_TOKENS = 1_500_000  # compared at a time
 
 
 def runs_needed(similarity: float, depth: int, recall: float) -> int:
@@ -84,7 +85,7 @@ def _sets(docs: DataFrame, width: int, runs: int, depth: int) -> DataFrame:
 def _leaves(reps: DataFrame, runs: int, depth: int, limit: int) -> DataFrame:
     """(id, run, leaf) of all sets that share their bucket with another."""
     one = F.explode(F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.struct(r.alias("run"), F.slice("paths", r * depth + 1, F.lit(depth)).alias("way"))))
-    rows = reps.select("id", one.alias("at")).select("id", "at.run", "at.way")
+    rows = reps.select("id", "size", one.alias("at")).select("id", "size", "at.run", "at.way")
     found, above = [], None
     for level in range(depth):
         here = rows.withColumn("leaf", F.get("way", F.lit(level)))
@@ -96,13 +97,18 @@ def _leaves(reps: DataFrame, runs: int, depth: int, limit: int) -> DataFrame:
         if level == depth - 1:
             done = F.lit(True)
         here = saved(here.withColumn("done", done), f"level{level}")
-        found.append(here.where("done").select("id", "run", "leaf", "n"))
-        rows = here.where("not done").select("id", "run", "way", F.col("n").alias("above"))
+        found.append(here.where("done").select("id", "size", "run", "leaf"))
+        rows = here.where("not done").select("id", "size", "run", "way", F.col("n").alias("above"))
         above = True
     return reduce(DataFrame.unionByName, found)
 
 
-def _work(leaves: DataFrame, runs: int, tile: int) -> DataFrame:
+def _load(tile: int, tile_tokens: int):
+    """A set's share of a tile, by number and by tokens."""
+    return F.lit(1.0 / tile) + F.col("size") / tile_tokens
+
+
+def _work(leaves: DataFrame, runs: int, tile: int, tile_tokens: int) -> DataFrame:
     """(id, leaves, tasks): for each set with comparisons to make, the tasks (bucket, pair of tiles, its own tile) that it goes to.
 
     A bucket needs no work if all its sets share a bucket of an earlier run. In a bucket larger than a tile, the sets of
@@ -111,17 +117,17 @@ def _work(leaves: DataFrame, runs: int, tile: int) -> DataFrame:
     per_set = leaves.groupBy("id").agg(F.array(*[F.max(F.when(F.col("run") == r, F.col("leaf"))) for r in range(runs)]).alias("leaves"))
     member = saved(leaves.join(per_set, "id"), "members")
     same = [(F.min(F.get("leaves", F.lit(r))).alias(f"low{r}"), F.max(F.get("leaves", F.lit(r))).alias(f"high{r}"), F.count(F.get("leaves", F.lit(r))).alias(f"has{r}")) for r in range(runs - 1)]
-    buckets = member.groupBy("run", "leaf").agg(F.count(F.lit(1)).alias("m"), *[c for three in same for c in three])
+    buckets = member.groupBy("run", "leaf").agg(F.sum(_load(tile, tile_tokens)).alias("load"), F.count(F.lit(1)).alias("m"), *[c for three in same for c in three])
     settled = reduce(lambda e, r: e | ((F.col("run") > r) & (F.col(f"has{r}") == F.col("m")) & (F.col(f"low{r}") == F.col(f"high{r}"))), range(runs - 1), F.lit(False))
-    open_ = saved(buckets.where(~F.coalesce(settled, F.lit(False))).select("run", "leaf", "m"), "buckets")
-    large = member.join(open_.where(F.col("m") > tile), ["run", "leaf"])
-    votes = large.select("run", "leaf", F.posexplode("leaves").alias("r", "earlier")).where("r < run and earlier is not null").groupBy("run", "leaf", "r", "earlier").agg(F.count(F.lit(1)).alias("votes"))
-    top = votes.groupBy("run", "leaf").agg(F.max_by(F.struct("r", "earlier"), F.struct("votes", -F.col("r"), "earlier")).alias("top"), F.max("votes").alias("n_old"))
-    open_ = open_.join(top, ["run", "leaf"], "left").withColumn("n_old", F.coalesce("n_old", F.lit(0)))
+    open_ = saved(buckets.where(~F.coalesce(settled, F.lit(False))).select("run", "leaf", "load"), "buckets")
+    large = member.join(open_.where("load > 1"), ["run", "leaf"])
+    votes = large.select("run", "leaf", "size", F.posexplode("leaves").alias("r", "earlier")).where("r < run and earlier is not null").groupBy("run", "leaf", "r", "earlier").agg(F.sum(_load(tile, tile_tokens)).alias("votes"))
+    top = votes.groupBy("run", "leaf").agg(F.max_by(F.struct("r", "earlier"), F.struct("votes", -F.col("r"), "earlier")).alias("top"), F.max("votes").alias("load_old"))
+    open_ = open_.join(top, ["run", "leaf"], "left").withColumn("load_old", F.coalesce("load_old", F.lit(0.0)))
     placed = member.join(open_, ["run", "leaf"])
     old = F.coalesce(F.get("leaves", F.col("top.r")) == F.col("top.earlier"), F.lit(False))
-    n_new_tiles = F.greatest(F.lit(1), F.ceil((F.col("m") - F.col("n_old")) / tile)).cast("int")
-    n_old_tiles = F.ceil(F.col("n_old") / tile).cast("int")
+    n_new_tiles = F.greatest(F.lit(1), F.ceil(F.col("load") - F.col("load_old") - 1e-6)).cast("int")
+    n_old_tiles = F.ceil(F.col("load_old") - 1e-6).cast("int")
     placed = placed.withColumns({"old": old, "new_tiles": n_new_tiles, "old_tiles": n_old_tiles})
     mine = F.when(F.col("old"), F.col("new_tiles") + F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.col("old_tiles"))).cast("int")).otherwise(F.pmod(F.xxhash64("id"), F.col("new_tiles")).cast("int"))
     placed = placed.withColumn("mine", mine)
@@ -131,25 +137,15 @@ def _work(leaves: DataFrame, runs: int, tile: int) -> DataFrame:
     return placed.select("id", "leaves", tasks.alias("tasks")).groupBy("id").agg(F.first("leaves").alias("leaves"), F.flatten(F.collect_list("tasks")).alias("tasks"))
 
 
-def _compare(sets: list[np.ndarray], leaves: np.ndarray, copies: np.ndarray, mine: np.ndarray, a: int, b: int, run: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links of each set (counting copies) and the component of each set, within one task."""
-    n = len(sets)
-    left, right = np.flatnonzero(mine == a), np.flatnonzero(mine == b)
-    if not len(left) or not len(right):
-        return np.zeros(n, np.int64), np.arange(n)
-    size = np.array([len(s) for s in sets], np.int64)
-    owner = np.repeat(np.arange(n), size)
-    token = np.concatenate(sets)
+def _add_shared(shared: np.ndarray, parts: list[np.ndarray], left: np.ndarray, right: np.ndarray, place: np.ndarray, place_r: np.ndarray) -> None:
+    """Adds the number of tokens that each set on the left shares with each on the right."""
+    n = len(parts)
+    owner = np.repeat(np.arange(n), [len(p) for p in parts])
+    token = np.concatenate(parts)
     order = np.argsort(token, kind="stable")
     token, owner = token[order], owner[order]
-    new = np.append(True, token[1:] != token[:-1])
-    column = np.cumsum(new) - 1
+    column = np.cumsum(np.append(True, token[1:] != token[:-1])) - 1 if len(token) else np.zeros(0, np.int64)
     held = np.bincount(column)
-    place = np.full(n, -1)
-    place[left] = np.arange(len(left))
-    place_r = np.full(n, -1)
-    place_r[right] = np.arange(len(right))
-    shared = np.zeros((len(left), len(right)), np.float32)
     # tokens of a few sets: pair by pair; frequent ones: matrix products over some columns at a time
     few = (held[column] > 1) & (held[column] <= 6)
     c, o = column[few], owner[few]
@@ -167,6 +163,26 @@ def _compare(sets: list[np.ndarray], leaves: np.ndarray, copies: np.ndarray, min
         ones = np.zeros((n, len(part)), np.float32)
         ones[owner[use], at[column[use]]] = 1
         shared += ones[left] @ ones[right].T
+
+
+def _compare(sets: list[np.ndarray], leaves: np.ndarray, copies: np.ndarray, mine: np.ndarray, a: int, b: int, run: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each set (counting copies) and the component of each set, within one task."""
+    n = len(sets)
+    left, right = np.flatnonzero(mine == a), np.flatnonzero(mine == b)
+    if not len(left) or not len(right):
+        return np.zeros(n, np.int64), np.arange(n)
+    size = np.array([len(s) for s in sets], np.int64)
+    place, place_r = np.full(n, -1), np.full(n, -1)
+    place[left], place_r[right] = np.arange(len(left)), np.arange(len(right))
+    shared = np.zeros((len(left), len(right)), np.float32)
+    # the space of tokens in ranges, so that memory does not follow the length of the texts
+    ranges = -(-int(size.sum()) // _TOKENS)
+    cuts = [np.uint64(k * (2**64 // ranges)) for k in range(ranges)] if ranges else []
+    for k, low in enumerate(cuts):
+        begin = [int(np.searchsorted(s, low)) for s in sets]
+        end = [int(np.searchsorted(s, cuts[k + 1])) for s in sets] if k + 1 < len(cuts) else size.tolist()
+        parts = [s[i:j] for s, i, j in zip(sets, begin, end, strict=True)]
+        _add_shared(shared, parts, left, right, place, place_r)
     linked = np.zeros(shared.shape, bool)
     links = np.zeros(n, np.int64)
     for i in range(0, len(left), 512):
@@ -250,7 +266,7 @@ def _spread(texts: DataFrame, width: int, runs: int) -> DataFrame:
     """One row per set and task, with the set's tokens, from rows (id, text, copies, leaves, tasks)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             words, begins = word_hashes(batch.column("text"))
             tasks, leaves = batch.column("tasks").to_pylist(), batch.column("leaves").to_pylist()
             ids, copies = batch.column("id").to_pylist(), batch.column("copies").to_pylist()
@@ -276,7 +292,7 @@ def _spread(texts: DataFrame, width: int, runs: int) -> DataFrame:
     return texts.mapInArrow(run, "task long, run int, a int, b int, mine int, id long, copies long, leaves binary, tokens binary")
 
 
-def link_classes(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float = 0.999, depth: int = 3, limit: int = 64, tile: int = 2048) -> DataFrame:
+def link_classes(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float = 0.999, depth: int = 3, limit: int = 64, tile: int = 2048, tile_tokens: int = 3_000_000) -> DataFrame:
     """(doc_id, class_id, n_links): one row per row of docs.
 
     class_id is the smallest doc_id that chains of links reach, n_links the number of other rows whose set is at least
@@ -288,9 +304,9 @@ def link_classes(docs: DataFrame, similarity: float = 0.8, width: int = 5, recal
     runs = runs_needed(similarity, depth, recall)
     sets = saved(_sets(docs, width, runs, depth), "sets")
     known = sets.where("doc_id is not null and size > 0")
-    reps = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("paths").alias("paths"))
+    reps = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("paths").alias("paths"))
     reps = saved(reps.withColumn("id", F.col("h1")), "reps")
-    work = saved(_work(_leaves(reps, runs, depth, limit), runs, tile), "work")
+    work = saved(_work(_leaves(reps, runs, depth, limit), runs, tile, tile_tokens), "work")
     texts = docs.join(work.join(reps.select("id", "doc_id", "copies"), "id"), "doc_id")
     placed = _spread(texts, width, runs).repartition("task").sortWithinPartitions("task")
     found = saved(_verify(placed, similarity), "links")
