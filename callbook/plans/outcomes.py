@@ -80,9 +80,11 @@ def benchmark_returns(spans: DataFrame, bars: DataFrame, benchmark: str, key: li
     closing = index.select(F.col("day").alias("to_day"), F.col("ts").alias("to_ts"), F.col("close").alias("to_close"))
     # activation is at a bar's midnight: the benchmark's bar of that day, or else its next one
     joined = spans.withColumns({"from_day": F.to_date("activation_at"), "to_day": F.to_date("horizon_end")}).join(F.broadcast(opening), "from_day", "left").join(F.broadcast(closing), "to_day", "left")
+    # an activation before the benchmark's first bar looks ahead to that bar
+    joined = joined.crossJoin(F.broadcast(only.agg(F.min("ts").alias("_first")))).withColumn("after_ts", F.when(F.col("from_ts").isNull(), F.col("_first")).otherwise(F.col("after_ts")))
     late = only.select(F.col("ts").alias("after_ts"), F.col("close").alias("after_close"))
     joined = joined.join(F.broadcast(late), "after_ts", "left")
-    same = F.col("from_ts") >= F.col("activation_at")
+    same = F.coalesce(F.col("from_ts") >= F.col("activation_at"), F.lit(False))
     entry = F.when(same, F.col("from_close")).when(F.col("after_ts") <= F.col("horizon_end"), F.col("after_close"))
     exit_ = F.when(F.col("to_ts") >= F.col("activation_at"), F.col("to_close"))
     return joined.withColumn("benchmark_return_pct", (exit_ - entry) / entry).select(*key, "benchmark_return_pct")
