@@ -180,3 +180,9 @@ def candidate_windows(segments: DataFrame, detect, around: float = 90.0) -> Data
     near = groups.join(windows.select("document_id", "start_seconds", "end_seconds", "text"), "document_id").where((F.col("end_seconds") >= F.col("from") - around) & (F.col("start_seconds") <= F.col("to") + around))
     context = near.groupBy("document_id", "cluster").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start_seconds", "text"))), lambda s: s["text"]), " ").alias("context"))
     return groups.withColumn("tickers", F.array_sort(F.array_distinct("tickers"))).join(context, ["document_id", "cluster"])
+
+
+def checked_claim(claim_class: Column, evidence: Column) -> Column:
+    """struct<claim_class, rule_confidence>: a fact whose evidence hedges is an opinion, 0.20 less sure."""
+    hedged = (claim_class == "factual") & has_hedge(evidence)
+    return F.struct(F.when(hedged, "opinion").otherwise(claim_class).alias("claim_class"), F.when(hedged, 0.8).otherwise(1.0).alias("rule_confidence"))

@@ -37,3 +37,10 @@ def snapshot_history(snapshots: DataFrame, ticker: str, until, days: int, limit:
     end = F.lit(until).cast("timestamp")
     rows = snapshots.where((F.col("ticker") == ticker) & (F.col("as_of") <= end) & (F.col("as_of") >= end - F.expr(f"interval {days} days")))
     return rows.orderBy("as_of", "snapshot_id").limit(limit)
+
+
+def panel_digest(panel: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """One row per ticker, bar and known field (field, value, unit) of a wide panel; unknown fields are listed in `missing`, one row's list on each of its rows."""
+    known = F.array_compact(F.array(*[F.when(F.col(f).isNotNull(), F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("value"), F.lit(u).alias("unit"))) for f, u in fields.items()]))
+    missing = F.array_compact(F.array(*[F.when(F.col(f).isNull(), f) for f in fields]))
+    return panel.select("ticker", "ts", missing.alias("missing"), F.explode(known).alias("d")).select("ticker", "ts", "d.field", "d.value", "d.unit", "missing")
