@@ -32,7 +32,8 @@ SPACE = "▁"
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 _WIDE = 24
 _M = np.uint64(0x9E3779B97F4A7C15)
-_BLOOM_BITS = 20
+_SLOT_BITS = 18  # of the hash table of pieces
+_BATCH = 8_000_000  # characters encoded together
 
 
 def _point_hash(points: np.ndarray) -> np.ndarray:
@@ -76,20 +77,30 @@ class Vocabulary:
             for c in _point_hash(np.array([ord(c) for c in piece], np.uint32)):
                 h = h * _M + c
             keys.append(int(h[0]))
-        order = np.argsort(np.array(keys, np.uint64))
-        self.keys = np.array(keys, np.uint64)[order]
-        assert len(np.unique(self.keys)) == len(self.keys)
-        self.key_ids = np.array(list(self.ids.values()), np.int32)[order]
-        self.bloom = np.zeros(1 << _BLOOM_BITS, bool)
-        self.bloom[mix(self.keys) >> np.uint64(64 - _BLOOM_BITS)] = True
+        assert len(set(keys)) == len(keys) and 0 not in keys
+        # open addressing; 0 marks a free slot
+        self.slots, self.slot_ids = np.zeros(1 << _SLOT_BITS, np.uint64), np.zeros(1 << _SLOT_BITS, np.int32)
+        for key, slot, i in zip(keys, self._slot(np.array(keys, np.uint64)).tolist(), self.ids.values(), strict=True):
+            while self.slots[slot]:
+                slot = (slot + 1) % len(self.slots)
+            self.slots[slot], self.slot_ids[slot] = key, i
+
+    @staticmethod
+    def _slot(hashes: np.ndarray) -> np.ndarray:
+        return (mix(hashes) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         """Piece ids of substring hashes, -1 where there is none."""
-        out = np.full(len(hashes), -1, np.int32)
-        at = np.flatnonzero(self.bloom[mix(hashes) >> np.uint64(64 - _BLOOM_BITS)])
-        if len(at):
-            place = np.minimum(np.searchsorted(self.keys, hashes[at]), len(self.keys) - 1)
-            out[at] = np.where(self.keys[place] == hashes[at], self.key_ids[place], -1)
+        slot = self._slot(hashes)
+        held = self.slots[slot]
+        out = np.where(held == hashes, self.slot_ids[slot], -1)
+        at = np.flatnonzero((held != hashes) & (held != 0))
+        while len(at):
+            slot[at] = (slot[at] + 1) % len(self.slots)
+            held = self.slots[slot[at]]
+            hit = held == hashes[at]
+            out[at[hit]] = self.slot_ids[slot[at[hit]]]
+            at = at[~hit & (held != 0)]
         return out
 
     def edges(self, chunk: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
@@ -281,7 +292,7 @@ def encode(docs: DataFrame, n: int = 4, model: str = MODEL, with_ids: bool = Tru
         at = 0
         while at < len(texts):
             end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) <= 1_000_000):
+            while end < len(texts) and (end == at or size + len(texts[end]) <= _BATCH):
                 size += len(texts[end])
                 end += 1
             for text, (ids, ways, begins) in zip(texts[at:end], encoder.encode(texts[at:end]), strict=True):
