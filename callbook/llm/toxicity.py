@@ -168,7 +168,11 @@ def learn(training: DataFrame, fit_rows: int = 3000, min_z: float = 3.5, min_doc
     if not (keep.any() and toxic and clean):
         return ToxicityModel(weights, bias)
     chosen, scale = counts["bucket"].to_numpy(np.int64)[keep], ratio[keep]
-    sample = training.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(fit_rows)
+    # twice the rows wanted pass the first cut, so only ids of a bounded number of rows are sorted
+    h = F.xxhash64(F.col("doc_id").cast("string"))
+    cut = int(-(2**63) + min(1.0, 2 * fit_rows / (clean + toxic)) * (2**64 - 1025))
+    ids = training.where(h <= cut).select("doc_id", h.alias("h")).orderBy("h", "doc_id").limit(fit_rows).select("doc_id").distinct()
+    sample = training.join(F.broadcast(ids), "doc_id", "left_semi")
     w, bias = _fit(_features(sample, chosen).toPandas(), scale, bias)
     weights[chosen] = w * scale
     return ToxicityModel(weights, bias)
