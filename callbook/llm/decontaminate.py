@@ -1,19 +1,18 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
-
-1. The n-grams of all test items are looked up in every document; Spark sums in how many documents each occurs.
-2. An item's seeds are its rare n-grams: those in at most `rarity` times as many documents as its lower quartile. That
-   is relative to the item, so one whose passage fills a third of the corpus keeps its seeds, and the n-grams that
-   exact and edited copies share stay seeds beside those that only exact copies have.
-3. Where a seed of an item occurs in a document, the words around it, as far as the item would reach plus a margin,
-   are aligned with the item's words: Smith-Waterman over word hashes, all pairs of a batch in lockstep. The score is
-   divided by that of the item with itself, so edited, reordered or lengthened copies score between 0 and 1.
-
-Documents are read twice and never shuffled. The items go to tasks by broadcast in slices of at most `slice_words`
-words, whatever their number; each slice is one pass.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
+
+1. Every n-gram that a document shares with a test item is a seed, however frequent it is: an item whose passage fills
+   a third of the corpus, or whose copies leave out its rare words, is found like any other.
+2. The words around an item's seeds in a document, as far as the item would reach plus a margin, are aligned with the
+   item's words: Smith-Waterman over word hashes, all pairs of a batch in lockstep. The score is divided by that of the
+   item with itself, so edited, reordered or lengthened copies score between 0 and 1.
+
+Documents are read once and never shuffled. The items go to tasks by broadcast in slices of at most `slice_words`
+words, whatever their number; each slice is one pass. Alignments number the (document, item) pairs with an n-gram in common.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -26,6 +25,7 @@ from callbook.llm.common import map_arrow, mix, row_key, saved, word_hashes
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 _CELLS = 4_000_000  # of alignment matrices' rows at a time, which bounds memory
+_SEEDS = 200_000  # at a time, or those of one document
 
 
 def grams_of(words: np.ndarray, width: int) -> np.ndarray:
@@ -53,6 +53,7 @@ class Items:
         self.gram = np.array([r[0] for r in rows], np.uint64)
         self.item = np.array([r[1] for r in rows], np.int64)
         self.at = np.array([r[2] for r in rows], np.int64)
+        self.size = np.array([len(w) for w in self.words], np.int64)
         self.known = np.unique(self.gram)
         self.bloom = np.zeros(1 << 22, bool)
         self.bloom[self.known >> np.uint64(42)] = True
@@ -119,96 +120,55 @@ def _slices(benchmark: DataFrame, width: int, min_words: int, slice_words: int):
         yield Items(ids, words, width)
 
 
-def _document_counts(docs: DataFrame, items: Items) -> dict[int, int]:
-    """In how many documents each of the items' n-grams occurs (as many numbers as a slice has n-grams)."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-
-    def run(batches):
-        it = shared.value
-        counts = np.zeros(len(it.known), np.int64)
-        for batch in batches:
-            words, begins = word_hashes(batch.column("text"))
-            grams = grams_of(words, it.width)
-            at = it.found(grams)
-            doc = np.searchsorted(begins, at, "right") - 1
-            inside = at + it.width <= begins[doc + 1]
-            pairs = np.unique(np.stack([doc[inside].astype(np.uint64), grams[at[inside]]]), axis=1)
-            np.add.at(counts, np.searchsorted(it.known, pairs[1]), 1)
-        held = np.flatnonzero(counts)
-        if len(held):
-            yield pa.RecordBatch.from_arrays([pa.array(it.known[held].view(np.int64)), pa.array(counts[held])], ["gram", "docs"])
-
-    parts = docs.select("text").mapInArrow(run, "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs"))
-    return {r["gram"] & 0xFFFFFFFFFFFFFFFF: r["docs"] for r in parts.collect()}
-
-
-def _seeds(items: Items, docs: dict[int, int], rarity: float) -> np.ndarray:
-    """Marks each item's n-grams that are at most `rarity` times as frequent as its lower quartile (1 document at least)."""
-    seed = np.zeros(len(items.gram), bool)
-    count = np.array([docs.get(g, 0) for g in items.gram.tolist()], np.int64)
-    order = np.lexsort((count, items.item))
-    begins = np.searchsorted(items.item[order], np.arange(len(items.ids) + 1))
-    for a, b in zip(begins[:-1], begins[1:], strict=True):
-        own = order[a:b]
-        seed[own] = count[own] <= rarity * max(1, count[own[len(own) // 4]])
-    return seed
-
-
-def _pairs(words: np.ndarray, it: Items, seeds: tuple[np.ndarray, ...]) -> list[tuple[int, int, int]]:
-    """(item, from, to) windows of one document's words around seeds."""
-    gram, item, at = seeds
-    found: dict[int, list[int]] = {}
+def _windows(words: np.ndarray, begins: np.ndarray, it: Items) -> Iterator[tuple[np.ndarray, ...]]:
+    """(documents, items, from, to) windows around all seeds of a batch, in parts of about _SEEDS seeds."""
     grams = grams_of(words, it.width)
-    for p in it.found(grams).tolist():
-        a, b = np.searchsorted(gram, grams[p], "left"), np.searchsorted(gram, grams[p], "right")
-        for k in range(int(a), int(b)):
-            found.setdefault(int(item[k]), []).append(p - int(at[k]))
-    out = []
-    for k, offsets in found.items():
-        size = len(it.words[k])
-        margin = size // 3 + 8
-        begin = None
-        for o in sorted(offsets):
-            if begin is not None and o <= last + margin:
-                last = o
-                continue
-            if begin is not None:
-                out.append((k, max(0, begin - margin), min(len(words), last + size + margin)))
-            begin = last = o
-        out.append((k, max(0, begin - margin), min(len(words), last + size + margin)))
-    return out
-
-
-def _matches(docs: DataFrame, items: Items, seed: np.ndarray, threshold: float) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast((items, (items.gram[seed], items.item[seed], items.at[seed])))
+    at = it.found(grams)
+    doc = np.searchsorted(begins, at, "right") - 1
+    inside = at + it.width <= begins[doc + 1]
+    at, doc = at[inside], doc[inside]
+    first = np.searchsorted(it.gram, grams[at], "left")
+    many = np.searchsorted(it.gram, grams[at], "right") - first
+    ends = np.flatnonzero(np.diff(doc, append=-1)) + 1  # a document's seeds stay together
+    total = np.append(0, np.cumsum(many))
+    i = 0
+    while i < len(at):
+        j = int(ends[max(np.searchsorted(total[ends], total[i] + _SEEDS, "right") - 1, np.searchsorted(ends, i, "right"))])
+        n = many[i:j]
+        row = np.repeat(first[i:j] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        d, item, offset = np.repeat(doc[i:j], n), it.item[row], np.repeat(at[i:j], n) - it.at[row]
+        order = np.lexsort((offset, item, d))
+        d, item, offset = d[order], item[order], offset[order]
+        margin = it.size[item] // 3 + 8
+        new = np.ones(len(d), bool)
+        new[1:] = (d[1:] != d[:-1]) | (item[1:] != item[:-1]) | (offset[1:] > offset[:-1] + margin[1:])
+        a = np.flatnonzero(new)
+        b = np.append(a[1:], len(d)) - 1
+        yield d[a], item[a], np.maximum(begins[d[a]], offset[a] - margin[a]), np.minimum(begins[d[a] + 1], offset[b] + it.size[item[a]] + margin[a])
+        i = j
+
+
+def _matches(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        it, seeds = shared.value
+        it = shared.value
         words, begins = word_hashes(batch.column("text"))
-        has = np.zeros(len(begins) - 1, bool)
-        grams = grams_of(words, it.width)
-        at = it.found(grams)
-        at = at[np.isin(grams[at], seeds[0])]
-        has[np.searchsorted(begins, at, "right") - 1] = True
-        where, a, b = [], [], []
-        for d in np.flatnonzero(has).tolist():
-            own = words[begins[d] : begins[d + 1]]
-            for k, lo, hi in _pairs(own, it, seeds):
-                where.append((d, k, lo))
-                a.append(it.words[k])
-                b.append(own[lo:hi])
-        score, end = align(a, b) if a else (np.zeros(0), np.zeros(0, np.int64))
-        keep = np.flatnonzero(score >= threshold).tolist()
-        k1, k2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2"))
-        doc = batch.column("doc_id").take(pa.array([where[k][0] for k in keep], pa.int64()))
-        columns = [doc, pa.array([k1[where[k][0]] for k in keep], pa.int64()), pa.array([k2[where[k][0]] for k in keep], pa.int64()), pa.array([it.ids[where[k][1]] for k in keep], pa.int64()), pa.array(score[keep]), pa.array([where[k][2] + int(end[k]) for k in keep], pa.int64())]
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]
+        for d, item, lo, hi in _windows(words, begins, it):
+            score, end = align([it.words[k] for k in item.tolist()], [words[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)])
+            keep = score >= threshold
+            found.append((d[keep], item[keep], score[keep], (lo - begins[d] + end)[keep]))
+        d, item, score, end = (np.concatenate(x) for x in zip(*found, strict=True))
+        row = pa.array(d, pa.int64())
+        columns = [*(batch.column(c).take(row) for c in ("doc_id", "k1", "k2")), pa.array([it.ids[k] for k in item.tolist()], pa.int64()), pa.array(score), pa.array(end, pa.int64())]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "k2", "item_id", "score", "word_end"])
 
     keyed = docs.select("doc_id", "text", *row_key("doc_id", "text"))
     return map_arrow(keyed, run, "doc_id long, k1 long, k2 long, item_id long, score double, word_end long")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.3, width: int = 3, min_words: int = 8, rarity: float = 20, slice_words: int = 2_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.3, width: int = 3, min_words: int = 8, slice_words: int = 2_000_000) -> DataFrame:
     """(doc_id, k1, k2, item_id, score, word_end): each document's best alignment with each item that it holds.
 
     k1, k2 name the row (see row_key), word_end is how many of its words end with the passage. Null and wordless texts
@@ -218,7 +178,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.3,
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     parts = []
     for items in _slices(benchmark.withColumn("item_id", F.col("item_id").cast("long")), width, min_words, slice_words):
-        parts.append(_matches(docs, items, _seeds(items, _document_counts(docs, items), rarity), threshold))
+        parts.append(_matches(docs, items, threshold))
     if not parts:
         return docs.sparkSession.createDataFrame([], "doc_id long, k1 long, k2 long, item_id long, score double, word_end long")
     found = reduce(DataFrame.unionByName, parts)

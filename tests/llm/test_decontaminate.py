@@ -52,3 +52,23 @@ def test_planted_copies(spark):
     kept = {r["doc_id"] for r in dc.decontaminate(docs, bench).collect()}
     assert kept == {r[0] for r in rows} - {d for d, _ in got}
     assert dc.contaminated(docs.limit(0), bench).count() == 0 and dc.contaminated(docs, bench.limit(0)).count() == 0
+
+
+def test_partial_copies_are_found_however_many(spark):
+    rng = random.Random(12)
+    item = [f"i{k}" for k in range(40)]
+    for n in (10, 60):
+        rows = [(d, " ".join([f"w{rng.randrange(10**6)}" for _ in range(20)] + item[10:] + [f"w{rng.randrange(10**6)}" for _ in range(20)])) for d in range(n)]
+        rows += [(1000 + d, " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))) for d in range(20)]
+        got = dc.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+        assert sorted((r["doc_id"], r["item_id"], r["score"], r["word_end"]) for r in got) == [(d, 7, 0.75, 50) for d in range(n)]
+
+
+def test_seeds_in_small_parts_give_the_same(monkeypatch):
+    rng = random.Random(3)
+    items = dc.Items(list(range(9)), [np.array([rng.randrange(6) for _ in range(12)], np.uint64) for _ in range(9)], 3)
+    words, begins = np.array([rng.randrange(6) for _ in range(400)], np.uint64), np.array([0, 0, 50, 52, 300, 400])
+    whole = [np.concatenate(x) for x in zip(*dc._windows(words, begins, items), strict=True)]
+    monkeypatch.setattr(dc, "_SEEDS", 1)
+    parts = list(dc._windows(words, begins, items))
+    assert len(parts) == 3 and all(np.array_equal(x, np.concatenate(y)) for x, y in zip(whole, zip(*parts, strict=True), strict=True))
