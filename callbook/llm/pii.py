@@ -5,8 +5,9 @@ words and signs before a span are a lexical pattern for its kind. The corpus's o
 candidates, with the patterns before them. Spark scores the pattern-instance graph in rounds: a pattern's confidence
 for a kind is the share of its distinct slot values that are known instances of the kind, counted when at least
 `min_values` known values in `min_docs` documents support it; a value's score is the noisy-or of the confidences of
-the patterns it follows. Values that reach `min_score` become instances, support patterns in the next round, and
-their occurrences after confident patterns are added as spans. Base spans always stay.
+the patterns it follows. Values that reach `min_score` become instances: in the next round they support every pattern
+they follow anywhere, so new patterns arise, and their occurrences after confident patterns are added as spans. Base
+spans always stay.
 
 The graph has one edge per distinct (pattern, value), so rounds work on aggregated rows. Only rows that hold a digit or
 an @ are searched, once; what is found is a table in the shared folder, and so are each round's edges.
@@ -110,20 +111,20 @@ def render(spans: Column) -> Column:
 
 def _grow(seeds: DataFrame, open_: DataFrame, rounds: int, min_values: int, min_docs: int, min_conf: float, min_score: float) -> DataFrame:
     """Accepted (left, value, kind) of candidates after the rounds."""
-    slots = saved(open_.groupBy("left", "value").agg(F.count(F.lit(1)).alias("n")), "slots")
+    slots = saved(open_.groupBy("left", "value").agg(F.countDistinct("k1").alias("docs")), "slots")
     known = saved(seeds.groupBy("left", "kind", "value").agg(F.countDistinct("k1").alias("docs")), "known")
-    taken = None
+    best = None
     for _ in range(rounds):
-        instances = known if taken is None else known.unionByName(taken)
+        # accepted values count in all their contexts, not only in those that made them accepted
+        instances = known if best is None else known.unionByName(slots.join(best, "value").select("left", "kind", "value", "docs"))
         support = instances.groupBy("left", "kind").agg(F.countDistinct("value").alias("good"), F.sum("docs").alias("docs")).where((F.col("good") >= min_values) & (F.col("docs") >= min_docs) & (F.col("left") != ""))
         # all values that stand in the pattern's slot, of any kind or none
         filled = known.select("left", "value").unionByName(slots.select("left", "value")).groupBy("left").agg(F.countDistinct("value").alias("all"))
         patterns = support.join(filled, "left").select("left", "kind", (F.col("good") / F.col("all")).alias("conf")).where(F.col("conf") >= min_conf)
-        scored = slots.join(patterns, "left")
+        scored = slots.join(saved(patterns, "patterns"), "left")
         value = scored.groupBy("value", "kind").agg((1 - F.product(1 - F.col("conf") * 0.999)).alias("score")).where(F.col("score") >= min_score)
-        best = value.groupBy("value").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"))
-        taken = saved(scored.select("left", "value", "kind", F.col("n").alias("docs")).join(best, ["value", "kind"]).select("left", "kind", "value", "docs"), "taken")
-    return taken
+        best = saved(value.groupBy("value").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind")), "taken")
+    return scored.join(best, ["value", "kind"]).select("left", "value", "kind")
 
 
 def find(docs: DataFrame, rounds: int = 2, min_values: int = 5, min_docs: int = 5, min_conf: float = 0.6, min_score: float = 0.7) -> DataFrame:
@@ -140,7 +141,7 @@ def find(docs: DataFrame, rounds: int = 2, min_values: int = 5, min_docs: int =
     free = F.filter("open", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     open_ = found.select("k1", "k2", F.inline(free)).drop("kind")
     grown = _grow(seeds, open_, rounds, min_values, min_docs, min_conf, min_score)
-    added = open_.join(grown.select("left", "value", "kind"), ["left", "value"]).groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("kind", "start", "end", "value", "left"))).alias("added"))
+    added = open_.join(grown, ["left", "value"]).groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("kind", "start", "end", "value", "left"))).alias("added"))
     spans = found.select("k1", "k2", "base").join(added, ["k1", "k2"], "left")
     k1, k2 = row_key("doc_id", "text")
     keyed = docs.withColumns({"_k1": k1, "_k2": k2})

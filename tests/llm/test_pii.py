@@ -74,6 +74,19 @@ def test_confident_pattern_finds_unseen_identifier(spark):
     assert got[101]["spans"] == "" and got[3]["n_email"] == 1
 
 
+def test_accepted_values_make_new_patterns(spark):
+    rows = [(i, f"please reach the account owner: user{i}@mail.example now", "") for i in range(40)]
+    rows += [(100 + i, f"please reach the account owner: id_77{i}_x thanks", "") for i in range(8)]
+    rows += [(200 + i, f"the ticket was opened by id_77{i}_x today", "") for i in range(8)]
+    rows += [(300, "the ticket was opened by id_999_zz today", ""), (301, "he was born in id_999_yy", "")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r["doc_id"]: r["spans"] for r in result(df).collect()}
+    assert all(got[100 + i] == "email:32:40" and got[200 + i] == "email:25:33" for i in range(8))
+    assert got[300] == "email:25:34" and got[301] == ""  # only ever after the new pattern
+    one = {r["doc_id"]: pii.render(pii.F.col("spans")) for r in pii.find(df, rounds=1).where("size(added) > 0").collect()}
+    assert set(one) == set(range(100, 108))
+
+
 def test_very_long_runs(spark):
     rows = [(1, "a" * 300_000 + " x@y.z 1", ""), (2, "1" * 200_000, ""), (3, "+" + "1 " * 100_000, "")]
     got = {r["doc_id"]: r["spans"] for r in result(spark.createDataFrame(rows, SCHEMA)).collect()}
