@@ -5,23 +5,24 @@ and position, summed and passed through tanh, gives a softmax over word classes;
 times its share of the class. A document's score is the sum of these conditional log-probabilities.
 
 What is learned comes from all documents. Spark counts every distinct word; the `vocabulary` most frequent ones have
-ids of their own, the others share hashed buckets, in which all distinct words are equally likely. Classes split the
-ids by frequency into equal masses. The network is trained in numpy by local stochastic gradient descent: every task
+ids of their own, the others share hashed buckets as contexts and for their class. Every word's share of its class is
+its own count in the corpus: the counts stay a Spark table that scoring joins to the words without ids, and one more
+per bucket is left for words that the corpus doesn't have. Classes split the ids by frequency into equal masses. The network is trained in numpy by local stochastic gradient descent: every task
 passes over its documents from the same start, and Spark averages the parameters, weighted by tokens, for each of
-`rounds` rounds. Only the model (its size is fixed by the parameters below) meets in the driver.
+`rounds` rounds. Only the network and the frequent words (their size is fixed by the parameters below) meet in the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callbook.llm.common import map_arrow, saved, schema_with, word_hashes
+from callbook.llm.common import map_arrow, row_key, saved, schema_with, word_hashes
 
 WINDOW = 2
 OFFSETS = [o for o in range(-WINDOW, WINDOW + 1) if o]
@@ -30,7 +31,7 @@ _STEP = 8192  # tokens per gradient step
 
 @dataclass
 class Words:
-    """Ids of words, their classes, and the log share of a word in its class."""
+    """Ids of words, their classes, and the log share in its class of a word, or of one occurrence of a bucket's words."""
 
     top: np.ndarray  # sorted hashes of words with ids of their own
     top_ids: np.ndarray
@@ -51,27 +52,32 @@ class Words:
         return out
 
 
-def count_words(docs: DataFrame, vocabulary: int, buckets: int, classes: int) -> Words:
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n) of every distinct word."""
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         words, n = np.unique(word_hashes(batch.column("text"))[0], return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
 
-    counts = saved(map_arrow(docs.select("text"), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    return saved(map_arrow(docs.select("text"), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+
+
+def count_words(docs: DataFrame, vocabulary: int, buckets: int, classes: int, counts: DataFrame | None = None) -> Words:
+    """counts: word_counts(docs), if made already."""
+    counts = word_counts(docs) if counts is None else counts
     # at most `vocabulary` and `buckets` rows meet here
     top = counts.orderBy(F.desc("n"), "word").limit(vocabulary).collect()
     bucket = F.col("word").bitwiseAND(buckets - 1)
-    rest = {r["b"]: [r["n"], r["distinct"]] for r in counts.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("distinct")).collect()}
+    rest = {r["b"]: r["n"] for r in counts.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n")).collect()}
     hashes = np.array([r["word"] for r in top], np.int64).view(np.uint64)
     for h, r in zip(hashes.tolist(), top, strict=True):
-        rest[h & (buckets - 1)][0] -= r["n"]
-        rest[h & (buckets - 1)][1] -= 1
-    held = [rest.get(b, [0, 0]) for b in range(buckets)]
-    mass = np.array([r["n"] for r in top] + [n + 1 for n, _ in held], float)
-    distinct = np.array([1] * len(top) + [d + 1 for _, d in held], float)
+        rest[h & (buckets - 1)] -= r["n"]
+    mass = np.array([r["n"] for r in top] + [rest.get(b, 0) + 1 for b in range(buckets)], float)
+    own = np.append(mass[: len(top)], np.ones(buckets))
     order = np.argsort(-mass, kind="stable")
     class_of = np.empty(len(mass), np.int64)
     class_of[order] = np.minimum((np.cumsum(mass[order]) - mass[order]) * classes / mass.sum(), classes - 1).astype(np.int64)
-    share = np.log(mass / np.bincount(class_of, mass, classes)[class_of]) - np.log(distinct)
+    share = np.log(own / np.bincount(class_of, mass, classes)[class_of])
     by_hash = np.argsort(hashes)
     return Words(hashes[by_hash], by_hash.astype(np.int64), buckets, class_of, share)
 
@@ -169,12 +175,14 @@ class LanguageModel:
     parameters: np.ndarray
     classes: int
     hidden: int
+    counts: DataFrame | None  # of all words
 
 
 def learn(docs: DataFrame, vocabulary: int = 3000, buckets: int = 128, classes: int = 64, hidden: int = 16, rounds: int = 1, rate: float = 0.05) -> LanguageModel:
     """A model of all texts (null texts are empty; buckets is a power of two). A corpus without words gives a model that knows none."""
-    words = count_words(docs, vocabulary, buckets, classes)
-    return LanguageModel(words, train(docs, words, classes, hidden, rounds, rate), classes, hidden)
+    counts = word_counts(docs)
+    words = count_words(docs, vocabulary, buckets, classes, counts)
+    return LanguageModel(words, train(docs, words, classes, hidden, rounds, rate), classes, hidden, counts)
 
 
 def score(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -183,7 +191,25 @@ def score(docs: DataFrame, model: LanguageModel) -> DataFrame:
     Null texts and texts without words have no tokens and log_prob 0. Columns named like the results are replaced.
     """
     docs = docs.drop("n_tokens", "log_prob", "mean_log_prob")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(replace(model, counts=None))
+    k1, k2 = row_key(*[c for c in ("doc_id", "text") if c in docs.columns])
+    keyed = docs.withColumns({"_k1": k1, "_k2": k2})
+
+    def others(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """Words without ids of their own, with their number in each text; one row of each text is its first."""
+        m = shared.value
+        hashes, begins = word_hashes(batch.column("text"))
+        at = np.flatnonzero(m.words.ids(hashes) >= len(m.words.top))
+        doc, word = np.searchsorted(begins, at, "right") - 1, hashes[at]
+        order = np.lexsort((word, doc))
+        doc, word = doc[order], word[order]
+        new = np.ones(len(at), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])
+        where = np.flatnonzero(new)
+        doc, n = doc[where], np.diff(np.append(where, len(at)))
+        row = pa.array(doc, pa.int64())
+        columns = [batch.column("_k1").take(row), batch.column("_k2").take(row), pa.array(word[where].view(np.int64)), pa.array(n, pa.int64()), pa.array(np.diff(doc, prepend=-1) != 0).cast(pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["_k1", "_k2", "word", "times", "first"])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = shared.value
@@ -199,10 +225,15 @@ def score(docs: DataFrame, model: LanguageModel) -> DataFrame:
         sums = np.concatenate([[0.0], np.cumsum(each)])
         n = np.diff(begins)
         total = np.where(n > 0, sums[begins[1:]] - sums[begins[:-1]], 0.0)
-        mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(total), mean], [*batch.schema.names, "n_tokens", "log_prob", "mean_log_prob"])
-
-    return map_arrow(docs, run, schema_with(docs, "n_tokens long, log_prob double, mean_log_prob double"))
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(total)], [*batch.schema.names, "n_tokens", "log_prob"])
+
+    scored = map_arrow(keyed, run, schema_with(keyed, "n_tokens long, log_prob double"))
+    seen = map_arrow(keyed.select("_k1", "_k2", "text"), others, "_k1 long, _k2 long, word long, times long, first long").join(model.counts, "word", "left")
+    # repeated rows share their keys: the sum over them is divided by their number
+    sums = seen.groupBy("_k1", "_k2").agg((F.sum(F.col("times") * F.log(F.coalesce("n", F.lit(1)))) / F.sum("first")).alias("_others"))
+    total = F.col("log_prob") + F.coalesce("_others", F.lit(0.0))
+    out = scored.join(sums, ["_k1", "_k2"], "left").withColumn("log_prob", total)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -51,3 +51,15 @@ def test_order_matters(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert lm.score(docs, lm.learn(docs)).count() == 0
+
+
+def test_rare_words_keep_their_own_counts(spark):
+    docs = spark.createDataFrame([(1, "the " * 50), (2, "cat " * 9 + "dog " * 3)], "doc_id long, text string")
+    model = lm.learn(docs, vocabulary=1, buckets=1, classes=1)
+    texts = ["the", "cat", "dog", "new", "dog cat dog the"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(4, texts[4])] * 2
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    want = {0: [50], 1: [9], 2: [3], 3: [1], 4: [3, 9, 3, 50]}
+    assert len(got) == 7
+    for r in got:
+        assert np.isclose(r["log_prob"], sum(np.log(n / 63) for n in want[r["doc_id"]])) and r["n_tokens"] == len(want[r["doc_id"]])
