@@ -14,8 +14,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -128,30 +128,41 @@ def _features(sample: DataFrame, chosen: np.ndarray) -> DataFrame:
     return map_arrow(sample.select("text", "label"), run, "at array<int>, value array<float>, label int")
 
 
-def _fit(rows: pd.DataFrame, scale: np.ndarray, bias: float, steps: int = 300, l2: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression over the scaled features by full-batch Adam, from zero weights."""
-    row = np.repeat(np.arange(len(rows)), rows["at"].map(len))
-    col = np.concatenate([np.asarray(a, np.int64) for a in rows["at"]]) if len(row) else np.zeros(0, np.int64)
-    x = np.concatenate([np.asarray(v, float) for v in rows["value"]])[: len(row)] * scale[col] if len(row) else np.zeros(0)
-    y = rows["label"].to_numpy(float)
+def _fit(rows: pa.Table, scale: np.ndarray, bias: float, steps: int = 300, l2: float = 1e-4, most: int = 1_000_000) -> tuple[np.ndarray, float]:
+    """Logistic regression over the scaled features by full-batch Adam, from zero weights. Each step sums the gradient over
+    parts of rows with about `most` values, so what is held besides is 8 bytes for each value of the sample."""
+    at, value = (rows.column(c).combine_chunks() for c in ("at", "value"))
+    size = pc.list_value_length(at).to_numpy(zero_copy_only=False).astype(np.int64)
+    begins = np.append(0, np.cumsum(size))
+    col, x = at.flatten().to_numpy(), value.flatten().to_numpy()
+    y = rows.column("label").to_numpy().astype(float)
+    cuts = np.unique(np.append(np.searchsorted(begins, np.arange(0, begins[-1], most)), len(y)))
+    parts = [(int(i), int(j)) for i, j in zip(np.append(0, cuts[:-1]), cuts, strict=True) if j > i]
     w = np.zeros(len(scale) + 1)
     w[-1] = bias
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
-        z = np.bincount(row, x * w[col], len(y)) + w[-1]
-        e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-        g = np.append(np.bincount(col, x * e[row], len(scale)) + l2 * w[:-1], e.sum())
+        scaled, g = w[:-1] * scale, np.zeros_like(w)
+        for i, j in parts:
+            a, b = begins[i], begins[j]
+            z = np.full(j - i, w[-1])
+            some = size[i:j] > 0
+            if some.any():
+                z[some] += np.add.reduceat(x[a:b] * scaled[col[a:b]], (begins[i:j] - a)[some])
+            e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[i:j]) / len(y)
+            g[:-1] += np.bincount(col[a:b], x[a:b] * np.repeat(e, size[i:j]), len(scale))
+            g[-1] += e.sum()
+        g[:-1] = g[:-1] * scale + l2 * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.03 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return w[:-1], float(w[-1])
 
 
-def learn(training: DataFrame, fit_rows: int = 3000, min_z: float = 3.5, min_docs: int = 3, max_features: int = 4096) -> ToxicityModel:
+def learn(training: DataFrame, fit_rows: int = 3000, min_z: float = 3.5, min_docs: int = 3) -> ToxicityModel:
     """Model from rows (doc_id, text, label 0/1); null labels are left out, null text counts as empty.
 
-    fit_rows bounds the regression's sample and max_features the n-grams it weighs (those of the most significant
-    ratios); counts and ratios come from all rows. With rows of one class only, or
-    none, the model gives every text the smoothed share of label 1.
+    fit_rows bounds the regression's sample; counts, ratios and the choice of n-grams come from all rows. With rows of
+    one class only, or none, the model gives every text the smoothed share of label 1.
     """
     training = saved(training.where(F.col("label").isin(0, 1)).select("doc_id", "text", "label"), "labelled")
     counts = _counts(training).toPandas()  # at most 2**BITS rows
@@ -164,7 +175,7 @@ def learn(training: DataFrame, fit_rows: int = 3000, min_z: float = 3.5, min_doc
     ratio = np.log(p / (toxic + 2)) - np.log(q / (clean + 2))
     error = np.sqrt(np.maximum(1 / p - 1 / (toxic + 2) + 1 / q - 1 / (clean + 2), 1e-12))
     z = np.where(p + q - 2 >= min_docs, np.abs(ratio / error), 0)
-    keep = (z >= min_z) & (z >= np.sort(z)[-max_features:].min(initial=np.inf))
+    keep = z >= min_z
     if not (keep.any() and toxic and clean):
         return ToxicityModel(weights, bias)
     chosen, scale = counts["bucket"].to_numpy(np.int64)[keep], ratio[keep]
@@ -173,7 +184,7 @@ def learn(training: DataFrame, fit_rows: int = 3000, min_z: float = 3.5, min_doc
     cut = int(-(2**63) + min(1.0, 2 * fit_rows / (clean + toxic)) * (2**64 - 1025))
     ids = training.where(h <= cut).select("doc_id", h.alias("h")).orderBy("h", "doc_id").limit(fit_rows).select("doc_id").distinct()
     sample = training.join(F.broadcast(ids), "doc_id", "left_semi")
-    w, bias = _fit(_features(sample, chosen).toPandas(), scale, bias)
+    w, bias = _fit(_features(sample, chosen).toArrow(), scale, bias)
     weights[chosen] = w * scale
     return ToxicityModel(weights, bias)
 

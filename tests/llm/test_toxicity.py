@@ -60,3 +60,12 @@ def test_training_rows_leave_the_held_out_third(spark, sf_dir):
 def test_query(spark, sf_dir):
     rows = toxicity.query(spark, sf_dir).collect()
     assert len(rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count() and {type(r["score"]) for r in rows} == {float}
+
+
+def test_every_significant_ngram_has_a_weight(spark):
+    rng = random.Random(6)
+    common = "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(3000))
+    rows = [(d, common + " xyzvwu" * (d < 45), 1) for d in range(60)] + [(100 + d, "".join(rng.choice("0123456789 ") for _ in range(200)), 0) for d in range(60)]
+    model = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string, label int"))
+    grams, begins = toxicity._ngrams(["xyzvwu"])
+    assert np.count_nonzero(model.weights) > 4096 and (model.weights[toxicity._grams_of(grams, 0, int(begins[1]))] != 0).all()
