@@ -1,9 +1,10 @@
 """Language ID by cross-parsing (after Ziv and Merhav, 1993).
 
-For each language a suffix automaton is built over a bounded sample of labelled text. A text is parsed greedily into
-the longest phrases that occur in that sample; the language that needs the fewest phrases, normalised by the log of
-its sample's length, wins. Texts are parsed in blocks of `block` code points, all blocks and languages of a batch in
-lockstep, so the inner loop is a numpy step over thousands of automata at once; a text's phrases are the sum over its blocks.
+For each language a suffix automaton is built over the whole labelled texts of a sample whose only bound is a number of
+rows. A text is parsed greedily into the longest phrases that occur in that sample; the language that needs the fewest
+phrases, normalised by the log of its sample's length, wins. Symbols are the lower-cased letters themselves, whatever the
+alphabet; all else is a blank. Texts are parsed in blocks of `block` code points, all blocks and languages of a batch in
+lockstep: a step looks up the moves of thousands of automaton states at once. A text's phrases are the sum over its blocks.
 """
 
 from __future__ import annotations
@@ -15,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from callbook.llm.common import map_arrow, schema_with, texts_of
+from callbook.llm.common import map_arrow, mix, schema_with, texts_of
 
 LETTER = r"\p{L}"
-_TABLE_CELLS = 16_000_000  # of all languages' automata together, which bounds a worker's memory
+_POINT_BITS = np.uint64(21)  # of a code point
 
 
-def _automaton(text: np.ndarray) -> list[dict[int, int]]:
-    """Transitions of the suffix automaton of a sequence of symbols (state 0 is the root)."""
+def _automaton(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Moves of the suffix automaton of a sequence of code points (state 0 is the root): keys state << 21 | point, and states."""
     nxt: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in text.tolist():
@@ -48,44 +49,64 @@ def _automaton(text: np.ndarray) -> list[dict[int, int]]:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    return nxt
+    size = np.array([len(moves) for moves in nxt], np.int64)
+    point = np.fromiter((c for moves in nxt for c in moves), np.uint64, int(size.sum()))
+    to = np.fromiter((q for moves in nxt for q in moves.values()), np.int64, int(size.sum()))
+    return np.repeat(np.arange(len(nxt), dtype=np.uint64), size) << _POINT_BITS | point, to
+
+
+def _table(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Open addressing over a power of two of at least twice as many slots; the key of a free slot is all ones."""
+    slots = 1 << max(4, int(2 * len(keys)).bit_length())
+    held, value = np.full(slots, ~np.uint64(0)), np.full(slots, -1, np.int32)
+    at, left = _slot(keys, slots), np.arange(len(keys))
+    while len(left):
+        free = held[at[left]] == ~np.uint64(0)
+        _, first = np.unique(at[left[free]], return_index=True)  # one key a slot
+        placed = left[free][first]
+        held[at[placed]], value[at[placed]] = keys[placed], values[placed]
+        left = np.setdiff1d(left, placed, assume_unique=True)
+        at[left] = (at[left] + 1) & (slots - 1)
+    return held, value
+
+
+def _slot(keys: np.ndarray, slots: int) -> np.ndarray:
+    return (mix(keys) & np.uint64(slots - 1)).astype(np.int64)
 
 
 class CrossParser:
-    """Counts phrases of texts against the samples of all languages."""
+    """Counts phrases of texts against the samples of all languages. Some 50 bytes are held for each code point learned."""
 
     def __init__(self, samples: list[tuple[str, str]], block: int = 512):
         self.langs = [lang for lang, _ in samples]
         self.block = block
         texts = [self._folded(text) for _, text in samples]
-        seen, n = np.unique(np.concatenate(texts) if texts else np.zeros(0, np.uint32), return_counts=True)
-        common = seen[np.argsort(-n, kind="stable")][:94]
-        # symbols: 0 pads, 1 is any unseen character, 2 is a blank or other non-letter
-        self.symbol = np.ones(0x110000, np.uint8)
-        self.symbol[common] = 3 + np.arange(len(common))
-        self.symbol[32] = 2
-        self.width = 3 + len(common)
-        most = _TABLE_CELLS // max(1, 2 * self.width * len(texts))
-        self.log_size, tables, roots, base = [], [], [], 0
+        self.log_size = [np.log2(max(2, len(t))) for t in texts]
+        keys, values, base = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+        self.roots = []
         for text in texts:
-            s = self.symbol[text[:most]]
-            nxt = _automaton(s)
-            dead = len(nxt)  # the state after a symbol that the sample lacks: a phrase of its own
-            table = np.full((dead + 1, self.width), -1, np.int64)
-            for state, moves in enumerate(nxt):
-                for c, to in moves.items():
-                    table[state, c] = to
-            first = np.where(table[0] < 0, dead, table[0])
-            # where a phrase cannot go on, the next one begins with this symbol: kept as the complement of that state
-            table[1:] = np.where(table[1:] < 0, ~(first * self.width + base), table[1:] * self.width + base)
-            table[0] = first * self.width + base
-            table[:, 0] = np.arange(dead + 1) * self.width + base
-            tables.append(table.astype(np.int32).ravel())
-            roots.append(base)
-            base += table.size
-            self.log_size.append(np.log2(max(2, len(s))))
-        self.table = np.concatenate(tables) if tables else np.zeros(1, np.int32)
-        self.roots = np.array(roots, np.int32)
+            key, to = _automaton(text)
+            keys.append(key + (np.uint64(base) << _POINT_BITS))
+            values.append(to + base)
+            self.roots.append(base)
+            base += int(to.max(initial=0)) + 1
+        self.roots = np.array(self.roots, np.int64)
+        self.held, self.value = _table(np.concatenate(keys), np.concatenate(values))
+
+    def _move(self, state: np.ndarray, point: np.ndarray) -> np.ndarray:
+        """The states after one more symbol, -1 where the sample does not go on like this."""
+        key = state.astype(np.uint64) << _POINT_BITS | point
+        at = _slot(key, len(self.held))
+        held = self.held[at]
+        out = np.where(held == key, self.value[at], -1)
+        open_ = np.flatnonzero((held != key) & (held != ~np.uint64(0)))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & (len(self.held) - 1)
+            held = self.held[at[open_]]
+            hit = held == key[open_]
+            out[open_[hit]] = self.value[at[open_[hit]]]
+            open_ = open_[~hit & (held != ~np.uint64(0))]
+        return out
 
     @staticmethod
     def _folded(text: str) -> np.ndarray:
@@ -97,29 +118,37 @@ class CrossParser:
         """Phrases of each text (rows) against each language (columns)."""
         points = [self._folded(t) for t in texts]
         blocks = np.array([-(-len(p) // self.block) for p in points], np.int64)
-        flat = np.zeros((int(blocks.sum()), self.block), np.uint8)
+        flat = np.zeros((int(blocks.sum()), self.block), np.uint32)
         at = 0
         for p, b in zip(points, blocks, strict=True):
-            flat[at : at + b].reshape(-1)[: len(p)] = self.symbol[p]
+            flat[at : at + b].reshape(-1)[: len(p)] = p
             at += b
         size = np.repeat([len(p) for p in points], blocks) - self.block * (np.arange(at) - np.repeat(np.cumsum(blocks) - blocks, blocks))
         order = np.argsort(-size, kind="stable")  # blocks that have ended fall off the end
-        columns = np.ascontiguousarray(flat[order].T)
+        columns = np.ascontiguousarray(flat[order].T).astype(np.uint64)
         alive = np.searchsorted(-size[order], -np.arange(self.block), "left")
-        state = np.repeat(self.roots[:, None], at, 1)
-        count = np.zeros((len(self.roots), at), np.int32)
+        langs = len(self.roots)
+        state = np.tile(self.roots, at)  # block by block, all languages of each
+        count = np.zeros(at * langs, np.int32)
+        root = state.copy()
         for i in range(self.block):
-            k = int(alive[i])
+            k = int(alive[i]) * langs
             if not k:
                 break
-            move = np.take(self.table, state[:, :k] + columns[i, :k])
-            dead = move >> 31
-            count[:, :k] -= dead
-            state[:, :k] = move ^ dead
-        out = np.zeros((len(texts), len(self.roots)))
+            point = np.repeat(columns[i, : k // langs], langs)
+            move = self._move(state[:k], point)
+            ended = np.flatnonzero(move < 0)
+            # a phrase that cannot go on is counted; this symbol begins the next one, or is a phrase of its own if the sample lacks it
+            count[ended] += state[ended] != root[ended]
+            again = self._move(root[ended], point[ended])
+            count[ended] += again < 0
+            move[ended] = np.where(again < 0, root[ended], again)
+            state[:k] = move
+        count += state != root
         owner = np.repeat(np.arange(len(texts)), blocks)[order]
-        for j in range(len(self.roots)):
-            out[:, j] = np.bincount(owner, count[j] + 1, len(texts))
+        out = np.zeros((len(texts), langs))
+        for j in range(langs):
+            out[:, j] = np.bincount(owner, count[j::langs], len(texts))
         return out
 
     def predict(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -143,10 +172,11 @@ def _parser(samples: tuple[tuple[str, str], ...], block: int) -> CrossParser:
     return CrossParser(list(samples), block)
 
 
-def sample_languages(labelled: DataFrame, rows: int = 64, chars: int = 384) -> list[tuple[str, str]]:
-    """Per language, up to `rows` texts by a hash of doc_id and of each up to `chars` code points from a hashed place.
+def sample_languages(labelled: DataFrame, rows: int = 24) -> list[tuple[str, str]]:
+    """Per language, `rows` whole texts by a hash of doc_id (all, if fewer).
 
-    Rows with null lang or without a letter are left out. This bounded sample is all that is learned.
+    Rows with null lang or without a letter are left out; a repeated row counts each time. This sample, bounded by its
+    rows alone, is all that is learned.
     """
     h = F.xxhash64(F.col("doc_id").cast("string"), "lang")
     ranked = (
@@ -155,18 +185,18 @@ def sample_languages(labelled: DataFrame, rows: int = 64, chars: int = 384) -> l
         .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text")))
         .where(F.col("rank") <= rows)
     )
-    begin = F.lit(1) + F.pmod(F.col("h"), F.greatest(F.lit(1), F.length("text") - chars))
-    taken = ranked.select("lang", "rank", F.substring(F.col("text"), begin.cast("int"), F.lit(chars)).alias("part")).collect()
+    taken = ranked.select("lang", "rank", "text").collect()
     found: dict[str, list[str]] = {}
     for row in sorted(taken, key=lambda r: (r["lang"], r["rank"])):
-        found.setdefault(row["lang"], []).append(row["part"])
+        found.setdefault(row["lang"], []).append(row["text"])
     return [(lang, "\n".join(parts)) for lang, parts in sorted(found.items())]
 
 
 def identify(docs: DataFrame, samples: list[tuple[str, str]], block: int = 512) -> DataFrame:
     """docs with `lang_pred` and `score`; columns of those names are replaced.
 
-    Null texts and texts without a letter, or all texts if nothing was learned, get `und` and score 0.
+    Null texts and texts without a letter, or all texts if nothing was learned, get `und` and score 0. Ties go to the
+    language that is first by name; repeated rows get the same result each; long texts are parsed whole, block by block.
     """
     docs = docs.drop("lang_pred", "score")
     known = tuple(samples)

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from callbook.llm import langid
 
 
@@ -46,3 +48,29 @@ def test_edge_cases(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert langid.sample_languages(empty) == [] and langid.identify(empty, [("en", "the")]).count() == 0
     assert langid.sample_languages(spark.createDataFrame([(1, "abc", None), (2, "12", "en"), (3, "abc", "fr")], "doc_id long, text string, lang string")) == [("fr", "abc")]
+
+
+def test_many_languages_and_large_alphabets_are_learned_whole():
+    rng = random.Random(8)
+    # 60 languages over one alphabet with habits of their own, and two whose evidence is in rare letters of a large one
+    pairs = [[rng.choice("abcdefghijklmnopqrst") + rng.choice("aeiou") for _ in range(14)] for _ in range(60)]
+    write = lambda k, n: " ".join("".join(rng.choice(pairs[k]) for _ in range(3)) for _ in range(n))
+    samples = [(f"l{k:02}", write(k, 3000)) for k in range(60)]
+    letters = [chr(0x4E00 + k) for k in range(3000)]
+    rng.shuffle(letters)
+    lexicon = [["".join(rng.choices(letters[h * 1500 : h * 1500 + 1500], k=3)) for _ in range(400)] for h in (0, 1)]
+    word = lambda half: "".join(rng.choices(lexicon[half], k=40))
+    samples += [("za", "".join(word(0) for _ in range(60))), ("zb", "".join(word(1) for _ in range(60)))]
+    parser = langid.CrossParser(samples)
+    assert np.allclose(parser.log_size, [np.log2(len(text)) for _, text in samples])
+    texts = [write(k, 60) for k in range(60)] + [word(0), word(1)]
+    best, _ = parser.predict(texts)
+    assert [parser.langs[b] for b in best] == [lang for lang, _ in samples]
+    for text, row in zip(texts[-2:], parser.phrases(texts[-2:]), strict=True):
+        assert row[-2:].tolist() == [plain_phrases(samples[j][1], text, 512) for j in (-2, -1)]
+
+
+def test_whole_texts_are_learned(spark):
+    long_ = "a" * 5000 + "qzx"
+    got = langid.sample_languages(spark.createDataFrame([(1, long_, "en"), (2, "b", "en"), (2, "b", "en")], "doc_id long, text string, lang string"))
+    assert sorted(got[0][1].split("\n")) == [long_, "b", "b"]
