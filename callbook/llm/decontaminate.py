@@ -6,6 +6,10 @@
    item's words: Smith-Waterman over word hashes, all pairs of a batch in lockstep. The score is divided by that of the
    item with itself, so edited, reordered or lengthened copies score between 0 and 1.
 
+Short items say little by themselves, so chance similarity does not count for them: an item of fewer than `min_words`
+words is held only by documents with all its words in a row, and one too short for an n-gram only by documents that
+consist of it.
+
 Documents are read once and never shuffled. The items go to tasks by broadcast in slices of at most `slice_words`
 words, whatever their number; each slice is one pass. Alignments number the (document, item) pairs with an n-gram in common.
 """
@@ -46,8 +50,13 @@ class Items:
     ids: list[int]
     words: list[np.ndarray]
     width: int
+    min_words: int = 0
 
     def __post_init__(self):
+        self.tiny: dict[bytes, list[int]] = {}  # items without an n-gram, by their words
+        for k, w in enumerate(self.words):
+            if len(w) < self.width:
+                self.tiny.setdefault(w.tobytes(), []).append(k)
         rows = [(g, k, p) for k, w in enumerate(self.words) for p, g in enumerate(grams_of(w, self.width).tolist())]
         rows.sort()
         self.gram = np.array([r[0] for r in rows], np.uint64)
@@ -58,6 +67,10 @@ class Items:
         self.bloom = np.zeros(1 << 22, bool)
         self.bloom[self.known >> np.uint64(42)] = True
 
+    def threshold(self, usual: float) -> np.ndarray:
+        """The least score of each item."""
+        return np.where(self.size < self.min_words, 1.0, usual)
+
     def found(self, grams: np.ndarray) -> np.ndarray:
         """Places of grams that some item has."""
         maybe = np.flatnonzero(self.bloom[grams >> np.uint64(42)])
@@ -99,7 +112,7 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def _slices(benchmark: DataFrame, width: int, min_words: int, slice_words: int):
-    """Items in slices of at most slice_words words (or one item); null texts and those of fewer words are left out."""
+    """Items in slices of at most slice_words words (or one item); those without words are left out."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         words, begins = word_hashes(batch.column("text"))
@@ -108,16 +121,16 @@ def _slices(benchmark: DataFrame, width: int, min_words: int, slice_words: int):
 
     known = map_arrow(benchmark.where("item_id is not null").select("item_id", "text"), run, "item_id long, words array<long>")
     ids, words, size = [], [], 0
-    for row in known.where(F.size("words") >= max(width, min_words)).toLocalIterator():
+    for row in known.where(F.size("words") > 0).toLocalIterator():
         w = np.array(row["words"], np.int64).view(np.uint64)
         if ids and size + len(w) > slice_words:
-            yield Items(ids, words, width)
+            yield Items(ids, words, width, min_words)
             ids, words, size = [], [], 0
         ids.append(row["item_id"])
         words.append(w)
         size += len(w)
     if ids:
-        yield Items(ids, words, width)
+        yield Items(ids, words, width, min_words)
 
 
 def _windows(words: np.ndarray, begins: np.ndarray, it: Items) -> Iterator[tuple[np.ndarray, ...]]:
@@ -148,16 +161,25 @@ def _windows(words: np.ndarray, begins: np.ndarray, it: Items) -> Iterator[tuple
         i = j
 
 
+def _whole(words: np.ndarray, begins: np.ndarray, it: Items) -> tuple[np.ndarray, ...]:
+    """(documents, items, scores, ends) of documents that consist of an item too short for an n-gram."""
+    size = np.diff(begins)
+    short = np.flatnonzero((size > 0) & (size < it.width)).tolist() if it.tiny else []
+    pairs = np.array([(d, k) for d in short for k in it.tiny.get(words[begins[d] : begins[d + 1]].tobytes(), ())], np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1], np.ones(len(pairs)), size[pairs[:, 0]]
+
+
 def _matches(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         it = shared.value
         words, begins = word_hashes(batch.column("text"))
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]
+        least = it.threshold(threshold)
+        found = [_whole(words, begins, it)]
         for d, item, lo, hi in _windows(words, begins, it):
             score, end = align([it.words[k] for k in item.tolist()], [words[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)])
-            keep = score >= threshold
+            keep = score >= least[item]
             found.append((d[keep], item[keep], score[keep], (lo - begins[d] + end)[keep]))
         d, item, score, end = (np.concatenate(x) for x in zip(*found, strict=True))
         row = pa.array(d, pa.int64())
@@ -172,8 +194,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.3,
     """(doc_id, k1, k2, item_id, score, word_end): each document's best alignment with each item that it holds.
 
     k1, k2 name the row (see row_key), word_end is how many of its words end with the passage. Null and wordless texts
-    match nothing; repeated rows give one result; null doc_ids stay null. Items of fewer than min_words words are left
-    out, as ordinary prose holds them by chance. Both ids are integers.
+    match nothing, and items without words are held by nothing. Repeated rows give one result; null doc_ids stay null,
+    null item_ids are left out; an item_id that names several texts counts for each. Of equal alignments the earlier one
+    is given. Long texts are read whole. Only doc_id and text are read, so other columns may have any names. Items of
+    fewer than min_words words count as a whole only (see above). Both ids are integers.
     """
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     parts = []

@@ -44,7 +44,7 @@ def test_planted_copies(spark):
         rows.append((d, " ".join(text).upper() if d % 7 == 0 else " ".join(text), "x"))
     rows += [(900, None, "x"), (901, "", "x"), (902, " ".join(prose(30_000)), "x"), (None, " ".join(items[3]), "x"), (3, rows[3][1], "y")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
-    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)] + [(50, None), (51, "of the"), (None, "x " * 20)], "item_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)] + [(50, None), (51, "of the"), (52, "!?"), (None, "x " * 20)], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in dc.contaminated(docs, bench).collect()}
     assert got == leaks | {(None, 3)}
     # slices of a few items find the same
@@ -72,3 +72,27 @@ def test_seeds_in_small_parts_give_the_same(monkeypatch):
     monkeypatch.setattr(dc, "_SEEDS", 1)
     parts = list(dc._windows(words, begins, items))
     assert len(parts) == 3 and all(np.array_equal(x, np.concatenate(y)) for x, y in zip(whole, zip(*parts, strict=True), strict=True))
+
+
+def test_short_items_count_as_a_whole(spark):
+    rows = [(1, "so alpha beta gamma ends"), (2, "alpha beta delta gamma"), (3, "Yes!"), (4, "yes it is"), (5, "alpha beta"), (6, "one two three four five six seven and more"), (7, "one two three four five six eight")]
+    bench = [(1, "alpha, beta; gamma"), (2, "yes"), (3, "alpha beta"), (4, "one two three four five six seven"), (5, "!!"), (2, "no")]
+    got = dc.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["score"], r["word_end"]) for r in got) == [(1, 1, 1.0, 4), (3, 2, 1.0, 1), (5, 3, 1.0, 2), (6, 4, 1.0, 7)]
+
+
+def test_against_alignment_of_all_pairs(spark):
+    """Every pair that shares a run of three words, aligned over the whole text, is found; no other is."""
+    rng = random.Random(15)
+    vocabulary = [f"w{k}" for k in range(40)]
+    items = [[rng.choice(vocabulary) for _ in range(rng.randrange(9, 30))] for _ in range(12)]
+    texts = [[rng.choice(vocabulary) for _ in range(rng.randrange(0, 60))] for _ in range(60)]
+    for t in texts[::3]:
+        item = rng.choice(items)
+        t[5:5] = [w if rng.random() > 0.2 else rng.choice(vocabulary) for w in item]
+    grams = lambda w: {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+    want = {(d, k) for d, t in enumerate(texts) for k, i in enumerate(items) if grams(t) & grams(i) and plain(i, t) >= 0.45}
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in dc.contaminated(docs, bench, threshold=0.45).collect()}
+    assert got <= want and len(got) >= 0.95 * len(want) and len(want) >= 20
