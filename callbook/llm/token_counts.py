@@ -1,8 +1,7 @@
 """Token counts per section by offset-mapped attribution.
 
 Each whole text is encoded once with a byte-level BPE vocabulary; as that encoding loses nothing, the running sum of
-the tokens' byte lengths gives every token's byte span. Sections are half-open code point spans of the text, ascending
-and disjoint. An interval join of token spans and section spans (both sorted: binary search) finds the sections that
+the tokens' byte lengths gives every token's byte span. Sections are half-open code point spans of the text. An interval join of token spans and section spans (both sorted: binary search) finds the sections that
 each token touches. A token that touches one section counts there; one that crosses a boundary is allocated by `rule`:
 
   first  to the section that holds the token's first byte
@@ -75,13 +74,24 @@ def allocate(ends: np.ndarray, lo: np.ndarray, hi: np.ndarray, rule: str) -> tup
     return counts, len(crossing), float((touched == 0).sum())
 
 
+def disjoint(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which sections hold text, by start, and their starts and ends without what an earlier one holds."""
+    order = np.argsort(start, kind="stable")
+    lo, hi = start[order], end[order]
+    lo = np.maximum(lo, np.append(0, np.maximum.accumulate(hi)[:-1])) if len(hi) else lo
+    keep = lo < hi
+    return order[keep], lo[keep], hi[keep]
+
+
 def count_tokens(docs: DataFrame, rule: str = "first", vocabulary: str = VOCABULARY, sections: str | None = None) -> DataFrame:
     """docs with n_tokens, n_crossing, n_outside and section_tokens (array<double>, one entry per section).
 
-    sections names a column array<struct<start:int,end:int>> of ascending, disjoint code point spans (null: none; ends
-    beyond the text are cut). Without it the sections are the text's lines, each with its newline. Null and empty
-    texts have no tokens; without a column of sections they have no section either. Columns named like the results
-    are replaced.
+    sections names a column array<struct<start:int,end:int>> of code point spans in any order (null: none; what lies
+    beyond the text is cut). A section that is null, lacks its start or end, or does not end after its start holds no
+    token; where sections overlap, the text belongs to the one that starts earlier (or stands earlier, on a tie).
+    Without the column the sections are the text's lines, each with its newline. Null and empty texts have no tokens;
+    without a column of sections they have no section either. Repeated rows are counted each; long texts are encoded
+    whole. Columns named like the results are replaced. The vocabulary file must be on every executor.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
@@ -100,11 +110,15 @@ def count_tokens(docs: DataFrame, rule: str = "first", vocabulary: str = VOCABUL
                 hi = hi if len(raw) else hi[:0]
                 lo = np.append(0, hi[:-1]) if len(hi) else hi
             else:
-                spans = [s for s in given[k] or [] if s is not None]
+                spans = [(0, 0) if s is None or s["start"] is None or s["end"] is None else (s["start"], s["end"]) for s in given[k] or []]
                 place = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
-                at = lambda name: place[np.clip(np.array([s[name] for s in spans], np.int64), 0, len(place) - 1)]
-                lo, hi = at("start"), at("end")
+                at = place[np.clip(np.array(spans, np.int64).reshape(-1, 2), 0, len(place) - 1)]
+                held, lo, hi = disjoint(at[:, 0], at[:, 1])
             counts, crossing, outside = allocate(ends, lo, hi, rule)
+            if given is not None:
+                every = np.zeros(len(spans))
+                every[held] = counts
+                counts = every
             for column, value in zip(found, (len(ends), crossing, outside, counts), strict=True):
                 column.append(value)
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()))

@@ -58,6 +58,28 @@ def test_given_sections(spark):
     assert r["n_tokens"] == sum(r["section_tokens"]) + r["n_outside"] and r["section_tokens"] == [2, 1] and r["n_outside"] == 1
 
 
+def test_sections_in_any_order_overlapping_or_null(spark):
+    spans = [(4, 8), (0, 3), None, (None, 5), (2, None), (5, 5), (9, 6), (1, 6), (-3, 0), (8, 99)]
+    text = "abcd" * 3
+    rows = [(1, text, spans, 0), (2, text, [], 0), (3, text, None, 0), (4, None, spans, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, s array<struct<start:int,end:int>>, n_tokens int")
+    got = {r["doc_id"]: r for r in tc.count_tokens(df, rule="split", sections="s").collect()}
+    owner = {}
+    for i in sorted((i for i, s in enumerate(spans) if s and None not in s), key=lambda i: (max(0, spans[i][0]), i)):
+        for c in range(max(0, spans[i][0]), min(len(text), spans[i][1])):
+            owner.setdefault(c, i)
+    encoding, size = tc._encoder(tc.VOCABULARY)
+    want, begin = [0.0] * len(spans), 0
+    for token in encoding.encode_ordinary(text):
+        hit = [owner[c] for c in range(begin, begin + size[token]) if c in owner]
+        for i in hit:
+            want[i] += 1 / len(hit)
+        begin += size[token]
+    assert np.allclose(got[1]["section_tokens"], want) and got[1]["section_tokens"][0] > 0
+    assert got[2]["section_tokens"] == got[3]["section_tokens"] == [] and got[3]["n_outside"] == got[3]["n_tokens"]
+    assert got[4]["section_tokens"] == [0.0] * len(spans)
+
+
 def test_every_document(spark, sf_dir):
     out = tc.query(spark, sf_dir).collect()
     assert len(out) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
