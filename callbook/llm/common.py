@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import functools
 import shutil
 import tempfile
@@ -36,15 +37,55 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_scratch()
 
 
-def saved(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
+_scratch: list[list[str]] = []
+
+
+def _new_path(spark: SparkSession, label: str, keep: bool = False) -> str:
+    path = f"{shared_dir(spark)}/callbook-{label}-{uuid.uuid4().hex}"
+    if _scratch and not keep:
+        _scratch[-1].append(path)
+    return path
+
+
+def saved(df: DataFrame, label: str, partition_by: str | None = None, keep: bool = False) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there and any executor may be lost."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/callbook-{label}-{uuid.uuid4().hex}"
+    path = _new_path(spark, label, keep)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables saved inside are removed at the end, but for those saved with `keep`: only these may be used after it."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        for path in _scratch.pop():
+            folder = hadoop(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def bucketed(df: DataFrame, label: str, buckets: int, keys: list[str]) -> str:
+    """Write df as a table of one sorted file per bucket of its keys in the shared folder; returns the table's name.
+
+    Joins on the keys read it without a shuffle. The name is the session's and ends with `unnamed`.
+    """
+    name = f"callbook_{label}_{uuid.uuid4().hex}"
+    rows = df.repartition(buckets, *keys)
+    rows.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", _new_path(df.sparkSession, label)).saveAsTable(name, format="parquet")
+    return name
+
+
+def unnamed(spark: SparkSession, tables: list[str]) -> None:
+    """Take the names of bucketed tables from the session; their files stay."""
+    for name in tables:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def row_key(*cols: str) -> list:
     """Two 64-bit hashes that name a row by its values (null-safe): repeated rows share them."""
     texts = [F.coalesce(F.col(c).cast("string"), F.lit("\x00null")) for c in cols]

@@ -1,23 +1,27 @@
 """Line dedup: levelled sorted runs of line hashes, merged batch by batch.
 
 Documents come in batches of ascending doc_id. A run is a table of line hashes, each with the smallest doc_id that
-holds the line, dealt and sorted by hash. Each batch groups its own lines, merge-anti-joins the runs, and adds what
-is left as a new run of level 0. When a level has `fanout` runs they are merged into one run of the next level, so a
-hash is rewritten once per level and a batch meets about fanout * log(batches) runs.
-
-Since batches ascend, the first run that holds a hash holds its smallest doc_id; a line of a document goes when a
-smaller doc_id holds its key. Lines are known by 128 bits of hash. Hot lines: hashes are pre-aggregated before they
-are shuffled, and the join that finds a line's copies is an inner equi-join that Spark splits when a key is skewed.
+holds the line, in buckets of the hash that are each one sorted file. Each batch groups its own lines, merge-anti-joins
+the runs (which are read bucket by bucket in order: only the batch itself is shuffled and sorted), and adds what is left
+as a new run of level 0. When a level has `fanout` runs and more batches follow, they are merged into one run of the
+next level, so a hash is rewritten once per level and a batch meets about fanout * log(batches) runs.
+
+Since batches ascend, the first run that holds a hash holds its smallest doc_id. When all batches are in, the lines meet
+the runs once: a line of a document goes when a smaller doc_id holds its key. Lines are known by 128 bits of hash. Hot
+lines: hashes are pre-aggregated before they are shuffled, and the join that finds a line's copies is an inner equi-join
+that Spark splits when a key is skewed.
 """
 
 from __future__ import annotations
 
+import contextlib
+import math
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callbook.llm.common import row_key, saved
+from callbook.llm.common import bucketed, row_key, saved, scratch, unnamed
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -34,39 +38,65 @@ def _lines_of(text):
 
 
 class LineRuns:
-    """The levelled runs; `ingest` takes batches whose doc_ids are larger than all before."""
+    """The levelled runs (names of bucketed tables); `ingest` takes batches whose doc_ids are larger than all before."""
 
-    def __init__(self, fanout: int = 3):
-        self.fanout = fanout
-        self.levels: list[list[DataFrame]] = [[]]
+    def __init__(self, spark: SparkSession, fanout: int = 3):
+        self.spark, self.fanout = spark, fanout
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[list[str]] = [[]]
+        self.made: list[str] = []
 
-    def all(self) -> DataFrame | None:
-        runs = [run for level in self.levels for run in level]
-        return reduce(DataFrame.unionByName, runs) if runs else None
+    def read(self, level: int | None = None) -> list[DataFrame]:
+        """The runs of a level, or of all."""
+        return [self.spark.table(name) for k, names in enumerate(self.levels) if level in (None, k) for name in names]
 
     def _write(self, run: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(saved(run.repartition(*KEY).sortWithinPartitions(*KEY), f"run{level}"))
+        with _sorted_buckets(self.spark):
+            name = bucketed(run, f"run{level}", self.buckets, KEY)
+        self.levels[level].append(name)
+        self.made.append(name)
 
     def _compact(self) -> None:
-        for level in range(len(self.levels)):
+        level = 0
+        while level < len(self.levels):
             if len(self.levels[level]) >= self.fanout:
-                runs, self.levels[level] = self.levels[level], []
-                self._write(reduce(DataFrame.unionByName, runs), level + 1)
-
-    def ingest(self, lines: DataFrame) -> DataFrame:
-        """Take a batch (doc_id, k1, k2, pos, h1, h2) and return those of its lines that an earlier document holds."""
-        own = lines.groupBy(*KEY).agg(F.min("doc_id").alias("first"))
-        before = self.all()
-        self._write(own if before is None else own.join(before.hint("merge"), KEY, "left_anti"), 0)
-        held = self.all()
-        self._compact()
-        return lines.join(held.hint("merge"), KEY).where("doc_id > first").select("k1", "k2", "pos")
-
-
-def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 3, fanout: int = 3) -> DataFrame:
-    """docs with `kept_text`, `n_lines` and `n_dropped`; other columns are passed on.
+                runs = reduce(DataFrame.unionByName, self.read(level))
+                self.levels[level] = []
+                self._write(runs, level + 1)
+            level += 1
+
+    def ingest(self, lines: DataFrame, last: bool = False) -> None:
+        """Take a batch of lines (doc_id, h1, h2)."""
+        new = lines.groupBy(*KEY).agg(F.min("doc_id").alias("first"))
+        for run in self.read():
+            # an anti-join that stays above the grouping: Spark would move a left_anti below it, to all lines of a hot key
+            new = new.join(run.select(*KEY, F.lit(True).alias("held")).hint("merge"), KEY, "left").where("held is null").drop("held")
+        self._write(new, 0)
+        if not last:
+            self._compact()
+
+
+@contextlib.contextmanager
+def _sorted_buckets(spark: SparkSession):
+    """Trust the order within buckets of one file each, so that merge joins don't sort runs again."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
+def _batches(docs: int) -> int:
+    """How many batches: both their number and their size grow with the input (4 for up to 64,000 documents, 100 for 10^9)."""
+    return max(4, math.ceil((docs / 1000) ** (1 / 3)))
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int | None = None, fanout: int = 3) -> DataFrame:
+    """docs with `kept_text`, `n_lines` and `n_dropped`; other columns are passed on. batches: see `_batches` if not given.
 
     A line whose key has at least `min_chars` code points stays only in the smallest doc_id that holds it (all its
     lines there stay). Null text counts as one empty line; a text whose lines all go becomes empty. Rows with null
@@ -75,22 +105,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 3, fanout:
     """
     spark = docs.sparkSession
     docs = docs.drop("kept_text", "n_lines", "n_dropped")
-    cut = docs.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)] or [0.5], 1000).alias("cut")).first()["cut"] or []
-    batch = reduce(lambda e, c: e + (F.col("doc_id") > c).cast("int"), sorted(set(cut))[: batches - 1], F.lit(0))
-    lines = (
-        docs.where("doc_id is not null")
-        .select("doc_id", *row_key("doc_id", "text"), F.posexplode(_lines_of(F.col("text"))).alias("pos", "line"))
-        .select("doc_id", "k1", "k2", "pos", line_key(F.col("line")).alias("key"))
-        .where(F.length("key") >= min_chars)
-        .select("doc_id", "k1", "k2", "pos", F.xxhash64(F.lit(1), "key").alias("h1"), F.xxhash64(F.lit(2), "key").alias("h2"), batch.alias("batch"))
-    )
-    lines = saved(lines, "lines", partition_by="batch")
-    runs, dropped = LineRuns(fanout), []
-    for b in range(len(set(cut)) + 1):
-        dropped.append(runs.ingest(lines.where(F.col("batch") == b)))
-    # a repeated row has each position once more: a set of positions serves all its copies
-    gone = reduce(DataFrame.unionByName, dropped).groupBy("k1", "k2").agg(F.collect_set("pos").alias("_gone"))
-    gone = saved(gone, "gone")
+    with scratch(spark):
+        gone = _repeated_lines(docs, min_chars, batches or _batches(docs.count()), fanout)
     k1, k2 = row_key("doc_id", "text")
     keyed = docs.withColumns({"_k1": k1, "_k2": k2})
     joined = keyed.join(gone, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left")
@@ -109,6 +125,31 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 3, fanout:
     )
 
 
+def _repeated_lines(docs: DataFrame, min_chars: int, batches: int, fanout: int) -> DataFrame:
+    """(k1, k2, _gone): rows of docs and the positions of their lines that an earlier document holds."""
+    spark = docs.sparkSession
+    cut = docs.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)] or [0.5], 1000).alias("cut")).first()["cut"] or []
+    cut = sorted(set(cut))[: batches - 1]
+    batch = reduce(lambda e, c: e + (F.col("doc_id") > c).cast("int"), cut, F.lit(0))
+    lines = (
+        docs.where("doc_id is not null")
+        .select("doc_id", *row_key("doc_id", "text"), F.posexplode(_lines_of(F.col("text"))).alias("pos", "line"))
+        .select("doc_id", "k1", "k2", "pos", line_key(F.col("line")).alias("key"))
+        .where(F.length("key") >= min_chars)
+        .select("doc_id", "k1", "k2", "pos", F.xxhash64(F.lit(1), "key").alias("h1"), F.xxhash64(F.lit(2), "key").alias("h2"), batch.alias("batch"))
+    )
+    lines = saved(lines, "lines", partition_by="batch")
+    runs = LineRuns(spark, fanout)
+    for b in range(len(cut) + 1):
+        runs.ingest(lines.where(F.col("batch") == b).drop("batch"), last=b == len(cut))
+    held = reduce(DataFrame.unionByName, runs.read())
+    dropped = lines.join(held.hint("merge"), KEY).where("doc_id > first")
+    # a repeated row has each position once more: a set of positions serves all its copies
+    gone = saved(dropped.groupBy("k1", "k2").agg(F.collect_set("pos").alias("_gone")), "gone", keep=True)
+    unnamed(spark, runs.made)
+    return gone
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
