@@ -23,10 +23,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from callbook.llm.common import map_arrow, mix, saved, shingles, slices, word_hashes
+from callbook.llm.common import map_arrow, mix, row_key, saved, scratch, shingles, slices, word_hashes
 from callbook.llm.components import components
 
 SPARE = 12  # hash functions for deeper splits, chosen by path
@@ -48,27 +48,27 @@ def _minima(s: np.ndarray, times: np.ndarray, plus: np.ndarray) -> np.ndarray:
     return np.array([((s ^ p) * t).min() for t, p in zip(times, plus, strict=True)], np.uint64)
 
 
-def _named(s: np.ndarray) -> int:
-    """The signed 64-bit hash that names a set."""
-    return int(np.add.reduce(mix(s)).view(np.int64))
+def _named(s: np.ndarray) -> tuple[int, int]:
+    """The two signed 64-bit hashes that name a set."""
+    return int(np.add.reduce(mix(s)).view(np.int64)), int(np.add.reduce(mix(s ^ np.uint64(0xABCDEF))).view(np.int64))
 
 
 def _sets(docs: DataFrame, width: int, runs: int, depth: int) -> DataFrame:
-    """Per document: two hashes that name its set, the set's size and its paths (run-major, one per depth)."""
+    """Per row: its key, two hashes that name its set, the set's size and its paths (run-major, one per depth)."""
     times, plus = _functions(runs + SPARE)
     at = np.arange(runs)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         words, begins = word_hashes(batch.column("text"))
         n = batch.num_rows
-        h1, h2, size = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.int64)
+        h1, h2, size = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
         paths = np.zeros((n, runs, depth), np.uint64)
         for k in range(n):
             s = shingles(words[begins[k] : begins[k + 1]], width)
             size[k] = len(s)
             if not len(s):
                 continue
-            h1[k], h2[k] = np.uint64(_named(s) & 0xFFFFFFFFFFFFFFFF), np.add.reduce(mix(s ^ np.uint64(0xABCDEF)))
+            h1[k], h2[k] = _named(s)
             low = _minima(s, times, plus)
             path = mix(low[:runs] + at.astype(np.uint64))
             for level in range(depth):
@@ -77,9 +77,9 @@ def _sets(docs: DataFrame, width: int, runs: int, depth: int) -> DataFrame:
                 paths[k, :, level] = path
         flat = paths.reshape(n, runs * depth).view(np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (runs * depth)), pa.array(flat.ravel()))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(size), lists], ["doc_id", "h1", "h2", "size", "paths"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "k1", "k2")), pa.array(h1), pa.array(h2), pa.array(size), lists], ["doc_id", "k1", "k2", "h1", "h2", "size", "paths"])
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, h1 long, h2 long, size long, paths array<long>")
+    return map_arrow(docs.select("doc_id", *row_key("doc_id", "text"), "text"), run, "doc_id long, k1 long, k2 long, h1 long, h2 long, size long, paths array<long>")
 
 
 def _leaves(reps: DataFrame, runs: int, depth: int, limit: int) -> DataFrame:
@@ -263,17 +263,17 @@ def _verify(placed: DataFrame, similarity: float) -> DataFrame:
 
 
 def _spread(texts: DataFrame, width: int, runs: int) -> DataFrame:
-    """One row per set and task, with the set's tokens, from rows (id, text, copies, leaves, tasks)."""
+    """One row per set and task, with the set's tokens, from rows (id, h1, h2, text, copies, leaves, tasks)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
             words, begins = word_hashes(batch.column("text"))
             tasks, leaves = batch.column("tasks").to_pylist(), batch.column("leaves").to_pylist()
-            ids, copies = batch.column("id").to_pylist(), batch.column("copies").to_pylist()
+            ids, copies, h1, h2 = (batch.column(c).to_pylist() for c in ("id", "copies", "h1", "h2"))
             out, held = {k: [] for k in ("task", "run", "a", "b", "mine", "id", "copies", "leaves", "tokens")}, 0
             for k in range(batch.num_rows):
                 tokens = shingles(words[begins[k] : begins[k + 1]], width)
-                if _named(tokens) != ids[k]:
+                if _named(tokens) != (h1[k], h2[k]):
                     continue  # another text of the same doc_id
                 tokens = tokens.tobytes()
                 own = np.array([x or 0 for x in leaves[k]], np.int64).tobytes()
@@ -293,43 +293,56 @@ def _spread(texts: DataFrame, width: int, runs: int) -> DataFrame:
 
 
 def link_classes(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float = 0.999, depth: int = 3, limit: int = 64, tile: int = 2048, tile_tokens: int = 3_000_000) -> DataFrame:
-    """(doc_id, class_id, n_links): one row per row of docs.
+    """(doc_id, class_id, n_links): one row per row of docs; only its doc_id and text are read, so other columns may have any names.
 
     class_id is the smallest doc_id that chains of links reach, n_links the number of other rows whose set is at least
-    `similarity` alike (Jaccard). Texts shorter than `width` words are one run of all their words. Null texts and
-    texts without words link with nothing and are their own class. Rows without doc_id take no part: their class is null.
-    Repeated rows are copies of each other.
+    `similarity` alike (Jaccard). Texts shorter than `width` words are one run of all their words; long texts are compared
+    whole. Null texts and texts without words link with nothing and are their own class. Rows without doc_id take no part:
+    their class is null. Repeated rows are copies of each other, and different texts under one doc_id are different rows.
     """
+    return _classes(docs, similarity, width, recall, depth, limit, tile, tile_tokens).select("doc_id", "class_id", "n_links")
+
+
+def _classes(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float = 0.999, depth: int = 3, limit: int = 64, tile: int = 2048, tile_tokens: int = 3_000_000) -> DataFrame:
+    """link_classes with the rows' keys k1, k2 and `class`, which tells classes with one class_id apart (null: a row by itself)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     runs = runs_needed(similarity, depth, recall)
-    sets = saved(_sets(docs, width, runs, depth), "sets")
-    known = sets.where("doc_id is not null and size > 0")
-    reps = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("paths").alias("paths"))
-    reps = saved(reps.withColumn("id", F.col("h1")), "reps")
-    work = saved(_work(_leaves(reps, runs, depth, limit), runs, tile, tile_tokens), "work")
-    texts = docs.join(work.join(reps.select("id", "doc_id", "copies"), "id"), "doc_id")
-    placed = _spread(texts, width, runs).repartition("task").sortWithinPartitions("task")
-    found = saved(_verify(placed, similarity), "links")
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    labels = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    linked = saved(reps.join(labels, "id").select("id", "label", "doc_id"), "linked")
-    classes = linked.join(linked.groupBy("label").agg(F.min("doc_id").alias("class_id")), "label").select("id", "class_id")
-    result = reps.join(links, "id", "left").join(classes, "id", "left")
-    result = result.select("h1", "h2", F.coalesce("class_id", "doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    rest = sets.where("doc_id is null or size = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return known.select("doc_id", "h1", "h2").join(result, ["h1", "h2"]).select("doc_id", "class_id", "n_links").unionByName(rest)
+    with scratch(docs.sparkSession):
+        sets = saved(_sets(docs, width, runs, depth), "sets")
+        known = sets.where("doc_id is not null and size > 0")
+        reps = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("paths").alias("paths"))
+        # a set is known by h1, and where two sets have one h1, all but the first by another hash
+        rank = F.row_number().over(Window.partitionBy("h1").orderBy("h2"))
+        reps = saved(reps.withColumn("rank", rank).withColumn("id", F.when(F.col("rank") == 1, F.col("h1")).otherwise(F.xxhash64("h1", "h2"))).drop("rank"), "reps")
+        work = saved(_work(_leaves(reps, runs, depth, limit), runs, tile, tile_tokens), "work")
+        texts = docs.join(work.join(reps.select("id", "h1", "h2", "doc_id", "copies"), "id"), "doc_id")
+        placed = _spread(texts, width, runs).repartition("task").sortWithinPartitions("task")
+        found = saved(_verify(placed, similarity), "links")
+        links = found.groupBy("id").agg(F.sum("links").alias("links"))
+        labels = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+        linked = saved(reps.join(labels, "id").select("id", "label", "doc_id"), "linked")
+        classes = linked.join(linked.groupBy("label").agg(F.min("doc_id").alias("class_id")), "label").select("id", "class_id", "label")
+        result = reps.join(links, "id", "left").join(classes, "id", "left")
+        result = result.select("h1", "h2", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("label", "id").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        rest = sets.where("doc_id is null or size = 0").select("doc_id", "k1", "k2", F.col("doc_id").alias("class_id"), F.lit(None).cast("long").alias("class"), F.lit(0).cast("long").alias("n_links"))
+        every = known.select("doc_id", "k1", "k2", "h1", "h2").join(result, ["h1", "h2"]).drop("h1", "h2").unionByName(rest)
+        return saved(every, "classes", keep=True)
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document per class: the smallest doc_id's row (of rows that repeat it, one).
+    """docs with one row per class: that of the smallest doc_id (of different texts under it, the one with the smaller hash).
 
-    Rows without doc_id stay, and so do rows without words.
+    Rows without doc_id stay, and so do rows without words; of a class's row that docs repeats, one stays. Different
+    texts under one doc_id are different rows: each stays unless another row of its own class does.
     """
-    classes = link_classes(docs, **options).where("doc_id is not null")
-    first = saved(classes.where("doc_id = class_id").select("doc_id").distinct(), "first")
-    kept = docs.join(first, "doc_id", "left_semi").select(docs.columns)
-    one = kept.groupBy("doc_id").agg(*[F.first(c).alias(c) for c in docs.columns if c != "doc_id"]).select(docs.columns)
-    return one.unionByName(docs.where("doc_id is null"))
+    classes = _classes(docs, **options).where("class is not null")
+    first = saved(classes.groupBy("class").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("f")).select(F.col("f.k1").alias("_k1"), F.col("f.k2").alias("_k2"), F.lit(True).alias("_first")), "first")
+    gone = saved(classes.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct(), "classed").join(first, ["_k1", "_k2"], "left")
+    k1, k2 = row_key("doc_id", "text")
+    marked = docs.withColumns({"_k1": k1, "_k2": k2}).join(gone.withColumn("_classed", F.lit(True)), ["_k1", "_k2"], "left")
+    alone = marked.where("_classed is null").select(docs.columns)
+    one = marked.where("_first").groupBy("_k1", "_k2").agg(*[F.first(c).alias(c) for c in docs.columns]).select(docs.columns)
+    return one.unionByName(alone)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

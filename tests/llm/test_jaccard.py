@@ -85,5 +85,26 @@ def test_long_text(spark):
 
 def test_keep_one(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = sorted((r["doc_id"] for r in jaccard.keep_one(df).collect() if r["doc_id"] is not None))
-    assert kept == sorted({c for _, c, _ in brute(rows) if c is not None})
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.keep_one(df).collect()]
+    classes = [c for _, c, _ in brute(rows)]
+    texts = {d: t for d, t in rows if d != 12}
+    alone = [(d, t) for d, t in rows if d is None or not re.search(r"[A-Za-z0-9\u0080-\U0010ffff]", t or "")]
+    # document 12 has two texts: the one without a like stays besides what its classes keep
+    wanted = [(c, texts[c]) for c in set(classes) - {None, 12}] + [x for x in rows if x[0] == 12 and (x[1] == "other text of a known id" or 12 in classes)]
+    assert sorted(map(repr, kept)) == sorted(map(repr, set(wanted) | set(alone)))
+
+
+def test_different_texts_of_one_id_stay(spark):
+    prose = [" ".join(f"{c}{k}" for k in range(30)) for c in "abc"]
+    rows = [(5, prose[0], 1), (5, prose[1], 2), (5, prose[0], 3), (6, prose[1] + " z", 4), (4, prose[2], 5), (5, prose[2], 6), (7, None, 7), (7, None, 8), (None, prose[0], 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, class long")
+    got = sorted(((r["doc_id"], r["text"]) for r in jaccard.keep_one(df).collect()), key=repr)
+    assert got == sorted([(5, prose[0]), (5, prose[1]), (4, prose[2]), (7, None), (7, None), (None, prose[0])], key=repr)
+
+
+def test_sets_with_one_hash_stay_apart(spark, monkeypatch, rows):
+    """Half of the sets get the first hash of another one; the second hash tells them apart."""
+    named = jaccard._named
+    monkeypatch.setattr(jaccard, "_named", lambda s: (named(s)[0] % 40, named(s)[1]))
+    some = rows[:150]
+    assert run(spark, some) == brute(some)
