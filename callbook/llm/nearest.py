@@ -30,17 +30,21 @@ from callbook.llm.common import saved
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, vector) of the rows that take part: an id, and a vector of finite components that are not all zero."""
+    """(vec_id, vector) of the rows that take part: an id, and a vector of finite components that are not all zero.
+
+    Of different vectors under one vec_id the first in order counts.
+    """
     v = F.col("embedding").cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("vector"))
     fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("vector", lambda x: x != 0)
-    return rows.where("vec_id is not null and vector is not null").where(fine)
+    rows = rows.where("vec_id is not null and vector is not null").where(fine)
+    return rows.groupBy("vec_id").agg(F.min("vector").alias("vector"))
 
 
 def _nodes(rows: DataFrame, ids_kept: int, shards: int) -> DataFrame:
     """One node per distinct vector: (shard, node, vector, ids), node being its smallest vec_id."""
     rank = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
-    kept = rows.dropDuplicates(["vec_id"]).withColumn("rank", rank).where(F.col("rank") <= ids_kept)
+    kept = rows.withColumn("rank", rank).where(F.col("rank") <= ids_kept)
     nodes = kept.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     # vectors of another dimension are compared among themselves only
     return nodes.select((F.size("vector") * F.lit(1 << 32) + F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.lit(shards))).alias("shard"), F.get("ids", F.lit(0)).alias("node"), "vector", "ids")
@@ -203,14 +207,14 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, degree: int = 24,
     """The k nearest found of each row whose vec_id is divisible by `every`, among all other rows.
 
     Rows without an id, and vectors that are null, zero or hold null or non-finite components, take no part; of rows
-    that repeat a vec_id one counts. Fewer than k other rows give as many results. Vectors of different dimensions do
+    that repeat a vec_id the one with the least vector counts (compared component by component). Fewer than k other rows give as many results. Vectors of different dimensions do
     not compare. Ties go to the smaller vec_id.
     """
-    rows = usable(vectors)
+    rows = saved(usable(vectors), "vectors")
     n = rows.count()
     nodes = saved(_nodes(rows, k + 1, max(1, math.ceil(n / shard_rows))), "nodes")
     graph = build_graph(nodes, degree)
-    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id"]).withColumnRenamed("vec_id", "query_id")
+    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).withColumnRenamed("vec_id", "query_id")
     # a query's node is that of its vector; only ids kept by a node tell it, any other entry serves as well
     own = nodes.select(F.explode("ids").alias("query_id"), "node")
     asked = saved(asked.join(own, "query_id", "left").withColumn("node", F.coalesce("node", F.lit(-1))), "queries")
