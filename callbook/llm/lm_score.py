@@ -1,19 +1,27 @@
 """LM scoring by masked pseudo-likelihood.
 
 Each token is predicted from the `WINDOW` tokens on both of its sides, itself masked: one embedding per context word
-and position, summed and passed through tanh, gives a softmax over word classes; a word's probability is its class's
-times its share of the class. A document's score is the sum of these conditional log-probabilities.
-
-What is learned comes from all documents. Spark counts every distinct word; the `vocabulary` most frequent ones have
-ids of their own, the others share hashed buckets as contexts and for their class. Every word's share of its class is
-its own count in the corpus: the counts stay a Spark table that scoring joins to the words without ids, and one more
-per bucket is left for words that the corpus doesn't have. Classes split the ids by frequency into equal masses. The network is trained in numpy by local stochastic gradient descent: every task
-passes over its documents from the same start, and Spark averages the parameters, weighted by tokens, for each of
-`rounds` rounds. Only the network and the frequent words (their size is fixed by the parameters below) meet in the driver.
+and position, summed and passed through tanh, gives a softmax over word classes and, within the token's class, a softmax
+over the class's words; both see both sides. Words without an id of their own share hashed buckets, which are predicted
+like words; such a word's probability is its bucket's times its share of the bucket. A document's score is the sum of
+these conditional log-probabilities.
+
+What is learned comes from all documents and grows with them. Spark counts every distinct word. The vocabulary of words
+with ids grows with the cube root of the number of tokens (12 N^(1/3): 5,200 at 80 million, 300,000 at 10^13), and so do
+the buckets and, as its square root, the classes, which split the ids by frequency into equal masses. Every other word's
+share of its bucket is its own count in the corpus: the most frequent counts (`COUNTED`, which only says where a count is
+looked up) go to the tasks, the others stay a Spark table that scoring joins; one more per bucket is left for words that
+the corpus doesn't have. What stays as it is at every size: `hidden` units, the window and the number of rounds.
+
+The network is trained in numpy by local stochastic gradient descent: every task passes over its documents from the same
+start, and the parameters are averaged, weighted by tokens, for each of `rounds` rounds: by groups of tasks on the
+executors, and group by group in the driver. So the parameters depend a little on how rows are dealt to tasks, as with
+any stochastic training; scores of one model do not.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -22,34 +30,54 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callbook.llm.common import map_arrow, row_key, saved, schema_with, word_hashes
+from callbook.llm.common import map_arrow, row_key, saved, slices, word_hashes
 
 WINDOW = 2
 OFFSETS = [o for o in range(-WINDOW, WINDOW + 1) if o]
+COUNTED = 1 << 18
 _STEP = 8192  # tokens per gradient step
 
 
 @dataclass
 class Words:
-    """Ids of words, their classes, and the log share in its class of a word, or of one occurrence of a bucket's words."""
+    """Ids of words and buckets, most frequent first, so that a class's ids follow each other."""
 
     top: np.ndarray  # sorted hashes of words with ids of their own
     top_ids: np.ndarray
-    buckets: int
-    class_of: np.ndarray
-    log_share: np.ndarray
+    bucket_ids: np.ndarray
+    mass: np.ndarray  # occurrences of each id; a bucket's with one more
+    begins: np.ndarray  # the first id of each class, and the end
+    counted: np.ndarray  # sorted hashes of the most frequent words
+    counted_n: np.ndarray
 
     @property
     def pad(self) -> int:
         """The id that stands beyond the ends of a text."""
-        return len(self.class_of)
+        return len(self.mass)
 
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        out = len(self.top) + (hashes & np.uint64(self.buckets - 1)).astype(np.int64)
-        if len(self.top):
-            at = np.minimum(np.searchsorted(self.top, hashes), len(self.top) - 1)
-            out = np.where(self.top[at] == hashes, self.top_ids[at], out)
-        return out
+    @property
+    def classes(self) -> int:
+        return len(self.begins) - 1
+
+    @property
+    def class_of(self) -> np.ndarray:
+        return np.repeat(np.arange(self.classes), np.diff(self.begins))
+
+    def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's id, and whether it is its own."""
+        out = self.bucket_ids[(hashes & np.uint64(len(self.bucket_ids) - 1)).astype(np.int64)]
+        if not len(self.top):
+            return out, np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.top, hashes), len(self.top) - 1)
+        own = self.top[at] == hashes
+        return np.where(own, self.top_ids[at], out), own
+
+    def counts(self, hashes: np.ndarray) -> np.ndarray:
+        """Occurrences of words in the corpus, 0 where they are not held here."""
+        if not len(self.counted):
+            return np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.counted, hashes), len(self.counted) - 1)
+        return np.where(self.counted[at] == hashes, self.counted_n[at], 0)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -62,24 +90,41 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return saved(map_arrow(docs.select("text"), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
 
 
-def count_words(docs: DataFrame, vocabulary: int, buckets: int, classes: int, counts: DataFrame | None = None) -> Words:
-    """counts: word_counts(docs), if made already."""
+def _frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes and counts of the most frequent words, in order, ties whole (at most `most`, or a single tie of as many), and all tokens."""
+    sizes = counts.groupBy("n").count().toPandas().sort_values("n", ascending=False)  # as many rows as there are different counts
+    tokens = int((sizes["n"] * sizes["count"]).sum()) if len(sizes) else 0
+    total = sizes["count"].cumsum()
+    fits = sizes["n"][total <= most]
+    if not len(fits):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), tokens
+    rows = counts.where(F.col("n") >= int(fits.iloc[-1])).toPandas().sort_values(["n", "word"], ascending=[False, True])
+    return rows["word"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64), tokens
+
+
+def count_words(docs: DataFrame, vocabulary: int | None = None, buckets: int | None = None, classes: int | None = None, counts: DataFrame | None = None) -> Words:
+    """counts: word_counts(docs), if made already. Sizes follow the number of tokens unless given (buckets: a power of two)."""
     counts = word_counts(docs) if counts is None else counts
-    # at most `vocabulary` and `buckets` rows meet here
-    top = counts.orderBy(F.desc("n"), "word").limit(vocabulary).collect()
-    bucket = F.col("word").bitwiseAND(buckets - 1)
-    rest = {r["b"]: r["n"] for r in counts.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n")).collect()}
-    hashes = np.array([r["word"] for r in top], np.int64).view(np.uint64)
-    for h, r in zip(hashes.tolist(), top, strict=True):
-        rest[h & (buckets - 1)] -= r["n"]
-    mass = np.array([r["n"] for r in top] + [rest.get(b, 0) + 1 for b in range(buckets)], float)
-    own = np.append(mass[: len(top)], np.ones(buckets))
+    word, n, tokens = _frequent(counts, COUNTED)
+    vocabulary = max(2000, math.ceil(12 * tokens ** (1 / 3))) if vocabulary is None else vocabulary
+    buckets = 1 << max(6, int(vocabulary / 24).bit_length()) if buckets is None else buckets
+    if vocabulary > COUNTED:
+        word, n, _ = _frequent(counts, vocabulary)
+    hashes, own = word[:vocabulary], n[:vocabulary]
+    rest = np.ones(buckets, np.int64)
+    for r in counts.groupBy(F.col("word").bitwiseAND(buckets - 1).alias("b")).agg(F.sum("n").alias("n")).collect():
+        rest[r["b"]] += r["n"]
+    np.subtract.at(rest, (hashes & np.uint64(buckets - 1)).astype(np.int64), own)
+    mass = np.concatenate([own, rest])
     order = np.argsort(-mass, kind="stable")
-    class_of = np.empty(len(mass), np.int64)
-    class_of[order] = np.minimum((np.cumsum(mass[order]) - mass[order]) * classes / mass.sum(), classes - 1).astype(np.int64)
-    share = np.log(own / np.bincount(class_of, mass, classes)[class_of])
-    by_hash = np.argsort(hashes)
-    return Words(hashes[by_hash], by_hash.astype(np.int64), buckets, class_of, share)
+    place = np.empty(len(mass), np.int64)
+    place[order] = np.arange(len(mass))
+    mass = mass[order].astype(float)
+    classes = math.ceil(math.sqrt(len(mass))) if classes is None else classes
+    class_of = np.minimum((np.cumsum(mass) - mass) * classes / mass.sum(), classes - 1).astype(np.int64)
+    begins = np.searchsorted(class_of, np.unique(class_of))  # classes that a frequent word leaves empty fall away
+    by_hash, by_count = np.argsort(hashes), np.argsort(word)
+    return Words(hashes[by_hash], place[by_hash], place[len(hashes) :], mass, np.append(begins, len(mass)), word[by_count], n[by_count])
 
 
 def _contexts(ids: np.ndarray, begins: np.ndarray, pad: int) -> np.ndarray:
@@ -94,77 +139,133 @@ def _contexts(ids: np.ndarray, begins: np.ndarray, pad: int) -> np.ndarray:
     return out
 
 
+def _log_softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(1, keepdims=True)
+    z -= np.log(np.exp(z).sum(1, keepdims=True))
+    return z
+
+
 class Network:
-    """Context embeddings per offset, tanh, and a softmax over classes."""
+    """Context embeddings per offset, tanh, a softmax over classes and one over each class's words."""
 
-    def __init__(self, words: int, hidden: int, classes: int):
+    def __init__(self, mass: np.ndarray, begins: np.ndarray, hidden: int):
+        """Starts from the shares of classes and of words in them, whatever the context."""
         rng = np.random.default_rng(3)
-        self.shape = (len(OFFSETS), words, hidden)
-        self.embed = (rng.normal(size=self.shape) * 0.1).astype(np.float32)
-        self.out = (rng.normal(size=(hidden, classes)) * 0.1).astype(np.float32)
-        self.bias = np.zeros(classes, np.float32)
+        self.begins, words = begins, len(mass)
+        self.class_of = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+        by_class = np.add.reduceat(mass, begins[:-1])
+        self.embed = (rng.normal(size=(len(OFFSETS), words + 1, hidden)) * 0.1).astype(np.float32)
+        self.out = (rng.normal(size=(hidden, len(by_class))) * 0.1).astype(np.float32)
+        self.bias = np.log(by_class / mass.sum()).astype(np.float32)
+        self.word_out = np.zeros((words, hidden), np.float32)
+        self.word_bias = np.log(mass / by_class[self.class_of]).astype(np.float32)
+
+    def values(self) -> list[np.ndarray]:
+        return [self.embed, self.out, self.bias, self.word_out, self.word_bias]
 
     def parameters(self) -> np.ndarray:
-        return np.concatenate([self.embed.ravel(), self.out.ravel(), self.bias])
+        return np.concatenate([v.ravel() for v in self.values()])
 
     def load(self, flat: np.ndarray) -> None:
-        a, b = self.embed.size, self.embed.size + self.out.size
-        flat = flat.astype(np.float32)
-        self.embed, self.out, self.bias = flat[:a].reshape(self.shape), flat[a:b].reshape(self.out.shape), flat[b:]
+        at = 0
+        for v in self.values():
+            v[...] = flat[at : at + v.size].reshape(v.shape)
+            at += v.size
 
-    def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hidden values and log-probabilities of all classes."""
+    def hidden(self, context: np.ndarray) -> np.ndarray:
         total = self.embed[0][context[0]]
         for k in range(1, len(OFFSETS)):
-            total = total + self.embed[k][context[k]]
-        hidden = np.tanh(total)
-        z = hidden @ self.out + self.bias
-        z -= z.max(1, keepdims=True)
-        return hidden, z - np.log(np.exp(z).sum(1, keepdims=True))
+            total += self.embed[k][context[k]]
+        return np.tanh(total)
+
+    def _by_class(self, target: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """First and last id of each class that occurs, and the tokens of it."""
+        kind = self.class_of[target]
+        order = np.argsort(kind, kind="stable")
+        ends = np.cumsum(np.bincount(kind, minlength=len(self.begins) - 1))
+        for c in np.unique(kind).tolist():
+            yield self.begins[c], self.begins[c + 1], order[ends[c - 1] if c else 0 : ends[c]]
+
+    def log_prob(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Of each target id in its context."""
+        hidden = self.hidden(context)
+        found = _log_softmax(hidden @ self.out + self.bias)[np.arange(len(target)), self.class_of[target]].astype(np.float64)
+        for a, b, rows in self._by_class(target):
+            if b - a > 1:
+                found[rows] += _log_softmax(hidden[rows] @ self.word_out[a:b].T + self.word_bias[a:b])[np.arange(len(rows)), target[rows] - a]
+        return found
 
     def step(self, context: np.ndarray, target: np.ndarray, memory: list[np.ndarray], rate: float) -> None:
         """One AdaGrad step on a slice of tokens."""
-        hidden, logp = self.forward(context)
-        d = np.exp(logp)
-        d[np.arange(len(target)), target] -= 1
-        d /= len(target)
-        back = (d @ self.out.T) * (1 - hidden * hidden)
-        n, h = self.shape[1:]
-        grads = [np.empty(self.shape, np.float32), hidden.T @ d, d.sum(0)]
+        n = len(target)
+        hidden = self.hidden(context)
+        d = np.exp(_log_softmax(hidden @ self.out + self.bias))
+        d[np.arange(n), self.class_of[target]] -= 1
+        d /= n
+        back = d @ self.out.T
+        for a, b, rows in self._by_class(target):
+            if b - a == 1:
+                continue
+            near = hidden[rows]
+            e = np.exp(_log_softmax(near @ self.word_out[a:b].T + self.word_bias[a:b]))
+            e[np.arange(len(rows)), target[rows] - a] -= 1
+            e /= n
+            back[rows] += e @ self.word_out[a:b]
+            self._move(self.word_out[a:b], memory[3][a:b], e.T @ near, rate)
+            self._move(self.word_bias[a:b], memory[4][a:b], e.sum(0), rate)
+        back *= 1 - hidden * hidden
+        words, h = self.embed.shape[1:]
         for k in range(len(OFFSETS)):
             at = (context[k][:, None] * h + np.arange(h)).ravel()
-            grads[0][k] = np.bincount(at, back.ravel(), n * h).reshape(n, h)
-        for value, grad, squares in zip((self.embed, self.out, self.bias), grads, memory, strict=True):
-            squares += grad * grad
-            value -= rate * grad / (np.sqrt(squares) + 1e-6)
+            self._move(self.embed[k], memory[0][k], np.bincount(at, back.ravel(), words * h).reshape(words, h).astype(np.float32), rate)
+        self._move(self.out, memory[1], hidden.T @ d, rate)
+        self._move(self.bias, memory[2], d.sum(0), rate)
 
+    @staticmethod
+    def _move(value: np.ndarray, squares: np.ndarray, grad: np.ndarray, rate: float) -> None:
+        squares += grad * grad
+        value -= rate * grad / (np.sqrt(squares) + np.float32(1e-6))
 
-def train(docs: DataFrame, words: Words, classes: int, hidden: int, rounds: int, rate: float) -> np.ndarray:
-    flat = Network(words.pad + 1, hidden, classes).parameters()
+
+def train(docs: DataFrame, words: Words, hidden: int, rounds: int, rate: float) -> np.ndarray:
+    flat = Network(words.mass, words.begins, hidden).parameters()
     context = docs.sparkSession.sparkContext
+    texts = docs.select("text")
+    groups = math.ceil(math.sqrt(texts.rdd.getNumPartitions())) + 1
+    lean = replace(words, counted=words.counted[:0], counted_n=words.counted_n[:0])
     for _ in range(rounds):
-        start = context.broadcast((words, flat))
+        start = context.broadcast((lean, flat))
 
         def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
             known, begin = start.value
-            net, seen = Network(known.pad + 1, hidden, classes), 0
-            net.load(begin.copy())
-            memory = [np.full_like(v, 1e-4) for v in (net.embed, net.out, net.bias)]
+            net, seen = Network(known.mass, known.begins, hidden), 0
+            net.load(begin)
+            memory = [np.full_like(v, 1e-4) for v in net.values()]
             for batch in batches:
                 hashes, begins = word_hashes(batch.column("text"))
-                ids = known.ids(hashes)
-                around, target = _contexts(ids, begins, known.pad), known.class_of[ids]
+                ids, _ = known.ids(hashes)
+                around = _contexts(ids, begins, known.pad)
                 for i in range(0, len(ids), _STEP):
-                    net.step(around[:, i : i + _STEP], target[i : i + _STEP], memory, rate)
+                    net.step(around[:, i : i + _STEP], ids[i : i + _STEP], memory, rate)
                 seen += len(ids)
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([net.parameters().tolist()], pa.list_(pa.float32())), pa.array([seen])], ["parameters", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array([net.parameters().tobytes()]), pa.array([seen])], ["parameters", "tokens"])
 
-        passed = docs.select("text").mapInArrow(run, "parameters array<float>, tokens long")
-        each = passed.select("tokens", F.posexplode("parameters").alias("at", "value"))
-        mean = each.groupBy("at").agg((F.sum(F.col("value") * F.col("tokens")) / F.sum("tokens")).alias("value")).toPandas()
-        if len(mean):
-            flat = mean.sort_values("at")["value"].to_numpy(np.float32)
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, seen = 0, 0
+            for batch in batches:
+                for flat, n in zip(batch.column("parameters"), batch.column("tokens").to_pylist(), strict=True):
+                    total, seen = total + n * np.frombuffer(flat.as_py(), np.float32).astype(np.float64), seen + n
+            if seen:
+                yield pa.RecordBatch.from_arrays([pa.array([(total / seen).astype(np.float32).tobytes()]), pa.array([seen])], ["parameters", "tokens"])
+
+        schema = "parameters binary, tokens long"
+        passed = texts.mapInArrow(run, schema).repartition(groups).mapInArrow(merge, schema)
+        total, seen = np.zeros(len(flat)), 0
+        for row in passed.toLocalIterator():  # one group's parameters at a time
+            total, seen = total + row["tokens"] * np.frombuffer(row["parameters"], np.float32).astype(np.float64), seen + row["tokens"]
+        if seen:
+            flat = (total / seen).astype(np.float32)
         start.unpersist()
     return flat
 
@@ -173,66 +274,61 @@ def train(docs: DataFrame, words: Words, classes: int, hidden: int, rounds: int,
 class LanguageModel:
     words: Words
     parameters: np.ndarray
-    classes: int
     hidden: int
     counts: DataFrame | None  # of all words
 
+    def network(self) -> Network:
+        net = Network(self.words.mass, self.words.begins, self.hidden)
+        net.load(self.parameters)
+        return net
 
-def learn(docs: DataFrame, vocabulary: int = 3000, buckets: int = 128, classes: int = 64, hidden: int = 16, rounds: int = 1, rate: float = 0.05) -> LanguageModel:
-    """A model of all texts (null texts are empty; buckets is a power of two). A corpus without words gives a model that knows none."""
+
+def learn(docs: DataFrame, vocabulary: int | None = None, buckets: int | None = None, classes: int | None = None, hidden: int = 16, rounds: int = 1, rate: float = 0.05) -> LanguageModel:
+    """A model of all texts (null texts are empty, repeated rows count each). A corpus without words gives a model that knows none."""
     counts = word_counts(docs)
     words = count_words(docs, vocabulary, buckets, classes, counts)
-    return LanguageModel(words, train(docs, words, classes, hidden, rounds, rate), classes, hidden, counts)
+    return LanguageModel(words, train(docs, words, hidden, rounds, rate), hidden, counts)
 
 
 def score(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """docs with n_tokens, log_prob (natural, summed over tokens) and mean_log_prob (null without tokens).
 
-    Null texts and texts without words have no tokens and log_prob 0. Columns named like the results are replaced.
+    Null texts and texts without words have no tokens and log_prob 0; long texts are scored whole; repeated rows get the
+    same result each. Columns named like the results are replaced.
     """
     docs = docs.drop("n_tokens", "log_prob", "mean_log_prob")
     shared = docs.sparkSession.sparkContext.broadcast(replace(model, counts=None))
     k1, k2 = row_key(*[c for c in ("doc_id", "text") if c in docs.columns])
-    keyed = docs.withColumns({"_k1": k1, "_k2": k2})
-
-    def others(batch: pa.RecordBatch) -> pa.RecordBatch:
-        """Words without ids of their own, with their number in each text; one row of each text is its first."""
-        m = shared.value
-        hashes, begins = word_hashes(batch.column("text"))
-        at = np.flatnonzero(m.words.ids(hashes) >= len(m.words.top))
-        doc, word = np.searchsorted(begins, at, "right") - 1, hashes[at]
-        order = np.lexsort((word, doc))
-        doc, word = doc[order], word[order]
-        new = np.ones(len(at), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])
-        where = np.flatnonzero(new)
-        doc, n = doc[where], np.diff(np.append(where, len(at)))
-        row = pa.array(doc, pa.int64())
-        columns = [batch.column("_k1").take(row), batch.column("_k2").take(row), pa.array(word[where].view(np.int64)), pa.array(n, pa.int64()), pa.array(np.diff(doc, prepend=-1) != 0).cast(pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, ["_k1", "_k2", "word", "times", "first"])
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        m = shared.value
-        net = Network(m.words.pad + 1, m.hidden, m.classes)
-        net.load(m.parameters)
-        hashes, begins = word_hashes(batch.column("text"))
-        ids = m.words.ids(hashes)
-        around, target = _contexts(ids, begins, m.words.pad), m.words.class_of[ids]
-        each = m.words.log_share[ids]
-        for i in range(0, len(ids), _STEP):
-            part = target[i : i + _STEP]
-            each[i : i + _STEP] += net.forward(around[:, i : i + _STEP])[1][np.arange(len(part)), part]
-        sums = np.concatenate([[0.0], np.cumsum(each)])
-        n = np.diff(begins)
-        total = np.where(n > 0, sums[begins[1:]] - sums[begins[:-1]], 0.0)
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(total)], [*batch.schema.names, "n_tokens", "log_prob"])
-
-    scored = map_arrow(keyed, run, schema_with(keyed, "n_tokens long, log_prob double"))
-    seen = map_arrow(keyed.select("_k1", "_k2", "text"), others, "_k1 long, _k2 long, word long, times long, first long").join(model.counts, "word", "left")
-    # repeated rows share their keys: the sum over them is divided by their number
-    sums = seen.groupBy("_k1", "_k2").agg((F.sum(F.col("times") * F.log(F.coalesce("n", F.lit(1)))) / F.sum("first")).alias("_others"))
-    total = F.col("log_prob") + F.coalesce("_others", F.lit(0.0))
-    out = scored.join(sums, ["_k1", "_k2"], "left").withColumn("log_prob", total)
+    keyed = docs.select("text", k1.alias("_k1"), k2.alias("_k2"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, net = shared.value.words, shared.value.network()
+        for batch in (part for whole in batches for part in slices(whole)):
+            hashes, begins = word_hashes(batch.column("text"))
+            ids, own = words.ids(hashes)
+            around = _contexts(ids, begins, words.pad)
+            each = np.zeros(len(ids))
+            for i in range(0, len(ids), _STEP):
+                each[i : i + _STEP] = net.log_prob(around[:, i : i + _STEP], ids[i : i + _STEP])
+            # a word in a bucket: its count, held here or looked up by the join, over the bucket's
+            other = np.flatnonzero(~own)
+            n = words.counts(hashes[other])
+            each[other] += np.log(np.maximum(n, 1)) - np.log(words.mass[ids[other]])
+            sums = np.concatenate([[0.0], np.cumsum(each)])
+            size = np.diff(begins)
+            total = np.where(size > 0, sums[begins[1:]] - sums[begins[:-1]], 0.0)
+            rare = other[n == 0]
+            cuts = np.searchsorted(rare, begins)
+            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(hashes[rare].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("_k1"), batch.column("_k2"), pa.array(size), pa.array(total), lists], ["_k1", "_k2", "n_tokens", "log_prob", "rare"])
+
+    scored = keyed.mapInArrow(run, "_k1 long, _k2 long, n_tokens long, log_prob double, rare array<long>")
+    scored = saved(scored.dropDuplicates(["_k1", "_k2"]), "scored")
+    rare = scored.select("_k1", "_k2", F.explode("rare").alias("word")).join(model.counts, "word")
+    rare = rare.groupBy("_k1", "_k2").agg(F.sum(F.log("n")).alias("_more"))
+    found = scored.drop("rare").join(rare, ["_k1", "_k2"], "left")
+    found = found.withColumn("log_prob", F.col("log_prob") + F.coalesce("_more", F.lit(0.0))).drop("_more")
+    out = docs.withColumns({"_k1": k1, "_k2": k2}).join(found, ["_k1", "_k2"])
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob"))
 
 

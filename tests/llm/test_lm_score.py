@@ -1,36 +1,114 @@
-"""LM scoring: gradients, normalisation, counts over all documents, and that real order beats shuffled order."""
+"""LM scoring: a plain forward pass, gradients, normalisation, counts over all documents, and that real order beats shuffled order."""
 
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from callbook.llm import lm_score as lm
 
 
+def plain_log_prob(model, counts, hashes):
+    """A text's score, token by token."""
+    w, net = model.words, model.network()
+    ids, own = w.ids(hashes)
+    total = 0.0
+    for t, target in enumerate(ids.tolist()):
+        h = np.zeros(net.embed.shape[2])
+        for k, o in enumerate(lm.OFFSETS):
+            h = h + net.embed[k][ids[t + o] if 0 <= t + o < len(ids) else w.pad]
+        h = np.tanh(h)
+        soft = lambda z: z - np.log(np.exp(z).sum())
+        c = int(np.searchsorted(w.begins, target, "right")) - 1
+        total += soft(h @ net.out + net.bias)[c]
+        members = range(w.begins[c], w.begins[c + 1])
+        total += soft(np.array([h @ net.word_out[m] + net.word_bias[m] for m in members]))[target - w.begins[c]]
+        if not own[t]:
+            total += np.log(counts.get(int(hashes[t]), 1) / w.mass[target])
+    return total
+
+
+@pytest.mark.parametrize("counted", [0, 300, 1 << 18])
+def test_scores_match_a_plain_forward_pass(spark, sf_dir, monkeypatch, counted):
+    monkeypatch.setattr(lm, "COUNTED", counted)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(60).persist()
+    model = lm.learn(docs, vocabulary=min(150, counted), buckets=8, classes=6)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()} | {-1: "words that nobody has written zzqx", -2: None}
+    counts = {}
+    for t in [t for d, t in texts.items() if d >= 0]:
+        for x in lm.word_hashes(pa.array([t], pa.string()))[0].tolist():
+            counts[x] = counts.get(x, 0) + 1
+    shown = {d: t for d, t in texts.items() if len(t or "") < 3000}
+    for r in lm.score(spark.createDataFrame(list(shown.items()) * 2, "doc_id long, text string"), model).collect():
+        hashes, _ = lm.word_hashes(pa.array([r["text"]], pa.string()))
+        assert r["n_tokens"] == len(hashes)
+        assert np.isclose(r["log_prob"], plain_log_prob(model, counts, hashes), rtol=1e-4)
+
+
+def test_probabilities_of_all_ids_sum_to_one(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(80)
+    model = lm.learn(docs, vocabulary=100, buckets=8, classes=5)
+    net, w = model.network(), model.words
+    context = np.random.default_rng(2).integers(0, w.pad + 1, (4, 30))
+    total = sum(np.exp(net.log_prob(context, np.full(30, k))) for k in range(w.pad))
+    assert np.allclose(total, 1, atol=1e-4)
+
+
 def test_gradient_step_lowers_the_loss():
     rng = np.random.default_rng(1)
-    ctx, target = rng.integers(0, 20, (4, 400)), rng.integers(0, 5, 400)
-    net = lm.Network(20, 8, 5)
-    loss = lambda: -net.forward(ctx)[1][np.arange(400), target].mean()
+    ctx, target = rng.integers(0, 21, (4, 400)), rng.integers(0, 20, 400)
+    net = lm.Network(np.bincount(target, minlength=20) + 1.0, np.array([0, 3, 9, 20]), 8)
+    loss = lambda: -net.log_prob(ctx, target).mean()
     before = loss()
-    memory = [np.full_like(v, 1e-4) for v in (net.embed, net.out, net.bias)]
+    memory = [np.full_like(v, 1e-4) for v in net.values()]
     for _ in range(50):
         net.step(ctx, target, memory, 0.05)
     assert loss() < before - 0.1
 
 
+def test_gradients_match_differences():
+    rng = np.random.default_rng(5)
+    ctx, target = rng.integers(0, 13, (4, 60)), rng.integers(0, 12, 60)
+    net = lm.Network(np.ones(12), np.array([0, 1, 5, 12]), 4)
+    net.word_out += rng.normal(size=net.word_out.shape).astype(np.float32) * 0.3
+    moved = {}
+    net._move = lambda value, squares, grad, rate: moved.setdefault((value.shape, value.__array_interface__["data"][0]), grad)
+    net.step(ctx, target, [np.zeros_like(v) for v in net.values()], 1.0)
+    for value in (net.out, net.bias, net.embed[1], net.word_out[5:12], net.word_bias[1:5]):
+        grad = moved[value.shape, value.__array_interface__["data"][0]]
+        for at in [tuple(rng.integers(0, n) for n in value.shape) for _ in range(6)]:
+            keep, e = value[at], 1e-2
+            value[at] = keep + e
+            up = -net.log_prob(ctx, target).mean()
+            value[at] = keep - e
+            down = -net.log_prob(ctx, target).mean()
+            value[at] = keep
+            assert np.isclose(grad[at], (up - down) / (2 * e), atol=2e-4)
+
+
+def test_layout_of_rows_changes_scores_little(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").persist()
+    means = []
+    for n in (1, 5):
+        model = lm.learn(docs.repartition(n))
+        means.append({r["doc_id"]: r["mean_log_prob"] for r in lm.score(docs, model).where("n_tokens >= 20").collect()})
+    gap = [abs(means[0][d] - means[1][d]) for d in means[0]]
+    assert np.mean(gap) < 0.1 * abs(np.mean(list(means[0].values())))
+
+
 def test_contexts_stay_in_their_text():
     got = lm._contexts(np.array([1, 2, 3, 4, 5]), np.array([0, 3, 3, 5]), 9)
     assert got.tolist() == [[9, 9, 1, 9, 9], [9, 1, 2, 9, 4], [2, 3, 9, 5, 9], [3, 9, 9, 9, 9]]
 
 
-def test_counts_and_shares(spark, sf_dir):
+def test_ids_classes_and_growth(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     words = lm.count_words(docs, 200, 16, 8)
-    ids = np.arange(words.pad)
-    for c in range(8):  # shares of a class's ids sum to 1 once the distinct words of buckets are counted again
-        own = ids[words.class_of == c]
-        assert len(own) == 0 or np.exp(words.log_share[own]).sum() <= 1 + 1e-9
+    total = lm.word_counts(docs).agg({"n": "sum"}).first()[0]
+    assert words.pad == 216 and words.mass.sum() == total + 16 and (np.diff(words.mass) <= 0).all()
+    assert sorted(np.concatenate([words.top_ids, words.bucket_ids]).tolist()) == list(range(216)) and words.classes <= 8
+    assert lm.count_words(docs).pad > lm.count_words(docs, 200).pad
 
 
 def test_order_matters(spark):
@@ -55,7 +133,7 @@ def test_empty_table(spark):
 
 def test_rare_words_keep_their_own_counts(spark):
     docs = spark.createDataFrame([(1, "the " * 50), (2, "cat " * 9 + "dog " * 3)], "doc_id long, text string")
-    model = lm.learn(docs, vocabulary=1, buckets=1, classes=1)
+    model = lm.learn(docs, vocabulary=1, buckets=1, classes=1, rounds=0)
     texts = ["the", "cat", "dog", "new", "dog cat dog the"]
     rows = [(i, t) for i, t in enumerate(texts)] + [(4, texts[4])] * 2
     got = lm.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
