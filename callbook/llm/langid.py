@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from callbook.llm.common import map_arrow, mix, schema_with, texts_of
+from callbook.llm.common import map_arrow, schema_with, texts_of
 
 LETTER = r"\p{L}"
 _POINT_BITS = np.uint64(21)  # of a code point
@@ -61,17 +61,17 @@ def _table(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     held, value = np.full(slots, ~np.uint64(0)), np.full(slots, -1, np.int32)
     at, left = _slot(keys, slots), np.arange(len(keys))
     while len(left):
-        free = held[at[left]] == ~np.uint64(0)
-        _, first = np.unique(at[left[free]], return_index=True)  # one key a slot
-        placed = left[free][first]
-        held[at[placed]], value[at[placed]] = keys[placed], values[placed]
-        left = np.setdiff1d(left, placed, assume_unique=True)
+        free = left[held[at[left]] == ~np.uint64(0)]
+        held[at[free]] = keys[free]  # one of those that want a slot gets it
+        placed = held[at[left]] == keys[left]
+        value[at[left[placed]]] = values[left[placed]]
+        left = left[~placed]
         at[left] = (at[left] + 1) & (slots - 1)
     return held, value
 
 
 def _slot(keys: np.ndarray, slots: int) -> np.ndarray:
-    return (mix(keys) & np.uint64(slots - 1)).astype(np.int64)
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - slots.bit_length())).view(np.int64)
 
 
 class CrossParser:
@@ -90,7 +90,7 @@ class CrossParser:
             values.append(to + base)
             self.roots.append(base)
             base += int(to.max(initial=0)) + 1
-        self.roots = np.array(self.roots, np.int64)
+        self.roots = np.array(self.roots, np.int32)
         self.held, self.value = _table(np.concatenate(keys), np.concatenate(values))
 
     def _move(self, state: np.ndarray, point: np.ndarray) -> np.ndarray:
