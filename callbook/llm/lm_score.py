@@ -35,7 +35,7 @@ from callbook.llm.common import map_arrow, row_key, saved, slices, word_hashes
 WINDOW = 2
 OFFSETS = [o for o in range(-WINDOW, WINDOW + 1) if o]
 COUNTED = 1 << 18
-_STEP = 8192  # tokens per gradient step
+_STEP = 4096  # tokens per gradient step
 
 
 @dataclass
@@ -139,12 +139,35 @@ def _contexts(ids: np.ndarray, begins: np.ndarray, pad: int) -> np.ndarray:
     return out
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
+def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """exp(z - row maximum), in place, with the rows' sums and maxima."""
+    top = z.max(1, keepdims=True)
+    z -= top
+    np.exp(z, out=z)
+    return z, z.sum(1, keepdims=True), top
+
+
+def _logits(hidden: np.ndarray, out: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    z = hidden @ out
+    z += bias
     return z
 
 
+def _log_share(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log-softmax of each row at one place."""
+    own = z[np.arange(len(z)), at]
+    _, total, top = _exp(z)
+    return own - (np.log(total) + top)[:, 0]
+
+
+def _less_target(z: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """The gradient of a mean log loss over n tokens: softmax less the target."""
+    e, total, _ = _exp(z)
+    e /= total * n
+    e[np.arange(len(z)), at] -= 1 / n
+    return e
+
+
 class Network:
     """Context embeddings per offset, tanh, a softmax over classes and one over each class's words."""
 
@@ -176,7 +199,7 @@ class Network:
         total = self.embed[0][context[0]]
         for k in range(1, len(OFFSETS)):
             total += self.embed[k][context[k]]
-        return np.tanh(total)
+        return np.tanh(total, out=total)
 
     def _by_class(self, target: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
         """First and last id of each class that occurs, and the tokens of it."""
@@ -189,42 +212,40 @@ class Network:
     def log_prob(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Of each target id in its context."""
         hidden = self.hidden(context)
-        found = _log_softmax(hidden @ self.out + self.bias)[np.arange(len(target)), self.class_of[target]].astype(np.float64)
+        found = _log_share(_logits(hidden, self.out, self.bias), self.class_of[target]).astype(np.float64)
         for a, b, rows in self._by_class(target):
             if b - a > 1:
-                found[rows] += _log_softmax(hidden[rows] @ self.word_out[a:b].T + self.word_bias[a:b])[np.arange(len(rows)), target[rows] - a]
+                found[rows] += _log_share(_logits(hidden[rows], self.word_out[a:b].T, self.word_bias[a:b]), target[rows] - a)
         return found
 
     def step(self, context: np.ndarray, target: np.ndarray, memory: list[np.ndarray], rate: float) -> None:
         """One AdaGrad step on a slice of tokens."""
         n = len(target)
         hidden = self.hidden(context)
-        d = np.exp(_log_softmax(hidden @ self.out + self.bias))
-        d[np.arange(n), self.class_of[target]] -= 1
-        d /= n
+        d = _less_target(_logits(hidden, self.out, self.bias), self.class_of[target], n)
         back = d @ self.out.T
         for a, b, rows in self._by_class(target):
             if b - a == 1:
                 continue
             near = hidden[rows]
-            e = np.exp(_log_softmax(near @ self.word_out[a:b].T + self.word_bias[a:b]))
-            e[np.arange(len(rows)), target[rows] - a] -= 1
-            e /= n
+            e = _less_target(_logits(near, self.word_out[a:b].T, self.word_bias[a:b]), target[rows] - a, n)
             back[rows] += e @ self.word_out[a:b]
-            self._move(self.word_out[a:b], memory[3][a:b], e.T @ near, rate)
-            self._move(self.word_bias[a:b], memory[4][a:b], e.sum(0), rate)
+            self._move(self.word_out, slice(a, b), memory[3], e.T @ near, rate)
+            self._move(self.word_bias, slice(a, b), memory[4], e.sum(0), rate)
         back *= 1 - hidden * hidden
-        words, h = self.embed.shape[1:]
-        for k in range(len(OFFSETS)):
-            at = (context[k][:, None] * h + np.arange(h)).ravel()
-            self._move(self.embed[k], memory[0][k], np.bincount(at, back.ravel(), words * h).reshape(words, h).astype(np.float32), rate)
-        self._move(self.out, memory[1], hidden.T @ d, rate)
-        self._move(self.bias, memory[2], d.sum(0), rate)
+        for k in range(len(OFFSETS)):  # the rows of words that stand at this offset
+            order = np.argsort(context[k], kind="stable")
+            word = context[k][order]
+            first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            self._move(self.embed[k], word[first], memory[0][k], np.add.reduceat(back[order], first), rate)
+        self._move(self.out, ..., memory[1], hidden.T @ d, rate)
+        self._move(self.bias, ..., memory[2], d.sum(0), rate)
 
     @staticmethod
-    def _move(value: np.ndarray, squares: np.ndarray, grad: np.ndarray, rate: float) -> None:
-        squares += grad * grad
-        value -= rate * grad / (np.sqrt(squares) + np.float32(1e-6))
+    def _move(value: np.ndarray, at, squares: np.ndarray, grad: np.ndarray, rate: float) -> None:
+        total = squares[at] + grad * grad
+        squares[at] = total
+        value[at] -= np.float32(rate) * grad / (np.sqrt(total) + np.float32(1e-6))
 
 
 def train(docs: DataFrame, words: Words, hidden: int, rounds: int, rate: float) -> np.ndarray:
@@ -323,11 +344,13 @@ def score(docs: DataFrame, model: LanguageModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("_k1"), batch.column("_k2"), pa.array(size), pa.array(total), lists], ["_k1", "_k2", "n_tokens", "log_prob", "rare"])
 
     scored = keyed.mapInArrow(run, "_k1 long, _k2 long, n_tokens long, log_prob double, rare array<long>")
-    scored = saved(scored.dropDuplicates(["_k1", "_k2"]), "scored")
+    scored = saved(scored, "scored")
+    # repeated rows share their keys
+    once = scored.groupBy("_k1", "_k2").agg(F.first("n_tokens").alias("n_tokens"), F.first("log_prob").alias("log_prob"), F.count(F.lit(1)).alias("_copies"))
     rare = scored.select("_k1", "_k2", F.explode("rare").alias("word")).join(model.counts, "word")
     rare = rare.groupBy("_k1", "_k2").agg(F.sum(F.log("n")).alias("_more"))
-    found = scored.drop("rare").join(rare, ["_k1", "_k2"], "left")
-    found = found.withColumn("log_prob", F.col("log_prob") + F.coalesce("_more", F.lit(0.0))).drop("_more")
+    found = once.join(rare, ["_k1", "_k2"], "left")
+    found = found.withColumn("log_prob", F.col("log_prob") + F.coalesce(F.col("_more") / F.col("_copies"), F.lit(0.0))).drop("_more", "_copies")
     out = docs.withColumns({"_k1": k1, "_k2": k2}).join(found, ["_k1", "_k2"])
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob"))
 
