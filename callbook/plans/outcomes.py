@@ -11,6 +11,7 @@ from callbook.operators import calendar as C
 HORIZONS = {"1d": 1, "3d": 3, "5d": 5, "21d": 21}
 TRIGGER_WINDOW = 10
 LOADED_BEFORE, LOADED_AFTER = 5, 60  # calendar days of bars around a post
+PACK = 32  # bars; no fewer than the trigger window and the longest horizon together
 
 
 def signed_pct(fill: Column, value: Column, is_long: Column) -> Column:
@@ -53,24 +54,38 @@ def entry_fill(entry_type: Column, direction: Column, price: Column, open_: Colu
     )
 
 
+def packed(bars: DataFrame) -> DataFrame:
+    """(ticker, pack, bars): pack p holds a ticker's bars of blocks p and p + 1 of `PACK` numbers each, in order.
+
+    From any bar of its first block a pack reaches `PACK` bars ahead, so one equi-join brings a call all that it can need.
+    """
+    block = F.floor(F.col("bar_no") / PACK)
+    rows = B.numbered(bars).select("ticker", F.explode(F.array(block, block - 1)).alias("pack"), F.struct("bar_no", "ts", "open", "high", "low", "close").alias("bar"))
+    return rows.groupBy("ticker", "pack").agg(F.sort_array(F.collect_list("bar")).alias("bars"))
+
+
+def _followed(calls: DataFrame, bars: DataFrame) -> DataFrame:
+    """calls with first_bar's columns and `path`, the bars that can decide them (null where there is no bar after the post)."""
+    started = first_bar(calls, bars).withColumn("pack", F.floor(F.col("b0") / PACK))
+    b0, last = F.col("b0"), F.col("b0") + TRIGGER_WINDOW - 1 + max(HORIZONS.values())
+    return started.join(packed(bars), ["ticker", "pack"], "left").withColumn("path", F.filter("bars", lambda x: x["bar_no"].between(b0, last))).drop("pack", "bars")
+
+
+def _activated(followed: DataFrame) -> DataFrame:
+    tried = F.filter(F.slice("path", 1, TRIGGER_WINDOW), lambda x: x["ts"] <= F.col("loaded_until"))
+    fill = lambda x: entry_fill(F.col("entry_type"), F.coalesce("direction", F.lit("")), F.col("entry_price"), x["open"], x["high"], x["low"])
+    hits = F.filter(F.transform("tried", lambda x: F.struct(x["bar_no"].alias("bar_no"), x["ts"].alias("ts"), fill(x).alias("fill"))), lambda x: x["fill"].isNotNull())
+    out = followed.withColumn("tried", tried).withColumn("hit", F.get(hits, F.lit(0)))
+    return out.withColumns({"sessions_seen": F.coalesce(F.size("tried"), F.lit(0)).cast("long"), "a0": F.col("hit.bar_no"), "activation_at": F.col("hit.ts"), "entry_fill_price": F.col("hit.fill")}).drop("hit", "tried")
+
+
 def activations(calls: DataFrame, bars: DataFrame) -> DataFrame:
     """Calls with activation_at, entry_fill_price, a0 (number of the activation bar) and sessions_seen, over the next ten bars after the post."""
-    started = first_bar(calls, bars)
-    near = B.numbered(bars).select("ticker", "bar_no", F.col("ts").alias("bar_ts"), "open", "high", "low")
-    # ten numbered bars per call: an equi-join instead of a range join
-    tried = started.where("b0 is not null").select("call_id", "ticker", "direction", "entry_type", "entry_price", "loaded_until", F.explode(F.transform(F.sequence(F.lit(0), F.lit(TRIGGER_WINDOW - 1)), lambda k: F.col("b0") + k)).alias("bar_no"))
-    tried = tried.join(near, ["ticker", "bar_no"]).where("bar_ts <= loaded_until")
-    fill = entry_fill(F.col("entry_type"), F.coalesce("direction", F.lit("")), F.col("entry_price"), F.col("open"), F.col("high"), F.col("low"))
-    met = tried.withColumn("fill", fill).groupBy("call_id").agg(
-        F.count(F.lit(1)).alias("sessions_seen"),
-        F.min(F.when(F.col("fill").isNotNull(), F.struct("bar_no", F.col("bar_ts").alias("ts"), "fill"))).alias("hit"),
-    )
-    out = started.join(met, "call_id", "left")
-    return out.withColumns({"sessions_seen": F.coalesce("sessions_seen", F.lit(0)), "a0": F.col("hit.bar_no"), "activation_at": F.col("hit.ts"), "entry_fill_price": F.col("hit.fill")}).drop("hit")
+    return _activated(_followed(calls, bars)).drop("path")
 
 
-def benchmark_returns(spans: DataFrame, bars: DataFrame, benchmark: str, key: list[str]) -> DataFrame:
-    """spans (key, activation_at, horizon_end) with benchmark_return_pct, close to close of the benchmark's bars inside.
+def benchmark_returns(spans: DataFrame, bars: DataFrame, benchmark: str) -> DataFrame:
+    """spans (activation_at, horizon_end, ...) with benchmark_return_pct, close to close of the benchmark's bars inside.
 
     The benchmark's day index is one row per calendar day, so broadcasting it is bounded.
     """
@@ -87,7 +102,7 @@ def benchmark_returns(spans: DataFrame, bars: DataFrame, benchmark: str, key: li
     same = F.coalesce(F.col("from_ts") >= F.col("activation_at"), F.lit(False))
     entry = F.when(same, F.col("from_close")).when(F.col("after_ts") <= F.col("horizon_end"), F.col("after_close"))
     exit_ = F.when(F.col("to_ts") >= F.col("activation_at"), F.col("to_close"))
-    return joined.withColumn("benchmark_return_pct", (exit_ - entry) / entry).select(*key, "benchmark_return_pct")
+    return joined.select(*[joined[c] for c in spans.columns], ((exit_ - entry) / entry).alias("benchmark_return_pct"))
 
 
 def evaluate(calls: DataFrame, bars: DataFrame, sessions: DataFrame, benchmark: str, cost_bps: int = 10) -> DataFrame:
@@ -95,41 +110,34 @@ def evaluate(calls: DataFrame, bars: DataFrame, sessions: DataFrame, benchmark:
 
     Calls whose bars have not come yet, or whose window or horizon is still open, give no row and stay pending.
     """
-    done = activations(calls, bars)
+    done = _activated(_followed(calls, bars))
     horizons = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(n).alias("n")) for h, n in HORIZONS.items()])).alias("h")
     each = done.select("*", horizons).select("*", "h.horizon", "h.n").drop("h")
-    keep = ["call_id", "horizon"]
-    names = ["call_id", "horizon", "activated", "activation_at", "entry_fill_price", "exit_at", "exit_price", "gross_return_pct", "return_pct", "mfe", "mae", "hit_target", "hit_stop", "benchmark_return_pct", "excess_return_pct", "status"]
-    blank = {"activated": F.lit(False), **{c: F.lit(None).cast(t) for c, t in (("activation_at", "timestamp"), ("exit_at", "timestamp"), ("hit_target", "boolean"), ("hit_stop", "boolean"))}, **{c: F.lit(None).cast("double") for c in ("entry_fill_price", "exit_price", "gross_return_pct", "return_pct", "mfe", "mae", "benchmark_return_pct", "excess_return_pct")}}
-    missing = each.where("not loaded").withColumns(blank | {"status": F.lit("data_missing")}).select(names)
-    idle = each.where(f"loaded and activation_at is null and sessions_seen >= {TRIGGER_WINDOW}").withColumns(blank | {"status": F.lit("not_triggered")}).select(names)
-    live = C.nth_session_close(each.where("activation_at is not null"), sessions, "activation_at", "n").where("horizon_end is not null and horizon_end <= loaded_until")
-    walked = live.select(*keep, "ticker", "direction", "entry_fill_price", "target_price", "stop_price", "activation_at", "horizon_end", "loaded_until", F.explode(F.transform(F.sequence(F.lit(0), F.col("n")), lambda k: F.col("a0") + k)).alias("bar_no"))
-    walked = walked.join(B.numbered(bars).select("ticker", "bar_no", F.col("ts").alias("bar_ts"), "high", "low", "close"), ["ticker", "bar_no"])
-    inside = F.col("bar_ts") <= F.col("horizon_end")
-    covered = F.bool_or((F.col("bar_ts") >= F.col("horizon_end")) & (F.col("bar_ts") <= F.col("loaded_until")))
-    facts = ["direction", "entry_fill_price", "target_price", "stop_price", "activation_at", "horizon_end"]
-    seen = walked.groupBy(*keep).agg(
-        *[F.first(c).alias(c) for c in facts],
-        covered.alias("covered"),
-        F.max(F.when(inside, F.struct("bar_ts", "close"))).alias("last"),
-        F.max(F.when(inside, F.col("high"))).alias("top"),
-        F.min(F.when(inside, F.col("low"))).alias("bottom"),
-    ).where("covered")
-    long_, fill = _is_long(), F.col("entry_fill_price")
+    each = C.nth_session_close(each, sessions, "activation_at", "n")
+    known = F.coalesce(F.col("activation_at").isNotNull() & (F.col("horizon_end") <= F.col("loaded_until")), F.lit(False))
+    walk = F.filter("path", lambda x: x["bar_no"].between(F.col("a0"), F.col("a0") + F.col("n")))
+    covered = F.exists("walk", lambda x: (x["ts"] >= F.col("horizon_end")) & (x["ts"] <= F.col("loaded_until")))
+    each = each.withColumn("walk", F.when(known, walk))
+    state = (
+        F.when(~F.col("loaded"), "data_missing")
+        .when(F.col("activation_at").isNull() & (F.col("sessions_seen") >= TRIGGER_WINDOW), "not_triggered")
+        .when(known & covered, "evaluated")
+    )
+    each = each.withColumn("status", state).where("status is not null")
+    each = each.withColumn("inside", F.when(F.col("status") == "evaluated", F.filter("walk", lambda x: x["ts"] <= F.col("horizon_end"))))
+    each = each.withColumns({"last": F.element_at("inside", -1), "top": F.array_max(F.transform("inside", lambda x: x["high"])), "bottom": F.array_min(F.transform("inside", lambda x: x["low"]))})
+    each = benchmark_returns(each.drop("path", "walk", "inside"), bars, benchmark)
+    live, long_, fill = F.col("status") == "evaluated", _is_long(), F.col("entry_fill_price")
     gross = signed_pct(fill, F.col("last.close"), long_)
     good, bad = F.when(long_, F.col("top")).otherwise(F.col("bottom")), F.when(long_, F.col("bottom")).otherwise(F.col("top"))
     met = lambda level, up: F.when(up, F.col("top") >= level).otherwise(F.col("bottom") <= level)
-    scored = seen.withColumns(
-        {
-            "activated": F.lit(True), "exit_at": F.col("last.bar_ts"), "exit_price": F.col("last.close"), "gross_return_pct": gross, "return_pct": gross - cost_bps / 10000.0,
-            "mfe": signed_pct(fill, good, long_), "mae": signed_pct(fill, bad, long_),
-            "hit_target": met(F.col("target_price"), long_), "hit_stop": met(F.col("stop_price"), ~long_), "status": F.lit("evaluated"),
-        }
-    )
-    held = benchmark_returns(scored.select(*keep, "activation_at", "horizon_end"), bars, benchmark, keep)
-    scored = scored.join(held, keep).withColumn("excess_return_pct", F.col("return_pct") - F.col("benchmark_return_pct")).select(names)
-    return scored.unionByName(missing).unionByName(idle)
+    values = {
+        "activated": live, "activation_at": F.when(live, F.col("activation_at")), "entry_fill_price": F.when(live, fill), "exit_at": F.col("last.ts"), "exit_price": F.col("last.close"),
+        "gross_return_pct": F.when(live, gross), "return_pct": F.when(live, gross - cost_bps / 10000.0), "mfe": F.when(live, signed_pct(fill, good, long_)), "mae": F.when(live, signed_pct(fill, bad, long_)),
+        "hit_target": met(F.col("target_price"), long_), "hit_stop": met(F.col("stop_price"), ~long_), "benchmark_return_pct": F.when(live, F.col("benchmark_return_pct")),
+        "excess_return_pct": F.when(live, gross - cost_bps / 10000.0 - F.col("benchmark_return_pct")),
+    }
+    return each.select("call_id", "horizon", *[v.alias(k) for k, v in values.items()], "status")
 
 
 def leakage_audit(calls: DataFrame, outcomes: DataFrame, bars: DataFrame) -> DataFrame:

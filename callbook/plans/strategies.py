@@ -9,8 +9,9 @@ import hashlib
 import json
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callbook.functions.stats import hit_rate, wilson
@@ -93,7 +94,7 @@ def creator_consensus(f: StrategyFrames, days: int = 7, credible: float = CREDIB
 def simulate(decisions: DataFrame, as_ofs: DataFrame, bars: DataFrame, benchmark: str, cost_bps: int = 10) -> DataFrame:
     """C11: one trade per decision that could fill: the first bar after what was knowable at its open, out hold_days bars later at the close.
 
-    Decisions that are flat, weightless or without enough bars in hold_days * 4 + 14 days give none.
+    Decisions that are flat, weightless or without enough bars in hold_days * 4 + 14 days give none. Further columns of decisions are passed on.
     """
     live = decisions.where("direction <> 'flat' and weight > 0").join(F.broadcast(as_ofs.select("as_of", "knowable_through")), "as_of")
     index = B.day_index(bars, 400).select("ticker", "day", F.col("bar_no").alias("b0"))
@@ -106,9 +107,9 @@ def simulate(decisions: DataFrame, as_ofs: DataFrame, bars: DataFrame, benchmark
     raw = F.col("exit_price") / F.col("entry_price") - 1
     trades = trades.withColumn("return_pct", F.when(F.col("direction") == "short", -raw).otherwise(raw) - cost_bps / 10000.0)
     trades = trades.join(F.broadcast(I.regimes(bars, benchmark)), "day", "left").withColumnRenamed("regime", "regime_at_entry")
-    spans = trades.select("entry_at", "exit_at").distinct().select(F.col("entry_at").alias("activation_at"), F.col("exit_at").alias("horizon_end"))
-    ref = benchmark_returns(spans, bars, benchmark, ["activation_at", "horizon_end"]).withColumnsRenamed({"activation_at": "entry_at", "horizon_end": "exit_at"})
-    return trades.join(ref, ["entry_at", "exit_at"], "left").select("as_of", "ticker", "direction", "score", "weight", "hold_days", "entry_at", "exit_at", "entry_price", "exit_price", "return_pct", F.coalesce("regime_at_entry", F.lit("unknown")).alias("regime_at_entry"), "benchmark_return_pct")
+    trades = benchmark_returns(trades.withColumnsRenamed({"entry_at": "activation_at", "exit_at": "horizon_end"}), bars, benchmark).withColumnsRenamed({"activation_at": "entry_at", "horizon_end": "exit_at"})
+    more = [c for c in decisions.columns if c not in ("as_of", "ticker", "direction", "score", "weight", "hold_days")]
+    return trades.select("as_of", "ticker", "direction", "score", "weight", "hold_days", "entry_at", "exit_at", "entry_price", "exit_price", "return_pct", F.coalesce("regime_at_entry", F.lit("unknown")).alias("regime_at_entry"), "benchmark_return_pct", *more)
 
 
 def equity_curve(trades: DataFrame, run: str = "strategy") -> DataFrame:
@@ -122,8 +123,19 @@ def equity_curve(trades: DataFrame, run: str = "strategy") -> DataFrame:
     return nav.withColumn("drawdown", F.col("nav") / F.greatest(F.lit(1.0), F.max("nav").over(upto)) - 1)
 
 
-def run_metrics(trades: DataFrame, run: str = "strategy") -> DataFrame:
-    """Per run total, CAGR, Sharpe and volatility of the curve's steps, drawdown, hit rate with interval, win/loss ratio, turnover and sanity flags."""
+def cagr(final: Column, days: Column) -> Column:
+    """Yearly growth of a curve from 1 to `final`; null under 30 days or without anything left."""
+    return F.when((days >= 30) & (final > 0), F.pow(final, F.lit(365.25) / days) - 1)
+
+
+def run_metrics(trades: DataFrame, run: str = "strategy", start=None, end=None, min_trades: int = 30) -> DataFrame:
+    """Per run total, CAGR, Sharpe and volatility of the curve's steps, drawdown, hit rate with interval, win/loss ratio, turnover and sanity flags.
+
+    ordered: every trade enters no later than it leaves, and inside [start, end] where these are given. leak_suspect: over
+    30 trades whose mean return is more than five times the benchmark's, where the benchmark has a mean other than 0.
+    """
+    entry = F.col("entry_at")
+    inside = (entry >= F.lit(start).cast("timestamp") if start is not None else F.lit(True)) & (entry <= F.lit(end).cast("timestamp") if end is not None else F.lit(True))
     curve = equity_curve(trades, run)
     w = Window.partitionBy(run).orderBy("step")
     steps = curve.withColumn("r", F.col("nav") / F.coalesce(F.lag("nav").over(w), F.lit(1.0)) - 1)
@@ -132,7 +144,7 @@ def run_metrics(trades: DataFrame, run: str = "strategy") -> DataFrame:
         F.count(F.lit(1)).alias("n_trades"), F.max_by("nav", "step").alias("final_nav"), F.min_by("entry_at", "step").alias("start_at"), F.max("exit_at").alias("end_at"), F.min(F.least(F.lit(0.0), "drawdown")).alias("max_drawdown"),
         F.avg("r").alias("_mean"), F.stddev_samp("r").alias("_sd"), hit_rate(r).alias("hit_rate"), F.count_if(r > 0).alias("_hits"), F.avg("hold_days").alias("avg_holding"),
         (F.avg(F.when(r > 0, r)) / F.abs(F.avg(F.when(r < 0, r)))).alias("win_loss"), F.sum("weight").alias("_w"), r_mean(r), F.avg("benchmark_return_pct").alias("mean_benchmark"),
-        F.bool_and(F.col("entry_at") <= F.col("exit_at")).alias("ordered"),
+        F.bool_and((entry <= F.col("exit_at")) & inside).alias("ordered"),
     )
     days = F.date_diff("end_at", "start_at")
     low, high = wilson(F.col("_hits"), F.col("n_trades"), 1.96, (None, None))
@@ -140,11 +152,11 @@ def run_metrics(trades: DataFrame, run: str = "strategy") -> DataFrame:
     year = 365.25
     return out.withColumns(
         {
-            "cagr": F.when((days >= 30) & (F.col("final_nav") > 0), F.pow(F.col("final_nav"), F.lit(year) / days) - 1),
+            "cagr": cagr(F.col("final_nav"), days),
             "sharpe": F.when(enough, F.col("_mean") / F.col("_sd") * 252**0.5), "volatility": F.when(enough, F.col("_sd") * 252**0.5),
             "hit_rate_lower_ci": low, "hit_rate_upper_ci": high, "turnover": F.when(days > 0, F.col("_w") * year / days),
-            "underpowered": F.col("n_trades") < 30,
-            "leak_suspect": F.coalesce((F.col("n_trades") > 30) & (F.col("mean_return") > 5 * F.abs("mean_benchmark")), F.lit(False)),
+            "underpowered": F.col("n_trades") < min_trades,
+            "leak_suspect": F.coalesce((F.col("n_trades") > 30) & (F.col("mean_benchmark") != 0) & (F.col("mean_return") > 5 * F.abs("mean_benchmark")), F.lit(False)),
         }
     ).drop("_mean", "_sd", "_hits", "_w")
 
@@ -196,8 +208,7 @@ def walkforward(names: list[str], bars: DataFrame, sessions: DataFrame, claims:
     """Trades of the named strategies over all rebalance dates, once per cost of the grid (the same fills, another cost)."""
     as_ofs = C.knowable_through(C.rebalance_dates(sessions, start, end, frequency).select("as_of"), sessions)
     frames = StrategyFrames(as_ofs, B.tradeable(as_ofs, bars), claims, calls, scorecards)
-    runs = None
-    for name in names:
-        one = simulate(STRATEGIES[name](frames), as_ofs, bars, benchmark, 0).withColumn("strategy", F.lit(name))
-        runs = one if runs is None else runs.unionByName(one)
+    # decisions of all strategies, told apart by a column, meet the bars once
+    decided = reduce(DataFrame.unionByName, [STRATEGIES[name](frames).withColumn("strategy", F.lit(name)) for name in names])
+    runs = simulate(decided, as_ofs, bars, benchmark, 0)
     return runs.withColumn("cost_bps", F.explode(F.array(*[F.lit(c) for c in cost_grid]))).withColumn("return_pct", F.col("return_pct") - F.col("cost_bps") / 10000.0)

@@ -96,9 +96,9 @@ def _(t):
     return X.run_metrics(trades(t)).select("strategy", "n_trades", "hit_rate", "avg_holding")
 
 
-@query("c18_sanity", "SELECT strategy, bool_and(entry_at<=exit_at) AS ordered, count(*)<30 AS underpowered FROM curve GROUP BY 1", T5, FRAMES)
+@query("c18_sanity", "SELECT strategy, bool_and(entry_at<=exit_at AND entry_at BETWEEN TIMESTAMP '2000-02-01' AND TIMESTAMP '2000-11-01') AS ordered, count(*)<30 AS underpowered, count(*)>30 AND coalesce(avg(benchmark_return_pct)<>0 AND avg(return_pct)>5*abs(avg(benchmark_return_pct)), false) AS leak_suspect FROM curve GROUP BY 1", T5, FRAMES)
 def _(t):
-    return X.run_metrics(trades(t)).select("strategy", "ordered", "underpowered")
+    return X.run_metrics(trades(t), start="2000-02-01", end="2000-11-01").select("strategy", "ordered", "underpowered", "leak_suspect")
 
 
 @query("a10_regime_breakdown", f"""SELECT strategy, regime_at_entry, n, hits, {r6('mean_return','hit_rate')} FROM (SELECT strategy, regime_at_entry, count(*) AS n, count(*) FILTER (WHERE return_pct>0) AS hits, avg(return_pct) AS mean_return, count(*) FILTER (WHERE return_pct>0)*1.0e0/count(*) AS hit_rate FROM curve GROUP BY 1,2) x""", T5, FRAMES)
