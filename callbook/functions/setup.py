@@ -1,4 +1,4 @@
-"""Setup, status-free action and freshness as columns over a panel row."""
+"""Setup, style fit, status, action and freshness as columns over a panel row."""
 
 from __future__ import annotations
 
@@ -13,6 +13,21 @@ EXTENDED, OVERBOUGHT = 0.15, 75.0
 PULLBACK = (0.04, 0.18)
 NEAR_HIGH = 0.03
 TIGHT, RANGE = 0.08, 0.10
+BROKEN = (-0.03, -0.005, -0.10)  # distance to the 200-SMA, its slope, relative strength
+#: Thresholds of style fits.
+TIGHT_BASE, BASE_DEPTH = 0.05, 0.20
+AT_HIGH = (-0.05, 0.02)
+AT_EMA, AT_SMA = (-0.06, 0.04), (-0.08, 0.04)
+LEADER, OUTPERFORMER = (0.05, 0.10), 0.03
+OVERSOLD, STRETCHED = 30.0, 70.0
+STYLES = ("momentum_breakout", "trend_pullback", "mean_reversion", "base_breakout", "relative_strength_leader", "not_suitable_now")
+PREFERRED = {"strong_uptrend": "trend_pullback", "uptrend_pullback": "trend_pullback", "breakout_candidate": "momentum_breakout", "extended_momentum": "relative_strength_leader", "range_bound": "mean_reversion"}
+UNSUITABLE = ("downtrend", "high_volatility_unstable", "low_liquidity", "insufficient_data", "extended_momentum", "unclear")
+#: The order of statuses and confidences in a scan, and the healthy RSI.
+STATUSES = ("research_candidate", "watch", "extended_risk", "wait_for_setup", "skip_for_now", "insufficient_data")
+CONFIDENCES = ("high", "medium", "low")
+HEALTHY_RSI = (40.0, 70.0)
+RISING = ("strong_uptrend", "uptrend_pullback", "breakout_candidate")
 
 
 def _is(condition: Column) -> Column:
@@ -25,7 +40,7 @@ def setup() -> Column:
     c = F.col
     bull, bear = c("ma_alignment") == "bullish_stack", c("ma_alignment") == "bearish_stack"
     falling = bear & (c("sma_50_slope_21").isNull() | (c("sma_50_slope_21") < DOWN_SLOPE))
-    broken = _is((c("dist_sma_200") < -0.03) & (c("sma_200_slope_63") < -0.005) & (c("rs_126") < -0.10))
+    broken = _is((c("dist_sma_200") < BROKEN[0]) & (c("sma_200_slope_63") < BROKEN[1]) & (c("rs_126") < BROKEN[2]))
     fresh = _is((c("breakout_63") > 0) & (c("breakout_63") <= NEAR_HIGH))
     poised = _is((c("consolidation_20") <= TIGHT) & c("breakout_63").between(-NEAR_HIGH, NEAR_HIGH))
     rules = [
@@ -47,6 +62,77 @@ def setup() -> Column:
     return chain.otherwise(named("unclear", "low"))
 
 
+def style_fit() -> Column:
+    """array<struct<style, fit_level>> in the order of STYLES, of a panel row with its setup, ema_21 and relative strength."""
+    c, kind = F.col, F.col("setup_type")
+    near_high = _is(c("breakout_63").between(*AT_HIGH))
+    tight, leads = _is(c("consolidation_20") <= TIGHT_BASE), _is(c("rs_63") > 0)
+    breakout = kind == "breakout_candidate"
+    momentum = F.when(breakout & tight & leads, "high").when((breakout | near_high) & (tight | leads), "medium").otherwise("low")
+    pulled = _is(c("pullback_63").between(*PULLBACK))
+    at_mean = _is((c("close") / c("ema_21") - 1).between(*AT_EMA)) | _is(c("dist_sma_50").between(*AT_SMA))
+    pullback = (
+        F.when(kind == "uptrend_pullback", F.when(at_mean, "high").otherwise("medium"))
+        .when(kind == "strong_uptrend", F.when(pulled, "medium").otherwise("low"))
+        .when((c("ma_alignment") == "bullish_stack") & pulled, "medium")
+        .otherwise("low")
+    )
+    oversold, stretched = _is(c("rsi_14") <= OVERSOLD), _is(c("rsi_14") >= STRETCHED)
+    reversion = F.when((kind == "range_bound") & oversold, "high").when((kind == "range_bound") & stretched, "medium").when(oversold & kind.isin("uptrend_pullback", "strong_uptrend"), "medium").otherwise("low")
+    shallow = _is((c("base_high_60") > 0) & ((c("base_high_60") - c("base_low_60")) / c("base_high_60") < BASE_DEPTH))
+    base = F.when(shallow & near_high & kind.isin("breakout_candidate", "strong_uptrend"), "high").when(shallow, "medium").otherwise("low")
+    leader = _is((c("rs_63") > LEADER[0]) & (c("rs_126") > LEADER[1]))
+    strength = F.when(leader, F.when(kind.isin(*RISING), "high").otherwise("medium")).when(_is(c("rs_63") > OUTPERFORMER) & kind.isin("strong_uptrend", "uptrend_pullback"), "medium").otherwise("low")
+    blocked = F.when(kind.isin(*UNSUITABLE), "high").otherwise("low")
+    return F.array(*[F.struct(F.lit(n).alias("style"), f.alias("fit_level")) for n, f in zip(STYLES, (momentum, pullback, reversion, base, strength, blocked), strict=True)])
+
+
+def primary_style(fits: Column, kind: Column) -> Column:
+    """The style that fits best; of equal ones the setup's preferred one, or else the first; null if all are low."""
+    preferred = F.lit("not_suitable_now")
+    for setup_type, style in PREFERRED.items():
+        preferred = F.when(kind == setup_type, style).otherwise(preferred)
+    at = lambda level: F.transform(F.filter(fits, lambda x: x["fit_level"] == level), lambda x: x["style"])
+    best = lambda styles: F.when(F.array_contains(styles, preferred), preferred).otherwise(F.get(styles, F.lit(0)))
+    return F.when(F.size(at("high")) > 0, best(at("high"))).otherwise(best(at("medium")))
+
+
+RUBRIC = "array<struct<rule:string,weight:string,passed:boolean>>"
+
+
+def status() -> Column:
+    """struct<status, confidence, rubric> of a panel row with setup_type, style_fit and, if known, support.
+
+    Setups that rule a long position out decide by themselves; else six weighted rules do.
+    """
+    c, kind = F.col, F.col("setup_type")
+    rule = lambda name, weight, passed: F.struct(F.lit(name).alias("rule"), F.lit(weight).alias("weight"), (passed if isinstance(passed, Column) else F.lit(passed)).alias("passed"))
+    fits = F.filter("style_fit", lambda x: x["style"] != "not_suitable_now")
+    some = lambda *levels: F.exists(fits, lambda x: x["fit_level"].isin(*levels))
+    stacked, rising = c("ma_alignment") == "bullish_stack", _is(c("sma_50_slope_21") > 0)
+    rules = {
+        "ma_alignment_bullish": ("high", stacked), "sma_50_slope_positive": ("high", rising), "rs_vs_benchmark_63_positive": ("medium", _is(c("rs_63") > 0)),
+        "rsi_in_range": ("low", _is(c("rsi_14").between(*HEALTHY_RSI))), "has_clean_risk_reference": ("medium", c("support").isNotNull() | c("base_low_60").isNotNull()), "style_fit_present": ("medium", some("high", "medium")),
+    }
+    passed = lambda weight: sum((p.cast("int") for w, p in rules.values() if w == weight), F.lit(0))
+    n_high = sum(w == "high" for w, _ in rules.values())
+    whole = F.array(*[rule(n, w, p) for n, (w, p) in rules.items()])
+    to = lambda state, sure, rubric: F.struct(F.lit(state).alias("status"), (sure if isinstance(sure, Column) else F.lit(sure)).alias("confidence"), rubric.cast(RUBRIC).alias("rubric"))
+    up = kind.isin(*RISING)
+    return (
+        F.when(kind == "insufficient_data", to("insufficient_data", "low", F.array(rule("data_sufficiency", "high", False))))
+        .when(kind == "low_liquidity", to("skip_for_now", "medium", F.array(rule("dollar_volume_min", "high", False))))
+        .when(kind == "high_volatility_unstable", to("skip_for_now", "medium", F.array(rule("atr_under_high", "high", False))))
+        .when(kind == "downtrend", to("skip_for_now", "medium", F.array(rule("ma_alignment_bullish", "high", False), rule("sma_50_slope_positive", "high", rising))))
+        .when(kind == "extended_momentum", to("extended_risk", "medium", F.array(rule("dist_sma_50_below_extended", "high", False), rule("rsi_under_overbought", "medium", _is(c("rsi_14") <= OVERBOUGHT)))))
+        .when(up & (passed("high") == n_high) & (passed("medium") >= 1) & some("high"), to("research_candidate", F.when(passed("medium") >= 2, "high").otherwise("medium"), whole))
+        .when(up & (passed("high") >= n_high - 1), to("watch", "medium", whole))
+        .when(kind == "range_bound", to("wait_for_setup", "medium", whole))
+        .when(kind == "unclear", to("wait_for_setup", "low", whole))
+        .otherwise(to("watch", "low", whole))
+    )
+
+
 def action(status: Column, confidence: Column, entry_available: Column) -> Column:
     """struct<label, confidence> of a status, its confidence and whether an entry zone exists."""
     to = lambda label, sure: F.struct(F.lit(label).alias("label"), (sure if isinstance(sure, Column) else F.lit(sure)).alias("confidence"))

@@ -15,6 +15,7 @@ CALL_WORDS = (
     r"reclaim(?:s|ing)?|reject(?:s|ing|ed)?|bullish|bearish|set ?up(?:ping)?|target(?:ing)?|stop(?:ped)?|stop ?loss|above|below|over|under|if it (?:holds|breaks|reclaims|fails)|entry|trigger)\b"
 )
 HEDGES = r"(?i)\b(i\s+think|i\s+believe|i\s+feel|i\s+suspect|could|might|may(?:be)?|probably|possibly|likely|unlikely|seems(?:\s+to)?|appears(?:\s+to)?|should|would|in\s+my\s+(?:view|opinion)|my\s+guess)\b"
+#: Fixed value: a price as it is spoken of.
 PRICE = r"\$?[0-9]{1,5}(?:\.[0-9]{1,2})?"
 MENTION = "array<struct<ticker:string,start:int,end:int,matched:string,method:string,confidence:double>>"
 
@@ -40,17 +41,24 @@ def symbol_variants(symbol: Column) -> Column:
     return F.array_distinct(F.array(canonical_symbol(symbol), display_symbol(symbol)))
 
 
-def detector(universe: dict[str, str], aliases: dict[str, str] | None = None, stop: tuple[str, ...] = ("A", "I", "AI", "CEO", "IPO", "ETF", "USA", "GDP", "CPI", "FED")):
-    """A column function text -> mentions, in the order of the text.
+#: Words that are no tickers, even where the universe has them.
+STOP = ("A", "I", "AT", "ON", "BE", "AS", "BY", "DO", "GO", "IF", "IS", "IT", "OR", "SO", "TO", "UP", "WE")
 
-    universe maps tickers to company names, aliases maps phrases to tickers. Methods by confidence: $TICKER .95, an
-    upper-case token .85 (not after $, not a stop word), a one-word company name .70, an alias .65, letters spelled
-    apart .60; the first method wins a place. Offsets need Python; texts come in Arrow batches and one compiled
-    pattern serves all names.
+
+def detector(universe: dict[str, str], aliases: dict[str, str] | None = None, letters: str = "[A-Z]"):
+    """A column function text -> mentions, in the order of the text, of canonical symbols.
+
+    universe maps canonical tickers to company names, aliases maps phrases to tickers. Methods by confidence: $TICKER .95
+    (1 to 5 letters), an upper-case token of 2 to 5 letters .85 (not after $, not in STOP), a one-word company name .70, an
+    alias .65, 3 to 5 letters spelled apart in any case .60; the first method wins a place. letters is the pattern of a
+    ticker's characters. Offsets need Python; texts come in Arrow batches and one compiled pattern serves all names.
     """
     words = {n.lower(): t for t, n in universe.items() if n and " " not in n}
     phrases = {p.lower(): t for p, t in (aliases or {}).items() if t in universe}
-    dollar, cased, spelled = re.compile(r"\$([A-Z][A-Z0-9]{0,4}(?:\.[A-Z])?)\b"), re.compile(r"(?<!\$)\b[A-Z][A-Z0-9]{1,4}(?:\.[A-Z])?\b"), re.compile(r"\b[a-z](?: +[a-z]){2,4}\b")
+    share = r"(?:\.[A-Z])?\b"
+    dollar, cased = re.compile(rf"\$({letters}{{1,5}}{share})"), re.compile(rf"(?<!\$)\b{letters}{{2,5}}{share}")
+    spelled = re.compile(r"\b[a-z](?:\s+[a-z]){2,4}\b")
+    canonical = lambda symbol: symbol.strip().upper().replace(".", "-")
     either = lambda d: re.compile(r"\b(" + "|".join(map(re.escape, sorted(d, key=len, reverse=True))) + r")\b", re.IGNORECASE) if d else None
     named, phrased = either(words), either(phrases)
 
@@ -59,18 +67,18 @@ def detector(universe: dict[str, str], aliases: dict[str, str] | None = None, st
 
         def add(ticker: str | None, m: re.Match, method: str, confidence: float) -> None:
             if ticker in universe:
-                hits.setdefault((ticker, m.start()), {"ticker": ticker, "start": m.start(), "end": m.end(), "matched": m[0], "method": method, "confidence": confidence})
+                hits.setdefault((ticker, m.start()), {"ticker": ticker, "start": m.start(), "end": m.end(), "matched": text[m.start() : m.end()], "method": method, "confidence": confidence})
 
         for m in dollar.finditer(text):
-            add(m[1], m, "dollar", 0.95)
+            add(canonical(m[1]), m, "dollar", 0.95)
         for m in cased.finditer(text):
-            if m[0] not in stop:
-                add(m[0], m, "cased", 0.85)
+            if canonical(m[0]) not in STOP:
+                add(canonical(m[0]), m, "cased", 0.85)
         for pattern, table, method, confidence in ((named, words, "name", 0.70), (phrased, phrases, "alias", 0.65)):
             for m in pattern.finditer(text) if pattern else ():
                 add(table[m[0].lower()], m, method, confidence)
-        for m in spelled.finditer(text):
-            add(m[0].replace(" ", "").upper(), m, "spelled", 0.60)
+        for m in spelled.finditer(text.lower()):
+            add("".join(m[0].split()).upper(), m, "spelled", 0.60)
         return sorted(hits.values(), key=lambda h: (h["start"], h["ticker"]))
 
     @F.pandas_udf(MENTION)

@@ -1,4 +1,4 @@
-"""Entry zones and reward to risk."""
+"""Entry zones, exits, picks and reward to risk."""
 
 from __future__ import annotations
 
@@ -40,6 +40,78 @@ def entry_zone() -> Column:
     return F.when(F.col("close").isNotNull() & F.col("atr_14").isNotNull(), zone)
 
 
+def dual_entry_zones() -> Column:
+    """struct<breakout, pullback> of both zones whatever the setup, each null where its levels, the close or the ATR are unknown."""
+    known = F.col("close").isNotNull() & F.col("atr_14").isNotNull()
+    return F.struct(F.when(known, breakout_zone()).alias("breakout"), F.when(known, pullback_zone()).alias("pullback"))
+
+
+#: Cushions, offsets and extensions of exits, the widths of a usable entry band, and the distance of a stop set anew.
+CUSHION, RUNNER_OFFSET, EXTENSIONS = 0.25, 1.5, (1.272, 1.618)
+BAND = (0.05, 5.0)
+SNAP = 0.75
+BANDS = "array<struct<low:double,high:double>>"
+
+
+def candidate_levels(rows: DataFrame) -> DataFrame:
+    """Rows with breakout_entry and pullback_entry (struct<low, high>), primaries and runners (arrays of them) and invalidations.
+
+    rows hold close, atr_14, recent_high_63, base_low_60, support, resistance and what dual_entry_zones reads. Entry bands
+    without width, or under 0.05 or over 5 ATR wide, are left out. Invalidations stand below all entry bands, each once
+    (by four decimals), in order.
+    """
+    c, atr = F.col, F.col("atr_14")
+    cushion = F.coalesce(CUSHION * atr, F.lit(0.0))
+    band = lambda low: F.struct(low.alias("low"), (low + cushion).alias("high"))
+    rows = rows.withColumn("_z", dual_entry_zones())
+
+    def entry(kind: str) -> Column:
+        low, high = c(f"_z.{kind}.low"), c(f"_z.{kind}.high")
+        width = high - low
+        bad = (atr > 0) & ((width <= 0) | (width < BAND[0] * atr) | (width > BAND[1] * atr))
+        return F.when(c(f"_z.{kind}").isNotNull() & ~F.coalesce(bad, F.lit(False)), F.struct(low.alias("low"), high.alias("high")))
+
+    rows = rows.withColumns({"breakout_entry": entry("breakout"), "pullback_entry": entry("pullback")})
+    near = F.when(c("resistance") > c("close"), c("resistance"))
+    high = F.when((c("recent_high_63") > c("close")) & ~F.coalesce(F.abs(c("recent_high_63") - near) < atr, F.lit(False)), c("recent_high_63"))
+    ahead = lambda m: c("base_low_60") + (c("recent_high_63") - c("base_low_60")) * m
+    extension = lambda m: F.when((c("recent_high_63") > c("base_low_60")) & (ahead(m) + cushion > c("close")), ahead(m))
+    present = lambda *lows: F.array_compact(F.array(*[F.when(x.isNotNull(), band(x)) for x in lows])).cast(BANDS)
+    none = F.array().cast(BANDS)
+    rows = rows.withColumn("primaries", F.when(c("close") > 0, present(near, high, extension(EXTENSIONS[0]))).otherwise(none))
+    trail = F.transform("primaries", lambda p: band(p["high"] + RUNNER_OFFSET * atr))
+    rows = rows.withColumn("runners", F.when(c("close").isNotNull() & atr.isNotNull(), F.array_sort(F.concat(trail, present(extension(EXTENSIONS[1]))))).otherwise(none))
+    stops = F.array_compact(F.array(c("_z.breakout.invalidation"), c("_z.pullback.invalidation"), c("support"), F.when(atr > 0, c("base_low_60") - 0.5 * atr)))
+    floor = F.least(c("breakout_entry.low"), c("pullback_entry.low"))
+    low_enough = F.filter(stops, lambda x: F.coalesce(x < floor, F.lit(True)))
+    once = F.filter(low_enough, lambda x, i: F.array_position(F.transform(low_enough, lambda y: F.bround(y, 4)), F.bround(x, 4)) == i + 1)
+    return rows.withColumn("invalidations", once).drop("_z")
+
+
+def resolve_picks(rows: DataFrame) -> DataFrame:
+    """Rows of candidate_levels with a model's picks (entry_kind, primary_index, runner_index, invalidation_index) made valid, and the plan that they name.
+
+    An unknown kind is a breakout; a kind without a band gives way to the other one; indices are cut to the lists, no
+    runner stays none, a missing index is the first. A stop that is not under the entry, or that no candidate gives, is
+    set 0.75 ATR under it (5 % without ATR). Rows without an entry band, a primary exit or an invalidation have no plan (null entry).
+    """
+    c = F.col
+    wanted = F.when(c("entry_kind") == "pullback", "pullback").otherwise("breakout")
+    kind = F.when(c("breakout_entry").isNull(), "pullback").when(c("pullback_entry").isNull(), "breakout").otherwise(wanted)
+    cut = lambda index, items: F.greatest(F.lit(0), F.least(F.coalesce(c(index), F.lit(0)), F.size(items) - 1))
+    possible = (c("breakout_entry").isNotNull() | c("pullback_entry").isNotNull()) & (F.size("primaries") > 0) & (F.size("invalidations") > 0)
+    rows = rows.withColumns(
+        {
+            "entry_kind": F.when(possible, kind), "primary_index": F.when(possible, cut("primary_index", "primaries")),
+            "runner_index": F.when(possible & c("runner_index").isNotNull() & (F.size("runners") > 0), cut("runner_index", "runners")), "invalidation_index": F.when(possible, cut("invalidation_index", "invalidations")),
+        }
+    )
+    rows = rows.withColumn("entry", F.when(c("entry_kind") == "breakout", c("breakout_entry")).when(c("entry_kind") == "pullback", c("pullback_entry")))
+    low, picked = c("entry.low"), F.get("invalidations", c("invalidation_index"))
+    stop = F.when(picked < low, picked).when(c("atr_14") > 0, low - SNAP * c("atr_14")).otherwise(low * 0.95)
+    return rows.withColumns({"primary": F.get("primaries", c("primary_index")), "runner": F.get("runners", c("runner_index")), "invalidation": stop})
+
+
 def with_risk(rows: DataFrame) -> DataFrame:
     """Rows with zone, available, risk_pct, risk_atrs and reward_risk (to the nearest resistance, or the range's top)."""
     rows = rows.withColumn("zone", entry_zone())
@@ -52,21 +124,22 @@ def with_risk(rows: DataFrame) -> DataFrame:
 
 def rr_distribution(plans: DataFrame) -> DataFrame:
     """Per ticker the least, median and greatest blended reward to risk over all combinations of its entries, primary
-    exits, runner exits (or none) and invalidations, each a struct<low, high> or a price. At most a few hundred per ticker.
+    exits, runner exits or none, and invalidations, each a struct<low, high> or a price. At most a few hundred per ticker.
 
-    A combination without positive risk or reward is dropped. The blend is a third of the primary and two thirds of the runner.
+    A combination without positive risk, or whose primary exit has no reward, is dropped; a runner without reward counts
+    as 0. The blend is a third of the primary and two thirds of the runner, or the primary alone. A ticker without
+    combinations has n 0 and zeros.
     """
     none = F.array(F.lit(None).cast("struct<low:double,high:double>"))
-    runners = F.when(F.size("runners") > 0, F.col("runners")).otherwise(none)
-    rows = plans.select("ticker", F.explode("entries").alias("e"), "primaries", runners.alias("runners"), "invalidations")
+    rows = plans.select("ticker", F.explode("entries").alias("e"), "primaries", F.concat(F.coalesce("runners", F.array().cast("array<struct<low:double,high:double>>")), none).alias("runners"), "invalidations")
     rows = rows.select("ticker", "e", F.explode("primaries").alias("p"), "runners", "invalidations")
     rows = rows.select("ticker", "e", "p", F.explode("runners").alias("r"), "invalidations").select("ticker", "e", "p", "r", F.explode("invalidations").alias("inv"))
     risk = F.col("e.low") - F.col("inv")
-    ratio = lambda x: F.bround((F.col(f"{x}.low") - F.col("e.high")) / risk, 2)
-    rows = rows.where(risk > 0).withColumns({"rp": ratio("p"), "rr": ratio("r")})
+    ratio = lambda x: F.bround(F.greatest(F.lit(0.0), F.col(f"{x}.low") - F.col("e.high")) / risk, 2)
+    rows = rows.where(risk > 0).withColumns({"rp": ratio("p"), "rr": F.when(F.col("r").isNotNull(), ratio("r"))}).where("rp > 0")
     blend = F.when(F.col("rr").isNull(), F.col("rp")).otherwise(F.bround(F.col("rp") / 3 + F.col("rr") * 2 / 3, 2))
-    rows = rows.withColumn("blended", blend).where("blended > 0")
-    return rows.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.min("blended").alias("low"), F.median("blended").alias("middle"), F.max("blended").alias("high"))
+    found = rows.withColumn("blended", blend).groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.min("blended").alias("low"), F.bround(F.median("blended"), 2).alias("middle"), F.max("blended").alias("high"))
+    return plans.select("ticker").distinct().join(found, "ticker", "left").na.fill(0)
 
 
 def days_to_earnings(dates: Column, today: Column) -> Column:

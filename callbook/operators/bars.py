@@ -90,18 +90,28 @@ def price_in(lower: Column, upper: Column, value: Column) -> Column:
     return F.coalesce((value >= lower) & (value <= upper), F.lit(False))
 
 
-def knowable_slice(as_ofs: DataFrame, bars: DataFrame, lookback_days: int) -> DataFrame:
-    """bars visible at each as_of (as_of, knowable_through): up to the last closed session, from lookback_days before as_of.
+def _between(as_ofs: DataFrame, bars: DataFrame, first_day: Column, last_day: Column, ahead: int) -> DataFrame:
+    """bars with each as_of's columns, from the last bar at or before first_day to the last one at or before last_day.
 
-    Bars are laid over the days that they feed and met by an equi-join on the day of knowable_through.
+    Both ends are looked up by day and only the numbers between them are exploded, so the work is that of the result.
+    as_ofs are as many as the calendar's days.
     """
-    fed = bars.withColumn("day", F.explode(F.sequence(F.to_date("ts"), F.date_add(F.to_date("ts"), lookback_days + 7))))
-    near = fed.join(F.broadcast(as_ofs.withColumn("day", F.to_date("knowable_through"))), "day").drop("day")  # as_ofs: bounded by the calendar
-    return near.where((F.col("ts") <= F.col("knowable_through")) & (F.col("ts") >= F.col("as_of") - F.expr(f"interval {lookback_days} days")))
+    index = day_index(bars.select("ticker", "ts"), ahead).select("ticker", "day", "bar_no")
+    ends = index.join(F.broadcast(as_ofs.withColumn("day", last_day)), "day").withColumnRenamed("bar_no", "_to").withColumn("day", first_day)
+    spans = ends.join(index.withColumnRenamed("bar_no", "_from"), ["ticker", "day"], "left").drop("day")
+    numbers = spans.withColumn("bar_no", F.explode(F.sequence(F.coalesce("_from", F.lit(1)), "_to"))).drop("_from", "_to")
+    return numbers.join(numbered(bars).drop("next_ts", "n_bars"), ["ticker", "bar_no"]).drop("bar_no")
+
+
+def knowable_slice(as_ofs: DataFrame, bars: DataFrame, lookback_days: int) -> DataFrame:
+    """bars visible at each as_of (as_of, knowable_through): up to the last closed session, from lookback_days before as_of."""
+    since = F.col("as_of") - F.expr(f"interval {lookback_days} days")
+    near = _between(as_ofs, bars, F.to_date(since), F.to_date("knowable_through"), lookback_days + 7)
+    return near.where((F.col("ts") <= F.col("knowable_through")) & (F.col("ts") >= since))
 
 
 def forward_slice(as_ofs: DataFrame, bars: DataFrame, forward_days: int) -> DataFrame:
     """the complement of F2: bars after the last closed session, up to forward_days after as_of."""
-    fed = bars.withColumn("day", F.explode(F.sequence(F.date_sub(F.to_date("ts"), forward_days + 1), F.to_date("ts"))))
-    near = fed.join(F.broadcast(as_ofs.withColumn("day", F.to_date("as_of"))), "day").drop("day")
-    return near.where((F.col("ts") > F.col("knowable_through")) & (F.col("ts") <= F.col("as_of") + F.expr(f"interval {forward_days} days")))
+    until = F.col("as_of") + F.expr(f"interval {forward_days} days")
+    near = _between(as_ofs, bars, F.to_date("knowable_through"), F.to_date(until), forward_days + 60)
+    return near.where((F.col("ts") > F.col("knowable_through")) & (F.col("ts") <= until))

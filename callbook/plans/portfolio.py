@@ -72,13 +72,13 @@ def policy_view(view: DataFrame, targets: DataFrame, absolute: float = 0.05, rel
     held = view.where("is_open").select("ticker", "market_value")
     missing = targets.join(held, "ticker", "left_anti").select("ticker", F.lit(0.0).alias("market_value"))
     rows = held.unionByName(missing).join(targets, "ticker", "left")
-    every = Window.partitionBy(F.lit(0))  # one portfolio's positions
-    usable = (F.count_if(F.col("market_value").isNull()).over(every) == 0) & (F.sum("market_value").over(every) > 0)
-    weight = F.when(usable, F.col("market_value") / F.sum("market_value").over(every))
+    whole = rows.agg(F.sum("market_value").alias("_sum"), F.count_if(F.col("market_value").isNull()).alias("_unpriced"))
+    rows = rows.crossJoin(F.broadcast(whole))  # one row
+    weight = F.when((F.col("_unpriced") == 0) & (F.col("_sum") > 0), F.col("market_value") / F.col("_sum"))
     t = F.col("target")
     rows = rows.withColumns({"weight": weight, "low": F.greatest(t - absolute, t * (1 - relative)), "high": F.least(t + absolute, t * (1 + relative))})
     status = F.when(F.col("weight").isNull(), None).when(t.isNull(), "no_target").when(F.col("weight") > F.col("high"), "trim").when(F.col("weight") < F.col("low"), "add").otherwise("in_band")
-    return rows.withColumns({"status": status, "deviation_pp": (F.col("weight") - t) * 100}).orderBy(F.asc_nulls_last("deviation_pp"), "ticker")
+    return rows.withColumns({"status": status, "deviation_pp": (F.col("weight") - t) * 100}).drop("_sum", "_unpriced").orderBy(F.asc_nulls_last("deviation_pp"), "ticker")
 
 
 def factor_concentration(view: DataFrame, factors: DataFrame, ceiling: float) -> DataFrame:

@@ -5,31 +5,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from callbook.functions.setup import setup
+from callbook.functions import setup as U
+from callbook.functions import zones as Z
 from callbook.operators import indicators as I
 
-#: The order in which setups are worth looking at.
-SETUP_RANK = ("uptrend_pullback", "breakout_candidate", "strong_uptrend", "range_bound", "extended_momentum", "unclear", "high_volatility_unstable", "low_liquidity", "downtrend", "insufficient_data")
-
 
 def research_panel(bars: DataFrame, benchmark: str) -> DataFrame:
     """Indicators, levels, relative strength and setup of every ticker on every bar, in one pass over its bars."""
-    rows = I.panel(bars).join(I.relative_strength(bars, benchmark), ["ticker", "ts"], "left").withColumn("_s", setup())
+    rows = I.panel(bars).join(I.relative_strength(bars, benchmark), ["ticker", "ts"], "left").withColumn("_s", U.setup())
     return rows.withColumns({"setup_type": F.col("_s.setup_type"), "setup_confidence": F.col("_s.confidence")}).drop("_s")
 
 
+def judged(panel: DataFrame) -> DataFrame:
+    """A panel with ema_21 (and, where known, support and resistance) and its style fits, status, entry zone and action."""
+    panel = panel.withColumns({c: F.lit(None).cast("double") for c in ("support", "resistance") if c not in panel.columns})
+    out = panel.withColumn("style_fit", U.style_fit()).withColumns({"primary_style": U.primary_style(F.col("style_fit"), F.col("setup_type")), "_s": U.status()})
+    out = Z.with_risk(out.withColumns({"status": F.col("_s.status"), "status_confidence": F.col("_s.confidence"), "rubric": F.col("_s.rubric")}).drop("_s"))
+    label = U.action(F.col("status"), F.col("status_confidence"), F.col("available"))
+    return out.withColumns({"_a": label, "pass_rate": U.pass_rate(F.col("rubric"))}).withColumns({"action": F.col("_a.label"), "action_confidence": F.col("_a.confidence")}).drop("_a")
+
+
+def _rank(values: tuple[str, ...], column: str):
+    at = F.array_position(F.array(*map(F.lit, values)), F.col(column))
+    return F.when(at > 0, at).otherwise(F.lit(99))
+
+
 def scan(tickers: DataFrame, bars: DataFrame, benchmark: str, as_of) -> DataFrame:
-    """One ranked row per requested ticker as of a date; a ticker without bars is an insufficient_data row."""
-    known = research_panel(bars.where(F.col("ts") <= F.lit(as_of).cast("timestamp")), benchmark)
-    last = known.withColumn("_n", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("ts")))).where("_n = 1").drop("_n")
-    out = tickers.select("ticker").distinct().join(last, "ticker", "left").withColumns({"setup_type": F.coalesce("setup_type", F.lit("insufficient_data")), "setup_confidence": F.coalesce("setup_confidence", F.lit("low"))})
-    rank = F.array_position(F.array(*[F.lit(s) for s in SETUP_RANK]), F.col("setup_type"))
-    return out.orderBy(rank, F.col("setup_confidence") != "high", F.col("setup_confidence") != "medium", "ticker")
+    """One ranked row per requested ticker as of a date, with its levels, status and action.
+
+    Symbols are trimmed and upper-cased first; a ticker without bars is an insufficient_data row. Best status first, then
+    its confidence, the setup's confidence, rows with a suitable style, and the ticker.
+    """
+    seen = bars.where(F.col("ts") <= F.lit(as_of).cast("timestamp"))
+    last = Window.partitionBy("ticker").orderBy(F.desc("ts"))
+    panel = research_panel(seen, benchmark).join(I.ema(seen, (21,)).select("ticker", "ts", "ema_21"), ["ticker", "ts"])
+    newest = panel.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
+    at = seen.groupBy("ticker").agg(F.count(F.lit(1)).alias("as_of_no"))
+    newest = newest.join(I.nearest_levels(seen, at).select("ticker", "support", "resistance"), "ticker", "left")
+    asked = tickers.select(F.upper(F.trim("ticker")).alias("ticker")).distinct()
+    out = asked.join(newest, "ticker", "left").withColumns({"setup_type": F.coalesce("setup_type", F.lit("insufficient_data")), "setup_confidence": F.coalesce("setup_confidence", F.lit("low"))})
+    suited = F.coalesce(F.col("primary_style") != "not_suitable_now", F.lit(False))
+    return judged(out).orderBy(_rank(U.STATUSES, "status"), _rank(U.CONFIDENCES, "status_confidence"), _rank(U.CONFIDENCES, "setup_confidence"), F.desc(suited), "ticker")
 
 
 def scan_counts(scanned: DataFrame) -> DataFrame:
-    """Rows, rows without enough data, and candidates of a scan."""
-    return scanned.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("setup_type") == "insufficient_data").alias("n_insufficient"), F.count_if(F.col("setup_type").isin("uptrend_pullback", "breakout_candidate")).alias("n_candidates"))
+    """Rows of a scan: all, research candidates, watched, skipped, and those without enough data."""
+    of = lambda state: F.count_if(F.col("status") == state)
+    return scanned.agg(F.count(F.lit(1)).alias("n"), of("research_candidate").alias("n_research_candidates"), of("watch").alias("n_watch"), of("skip_for_now").alias("n_skip"), of("insufficient_data").alias("n_insufficient"))
 
 
 def snapshot_history(snapshots: DataFrame, ticker: str, until, days: int, limit: int) -> DataFrame:

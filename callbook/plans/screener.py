@@ -22,6 +22,8 @@ class ScreenConfig:
     max_debt_to_equity: float = 1.0
     max_extension: float = 0.30
     min_rs: float = 0.0
+    require_earnings_positive: bool = True
+    earnings_days: int = 30
 
 
 FILTERS: dict[str, Callable[[ScreenConfig], Column]] = {}
@@ -47,8 +49,11 @@ def _value(cfg: ScreenConfig) -> Column:
 
 @screen_filter("growth")
 def _growth(cfg: ScreenConfig) -> Column:
-    earned = F.coalesce((F.col("earnings_growth") > 0) | (F.col("earnings_growth").isNotNull() & F.col("earnings_inflecting")), F.lit(False))
-    return (F.col("revenue_growth") > cfg.min_revenue_growth) & F.when(F.col("revenue_growth").isNotNull(), earned)
+    known = F.col("revenue_growth").isNotNull()
+    if not cfg.require_earnings_positive:
+        return F.when(known, F.col("revenue_growth") > cfg.min_revenue_growth)
+    earned = F.coalesce((F.col("earnings_growth") > 0) | (F.col("earnings_growth").isNotNull() & (F.col("revenue_growth_qoq") > F.col("revenue_growth"))), F.lit(False))
+    return (F.col("revenue_growth") > cfg.min_revenue_growth) & F.when(known, earned)
 
 
 @screen_filter("quality")
@@ -75,26 +80,40 @@ def screen(metrics: DataFrame, cfg: ScreenConfig = ScreenConfig(), enabled: tupl
 
 
 def flags(cfg: ScreenConfig) -> Column:
-    """Warnings beside the filters: cheap with falling revenue, earnings within two weeks, far over the 200-day mean."""
-    cheap = (F.col("forward_pe") < cfg.max_forward_pe / 2) & (F.col("revenue_growth") < 0)
-    soon = F.col("days_to_earnings").between(0, 14)
-    far = F.col("price_vs_sma_200") > cfg.max_extension
-    return F.array_compact(F.array(F.when(cheap, "cheap_for_a_reason"), F.when(soon, F.concat(F.lit("earnings_in_"), F.col("days_to_earnings").cast("string"), F.lit("d"))), F.when(far, "extended_above_200d")))
+    """Notes beside the filters: cheap by any measure while earnings fall, earnings soon, far over the 200-day mean."""
+    c = F.col
+    cheap = _value(cfg) & (c("earnings_growth") < 0)
+    soon = c("days_to_earnings").between(0, cfg.earnings_days)
+    far = c("price_vs_sma_200") > cfg.max_extension
+    return F.array_compact(F.array(F.when(cheap, "cheap_for_a_reason"), F.when(soon, F.concat(F.lit("earnings_in_"), c("days_to_earnings").cast("string"), F.lit("d"))), F.when(far, "extended_above_200d")))
+
 
+#: What a peer's ratio must lie strictly between to count (None: any).
+BOUNDS = {
+    "forward_pe": (-200.0, 500.0), "trailing_pe": (-200.0, 500.0), "peg": (-50.0, 50.0), "price_to_sales": (0.0, 200.0),
+    "revenue_growth": (-2.0, 5.0), "profit_margins": (-2.0, 5.0), "operating_margins": (-2.0, 5.0), "market_cap": None,
+}
 
-#: Sanity bounds of peer ratios.
-BOUNDS = {"forward_pe": (-200.0, 500.0), "peg_ratio": (-50.0, 50.0), "revenue_growth": (-2.0, 5.0), "gross_margin": (-2.0, 5.0)}
 
+def peer_medians(peers: DataFrame, ratios: DataFrame) -> DataFrame:
+    """Per target of peers (target, peer), exact medians of its peers' usable ratios (ticker and BOUNDS' columns).
 
-def peer_medians(metrics: DataFrame) -> DataFrame:
-    """Per sector, exact medians of the ratios within their bounds and the peers that have a usable one."""
-    usable = {c: F.when(F.col(c).between(*b), F.col(c)) for c, b in BOUNDS.items()}
-    some = F.coalesce(*usable.values()).isNotNull()
-    return metrics.where(some).groupBy("sector").agg(F.count(F.lit(1)).alias("n_peers"), *[F.median(v).alias(f"median_{c}") for c, v in usable.items()])
+    n_peers counts the peers with a usable ratio, peers lists them in order. A target is no peer of its own. Every target
+    has a row; without a usable peer its medians are null.
+    """
+    usable = {c: F.when(F.lit(True) if b is None else (F.col(c) > b[0]) & (F.col(c) < b[1]), F.nanvl(F.col(c), F.lit(None))) for c, b in BOUNDS.items()}
+    known = ratios.select(F.col("ticker").alias("peer"), *[v.alias(c) for c, v in usable.items()]).where(F.coalesce(*BOUNDS).isNotNull())
+    pairs = peers.select("target", "peer").distinct()
+    found = pairs.where("target <> peer").join(known, "peer").groupBy("target").agg(F.count(F.lit(1)).alias("n_peers"), F.sort_array(F.collect_list("peer")).alias("peers"), *[F.median(c).alias(f"median_{c}") for c in BOUNDS])
+    return pairs.select("target").distinct().join(found, "target", "left").withColumns({"n_peers": F.coalesce("n_peers", F.lit(0)), "peers": F.coalesce("peers", F.array().cast("array<string>"))})
 
 
-def relative_value(metrics: DataFrame) -> DataFrame:
-    """Each company's forward P/E against its sector's median: rich over 1.30, cheap under 0.75, else in line."""
-    joined = metrics.join(peer_medians(metrics).select("sector", "median_forward_pe"), "sector")
+def relative_value(peers: DataFrame, ratios: DataFrame) -> DataFrame:
+    """Each target against its peers' medians: forward P/E rich over 1.30 times, cheap under 0.75, else in line;
+    revenue growth and profit margin by difference: faster or slower by over 0.05, higher or lower by over 0.05."""
+    own = ratios.select(F.col("ticker").alias("target"), "forward_pe", "revenue_growth", "profit_margins")
+    joined = peer_medians(peers, ratios).join(own, "target")
     ratio = F.col("forward_pe") / F.nullif("median_forward_pe", F.lit(0.0))
-    return joined.select("ticker", "sector", ratio.alias("ratio"), F.when(ratio > 1.30, "rich").when(ratio < 0.75, "cheap").when(ratio.isNotNull(), "in_line").otherwise("unknown").alias("label"))
+    gap = lambda c: F.col(c) - F.col(f"median_{c}")
+    side = lambda x, up, down: F.when(x > 0.05, up).when(x < -0.05, down).when(x.isNotNull(), "in_line").otherwise("unknown")
+    return joined.select("target", "n_peers", ratio.alias("ratio"), F.when(ratio > 1.30, "rich").when(ratio < 0.75, "cheap").when(ratio.isNotNull(), "in_line").otherwise("unknown").alias("value"), side(gap("revenue_growth"), "faster", "slower").alias("growth"), side(gap("profit_margins"), "higher", "lower").alias("margin"))

@@ -31,13 +31,17 @@ def latest_credibility(scorecards: DataFrame) -> DataFrame:
 def scorecard_as_of(as_ofs: DataFrame, scorecards: DataFrame) -> DataFrame:
     """(as_of, creator_id, hit_rate_lower_ci) of each creator's newest scorecard computed by as_of.
 
-    A scorecard holds from its computation until the creator's next one; as_ofs are a dimension bounded by the
-    calendar, so they are broadcast and met by range.
+    A scorecard holds from its computation until the creator's next one. Cards are laid over the days that they hold, up
+    to the last as_of, and met by an equi-join on the day; on the days of a change the hour decides.
     """
-    w = Window.partitionBy("creator_id").orderBy("computed_at", "scorecard_id")
-    spans = scorecards.withColumn("until", F.lead("computed_at").over(w))
     times = as_ofs.select("as_of").distinct()
-    return spans.join(F.broadcast(times), (F.col("computed_at") <= F.col("as_of")) & (F.col("until").isNull() | (F.col("until") > F.col("as_of")))).select("as_of", "creator_id", "hit_rate_lower_ci")
+    end = times.agg(F.max(F.to_date("as_of")).alias("_end"))  # one row
+    w = Window.partitionBy("creator_id").orderBy("computed_at", "scorecard_id")
+    held = scorecards.withColumn("until", F.lead("computed_at").over(w)).crossJoin(F.broadcast(end))
+    last = F.least(F.coalesce(F.to_date("until"), F.col("_end")), F.col("_end"))
+    held = held.where(F.to_date("computed_at") <= last).withColumn("_day", F.explode(F.sequence(F.to_date("computed_at"), last)))
+    met = held.join(F.broadcast(times.withColumn("_day", F.to_date("as_of"))), "_day")  # as_ofs: bounded by the calendar
+    return met.where((F.col("computed_at") <= F.col("as_of")) & (F.col("until").isNull() | (F.col("until") > F.col("as_of")))).select("as_of", "creator_id", "hit_rate_lower_ci")
 
 
 def ticker_signals(calls: DataFrame, claims: DataFrame, scorecards: DataFrame, window_end) -> DataFrame:
@@ -169,9 +173,15 @@ def coverage_flags(tickers: DataFrame, calls: DataFrame, claims: DataFrame) -> D
     return out.na.fill(False)
 
 
+#: States of a review.
+REVIEW_STATES = ("unreviewed", "confirmed", "rejected", "flagged")
+
+
 def review_calls(calls: DataFrame, reviews: DataFrame) -> DataFrame:
-    """calls with reviews (call_id, manual_status, notes, reviewed_at) applied; notes only where given, no review time when set back to unreviewed, unknown states ignored."""
-    known = reviews.where(F.col("manual_status").isin("unreviewed", "approved", "rejected", "edited"))
+    """calls with reviews (call_id, manual_status, notes, reviewed_at) applied; notes only where given, no review time when
+    set back to unreviewed. An unknown state is an error: the job fails with it when it runs."""
+    state = F.col("manual_status")
+    known = reviews.withColumn("manual_status", F.when(state.isin(*REVIEW_STATES), state).otherwise(F.raise_error(F.concat(F.lit("unknown manual_status "), F.coalesce(state, F.lit("null")))).cast("string")))
     joined = calls.join(known.select("call_id", F.col("manual_status").alias("_s"), F.col("notes").alias("_n"), F.col("reviewed_at").alias("_t")), "call_id", "left")
     state = F.coalesce("_s", "manual_status")
     when = F.when(F.col("_s") == "unreviewed", None).when(F.col("_s").isNotNull(), F.col("_t")).otherwise(F.col("reviewed_at"))
@@ -202,3 +212,45 @@ def labels(tags: DataFrame) -> DataFrame:
 def document_segments(segments: DataFrame, document_id: int) -> DataFrame:
     """a document's segments in time order."""
     return segments.where(F.col("document_id") == document_id).orderBy("start_seconds", "segment_id")
+
+
+#: Setups that mentions can confirm, ages in days of fresh and stale coverage, and the mentions and polarity that count.
+BULLISH_SETUPS = ("strong_uptrend", "uptrend_pullback", "breakout_candidate", "extended_momentum")
+BEARISH_SETUPS = ("downtrend",)
+FRESH_DAYS, STALE_DAYS = 30, 90
+ENOUGH_MENTIONS, SMALL_SAMPLE, CLEAR_POLARITY = 3, 5, 0.1
+
+
+def transcript_context(asked: DataFrame, signals: DataFrame, claims: DataFrame, calls: DataFrame, scorecards: DataFrame) -> DataFrame:
+    """What was said of each asked (ticker, as_of, setup_type) by then, and whether it confirms the setup.
+
+    asked has one row per ticker. Accepted claims and calls count from whenever until as_of. The polarity is that of the
+    newest 30d claims_all signal by as_of or, without one, the mean over claims of the last 30 days. Creators are
+    calibrated when any scorecard gives them a lower bound. Each table meets the asked tickers by one equi-join.
+    """
+    one = asked.select("ticker", "as_of")
+    both = claims.where("status = 'accepted'").select("ticker", "creator_id", "posted_at", polarity_value(F.col("polarity")).alias("p"), F.lit(1).alias("claim")).unionByName(
+        calls.where("status = 'accepted'").select("ticker", "creator_id", "posted_at", F.lit(None).cast("double").alias("p"), F.lit(0).alias("claim"))
+    )
+    calibrated = scorecards.where("hit_rate_lower_ci is not null").select("creator_id", F.lit(True).alias("calibrated")).distinct()
+    said = both.join(one, "ticker").where("posted_at <= as_of").join(calibrated, "creator_id", "left")
+    lately = F.col("posted_at") >= F.col("as_of") - F.expr("interval 30 days")
+    told = said.groupBy("ticker").agg(
+        F.sum("claim").alias("n_claims"), F.sum(1 - F.col("claim")).alias("n_calls"), F.max("posted_at").alias("most_recent_at"), F.count_distinct("creator_id").alias("n_creators"),
+        F.count_distinct(F.when(F.col("calibrated"), F.col("creator_id"))).alias("n_calibrated"), F.avg(F.when(lately, F.col("p"))).alias("_recent"),
+    )
+    heard = signals.join(one, "ticker").where("window_end <= as_of")
+    newest = F.when((F.col("window_size") == "30d") & (F.col("signal_type") == "claims_all"), F.struct("window_end", "net_polarity", "credibility_weighted"))
+    slots = heard.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_signals"), F.max(newest).alias("_s"))
+    out = asked.join(told, "ticker", "left").join(slots, "ticker", "left").na.fill(0, ["n_claims", "n_calls", "n_creators", "n_calibrated", "n_signals"])
+    mentions, days = F.col("n_claims") + F.col("n_calls"), F.floor((F.unix_timestamp("as_of") - F.unix_timestamp("most_recent_at")) / 86400)
+    p = F.coalesce("_s.net_polarity", "_recent")
+    sided = lambda sign: F.when(p * sign > CLEAR_POLARITY, "confirms").when(p * sign < -CLEAR_POLARITY, "contradicts").otherwise("irrelevant")
+    verdict = F.when(F.col("setup_type").isin(*BULLISH_SETUPS), sided(1)).when(F.col("setup_type").isin(*BEARISH_SETUPS), sided(-1)).otherwise("irrelevant")
+    return out.withColumns(
+        {
+            "days_since": days, "coverage": F.when(days.isNull(), "absent").when(days <= FRESH_DAYS, "fresh").when(days <= STALE_DAYS, "stale").otherwise("historical_only"),
+            "net_polarity_30d": p, "weighted_polarity_30d": F.col("_s.credibility_weighted"), "has_data": (mentions > 0) | (F.col("n_signals") > 0), "small_sample": mentions < SMALL_SAMPLE,
+            "verdict": F.when(p.isNotNull() & (mentions >= ENOUGH_MENTIONS), verdict).otherwise("unknown"),
+        }
+    ).drop("_recent", "_s")

@@ -119,9 +119,9 @@ def _(t):
     return O.leakage_audit(t.calls, outcomes(t), t.bars)
 
 
-@query("j12_pending_calls", "SELECT call_id FROM calls c WHERE status='accepted' AND NOT EXISTS (SELECT 1 FROM outcomes o WHERE o.call_id=c.call_id)", BASE, OUTCOMES)
+@query("j12_pending_calls", "SELECT call_id FROM calls c WHERE status='accepted' AND call_id NOT IN (SELECT call_id FROM outcomes WHERE horizon='21d' AND status='evaluated')", BASE, OUTCOMES)
 def _(t):
-    return O.pending_calls(t.calls, outcomes(t)).select("call_id")
+    return O.pending_calls(t.calls, outcomes(t).where("horizon = '21d' and status = 'evaluated'")).select("call_id")
 
 
 @query("a4_creator_scorecards", f"SELECT creator_id, window_label, horizon, n_calls, n_activated, n_unique_tickers, {r6(*CARD_VALUES)} FROM cards", BASE, SCORECARDS)

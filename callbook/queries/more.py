@@ -50,11 +50,11 @@ def _(t):
     return rows.select("ticker", "ts", "field", "value", "unit", F.size("missing").alias("n_missing"))
 
 
-@query("f9_review_calls", "SELECT call_id, CASE call_id%5 WHEN 0 THEN 'approved' WHEN 1 THEN 'unreviewed' ELSE 'edited' END AS manual_status, CASE WHEN call_id%5=0 THEN 'good' ELSE 'old' END AS notes, call_id%5<>1 AS reviewed FROM calls", ("calls",))
+@query("f9_review_calls", "SELECT call_id, CASE call_id%5 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'unreviewed' WHEN 2 THEN 'rejected' WHEN 3 THEN 'flagged' ELSE 'flagged' END AS manual_status, CASE WHEN call_id%5=0 THEN 'good' ELSE 'old' END AS notes, call_id%5<>1 AS reviewed FROM calls", ("calls",))
 def _(t):
-    calls = t.calls.withColumns({"manual_status": F.lit("edited"), "notes": F.lit("old"), "reviewed_at": F.col("posted_at")})
-    kind = F.when(F.col("call_id") % 5 == 0, "approved").when(F.col("call_id") % 5 == 1, "unreviewed").otherwise("nonsense")
-    reviews = t.calls.select("call_id", kind.alias("manual_status"), F.when(F.col("call_id") % 5 == 0, "good").alias("notes"), F.col("posted_at").alias("reviewed_at"))
+    calls = t.calls.withColumns({"manual_status": F.lit("flagged"), "notes": F.lit("old"), "reviewed_at": F.col("posted_at")})
+    kind = F.get(F.array(*map(F.lit, G.REVIEW_STATES)), F.array_position(F.array(F.lit(1), F.lit(0), F.lit(2), F.lit(3)), (F.col("call_id") % 5).cast("int")).cast("int") - 1)
+    reviews = t.calls.where("call_id % 5 < 4").select("call_id", kind.alias("manual_status"), F.when(F.col("call_id") % 5 == 0, "good").alias("notes"), F.col("posted_at").alias("reviewed_at"))
     return G.review_calls(calls, reviews).select("call_id", "manual_status", "notes", F.col("reviewed_at").isNotNull().alias("reviewed"))
 
 

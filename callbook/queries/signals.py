@@ -132,9 +132,9 @@ def _(t):
     return B.latest_close(t.calls, t.bars, "posted_at").select("call_id", "close", "close_ts")
 
 
-@query("j8_scorecard_asof", f"SELECT a.as_of, s.creator_id, round(arg_max(coalesce(s.hit_rate_lower_ci,-1), (s.computed_at, s.scorecard_id)),6)+0.0e0 AS lower_ci FROM (SELECT market_close AS as_of FROM sessions WHERE session_date BETWEEN TIMESTAMP '2000-01-03' AND TIMESTAMP '2000-03-01') a JOIN scorecards s ON s.computed_at<=a.as_of GROUP BY 1,2", ("sessions", "scorecards"))
+@query("j8_scorecard_asof", f"SELECT a.as_of, s.creator_id, round(arg_max(coalesce(s.hit_rate_lower_ci,-1), (s.computed_at, s.scorecard_id)),6)+0.0e0 AS lower_ci FROM (SELECT min(market_close) AS as_of, min(session_date) AS k FROM sessions GROUP BY isoyear(session_date), week(session_date)) a JOIN scorecards s ON s.computed_at<=a.as_of GROUP BY 1,2", ("sessions", "scorecards"))
 def _(t):
-    days = C.rebalance_dates(t.sessions, "2000-01-03", "2000-03-01", "daily")
+    days = C.rebalance_dates(t.sessions, "1900-01-01", "2100-01-01")
     return G.scorecard_as_of(days, t.scorecards).select("as_of", "creator_id", F.coalesce("hit_rate_lower_ci", F.lit(-1.0)).alias("lower_ci"))
 
 
@@ -190,9 +190,9 @@ def _(t):
     return C.rebalance_dates(t.sessions, "1999-11-01", "2000-06-30")
 
 
-@query("f4_tradeable", "SELECT DISTINCT a.as_of, b.ticker FROM (SELECT market_close AS as_of, session_date AS k FROM sessions WHERE session_date BETWEEN TIMESTAMP '2000-01-03' AND TIMESTAMP '2000-03-01') a JOIN bars b ON b.ts<=a.k AND b.ts>=date_trunc('day', a.as_of-INTERVAL 14 DAY) WHERE coalesce(b.volume,0)>=1000", ("bars", "sessions"))
+@query("f4_tradeable", "SELECT DISTINCT a.as_of, b.ticker FROM (SELECT min(market_close) AS as_of, min(session_date) AS k FROM sessions GROUP BY isoyear(session_date), week(session_date)) a JOIN bars b ON b.ts<=a.k AND b.ts>=date_trunc('day', a.as_of-INTERVAL 14 DAY) WHERE coalesce(b.volume,0)>=1000", ("bars", "sessions"))
 def _(t):
-    days = C.rebalance_dates(t.sessions, "2000-01-03", "2000-03-01", "daily").select("as_of")
+    days = C.rebalance_dates(t.sessions, "1900-01-01", "2100-01-01").select("as_of")
     return B.tradeable(C.knowable_through(days, t.sessions), t.bars)
 
 

@@ -56,9 +56,9 @@ _decisions("c9", "bullish_catalyst")
 _decisions("c10", "creator_consensus")
 
 
-@query("k4_top_fraction", "SELECT as_of, count(*) AS n FROM mm GROUP BY 1", T5, FRAMES)
+@query("k4_top_fraction", "SELECT as_of, ticker FROM mm", T5, FRAMES)
 def _(t):
-    return X.mention_momentum(frames(t)).groupBy("as_of").agg(F.count(F.lit(1)).alias("n"))
+    return X.mention_momentum(frames(t)).select("as_of", "ticker")
 
 
 @query("c11_simulated_trades", f"SELECT strategy, as_of, ticker, direction, entry_at, exit_at, regime_at_entry, {r6('entry_price','exit_price','return_pct','benchmark_return_pct')} FROM curve", T5, FRAMES)
@@ -111,10 +111,10 @@ def _(t):
     return X.benchmark_curve(t.bars, BENCHMARK, "2000-01-03", "2000-12-31")
 
 
-@query("w22_cagr", "SELECT ticker, round(pow(arg_max(close,ts)/arg_min(close,ts), 365.25e0/date_diff('day', min(ts)::DATE, max(ts)::DATE))-1,6) AS cagr FROM bars GROUP BY 1", ("bars",))
+@query("w22_cagr", "SELECT ticker, CASE WHEN d>=30 THEN round(pow(b/a, 365.25e0/d)-1,6)+0.0e0 END AS cagr FROM (SELECT ticker, arg_max(close,ts) AS b, arg_min(close,ts) AS a, date_diff('day', min(ts)::DATE, max(ts)::DATE) AS d FROM bars GROUP BY 1) x", ("bars",))
 def _(t):
-    ends = t.bars.groupBy("ticker").agg(F.max_by("close", "ts").alias("b"), F.min_by("close", "ts").alias("a"), F.date_diff(F.max("ts"), F.min("ts")).alias("d"))
-    return ends.select("ticker", (F.pow(F.col("b") / F.col("a"), F.lit(365.25) / F.col("d")) - 1).alias("cagr"))
+    ends = t.bars.groupBy("ticker").agg((F.max_by("close", "ts") / F.min_by("close", "ts")).alias("final"), F.date_diff(F.max("ts"), F.min("ts")).alias("days"))
+    return ends.select("ticker", X.cagr(F.col("final"), F.col("days")).alias("cagr"))
 
 
 @query("a9_calibration", f"""SELECT lens_name AS strategy, bucket, n, {r6('mean_score','hit_rate','gap','max_gap','brier','slope','intercept')}, flagged FROM (

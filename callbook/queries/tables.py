@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from callbook.functions import text as X
@@ -40,11 +41,15 @@ def _(t):
     return P.fold_ledger(t.trades).select("ticker", "quantity", "cost_basis", "realized")
 
 
-@query("c14_validate_ledger", "SELECT ticker, 'oversell' AS error FROM ledger WHERE ticker IN ('T01','T02')", ("trades", "bars"), LEDGER)
+@query("c14_validate_ledger", """SELECT ticker, error FROM (SELECT l.ticker, CASE n%3 WHEN 0 THEN CASE WHEN l.quantity<1000000 THEN 'oversell' END WHEN 1 THEN CASE WHEN TIMESTAMP '1990-01-01' + INTERVAL 1 DAY * CAST(18000+n AS int) > TIMESTAMP '2030-01-01' THEN 'future trade' END END AS error
+ FROM (SELECT *, CAST(substr(ticker,2) AS int) AS n FROM ledger) l) x WHERE error IS NOT NULL""", ("trades", "bars"), LEDGER)
 def _(t):
-    last = t.trades.where("ticker in ('T01', 'T02')").groupBy("ticker").agg(F.max_by("id", F.struct("traded_at", "id")).alias("id"))
-    edits = t.trades.join(last, ["ticker", "id"]).withColumns({"side": F.lit("sell"), "quantity": F.lit(1e9)}).select(t.trades.columns)
-    return P.validate_ledger(t.trades, edits, "2030-01-01 00:00:00")
+    # every ticker gets one more trade: a large sale, a purchase in a future that some of them only reach, or a small purchase
+    k = F.substring("ticker", 2, 2).cast("int")
+    days = F.when(k % 3 == 1, 18000 + k).otherwise(14000)
+    newest = t.trades.groupBy("ticker").agg(F.max("id").alias("id"), F.first("currency").alias("currency"))
+    edits = newest.select((-F.col("id")).alias("id"), "ticker", F.when(k % 3 == 0, "sell").otherwise("buy").alias("side"), F.when(k % 3 == 0, 1e6).otherwise(1.0).alias("quantity"), F.lit(1.0).alias("price_per_share"), "currency", F.lit(0.0).alias("fees"), (F.lit("1990-01-01").cast("timestamp") + F.make_dt_interval(days)).alias("traded_at"))
+    return P.validate_ledger(t.trades, edits.select(t.trades.columns), "2030-01-01 00:00:00")
 
 
 @query("c15_positions", "SELECT ticker, round(market_value,3) AS market_value, round(unrealized,3) AS unrealized, round(day_change,3) AS day_change FROM view", ("trades", "bars"), LEDGER, 3)
@@ -85,7 +90,7 @@ def _(t):
 
 
 SCREEN = """sc AS (SELECT *, coalesce(forward_pe<25,false) OR coalesce(peg_ratio>0 AND peg_ratio<1.5e0,false) OR coalesce(ev_to_ebitda>0 AND ev_to_ebitda<15,false) AS pass_value,
- coalesce(revenue_growth>0.15e0 AND earnings_growth IS NOT NULL AND (earnings_growth>0 OR earnings_inflecting),false) AS pass_growth,
+ coalesce(revenue_growth>0.15e0 AND earnings_growth IS NOT NULL AND (earnings_growth>0 OR coalesce(revenue_growth_qoq>revenue_growth,false)),false) AS pass_growth,
  coalesce(gross_margin>0.4e0 AND return_on_equity>0.15e0 AND debt_to_equity<1,false) AS pass_quality,
  coalesce(price_vs_sma_200>0 AND price_vs_sma_200<=0.3e0 AND rs_vs_benchmark>0,false) AS pass_technical FROM metrics)"""
 
@@ -95,19 +100,27 @@ def _(t):
     return S.screen(t.metrics).select("ticker", "pass_value", "pass_growth", "pass_quality", "pass_technical", "n_passed")
 
 
-@query("t24_flags", "SELECT ticker, CASE WHEN forward_pe<12.5e0 AND revenue_growth<0 THEN 'cheap_for_a_reason|' ELSE '' END || CASE WHEN days_to_earnings BETWEEN 0 AND 14 THEN 'earnings_in_' || CAST(days_to_earnings AS varchar) || 'd|' ELSE '' END || CASE WHEN price_vs_sma_200>0.3e0 THEN 'extended_above_200d|' ELSE '' END AS flags FROM metrics", ("metrics",))
+@query("t24_flags", "SELECT ticker, CASE WHEN (coalesce(forward_pe<25,false) OR coalesce(peg_ratio>0 AND peg_ratio<1.5e0,false) OR coalesce(ev_to_ebitda>0 AND ev_to_ebitda<15,false)) AND earnings_growth<0 THEN 'cheap_for_a_reason|' ELSE '' END || CASE WHEN days_to_earnings BETWEEN 0 AND 30 THEN 'earnings_in_' || CAST(days_to_earnings AS varchar) || 'd|' ELSE '' END || CASE WHEN price_vs_sma_200>0.3e0 THEN 'extended_above_200d|' ELSE '' END AS flags FROM metrics", ("metrics",))
 def _(t):
     return S.screen(t.metrics).select("ticker", F.array_join(F.transform("flags", lambda x: F.concat(x, F.lit("|"))), "").alias("flags"))
 
 
-@query("a18_peer_medians", f"SELECT sector, n_peers, {r6('median_forward_pe','median_peg_ratio','median_revenue_growth','median_gross_margin')} FROM (SELECT sector, count(*) AS n_peers, median(forward_pe) FILTER (WHERE forward_pe BETWEEN -200 AND 500) AS median_forward_pe, median(peg_ratio) FILTER (WHERE peg_ratio BETWEEN -50 AND 50) AS median_peg_ratio, median(revenue_growth) FILTER (WHERE revenue_growth BETWEEN -2 AND 5) AS median_revenue_growth, median(gross_margin) FILTER (WHERE gross_margin BETWEEN -2 AND 5) AS median_gross_margin FROM metrics WHERE coalesce(forward_pe, peg_ratio, revenue_growth, gross_margin) IS NOT NULL GROUP BY 1) x", ("metrics",))
+RATIOS = {"forward_pe": (-200, 500), "trailing_pe": (-200, 500), "peg": (-50, 50), "price_to_sales": (0, 200), "revenue_growth": (-2, 5), "profit_margins": (-2, 5), "operating_margins": (-2, 5)}
+_SANE = ", ".join(f"CASE WHEN {c}>{a} AND {c}<{b} THEN {c} END AS {c}" for c, (a, b) in RATIOS.items())
+MEDIANS = f"""sane AS (SELECT * FROM (SELECT ticker, {_SANE}, market_cap FROM ratios) x WHERE coalesce({', '.join([*RATIOS, 'market_cap'])}) IS NOT NULL),
+med AS (SELECT p.target, count(s.ticker) AS n_peers, list_sort(list(s.ticker) FILTER (WHERE s.ticker IS NOT NULL)) AS peer_list, {', '.join(f'median(s.{c}) AS median_{c}' for c in [*RATIOS, 'market_cap'])} FROM peers p LEFT JOIN sane s ON s.ticker=p.peer AND p.peer<>p.target GROUP BY 1)"""
+
+
+@query("a18_peer_medians", f"SELECT target, n_peers, coalesce(array_to_string(peer_list, ','), '') AS peers, {r6(*[f'median_{c}' for c in [*RATIOS, 'market_cap']])} FROM med", ("peers", "ratios"), MEDIANS)
 def _(t):
-    return S.peer_medians(t.metrics)
+    return S.peer_medians(t.peers, t.ratios).withColumn("peers", F.array_join("peers", ","))
 
 
-@query("t27_relative_value", "SELECT ticker, sector, round(r,6) AS ratio, CASE WHEN r>1.3e0 THEN 'rich' WHEN r<0.75e0 THEN 'cheap' WHEN r IS NOT NULL THEN 'in_line' ELSE 'unknown' END AS label FROM (SELECT ticker, sector, forward_pe/nullif(m,0) AS r FROM metrics JOIN (SELECT sector, median(forward_pe) AS m FROM metrics GROUP BY 1) USING (sector)) x", ("metrics",))
+@query("t27_relative_value", """SELECT target, n_peers, round(r,6) AS ratio, CASE WHEN r>1.3e0 THEN 'rich' WHEN r<0.75e0 THEN 'cheap' WHEN r IS NOT NULL THEN 'in_line' ELSE 'unknown' END AS value,
+ CASE WHEN g>0.05e0 THEN 'faster' WHEN g< -0.05e0 THEN 'slower' WHEN g IS NOT NULL THEN 'in_line' ELSE 'unknown' END AS growth, CASE WHEN m>0.05e0 THEN 'higher' WHEN m< -0.05e0 THEN 'lower' WHEN m IS NOT NULL THEN 'in_line' ELSE 'unknown' END AS margin
+ FROM (SELECT target, n_peers, r.forward_pe/nullif(median_forward_pe,0) AS r, r.revenue_growth-median_revenue_growth AS g, r.profit_margins-median_profit_margins AS m FROM med JOIN ratios r ON r.ticker=target) x""", ("peers", "ratios"), MEDIANS)
 def _(t):
-    return S.relative_value(t.metrics)
+    return S.relative_value(t.peers, t.ratios)
 
 
 @query("t1_clean_text", "SELECT document_id, segment_id, trim(regexp_replace(regexp_replace(replace(text, chr(160), ' '), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g'), '\\s+', ' ', 'g')) AS text FROM segments", ("segments",))
@@ -129,14 +142,14 @@ MENTIONED = "ment AS (SELECT document_id, segment_id, regexp_extract_all(text, '
 
 @query("t3_detect_tickers", "SELECT document_id, segment_id, array_to_string(found, ',') AS tickers FROM ment WHERE len(found)>0", ("segments",), MENTIONED)
 def _(t):
-    m = t.segments.withColumn("m", X.detector(universe())(F.col("text"))).where(F.size("m") > 0)
+    m = t.segments.withColumn("m", X.detector(universe(), letters="[A-Z0-9]")(F.col("text"))).where(F.size("m") > 0)
     return m.select("document_id", "segment_id", F.array_join(F.transform("m", lambda x: x["ticker"]), ",").alias("tickers"))
 
 
-@query("t4_unique_tickers", "SELECT document_id, segment_id, len(list_distinct(found)) AS n FROM ment WHERE len(found)>0", ("segments",), MENTIONED)
+@query("t4_unique_tickers", "SELECT document_id, segment_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(found), lambda x: {'p': list_position(found, x), 'x': x})), lambda y: y.x), ',') AS tickers FROM ment WHERE len(found)>0", ("segments",), MENTIONED)
 def _(t):
-    m = t.segments.withColumn("m", X.detector(universe())(F.col("text"))).where(F.size("m") > 0)
-    return m.select("document_id", "segment_id", F.size(X.unique_tickers(F.col("m"))).cast("long").alias("n"))
+    m = t.segments.withColumn("m", X.detector(universe(), letters="[A-Z0-9]")(F.col("text"))).where(F.size("m") > 0)
+    return m.select("document_id", "segment_id", F.array_join(X.unique_tickers(F.col("m")), ",").alias("tickers"))
 
 
 @query("t7_hedges", r"SELECT document_id, segment_id, regexp_matches(text, '(?i)\b(could|might|may(?:be)?|probably|possibly|likely|unlikely|should|would|seems|appears|i\s+think)\b') AS hedged FROM segments WHERE text IS NOT NULL", ("segments",))
@@ -144,10 +157,14 @@ def _(t):
     return t.segments.where("text is not null").select("document_id", "segment_id", X.has_hedge(F.col("text")).alias("hedged"))
 
 
-@query("t6_evidence", "SELECT document_id, segment_id, true AS there, false AS absent FROM segments WHERE length(trim(text))>10", ("segments",))
+_SQUASHED = "trim(regexp_replace(lower({}), '\\s+', ' ', 'g'))"
+
+
+@query("t6_evidence", f"SELECT document_id, segment_id, length({_SQUASHED.format('quote')})>0 AND contains({_SQUASHED.format('text')}, {_SQUASHED.format('quote')}) AS there FROM (SELECT document_id, segment_id, coalesce(text,'') AS text, coalesce(upper(substr(lead(text) OVER (PARTITION BY document_id ORDER BY segment_id), 3, 4)), '') AS quote FROM segments) x", ("segments",))
 def _(t):
-    rows = t.segments.where("length(trim(text)) > 10")
-    return rows.select("document_id", "segment_id", X.evidence_in_source(F.upper(F.substring(F.trim("text"), 1, 8)), F.col("text")).alias("there"), X.evidence_in_source(F.lit("@@@ not there"), F.col("text")).alias("absent"))
+    # a few characters of the next segment, in another case
+    quote = F.upper(F.substring(F.lead("text").over(Window.partitionBy("document_id").orderBy("segment_id")), 3, 4))
+    return t.segments.withColumn("quote", quote).select("document_id", "segment_id", X.evidence_in_source(F.col("quote"), F.col("text")).alias("there"))
 
 
 @query("t12_confidence", "SELECT call_id, round(greatest(0.0e0, least(1.0e0, 0.6e0*final_confidence+0.4e0*(1-0.25e0*CAST(target_price IS NULL AS int))+least(0.1e0, 0.025e0*(CAST(entry_price IS NOT NULL AS int)+CAST(target_price IS NOT NULL AS int)+CAST(stop_price IS NOT NULL AS int))))),6) AS confidence FROM calls", ("calls",))
@@ -168,7 +185,7 @@ def _(t):
 
 @query("c16_candidate_windows")
 def _(t):
-    return X.candidate_windows(t.segments, X.detector(universe()))
+    return X.candidate_windows(t.segments, X.detector(universe(), letters="[A-Z0-9]"))
 
 
 @query("io1_clean_bars", "SELECT ticker, count(*) AS n, round(sum(close),4) AS total FROM bars GROUP BY 1", ("bars",), digits=4)

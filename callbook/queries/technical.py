@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from callbook.functions import setup as U
@@ -96,13 +97,17 @@ def _(t):
     return I.swings(t.bars).withColumns({"bar_no": F.col("bar_no").cast("long"), "confirmed_no": F.col("confirmed_no").cast("long")})
 
 
-@query("w15_nearest_levels", f"""SELECT ticker, round(price_now,6) AS price_now, round(support,6) AS support, round(resistance,6) AS resistance, n_highs, n_lows, round(price_now/support-1,6)+0.0e0 AS support_distance, round(resistance/price_now-1,6)+0.0e0 AS resistance_distance FROM (
- SELECT n.ticker, n.close AS price_now, max(price) FILTER (WHERE price<close) AS support, min(price) FILTER (WHERE price>close) AS resistance, least(5, count(*) FILTER (WHERE kind='high')) AS n_highs, least(5, count(*) FILTER (WHERE kind='low')) AS n_lows
- FROM (SELECT * FROM nb WHERE bar_no=n_bars-20) n JOIN swings s ON s.ticker=n.ticker AND s.bar_no+5<=n.bar_no AND s.bar_no>n.bar_no-252 GROUP BY 1,2) x""", ("bars",), SWINGS)
+_NEWEST = "array_to_string(list_transform(list_sort(list(price) FILTER (WHERE kind='{}' AND k<=5)), lambda x: printf('%.8f', x)), ',')"
+
+
+@query("w15_nearest_levels", f"""SELECT ticker, round(price_now,6) AS price_now, round(support,6) AS support, round(resistance,6) AS resistance, coalesce(highs,'') AS highs, coalesce(lows,'') AS lows, round(price_now/support-1,6)+0.0e0 AS support_distance, round(resistance/price_now-1,6)+0.0e0 AS resistance_distance FROM (
+ SELECT ticker, close AS price_now, max(price) FILTER (WHERE price<close) AS support, min(price) FILTER (WHERE price>close) AS resistance, {_NEWEST.format('high')} AS highs, {_NEWEST.format('low')} AS lows
+ FROM (SELECT n.ticker, n.close, s.price, s.kind, row_number() OVER (PARTITION BY n.ticker, s.kind ORDER BY s.bar_no DESC) AS k FROM (SELECT * FROM nb WHERE bar_no=n_bars-20) n JOIN swings s ON s.ticker=n.ticker AND s.bar_no+5<=n.bar_no AND s.bar_no>n.bar_no-252) y GROUP BY 1,2) x""", ("bars",), SWINGS)
 def _(t):
     at = t.bars.groupBy("ticker").agg((F.count(F.lit(1)) - 20).alias("as_of_no"))
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.format_string("%.8f", x)), ",")
     out = I.nearest_levels(t.bars, at)
-    return out.select("ticker", F.col("at").alias("price_now"), "support", "resistance", F.size("swing_highs").cast("long").alias("n_highs"), F.size("swing_lows").cast("long").alias("n_lows"), "support_distance", "resistance_distance")
+    return out.select("ticker", F.col("at").alias("price_now"), "support", "resistance", text("swing_highs").alias("highs"), text("swing_lows").alias("lows"), "support_distance", "resistance_distance")
 
 
 REGIME = f"reg AS (SELECT ts, CASE WHEN c IS NULL THEN 'unknown' WHEN c>0.02e0 THEN 'up' WHEN c<-0.02e0 THEN 'down' ELSE 'flat' END AS regime FROM (SELECT ts, close/lag(close,21) OVER (ORDER BY ts)-1 AS c FROM bars WHERE ticker='T00') x)"
@@ -150,15 +155,85 @@ def _(t):
     return rows.select("ticker", "n_bars", F.array_join(U.freshness(F.col("n_bars"), F.col("last"), F.lit("2001-12-20 00:00:00").cast("timestamp")), "").alias("notes"))
 
 
-@query("c6_scan", "SELECT u.ticker, coalesce(split_part(s.setup,' ',1),'insufficient_data') AS setup_type, round(s.close,6) AS close FROM (SELECT DISTINCT ticker FROM bars UNION SELECT 'ZZZ') u LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) AS k FROM setups WHERE ts<=TIMESTAMP '2000-06-30') s ON s.ticker=u.ticker AND s.k=1", ("bars",), SETUP)
+def status_sql(where: str = "") -> str:
+    """Styles, status and action of panel rows by the rules' own words: st (one row per ticker and bar), from SETUP and EMA21."""
+    fits = {
+        "momentum_breakout": "CASE WHEN brk AND tight AND leads THEN 3 WHEN (brk OR near) AND (tight OR leads) THEN 2 ELSE 1 END",
+        "trend_pullback": "CASE WHEN kind='uptrend_pullback' THEN CASE WHEN at_mean THEN 3 ELSE 2 END WHEN kind='strong_uptrend' THEN CASE WHEN pulled THEN 2 ELSE 1 END WHEN ma_alignment='bullish_stack' AND pulled THEN 2 ELSE 1 END",
+        "mean_reversion": "CASE WHEN kind='range_bound' AND rsi_14<=30 THEN 3 WHEN kind='range_bound' AND rsi_14>=70 THEN 2 WHEN rsi_14<=30 AND kind IN ('uptrend_pullback','strong_uptrend') THEN 2 ELSE 1 END",
+        "base_breakout": "CASE WHEN shallow AND near AND kind IN ('breakout_candidate','strong_uptrend') THEN 3 WHEN shallow THEN 2 ELSE 1 END",
+        "relative_strength_leader": "CASE WHEN rs_63>0.05e0 AND rs_126>0.1e0 THEN CASE WHEN up THEN 3 ELSE 2 END WHEN rs_63>0.03e0 AND kind IN ('strong_uptrend','uptrend_pullback') THEN 2 ELSE 1 END",
+        "not_suitable_now": "CASE WHEN kind IN ('downtrend','high_volatility_unstable','low_liquidity','insufficient_data','extended_momentum','unclear') THEN 3 ELSE 1 END",
+    }
+    preferred = "CASE WHEN kind IN ('strong_uptrend','uptrend_pullback') THEN 'trend_pullback' WHEN kind='breakout_candidate' THEN 'momentum_breakout' WHEN kind='extended_momentum' THEN 'relative_strength_leader' WHEN kind='range_bound' THEN 'mean_reversion' ELSE 'not_suitable_now' END"
+    first = "".join(f"WHEN f_{n}=top THEN '{n}' " for n in fits)
+    return f"""rec AS (SELECT ticker, bar_no, close AS e FROM b1 WHERE bar_no=1 UNION ALL SELECT n.ticker, n.bar_no, n.close*2/22.0e0+r.e*20/22.0e0 FROM rec r JOIN b1 n ON n.ticker=r.ticker AND n.bar_no=r.bar_no+1),
+st0 AS (SELECT p.*, rs_63, rs_126, split_part(s.setup,' ',1) AS kind, split_part(s.setup,' ',2) AS sure, CASE WHEN p.bar_no>=21 THEN e END AS ema_21 FROM panel p JOIN setups s USING (ticker, ts) LEFT JOIN rs USING (ticker, ts) JOIN rec ON rec.ticker=p.ticker AND rec.bar_no=p.bar_no {where}),
+st1 AS (SELECT *, kind='breakout_candidate' AS brk, kind IN ('strong_uptrend','uptrend_pullback','breakout_candidate') AS up, coalesce(breakout_63 BETWEEN -0.05e0 AND 0.02e0,false) AS near, coalesce(consolidation_20<=0.05e0,false) AS tight, coalesce(rs_63>0,false) AS leads,
+ coalesce(pullback_63 BETWEEN 0.04e0 AND 0.18e0,false) AS pulled, coalesce(close/ema_21-1 BETWEEN -0.06e0 AND 0.04e0,false) OR coalesce(dist_sma_50 BETWEEN -0.08e0 AND 0.04e0,false) AS at_mean, coalesce((base_high_60-base_low_60)/base_high_60<0.2e0,false) AS shallow FROM st0),
+st2 AS (SELECT *, {', '.join(f'{f} AS f_{n}' for n, f in fits.items())}, {preferred} AS preferred FROM st1),
+st3 AS (SELECT *, greatest({', '.join(f'f_{n}' for n in fits)}) AS top, greatest({', '.join(f'f_{n}' for n in fits if n != 'not_suitable_now')}) AS best, CAST(ma_alignment='bullish_stack' AS int)+CAST(coalesce(sma_50_slope_21>0,false) AS int) AS hi FROM st2),
+st4 AS (SELECT *, CAST(leads AS int)+CAST(base_low_60 IS NOT NULL AS int)+CAST(best>=2 AS int) AS mid, CAST(coalesce(rsi_14 BETWEEN 40 AND 70,false) AS int) AS lo,
+ CASE WHEN top=1 THEN NULL WHEN CASE preferred {''.join(f"WHEN '{n}' THEN f_{n} " for n in fits)}END=top THEN preferred {first}END AS primary_style FROM st3),
+st5 AS (SELECT *, CASE WHEN kind='insufficient_data' THEN 'insufficient_data' WHEN kind IN ('low_liquidity','high_volatility_unstable','downtrend') THEN 'skip_for_now' WHEN kind='extended_momentum' THEN 'extended_risk'
+  WHEN up AND hi=2 AND mid>=1 AND best=3 THEN 'research_candidate' WHEN up AND hi>=1 THEN 'watch' WHEN kind IN ('range_bound','unclear') THEN 'wait_for_setup' ELSE 'watch' END AS status,
+ CASE WHEN kind IN ('insufficient_data','unclear') THEN 'low' WHEN kind IN ('low_liquidity','high_volatility_unstable','downtrend','extended_momentum') THEN 'medium' WHEN up AND hi=2 AND mid>=1 AND best=3 THEN CASE WHEN mid>=2 THEN 'high' ELSE 'medium' END WHEN up AND hi>=1 THEN 'medium' WHEN kind='range_bound' THEN 'medium' ELSE 'low' END AS status_confidence,
+ CASE WHEN kind IN ('insufficient_data','low_liquidity','high_volatility_unstable') THEN 0.0e0 WHEN kind='downtrend' THEN CAST(coalesce(sma_50_slope_21>0,false) AS int)/2.0e0 WHEN kind='extended_momentum' THEN CAST(coalesce(rsi_14<=75,false) AS int)/2.0e0 ELSE (hi+mid+lo)/6.0e0 END AS pass_rate,
+ close IS NOT NULL AND atr_14 IS NOT NULL AND (kind='breakout_candidate' OR ((kind='uptrend_pullback' OR (kind='strong_uptrend' AND pulled_some)) AND coalesce(ema_21,sma_50) IS NOT NULL) OR kind='range_bound') AS available FROM (SELECT *, coalesce(pullback_63>=0.04e0,false) AS pulled_some FROM st4) q),
+st AS (SELECT *, CASE status WHEN 'insufficient_data' THEN 'N/A' WHEN 'skip_for_now' THEN 'AVOID' WHEN 'extended_risk' THEN 'REDUCE' WHEN 'research_candidate' THEN CASE WHEN status_confidence='high' AND available THEN 'BUY' WHEN status_confidence IN ('high','medium') THEN 'ACCUMULATE' ELSE 'HOLD' END WHEN 'watch' THEN CASE WHEN status_confidence='high' THEN 'HOLD' ELSE 'WAIT' END ELSE 'WAIT' END AS action FROM st5)"""
+
+
+def judged(t):
+    panel = R.research_panel(t.bars, BENCHMARK).join(I.ema(t.bars, (21,)).select("ticker", "ts", "ema_21"), ["ticker", "ts"])
+    return R.judged(panel)
+
+
+_FITS = " || ".join(f"CAST(f_{n} AS varchar)" for n in U.STYLES)
+
+
+@query("t15_style_fit", f"SELECT ticker, ts, {_FITS} AS fits, primary_style FROM st", ("bars",), f"{SETUP}, {status_sql()}")
+def _(t):
+    level = F.transform("style_fit", lambda x: F.when(x["fit_level"] == "high", "3").when(x["fit_level"] == "medium", "2").otherwise("1"))
+    return judged(t).select("ticker", "ts", F.array_join(level, "").alias("fits"), "primary_style")
+
+
+@query("t16_status", f"SELECT ticker, ts, status, status_confidence, {r6('pass_rate')} FROM st", ("bars",), f"{SETUP}, {status_sql()}")
+def _(t):
+    return judged(t).select("ticker", "ts", "status", "status_confidence", "pass_rate")
+
+
+@query("t17_action", "SELECT ticker, ts, action, available FROM st", ("bars",), f"{SETUP}, {status_sql()}")
+def _(t):
+    return judged(t).select("ticker", "ts", "action", "available")
+
+
+AS_OF = "2000-06-30"
+SCAN = f"""{SETUP}, {status_sql(f"WHERE p.ts<=TIMESTAMP '{AS_OF}'")},
+asked AS (SELECT DISTINCT ticker FROM bars UNION SELECT 'ZZZ'),
+scanned AS (SELECT a.ticker, coalesce(kind,'insufficient_data') AS setup_type, coalesce(sure,'low') AS setup_confidence, coalesce(status,'insufficient_data') AS status, coalesce(status_confidence,'low') AS status_confidence, CASE WHEN s.ticker IS NULL THEN 'not_suitable_now' ELSE primary_style END AS primary_style, coalesce(action,'N/A') AS action, close
+ FROM asked a LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) AS k FROM st) s ON s.ticker=a.ticker AND s.k=1)"""
+
+
+def scanned(t):
+    return R.scan(t.bars.select("ticker").union(t.spark.sql("select ' zzz'")), t.bars, BENCHMARK, AS_OF)
+
+
+@query("c6_scan", "SELECT ticker, setup_type, setup_confidence, status, status_confidence, primary_style, action, round(close,6) AS close FROM scanned", ("bars",), SCAN)
+def _(t):
+    return scanned(t).select("ticker", "setup_type", "setup_confidence", "status", "status_confidence", "primary_style", "action", "close")
+
+
+@query("k2_rank_scan", """SELECT ticker, row_number() OVER (ORDER BY CASE status WHEN 'research_candidate' THEN 0 WHEN 'watch' THEN 1 WHEN 'extended_risk' THEN 2 WHEN 'wait_for_setup' THEN 3 WHEN 'skip_for_now' THEN 4 ELSE 5 END,
+ CASE status_confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, CASE setup_confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, CASE WHEN primary_style<>'not_suitable_now' THEN 0 ELSE 1 END, ticker) AS place FROM scanned""", ("bars",), SCAN)
 def _(t):
-    return R.scan(t.bars.select("ticker").union(t.spark.sql("select 'ZZZ'")), t.bars, BENCHMARK, "2000-06-30").select("ticker", "setup_type", "close")
+    # one row per requested ticker: numbering them in one task is bounded by the request
+    rows = scanned(t).select("ticker", F.monotonically_increasing_id().alias("_at"))
+    return rows.select("ticker", F.row_number().over(Window.orderBy("_at")).cast("long").alias("place"))
 
 
-@query("a20_scan_counts", "SELECT count(*) AS n, count(*) FILTER (WHERE setup LIKE 'insufficient%' OR setup IS NULL) AS n_insufficient, count(*) FILTER (WHERE setup LIKE 'uptrend_pullback%' OR setup LIKE 'breakout%') AS n_candidates FROM (SELECT DISTINCT ticker FROM bars UNION SELECT 'ZZZ') u LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) AS k FROM setups WHERE ts<=TIMESTAMP '2000-06-30') s ON s.ticker=u.ticker AND s.k=1", ("bars",), SETUP)
+@query("a20_scan_counts", "SELECT count(*) AS n, count(*) FILTER (WHERE status='research_candidate') AS n_research_candidates, count(*) FILTER (WHERE status='watch') AS n_watch, count(*) FILTER (WHERE status='skip_for_now') AS n_skip, count(*) FILTER (WHERE status='insufficient_data') AS n_insufficient FROM scanned", ("bars",), SCAN)
 def _(t):
-    rows = R.scan(t.bars.select("ticker").union(t.spark.sql("select 'ZZZ'")), t.bars, BENCHMARK, "2000-06-30")
-    return R.scan_counts(rows)
+    return R.scan_counts(scanned(t))
 
 
 @query("c20_regime_split", f"SELECT creator_id, regime, n, hits, {r6('mean_return')} FROM (SELECT creator_id, coalesce(r.regime,'unknown') AS regime, count(*) AS n, count(*) FILTER (WHERE return_pct>0) AS hits, avg(return_pct) AS mean_return FROM (SELECT o.*, c.creator_id, date_trunc('day', c.posted_at) AS d FROM outcomes o JOIN calls c USING (call_id) WHERE o.status='evaluated' AND o.horizon='5d') x ASOF LEFT JOIN reg r ON r.ts<=x.d GROUP BY 1,2) y", ("bars", "sessions", "calls"), f"{OUTCOMES}, {REGIME}")

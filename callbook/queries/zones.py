@@ -40,13 +40,14 @@ def _(t):
     return out.select("ticker", "setup_type", "available", F.col("zone.low").alias("zlow"), F.col("zone.invalidation").alias("inv"), "risk_pct", "risk_atrs", "reward_risk")
 
 
-@query("t20_rr_distribution", """SELECT ticker, count(*) AS n, round(min(b),6) AS low, round(median(b),6) AS middle, round(max(b),6) AS high FROM (
- SELECT ticker, rp/3+rr*2/3 AS b FROM (SELECT ticker, round_even((p-(c+1))/(c-i),2) AS rp, round_even((r-(c+1))/(c-i),2) AS rr FROM q, (SELECT unnest([1.0e0,2.0e0]) AS dp) a, (SELECT unnest([3.0e0,5.0e0]) AS dr) b2, (SELECT unnest([1.0e0,2.5e0]) AS di) d, LATERAL (SELECT c+10*dp AS p, c+10*dr AS r, c-4*di AS i) l) z WHERE c_ok) y GROUP BY 1""".replace(" WHERE c_ok", "").replace("rp/3+rr*2/3 AS b", "round_even(rp/3+rr*2/3,2) AS b"), ("bars",), "q AS (SELECT ticker, max(close) AS c FROM bars GROUP BY 1)")
+@query("t20_rr_distribution", """SELECT ticker, count(*) AS n, round(min(b),6) AS low, round_even(median(b),2) AS middle, round(max(b),6) AS high FROM (
+ SELECT ticker, CASE WHEN rr IS NULL THEN rp ELSE round_even(rp/3+rr*2/3,2) END AS b FROM (
+  SELECT ticker, round_even(greatest(0.0e0,c+10*dp-(c+1))/(c-(c-4*di)),2) AS rp, CASE WHEN dr IS NOT NULL THEN round_even(greatest(0.0e0,c+10*dr-(c+1))/(c-(c-4*di)),2) END AS rr FROM q, (SELECT unnest([0.0e0,1.0e0,2.0e0]) AS dp) a, (SELECT unnest([-1.0e0,3.0e0,5.0e0,NULL]) AS dr) b2, (SELECT unnest([-1.0e0,1.0e0,2.5e0]) AS di) d WHERE di>0) z WHERE rp>0) y GROUP BY 1""", ("bars",), "q AS (SELECT ticker, max(close) AS c FROM bars GROUP BY 1)")
 def _(t):
     top = t.bars.groupBy("ticker").agg(F.max("close").alias("c"))
     band = lambda x: F.struct(x.alias("low"), (x + 1).alias("high"))
     c = F.col("c")
-    plans = top.select("ticker", F.array(band(c)).alias("entries"), F.array(band(c + 10), band(c + 20)).alias("primaries"), F.array(band(c + 30), band(c + 50)).alias("runners"), F.array(c - 4, c - 10).alias("invalidations"))
+    plans = top.select("ticker", F.array(band(c)).alias("entries"), F.array(band(c), band(c + 10), band(c + 20)).alias("primaries"), F.array(band(c - 10), band(c + 30), band(c + 50)).alias("runners"), F.array(c + 4, c - 4, c - 10).alias("invalidations"))
     return Z.rr_distribution(plans)
 
 
@@ -65,7 +66,7 @@ def _(t):
     return rows.select("call_id", F.concat(F.when(F.array_contains(d, "target_evidence"), "target_evidence").otherwise(""), F.when(F.array_contains(d, "entry_price"), "+entry_price").otherwise("")).alias("defects"))
 
 
-SLICE = "ao AS (SELECT market_close-INTERVAL 2 HOUR AS as_of, (SELECT max(session_date) FROM sessions s2 WHERE s2.market_close<=s.market_close-INTERVAL 2 HOUR) AS k FROM sessions s WHERE session_date BETWEEN TIMESTAMP '2000-03-01' AND TIMESTAMP '2000-03-07')"
+SLICE = "ao AS (SELECT as_of, coalesce(k0, date_trunc('day', as_of)) AS k FROM (SELECT market_close-INTERVAL 2 HOUR AS as_of, (SELECT max(session_date) FROM sessions s2 WHERE s2.market_close<=s.market_close-INTERVAL 2 HOUR) AS k0 FROM (SELECT *, row_number() OVER (PARTITION BY isoyear(session_date), week(session_date) ORDER BY session_date) AS w FROM sessions) s WHERE w=1) q)"
 
 
 @query("f2_knowable_slice", "SELECT as_of, ticker, count(*) AS n_bars, max(ts) AS last_ts FROM ao JOIN bars b ON b.ts<=ao.k AND b.ts>=ao.as_of-INTERVAL 30 DAY GROUP BY 1,2", ("bars", "sessions"), SLICE)
@@ -84,8 +85,8 @@ def _(t):
 
 
 def _as_ofs(t):
-    # two hours before the close: that session's own bar is not knowable yet
-    days = C.rebalance_dates(t.sessions, "2000-03-01", "2000-03-07", "daily").select((F.col("as_of") - F.expr("interval 2 hours")).alias("as_of"))
+    # every week of the calendar, two hours before the close: that session's own bar is not knowable yet
+    days = C.rebalance_dates(t.sessions, "1900-01-01", "2100-01-01").select((F.col("as_of") - F.expr("interval 2 hours")).alias("as_of"))
     return C.knowable_through(days, t.sessions)
 
 

@@ -1,11 +1,13 @@
-"""Streaming forms of the daily jobs (ST1-ST4)."""
+"""Streaming forms of the daily jobs (ST1-ST5)."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from callbook.plans.signals import WINDOW_DAYS, polarity_value
 
@@ -24,19 +26,60 @@ def continuous_signals(claims: DataFrame, size: str = "1d", late: str = "2 days"
     return out.select("ticker", F.col("w.end").alias("window_end"), F.lit(size).alias("window_size"), "n_mentions", "n_creators", "net_polarity")
 
 
+def _table_at(spark: SparkSession, path: str, schema) -> DataFrame | None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    return spark.read.schema(schema).parquet(path) if there else None
+
+
 def evaluate_batches(evaluate: Callable[[DataFrame], DataFrame], path: str) -> Callable[[DataFrame, int], None]:
-    """ST3: a foreachBatch function that evaluates a batch's calls and appends outcomes of keys not yet in the table at path."""
+    """ST3: a foreachBatch function that evaluates a batch's calls and appends outcomes of keys not yet in the table at path.
+
+    What the table holds decides, not the batch's number: a batch that comes again, or a query started anew over the same
+    table, appends nothing twice.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        found = evaluate(batch)
-        spark = batch.sparkSession
-        held = spark.read.schema(found.schema).parquet(path) if batch_id else None
+        found = evaluate(batch).dropDuplicates(["call_id", "horizon"])
+        held = _table_at(batch.sparkSession, path, found.schema)
         fresh = found if held is None else found.join(held.select("call_id", "horizon"), ["call_id", "horizon"], "left_anti")
         fresh.write.mode("append").parquet(path)
 
     return run
 
 
+POSITION = "ticker string, quantity double, cost_basis double, realized double, rejected long"
+
+
+def live_positions(trades: DataFrame) -> DataFrame:
+    """ST5: after each batch, the positions of the tickers that traded in it (update mode), folded at average cost.
+
+    trades: ticker, side, quantity, price_per_share, fees, traded_at, id. The state of a ticker is its quantity, cost and
+    realized gain; trades of a batch are folded in order of time and id. Sells beyond what is held, and unknown sides,
+    change nothing and are counted as rejected. Trades of later batches follow those of earlier ones.
+    """
+
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        quantity, basis, realized, rejected = state.get if state.exists else (0.0, 0.0, 0.0, 0)
+        batch = pd.concat(list(frames)).sort_values(["traded_at", "id"])
+        for side, n, price, fees in zip(batch["side"], batch["quantity"], batch["price_per_share"], batch["fees"].fillna(0.0), strict=True):
+            if side == "buy":
+                quantity, basis = quantity + n, basis + n * price + fees
+            elif side == "sell" and n <= quantity + 1e-9:
+                cost = basis * n / quantity if quantity else 0.0
+                realized += n * price - fees - cost
+                quantity, basis = quantity - n, basis - cost
+                if abs(quantity) <= 1e-9:
+                    quantity, basis = 0.0, 0.0
+            else:
+                rejected += 1
+        state.update((quantity, basis, realized, rejected))
+        yield pd.DataFrame([(*key, quantity, basis, realized, rejected)], columns=["ticker", "quantity", "cost_basis", "realized", "rejected"])
+
+    state = "quantity double, cost_basis double, realized double, rejected long"
+    return trades.groupBy("ticker").applyInPandasWithState(fold, POSITION, state, "update", GroupStateTimeout.NoTimeout)
+
+
 def pauses(segments: DataFrame, gap: str = "3 seconds", late: str = "1 minute") -> DataFrame:
     """ST4: stretches of speech per document, closed by a pause longer than the gap. segments hold spoken_at timestamps."""
     rows = segments.withWatermark("spoken_at", late).groupBy("document_id", F.session_window("spoken_at", gap).alias("s"))

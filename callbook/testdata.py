@@ -81,7 +81,7 @@ SELECT concat('P', CAST(p_partkey AS string)) AS ticker, p_name AS name, p_brand
  CASE WHEN p_partkey%7=0 THEN NULL ELSE (p_partkey%45)*1.0e0-3 END AS ev_to_ebitda,
  CASE WHEN p_partkey%17=0 THEN NULL ELSE (p_partkey%50)/100.0e0-0.1e0 END AS revenue_growth,
  CASE WHEN p_partkey%19=0 THEN NULL ELSE (p_partkey%60)/100.0e0-0.2e0 END AS earnings_growth,
- p_partkey%3=0 AS earnings_inflecting,
+ CASE WHEN p_partkey%17=0 OR p_partkey%43=0 THEN NULL ELSE (p_partkey%50)/100.0e0-0.1e0+(p_partkey%5-2)/100.0e0 END AS revenue_growth_qoq,
  CASE WHEN p_partkey%23=0 THEN NULL ELSE (p_partkey%80)/100.0e0 END AS gross_margin,
  CASE WHEN p_partkey%29=0 THEN NULL ELSE (p_partkey%35)/100.0e0 END AS return_on_equity,
  CASE WHEN p_partkey%31=0 THEN NULL ELSE (p_partkey%25)/10.0e0 END AS debt_to_equity,
@@ -89,6 +89,26 @@ SELECT concat('P', CAST(p_partkey AS string)) AS ticker, p_name AS name, p_brand
  CASE WHEN p_partkey%41=0 THEN NULL ELSE (p_partkey%30)/100.0e0-0.1e0 END AS rs_vs_benchmark,
  CASE WHEN p_partkey%5=0 THEN NULL ELSE CAST(p_partkey%120 AS int)-3 END AS days_to_earnings
 FROM {part}""",
+    # up to six peers of each company; a company stands among its own
+    "peers": """
+SELECT concat('P', CAST(p_partkey AS string)) AS target, concat('P', CAST(p_partkey+7*j AS string)) AS peer FROM {part} CROSS JOIN (VALUES (0),(1),(2),(3),(4),(5),(6)) AS v(j)""",
+    "ratios": """
+SELECT concat('P', CAST(p_partkey AS string)) AS ticker, CASE WHEN p_partkey%13=0 THEN NULL WHEN p_partkey%47=0 THEN 9999.0e0 WHEN p_partkey%53=0 THEN 500.0e0 ELSE 5.0e0+p_size END AS forward_pe,
+ CASE WHEN p_partkey%6=0 THEN NULL ELSE 3.0e0+p_size END AS trailing_pe, CASE WHEN p_partkey%11=0 THEN NULL ELSE (p_partkey%130)/1.0e0-60 END AS peg, (p_partkey%260)/1.0e0 AS price_to_sales,
+ CASE WHEN p_partkey%17=0 THEN NULL ELSE (p_partkey%50)/100.0e0-0.1e0 END AS revenue_growth, CASE WHEN p_partkey%9=0 THEN NULL ELSE (p_partkey%80)/100.0e0-0.2e0 END AS profit_margins,
+ CASE WHEN p_partkey%8=0 THEN 7.0e0 ELSE (p_partkey%60)/100.0e0 END AS operating_margins, CASE WHEN p_partkey%10=0 THEN NULL ELSE p_retailprice*1000000 END AS market_cap
+FROM {part} WHERE p_partkey%19<>0""",
+    # what a model took from passages: some of it unfounded
+    "raw_calls": """
+SELECT document_id*1000+segment_id AS raw_id, text AS source, CASE WHEN segment_id%7=6 THEN 'ZZ' ELSE concat('T0', CAST(document_id%9 AS string)) END AS ticker,
+ CASE WHEN segment_id%5=4 THEN 'never said' ELSE concat('buy   $t0', CAST(document_id%9 AS string)) END AS ticker_evidence, CASE WHEN document_id%6=5 THEN NULL ELSE 'Above' END AS direction_evidence,
+ CASE document_id%4 WHEN 0 THEN 'limit' WHEN 1 THEN 'market' WHEN 2 THEN 'trigger_above' ELSE 'unspecified' END AS entry_type, 100.0e0+segment_id AS entry_price, CASE WHEN document_id%3=0 THEN 'elsewhere' ELSE concat('above ', CAST(100+segment_id AS string), ' now') END AS entry_evidence,
+ CASE WHEN document_id%5=0 THEN NULL ELSE 300.0e0 END AS target_price, 'now.' AS target_evidence, CASE WHEN document_id%2=0 THEN 95.0e0 END AS stop_price, CASE WHEN document_id%8=0 THEN '' ELSE 'now' END AS stop_evidence,
+ CASE WHEN document_id%4<2 THEN 'swing' ELSE 'unspecified' END AS timeframe, 0.3e0+0.1e0*(document_id%7) AS overall_confidence, CASE document_id%3 WHEN 0 THEN NULL WHEN 1 THEN 110.0e0 ELSE 250.0e0 END AS market_price
+FROM {segments} WHERE (document_id+segment_id)%4=0""",
+    "raw_claims": """
+SELECT document_id*1000+segment_id AS raw_id, text AS source, CASE document_id%5 WHEN 0 THEN NULL WHEN 1 THEN 'ZZ' ELSE 'T10' END AS ticker, CASE WHEN segment_id%6=5 THEN 'not there' WHEN segment_id%2=0 THEN 'may  BREAK out' ELSE 'target' END AS evidence_quote,
+ CASE WHEN document_id%3=0 THEN 'opinion' ELSE 'factual' END AS claim_class, 0.05e0+0.1e0*(document_id%9) AS overall_confidence FROM {segments} WHERE (document_id+segment_id)%4=1""",
     # transcripts: one document per conversation
     "segments": """
 SELECT conv_id AS document_id, turn AS segment_id, 4.0e0*turn+CASE WHEN turn%5=4 THEN 2.5e0 ELSE 0.0e0 END AS start_seconds, 4.0e0*turn+3.0e0 AS end_seconds,

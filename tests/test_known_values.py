@@ -3,6 +3,7 @@
 from datetime import datetime as D
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from callbook.functions import setup, stats, text
@@ -10,7 +11,9 @@ from callbook.operators import bars as B
 from callbook.operators import indicators as I
 from callbook.plans import outcomes as O
 from callbook.plans import portfolio as P
+from callbook.plans import research as R
 from callbook.plans import scoring as S
+from callbook.plans import screener as SC
 from callbook.plans import signals as G
 from callbook.plans import strategies as X
 from callbook.sources import tables as IO
@@ -143,10 +146,15 @@ def test_segments_merge_and_split(spark):
 
 
 def test_mentions(spark):
-    detect = text.detector({"NVDA": "Nvidia", "AMD": "AMD", "AAPL": "Apple"}, {"in video": "NVDA"}, stop=("AI",))
-    df = spark.createDataFrame([("Buy $NVDA and AMD; AI helps apple, in video and a m d.",), (None,)], "t string")
-    first, second = [r["m"] for r in df.select(detect("t").alias("m")).collect()]
-    assert [(m["ticker"], m["method"]) for m in first] == [("NVDA", "dollar"), ("AMD", "cased"), ("AAPL", "name"), ("NVDA", "alias"), ("AMD", "spelled")] and second == []
+    detect = text.detector({"NVDA": "Nvidia", "AMD": "AMD", "AAPL": "Apple", "AI": "C3", "BRK-B": "Berkshire Hathaway", "ON": "Onsemi", "IT": "Gartner"}, {"in video": "NVDA"})
+    cases = {
+        "Buy $NVDA and AMD; AI helps apple, in video and a m d.": [("NVDA", "dollar"), ("AMD", "cased"), ("AI", "cased"), ("AAPL", "name"), ("NVDA", "alias"), ("AMD", "spelled")],
+        "go ON with IT": [], "$BRK.B or BRK.B": [("BRK-B", "dollar"), ("BRK-B", "cased")], "N V D A": [("NVDA", "spelled")], "$ON it goes": [("ON", "dollar")], None: [],
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    for r in df.select("t", detect("t").alias("m")).collect():
+        assert [(m["ticker"], m["method"]) for m in r["m"]] == cases[r["t"]], r["t"]
+        assert all(r["t"][m["start"] : m["end"]] == m["matched"] for m in r["m"])
 
 
 def test_calibration_needs_enough_rows(spark):
@@ -156,10 +164,41 @@ def test_calibration_needs_enough_rows(spark):
 
 
 def test_reviews(spark):
-    calls = spark.createDataFrame([(1, "unreviewed", None, None), (2, "approved", "x", day(1)), (3, "approved", None, day(1))], "call_id long, manual_status string, notes string, reviewed_at timestamp")
-    reviews = spark.createDataFrame([(1, "approved", "good", day(2)), (2, "unreviewed", None, day(2)), (3, "nonsense", "y", day(2))], "call_id long, manual_status string, notes string, reviewed_at timestamp")
+    schema = "call_id long, manual_status string, notes string, reviewed_at timestamp"
+    calls = spark.createDataFrame([(1, "unreviewed", None, None), (2, "confirmed", "x", day(1)), (3, "flagged", None, day(1))], schema)
+    reviews = spark.createDataFrame([(1, "confirmed", "good", day(2)), (2, "unreviewed", None, day(2))], schema)
     got = {r["call_id"]: (r["manual_status"], r["notes"], r["reviewed_at"]) for r in G.review_calls(calls, reviews).collect()}
-    assert got == {1: ("approved", "good", day(2)), 2: ("unreviewed", "x", None), 3: ("approved", None, day(1))}
+    assert got == {1: ("confirmed", "good", day(2)), 2: ("unreviewed", "x", None), 3: ("flagged", None, day(1))}
+    with pytest.raises(Exception, match="unknown manual_status approved"):
+        G.review_calls(calls, spark.createDataFrame([(3, "approved", None, day(2))], schema)).collect()
+
+
+def test_flags_and_peers(spark):
+    metrics = "ticker string, forward_pe double, peg_ratio double, ev_to_ebitda double, earnings_growth double, days_to_earnings int, price_vs_sma_200 double"
+    rows = [("A", 20.0, None, None, -0.1, 30, 0.3), ("B", 40.0, 1.0, None, -0.1, 31, 0.31), ("C", 40.0, -1.0, -2.0, -0.1, -1, None), ("D", 10.0, None, None, 0.1, 0, None), ("E", None, None, None, -0.5, None, None)]
+    got = {r["ticker"]: r["f"] for r in spark.createDataFrame(rows, metrics).select("ticker", SC.flags(SC.ScreenConfig()).alias("f")).collect()}
+    assert got == {"A": ["cheap_for_a_reason", "earnings_in_30d"], "B": ["cheap_for_a_reason", "extended_above_200d"], "C": [], "D": ["earnings_in_0d"], "E": []}
+    ratios = spark.createDataFrame([("X", 10.0, 0.5), ("Y", 20.0, 0.1), ("Z", 500.0, None), ("T", 40.0, 0.1)], "ticker string, forward_pe double, profit_margins double")
+    ratios = ratios.withColumns({c: F.lit(None).cast("double") for c in SC.BOUNDS if c not in ratios.columns})
+    peers = spark.createDataFrame([("T", p) for p in ("X", "Y", "Z", "T", "none")] + [("U", "none")], "target string, peer string")
+    got = {r["target"]: r for r in SC.peer_medians(peers, ratios).collect()}
+    assert got["T"]["peers"] == ["X", "Y"] and got["T"]["median_forward_pe"] == 15.0 and got["U"]["n_peers"] == 0 and got["U"]["median_forward_pe"] is None
+    r = SC.relative_value(peers, ratios).first()
+    assert (r["value"], r["margin"], r["growth"]) == ("rich", "lower", "unknown")
+
+
+def test_status_chain(spark):
+    """A healthy pullback is a candidate; without relative strength and style it is watched; blockers decide alone."""
+    base = dict(bar_no=300, close=100.0, setup_type="uptrend_pullback", setup_confidence="medium", ma_alignment="bullish_stack", sma_50_slope_21=0.02, rs_63=0.04, rs_126=0.02, rsi_14=55.0, breakout_63=-0.08, consolidation_20=0.07, pullback_63=0.08, dist_sma_50=0.01, sma_50=99.0, ema_21=99.5, base_low_60=85.0, base_high_60=109.0, recent_high_63=109.0, atr_14=2.0, support=95.0, resistance=108.0, n=0)
+    rows = [base, base | {"n": 1, "ema_21": 120.0, "dist_sma_50": 0.2, "rs_63": -0.1}, base | {"n": 2, "setup_type": "downtrend", "sma_50_slope_21": -0.01}, base | {"n": 3, "setup_type": "range_bound", "rsi_14": 28.0}, base | {"n": 4, "setup_type": "extended_momentum", "rsi_14": 80.0}, base | {"n": 5, "setup_type": "insufficient_data"}, base | {"n": 6, "sma_50_slope_21": None, "ma_alignment": "mixed"}]
+    got = {r["n"]: r for r in R.judged(spark.createDataFrame([Row(**r) for r in rows])).collect()}
+    state = {n: (r["status"], r["status_confidence"], r["action"], r["primary_style"]) for n, r in got.items()}
+    assert state[0] == ("research_candidate", "high", "BUY", "trend_pullback") and got[0]["pass_rate"] == 1.0
+    assert state[1] == ("watch", "medium", "WAIT", "trend_pullback")
+    assert state[2] == ("skip_for_now", "medium", "AVOID", "not_suitable_now") and got[2]["pass_rate"] == 0.0
+    assert state[3] == ("wait_for_setup", "medium", "WAIT", "mean_reversion")
+    assert state[4] == ("extended_risk", "medium", "REDUCE", "not_suitable_now")
+    assert state[5][0] == "insufficient_data" and state[5][2] == "N/A" and state[6][:2] == ("watch", "low")
 
 
 def test_sources(spark, tmp_path):

@@ -30,10 +30,30 @@ def test_signals_match_batch(spark, tmp_path):
 
 
 def test_only_new_outcomes_are_appended(spark, tmp_path):
-    run = streams.evaluate_batches(lambda df: df.selectExpr("id as call_id", "'5d' as horizon"), str(tmp_path / "o"))
+    path = str(tmp_path / "o")
+    run = streams.evaluate_batches(lambda df: df.selectExpr("id as call_id", "'5d' as horizon"), path)
     run(spark.range(5), 0)
     run(spark.range(3, 8), 1)
-    assert spark.read.parquet(str(tmp_path / "o")).count() == 8
+    run(spark.range(5), 0)  # a retry, or a query started anew
+    streams.evaluate_batches(lambda df: df.selectExpr("id as call_id", "'5d' as horizon"), path)(spark.range(9), 0)
+    assert sorted(r["call_id"] for r in spark.read.parquet(path).collect()) == list(range(9))
+
+
+def test_live_positions_match_the_folded_ledger(spark, tmp_path):
+    from callbook.plans import portfolio as P
+
+    schema = "id long, ticker string, side string, quantity double, price_per_share double, currency string, fees double, traded_at timestamp"
+    rows = [(k, f"T{k % 3}", "sell" if k % 4 == 3 else "buy", 0.5 if k % 4 == 3 else float(1 + k % 5), 10.0 + k, "USD", 0.5, D(2026, 5, 1 + k // 3)) for k in range(45)]
+    for n in range(3):
+        spark.createDataFrame(rows[15 * n : 15 * n + 15], schema).coalesce(1).write.parquet(str(tmp_path / f"t/{n}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "t"))
+    q = streams.live_positions(stream).writeStream.format("memory").queryName("live").outputMode("update").trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    last = {r["ticker"] for r in spark.table("live").collect()}
+    want = {r["ticker"]: r for r in P.fold_ledger(spark.createDataFrame(rows, schema)).collect()}
+    assert last == set(want)
+    for t, r in want.items():
+        assert any(abs(x["quantity"] - r["quantity"]) < 1e-6 and abs(x["cost_basis"] - r["cost_basis"]) < 1e-6 and abs(x["realized"] - r["realized"]) < 1e-6 for x in spark.table("live").where(f"ticker = '{t}'").collect())
 
 
 def test_pauses(spark, tmp_path):
