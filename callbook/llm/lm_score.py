@@ -35,7 +35,7 @@ from callbook.llm.common import map_arrow, row_key, saved, slices, word_hashes
 WINDOW = 2
 OFFSETS = [o for o in range(-WINDOW, WINDOW + 1) if o]
 COUNTED = 1 << 18
-_STEP = 4096  # tokens per gradient step
+_STEP = 8192  # tokens per gradient step
 
 
 @dataclass
@@ -177,7 +177,7 @@ class Network:
         self.begins, words = begins, len(mass)
         self.class_of = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
         by_class = np.add.reduceat(mass, begins[:-1])
-        self.embed = (rng.normal(size=(len(OFFSETS), words + 1, hidden)) * 0.1).astype(np.float32)
+        self.embed = (rng.normal(size=(words + 1, len(OFFSETS), hidden)) * 0.1).astype(np.float32)
         self.out = (rng.normal(size=(hidden, len(by_class))) * 0.1).astype(np.float32)
         self.bias = np.log(by_class / mass.sum()).astype(np.float32)
         self.word_out = np.zeros((words, hidden), np.float32)
@@ -196,50 +196,69 @@ class Network:
             at += v.size
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        total = self.embed[0][context[0]]
+        rows = self.embed.reshape(-1, self.embed.shape[2])
+        total = np.take(rows, context[0] * len(OFFSETS), 0)
         for k in range(1, len(OFFSETS)):
-            total += self.embed[k][context[k]]
+            total += np.take(rows, context[k] * len(OFFSETS) + k, 0)
         return np.tanh(total, out=total)
 
-    def _by_class(self, target: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-        """First and last id of each class that occurs, and the tokens of it."""
+    def _by_class(self, target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+        """Tokens in the order of their classes, and of each class that occurs its first and last id and its tokens' places in that order."""
         kind = self.class_of[target]
-        order = np.argsort(kind, kind="stable")
+        order = np.argsort(kind.astype(np.int16) if len(self.begins) < 32768 else kind, kind="stable")
         ends = np.cumsum(np.bincount(kind, minlength=len(self.begins) - 1))
-        for c in np.unique(kind).tolist():
-            yield self.begins[c], self.begins[c + 1], order[ends[c - 1] if c else 0 : ends[c]]
+        starts = np.append(0, ends[:-1])
+        return order, [(int(self.begins[c]), int(self.begins[c + 1]), int(starts[c]), int(ends[c])) for c in np.flatnonzero(ends > starts)]
 
     def log_prob(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Of each target id in its context."""
         hidden = self.hidden(context)
         found = _log_share(_logits(hidden, self.out, self.bias), self.class_of[target]).astype(np.float64)
-        for a, b, rows in self._by_class(target):
+        order, classes = self._by_class(target)
+        near, wanted, within = np.take(hidden, order, 0), target[order], np.zeros(len(target))
+        for a, b, i, j in classes:
             if b - a > 1:
-                found[rows] += _log_share(_logits(hidden[rows], self.word_out[a:b].T, self.word_bias[a:b]), target[rows] - a)
+                within[i:j] = _log_share(_logits(near[i:j], self.word_out[a:b].T, self.word_bias[a:b]), wanted[i:j] - a)
+        found[order] += within
         return found
 
-    def step(self, context: np.ndarray, target: np.ndarray, memory: list[np.ndarray], rate: float) -> None:
-        """One AdaGrad step on a slice of tokens."""
-        n = len(target)
+    def step(self, ids: np.ndarray, around: np.ndarray, lo: int, hi: int, memory: list[np.ndarray], rate: float) -> None:
+        """One AdaGrad step on the tokens lo to hi of texts with these ids and contexts."""
+        n, target, context = hi - lo, ids[lo:hi], around[:, lo:hi]
         hidden = self.hidden(context)
         d = _less_target(_logits(hidden, self.out, self.bias), self.class_of[target], n)
         back = d @ self.out.T
-        for a, b, rows in self._by_class(target):
-            if b - a == 1:
-                continue
-            near = hidden[rows]
-            e = _less_target(_logits(near, self.word_out[a:b].T, self.word_bias[a:b]), target[rows] - a, n)
-            back[rows] += e @ self.word_out[a:b]
-            self._move(self.word_out, slice(a, b), memory[3], e.T @ near, rate)
-            self._move(self.word_bias, slice(a, b), memory[4], e.sum(0), rate)
+        order, classes = self._by_class(target)
+        near, wanted, behind = np.take(hidden, order, 0), target[order], np.zeros_like(back)
+        words, bias = np.zeros_like(self.word_out), np.zeros_like(self.word_bias)
+        for a, b, i, j in classes:
+            if b - a > 1:
+                e = _less_target(_logits(near[i:j], self.word_out[a:b].T, self.word_bias[a:b]), wanted[i:j] - a, n)
+                np.matmul(e, self.word_out[a:b], out=behind[i:j])
+                np.matmul(e.T, near[i:j], out=words[a:b])
+                bias[a:b] = e.sum(0)
+        back[order] += behind
         back *= 1 - hidden * hidden
-        for k in range(len(OFFSETS)):  # the rows of words that stand at this offset
-            order = np.argsort(context[k], kind="stable")
-            word = context[k][order]
-            first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-            self._move(self.embed[k], word[first], memory[0][k], np.add.reduceat(back[order], first), rate)
-        self._move(self.out, ..., memory[1], hidden.T @ d, rate)
-        self._move(self.bias, ..., memory[2], d.sum(0), rate)
+        self._learn_contexts(ids, around, lo, hi, back, memory[0], rate)
+        for value, squares, grad in zip(self.values()[1:], memory[1:], (hidden.T @ d, d.sum(0), words, bias), strict=True):
+            self._move(value, ..., squares, grad, rate)
+
+    def _learn_contexts(self, ids: np.ndarray, around: np.ndarray, lo: int, hi: int, back: np.ndarray, squares: np.ndarray, rate: float) -> None:
+        """The embeddings that the tokens lo to hi have read: those of the words from a to b, sorted once for all offsets, and of the pad."""
+        pad, (a, b) = len(self.embed) - 1, (max(0, lo - WINDOW), min(len(ids), hi + WINDOW))
+        grad, beyond = np.zeros((b - a, *self.embed.shape[1:]), np.float32), np.zeros((1, *self.embed.shape[1:]), np.float32)
+        for k, o in enumerate(OFFSETS):
+            i, j = max(lo, a - o), min(hi, b - o)  # tokens whose neighbour at this offset is among a to b
+            inside = (around[k, i:j] != pad)[:, None]
+            grad[i + o - a : j + o - a, k] = back[i - lo : j - lo] * inside
+            beyond[0, k] = back[around[k, lo:hi] == pad].sum(0)
+        near = ids[a:b]
+        order = np.argsort(near, kind="stable")
+        word = near[order]
+        first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        sums = np.add.reduceat(np.take(grad.reshape(b - a, -1), order, 0), first).reshape(-1, *self.embed.shape[1:])
+        self._move(self.embed, word[first], squares, sums, rate)
+        self._move(self.embed, slice(pad, None), squares, beyond, rate)
 
     @staticmethod
     def _move(value: np.ndarray, at, squares: np.ndarray, grad: np.ndarray, rate: float) -> None:
@@ -267,7 +286,7 @@ def train(docs: DataFrame, words: Words, hidden: int, rounds: int, rate: float)
                 ids, _ = known.ids(hashes)
                 around = _contexts(ids, begins, known.pad)
                 for i in range(0, len(ids), _STEP):
-                    net.step(around[:, i : i + _STEP], ids[i : i + _STEP], memory, rate)
+                    net.step(ids, around, i, min(i + _STEP, len(ids)), memory, rate)
                 seen += len(ids)
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([net.parameters().tobytes()]), pa.array([seen])], ["parameters", "tokens"])
