@@ -69,3 +69,27 @@ def test_every_significant_ngram_has_a_weight(spark):
     model = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string, label int"))
     grams, begins = toxicity._ngrams(["xyzvwu"])
     assert np.count_nonzero(model.weights) > 4096 and (model.weights[toxicity._grams_of(grams, 0, int(begins[1]))] != 0).all()
+
+
+def test_counts_match_a_plain_count(spark):
+    """Documents of each class that hold each n-gram, by a hash computed one n-gram at a time."""
+    rows = planted(60, seed=4)
+
+    def buckets(text):
+        x = [int(toxicity._CODE[c]) for c in np.frombuffer(f" {text.lower()} ".encode("utf-16-le"), np.uint16)]
+        held = set()
+        for n in toxicity.SIZES:
+            for i in range(len(x) - n + 1):
+                h = x[i]
+                for c in x[i + 1 : i + n]:
+                    h = (h * 0x9E3779B1 + c) % 2**32
+                held.add((((h ^ (n * 0x5EBCA6B) % 2**32) * 0xC2B2AE35) % 2**32) >> (32 - toxicity.BITS))
+        return held
+
+    want = {}
+    for _, text, y in rows:
+        for b in buckets(text):
+            want.setdefault(b, [0, 0])[y] += 1
+    got = toxicity._counts(spark.createDataFrame(rows, "doc_id long, text string, label int")).collect()
+    assert {r["bucket"]: [r["clean"], r["toxic"]] for r in got if r["bucket"] >= 0} == want
+    assert [(r["clean"], r["toxic"]) for r in got if r["bucket"] < 0] == [(sum(y == 0 for *_, y in rows), sum(y for *_, y in rows))]
