@@ -43,3 +43,9 @@ def test_recall_and_exact_scores(spark):
 def test_empty_and_single(spark):
     assert nearest.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert nearest.nearest(spark.createDataFrame([(20, [1.0])], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_different_vectors_under_one_id(spark):
+    rows = [(20, [0.0, 1.0]), (20, [1.0, 0.0]), (1, [0.0, 2.0]), (2, [3.0, 0.0]), (2, [3.0, 0.0])]
+    got = nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == [(20, 1, 1, 2.0), (20, 2, 2, 0.0)]
