@@ -98,6 +98,23 @@ SELECT concat('P', CAST(p_partkey AS string)) AS ticker, CASE WHEN p_partkey%13=
  CASE WHEN p_partkey%17=0 THEN NULL ELSE (p_partkey%50)/100.0e0-0.1e0 END AS revenue_growth, CASE WHEN p_partkey%9=0 THEN NULL ELSE (p_partkey%80)/100.0e0-0.2e0 END AS profit_margins,
  CASE WHEN p_partkey%8=0 THEN 7.0e0 ELSE (p_partkey%60)/100.0e0 END AS operating_margins, CASE WHEN p_partkey%10=0 THEN NULL ELSE p_retailprice*1000000 END AS market_cap
 FROM {part} WHERE p_partkey%19<>0""",
+    # lines of yearly statements, in millions; some lines, years and values are missing
+    "statements": """
+SELECT concat('P', CAST(p_partkey AS string)) AS ticker, l.statement, l.label, CAST(concat(CAST(2025-y.back AS string), '-12-31') AS date) AS fiscal_end,
+ CASE WHEN (p_partkey+3*l.no+y.back)%13=0 THEN NULL WHEN (p_partkey+l.no+y.back)%41=0 THEN CAST('NaN' AS double) WHEN (p_partkey+l.no)%37=0 THEN 0.0e0
+  ELSE l.base*1000000.0e0*(1+0.01e0*((p_partkey*(l.no+3)+7*y.back)%47)-0.06e0*y.back*(p_partkey%3)) END AS value
+FROM {part} CROSS JOIN (VALUES (0,'financials','Total Revenue',100), (1,'financials','Operating Revenue',90), (2,'financials','Operating Income',20), (3,'financials','Operating Income As Reported',19), (4,'financials','Net Income',10),
+ (5,'financials','Net Income Common Stockholders',9), (6,'cashflow','Free Cash Flow',8), (7,'cashflow','Capital Expenditure',-14), (8,'cashflow','Repurchase Of Capital Stock',-15), (9,'cashflow','Net Common Stock Issuance',4),
+ (10,'balance_sheet','Current Assets',50), (11,'balance_sheet','Current Liabilities',40), (12,'balance_sheet','Total Debt',40), (13,'balance_sheet','Net Debt',25), (14,'balance_sheet','Stockholders Equity',45), (15,'balance_sheet','Common Stock Equity',44),
+ (16,'balance_sheet','Cash And Cash Equivalents',15), (17,'balance_sheet','Ordinary Shares Number',9), (18,'balance_sheet','Goodwill',1)) AS l(no, statement, label, base) CROSS JOIN (VALUES (0),(1),(2),(3)) AS y(back)
+WHERE (p_partkey+l.no)%5<>0 AND p_partkey%(7+y.back)<>0 AND NOT (p_partkey%9=0 AND l.no<6)""",
+    # where posts come from: three channels per creator, some posts without a time
+    "channels": "SELECT DISTINCT c_custkey%75 AS channel_id, c_custkey%25 AS creator_id FROM {customer}",
+    "call_documents": """
+SELECT o_orderkey AS document_id, o_custkey%75 AS channel_id, concat('Post ', CAST(o_orderkey AS string)) AS title,
+ CASE WHEN o_orderkey%12=0 THEN NULL ELSE CAST(o_orderdate AS timestamp) + interval '1' hour * CAST(o_orderkey%24 AS int) END AS posted_at FROM {orders}""",
+    "claim_documents": """
+SELECT event_id AS document_id, user_id%75 AS channel_id, concat('Talk ', CAST(event_id AS string)) AS title, CAST(ts AS timestamp) - interval '8401' day AS posted_at FROM {events}""",
     # what a model took from passages: some of it unfounded
     "raw_calls": """
 SELECT document_id*1000+segment_id AS raw_id, text AS source, CASE WHEN segment_id%7=6 THEN 'ZZ' ELSE concat('T0', CAST(document_id%9 AS string)) END AS ticker,
