@@ -12,42 +12,71 @@ def fold_ledger(trades: DataFrame) -> DataFrame:
     """Per ticker quantity, cost_basis, realized, currency and error, at average cost in the order of (traded_at, id).
 
     The fold runs inside the JVM over a ticker's sorted trades. A ledger that cannot be folded (unknown side, oversell,
-    mixed currency) keeps what it had and names the error instead.
+    mixed currency) keeps what it had and names the error instead. Trades may carry eur_amount, the whole amount in EUR
+    with fees: where every trade of a ticker has one, eur_cost_basis and eur_realized are folded alongside.
     """
-    one = F.struct("traded_at", "id", "side", "quantity", "price_per_share", "fees")
-    rows = trades.groupBy("ticker").agg(F.sort_array(F.collect_list(one)).alias("log"), F.min("currency").alias("currency"), F.count_distinct("currency").alias("_n"))
-    zero = F.struct(F.lit(0.0).alias("qty"), F.lit(0.0).alias("basis"), F.lit(0.0).alias("realized"), F.lit(None).cast("string").alias("error"))
+    if "eur_amount" not in trades.columns:
+        trades = trades.withColumn("eur_amount", F.lit(None).cast("double"))
+    one = F.struct("traded_at", "id", "side", "quantity", "price_per_share", "fees", "eur_amount")
+    rows = trades.groupBy("ticker").agg(
+        F.sort_array(F.collect_list(one)).alias("log"), F.min("currency").alias("currency"), F.count_distinct("currency").alias("_n"), F.count_if(F.col("eur_amount").isNull()).alias("_no_eur"),
+        F.min("traded_at").alias("first_traded_at"), F.max("traded_at").alias("last_traded_at"), F.count(F.lit(1)).alias("n_trades"),
+    )
+    money = ("qty", "basis", "realized", "eur_basis", "eur_realized")
+    state = lambda why, **kw: F.struct(*[kw[m].alias(m) for m in money], why.cast("string").alias("error"))
+    zero = state(F.lit(None), **{m: F.lit(0.0) for m in money})
 
     def step(s, t):
-        q, fees = t["quantity"], F.coalesce(t["fees"], F.lit(0.0))
+        q, fees, eur = t["quantity"], F.coalesce(t["fees"], F.lit(0.0)), F.coalesce(t["eur_amount"], F.lit(0.0))
         amount = q * t["price_per_share"]
-        avg = F.when(s["qty"] > EPS, s["basis"] / s["qty"]).otherwise(0.0)
+        sold_part = lambda basis: q * F.when(s["qty"] > EPS, s[basis] / s["qty"]).otherwise(0.0)
         left = s["qty"] - q
-        closed = left <= EPS
-        bought = F.struct((s["qty"] + q).alias("qty"), (s["basis"] + amount + fees).alias("basis"), s["realized"].alias("realized"), F.lit(None).cast("string").alias("error"))
-        sold = F.struct(F.when(closed, 0.0).otherwise(left).alias("qty"), F.when(closed, 0.0).otherwise(s["basis"] - q * avg).alias("basis"), (s["realized"] + (amount - fees) - q * avg).alias("realized"), F.lit(None).cast("string").alias("error"))
-        failed = lambda why: F.struct(s["qty"].alias("qty"), s["basis"].alias("basis"), s["realized"].alias("realized"), F.lit(why).alias("error"))
+        kept = lambda x: F.when(left <= EPS, 0.0).otherwise(x)
+        bought = state(F.lit(None), qty=s["qty"] + q, basis=s["basis"] + amount + fees, realized=s["realized"], eur_basis=s["eur_basis"] + eur, eur_realized=s["eur_realized"])
+        sold = state(
+            F.lit(None), qty=kept(left), basis=kept(s["basis"] - sold_part("basis")), realized=s["realized"] + (amount - fees) - sold_part("basis"),
+            eur_basis=kept(s["eur_basis"] - sold_part("eur_basis")), eur_realized=s["eur_realized"] + eur - sold_part("eur_basis"),
+        )
+        failed = lambda why: state(F.lit(why), **{m: s[m] for m in money})
         return F.when(s["error"].isNotNull(), s).when(~F.coalesce(t["side"].isin("buy", "sell"), F.lit(False)), failed("unknown side")).when(t["side"] == "buy", bought).when(q > s["qty"] + EPS, failed("oversell")).otherwise(sold)
 
     out = rows.withColumn("s", F.aggregate("log", zero, step))
-    return out.select("ticker", F.col("s.qty").alias("quantity"), F.col("s.basis").alias("cost_basis"), F.col("s.realized").alias("realized"), "currency", F.when(F.col("_n") > 1, "mixed currency").otherwise(F.col("s.error")).alias("error"))
+    in_eur = lambda c: F.when(F.col("_no_eur") == 0, F.col(c))
+    return out.select(
+        "ticker", F.col("s.qty").alias("quantity"), F.col("s.basis").alias("cost_basis"), F.col("s.realized").alias("realized"), "currency", F.when(F.col("_n") > 1, "mixed currency").otherwise(F.col("s.error")).alias("error"),
+        in_eur("s.eur_basis").alias("eur_cost_basis"), in_eur("s.eur_realized").alias("eur_realized"), "first_traded_at", "last_traded_at", "n_trades",
+    )
 
 
 def validate_ledger(trades: DataFrame, edits: DataFrame, as_of) -> DataFrame:
     """C14: tickers whose ledger with the edits (rows replace trades of the same id) cannot be folded, or that have future trades."""
-    candidate = trades.join(edits.select("id"), "id", "left_anti").unionByName(edits)
+    candidate = trades.join(edits.select("id"), "id", "left_anti").unionByName(edits, allowMissingColumns=True)
     late = candidate.where(F.col("traded_at") > F.lit(as_of).cast("timestamp")).select("ticker", F.lit("future trade").alias("error"))
     return fold_ledger(candidate).where("error is not null").select("ticker", "error").unionByName(late.distinct())
 
 
-def positions(ledger: DataFrame, quotes: DataFrame) -> DataFrame:
-    """Folded positions with quotes (ticker, price, previous, currency) of the same currency: value, unrealized, day change."""
+def positions(ledger: DataFrame, quotes: DataFrame, eur_usd: float | None = None) -> DataFrame:
+    """Folded positions with quotes (ticker, price, previous, currency): value, unrealized, day change and shares of them.
+
+    A quote in another currency than the ledger's counts as none; one without a currency is taken as it is. market_value_eur
+    is known for positions in EUR, and for those in USD where the rate (dollars for a euro) is given.
+    """
     q = quotes.select("ticker", F.col("price").alias("_p"), F.col("previous").alias("_o"), F.col("currency").alias("_c"))
     rows = ledger.where("error is null").join(q, "ticker", "left")
-    fits = F.coalesce(F.upper("currency") == F.upper("_c"), F.lit(False))
-    rows = rows.withColumns({"price": F.when(fits, F.col("_p")), "previous": F.when(fits, F.col("_o")), "is_open": F.col("quantity") > EPS})
-    value = F.col("quantity") * F.col("price")
-    return rows.withColumns({"market_value": value, "unrealized": value - F.col("cost_basis"), "day_change": F.col("quantity") * (F.col("price") - F.col("previous")), "avg_cost": F.col("cost_basis") / F.nullif("quantity", F.lit(0.0))}).drop("_p", "_o", "_c", "previous")
+    fits = F.col("_c").isNull() | F.coalesce(F.upper("currency") == F.upper("_c"), F.lit(False))
+    rows = rows.withColumns({"price": F.when(fits, F.col("_p")), "previous": F.when(fits & F.col("_p").isNotNull(), F.nullif("_o", F.lit(0.0))), "is_open": F.col("quantity") > EPS})
+    held = F.when(F.col("is_open"), F.col("quantity"))
+    value = held * F.col("price")
+    rate = F.nullif(F.lit(eur_usd).cast("double"), F.lit(0.0))
+    per_share = lambda c: F.col(c) / held
+    out = rows.withColumns(
+        {
+            "market_value": value, "unrealized": value - F.col("cost_basis"), "day_change": held * (F.col("price") - F.col("previous")), "avg_cost": per_share("cost_basis"), "eur_avg_cost": per_share("eur_cost_basis"),
+            "day_change_pct": (F.col("price") / F.col("previous") - 1) * 100, "unrealized_pct": F.when(F.col("cost_basis") > EPS, (value / F.col("cost_basis") - 1) * 100),
+            "market_value_eur": F.when(F.col("currency") == "EUR", value).when(F.col("currency") == "USD", value / rate),
+        }
+    )
+    return out.drop("_p", "_o", "_c", "previous")
 
 
 def ordered(view: DataFrame) -> DataFrame:
@@ -55,13 +84,30 @@ def ordered(view: DataFrame) -> DataFrame:
     return view.orderBy(F.desc("is_open"), F.desc(F.when(F.col("is_open"), F.coalesce("market_value", "cost_basis")).otherwise(F.col("realized"))), "ticker")
 
 
+def trade_log(trades: DataFrame) -> DataFrame:
+    """K6: the ledger, newest trade first."""
+    return trades.orderBy(F.desc("traded_at"), F.desc("id"))
+
+
+def quote_errors(view: DataFrame) -> DataFrame:
+    """Open positions that no quote of their currency prices."""
+    return view.where("is_open and market_value is null").select("ticker")
+
+
 def totals(view: DataFrame) -> DataFrame:
-    """Sums over a view, withheld (null) unless every open position is priced and all are of one currency."""
+    """Sums over a view, withheld (null) unless every open position is priced and all are of one currency.
+
+    The realized sum needs one currency among all positions, the sum in EUR that every open position is convertible.
+    """
     open_ = F.col("is_open")
     one = F.count_distinct(F.when(open_, F.upper("currency"))) <= 1
-    priced = F.coalesce(F.bool_and(F.when(open_, F.col("market_value").isNotNull())), F.lit(True))
-    total = lambda c: F.when(one & priced, F.sum(F.when(open_, F.col(c))))
-    return view.agg(F.count_if(open_).alias("n_open"), total("market_value").alias("market_value"), total("unrealized").alias("unrealized"), total("day_change").alias("day_change"), F.when(F.count_distinct(F.upper("currency")) <= 1, F.sum("realized")).alias("realized"))
+    every = lambda c: F.coalesce(F.bool_and(F.when(open_, F.col(c).isNotNull())), F.lit(False))
+    held = lambda c: F.sum(F.when(open_, F.col(c)))
+    total = lambda c: F.when(one & every("market_value"), held(c))
+    return view.agg(
+        F.count_if(open_).alias("n_open"), total("market_value").alias("market_value"), total("unrealized").alias("unrealized"), total("day_change").alias("day_change"),
+        F.when(F.count_distinct(F.upper("currency")) <= 1, F.sum("realized")).alias("realized"), F.when(every("market_value_eur"), held("market_value_eur")).alias("market_value_eur"),
+    )
 
 
 def policy_view(view: DataFrame, targets: DataFrame, absolute: float = 0.05, relative: float = 0.25) -> DataFrame:
@@ -87,3 +133,9 @@ def factor_concentration(view: DataFrame, factors: DataFrame, ceiling: float) ->
     total = open_.agg(F.sum("market_value").alias("_t"))
     rows = open_.join(factors, "ticker").groupBy("factor").agg(F.sum("market_value").alias("value")).where("value > 0").crossJoin(F.broadcast(total))  # one row
     return rows.select("factor", "value", (F.col("value") / F.col("_t")).alias("weight"), ((F.col("value") / F.col("_t") - ceiling) * 100).alias("excess_pp"))
+
+
+def listed_weight(factors: DataFrame, listed: list[str], most: float) -> DataFrame:
+    """The summed weight of the listed factors of factor_concentration, and percentage points over what they may reach."""
+    weight = F.coalesce(F.sum("weight"), F.lit(0.0))
+    return factors.where(F.col("factor").isin(*listed)).agg(weight.alias("weight"), ((weight - most) * 100).alias("excess_pp"))

@@ -14,10 +14,11 @@ from callbook.sources import tables as IO
 from callbook.streaming import streams
 
 LEDGER = """lg AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY traded_at, id) AS k FROM trades),
-rec AS (SELECT ticker, k, quantity AS qty, quantity*price_per_share+fees AS basis, 0.0e0 AS realized FROM lg WHERE k=1
+rec AS (SELECT ticker, k, quantity AS qty, quantity*price_per_share+fees AS basis, 0.0e0 AS realized, eur_amount AS eb, 0.0e0 AS er FROM lg WHERE k=1
  UNION ALL SELECT l.ticker, l.k, CASE l.side WHEN 'buy' THEN r.qty+l.quantity ELSE r.qty-l.quantity END, CASE l.side WHEN 'buy' THEN r.basis+l.quantity*l.price_per_share+l.fees ELSE r.basis-l.quantity*(r.basis/r.qty) END,
-  CASE l.side WHEN 'buy' THEN r.realized ELSE r.realized+(l.quantity*l.price_per_share-l.fees)-l.quantity*(r.basis/r.qty) END FROM rec r JOIN lg l ON l.ticker=r.ticker AND l.k=r.k+1),
-ledger AS (SELECT ticker, qty AS quantity, basis AS cost_basis, realized FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY k DESC) AS z FROM rec) WHERE z=1),
+  CASE l.side WHEN 'buy' THEN r.realized ELSE r.realized+(l.quantity*l.price_per_share-l.fees)-l.quantity*(r.basis/r.qty) END,
+  CASE l.side WHEN 'buy' THEN r.eb+l.eur_amount ELSE r.eb-l.quantity*(r.eb/r.qty) END, CASE l.side WHEN 'buy' THEN r.er+0*l.eur_amount ELSE r.er+l.eur_amount-l.quantity*(r.eb/r.qty) END FROM rec r JOIN lg l ON l.ticker=r.ticker AND l.k=r.k+1),
+ledger AS (SELECT ticker, qty AS quantity, basis AS cost_basis, realized, eb, er FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY k DESC) AS z FROM rec) WHERE z=1),
 quotes AS (SELECT ticker, arg_max(close, ts) AS price, arg_max(open, ts) AS previous FROM bars GROUP BY 1),
 view AS (SELECT l.*, q.price, quantity*price AS market_value, quantity*price-cost_basis AS unrealized, quantity*(price-previous) AS day_change FROM ledger l LEFT JOIN quotes q USING (ticker))"""
 TARGETS = "targets AS (SELECT concat('T', lpad(CAST(k AS varchar),2,'0')) AS ticker, 0.02e0+0.01e0*(k%5) AS target FROM range(0, 15) r(k) UNION ALL SELECT 'ZZZ', 0.05e0)"
@@ -33,12 +34,22 @@ def targets(t):
 
 
 def view(t):
-    return P.positions(P.fold_ledger(t.trades), quotes(t))
+    return P.positions(P.fold_ledger(t.trades), quotes(t), 1.1)
 
 
-@query("c13_fold_ledger", "SELECT ticker, round(quantity,4) AS quantity, round(cost_basis,4) AS cost_basis, round(realized,4) AS realized FROM ledger", ("trades", "bars"), LEDGER, 4)
+@query("c13_fold_ledger", "SELECT ticker, round(quantity,4) AS quantity, round(cost_basis,4) AS cost_basis, round(realized,4) AS realized, first_traded_at, last_traded_at, n_trades FROM ledger JOIN (SELECT ticker, min(traded_at) AS first_traded_at, max(traded_at) AS last_traded_at, count(*) AS n_trades FROM trades GROUP BY 1) n USING (ticker)", ("trades", "bars"), LEDGER, 4)
 def _(t):
-    return P.fold_ledger(t.trades).select("ticker", "quantity", "cost_basis", "realized")
+    return P.fold_ledger(t.trades).select("ticker", "quantity", "cost_basis", "realized", "first_traded_at", "last_traded_at", "n_trades")
+
+
+@query("c13_fold_in_eur", "SELECT ticker, CASE WHEN n=0 THEN round(eb,4) END AS eur_cost_basis, CASE WHEN n=0 THEN round(er,4) END AS eur_realized FROM ledger JOIN (SELECT ticker, count(*) FILTER (WHERE eur_amount IS NULL) AS n FROM trades GROUP BY 1) n USING (ticker)", ("trades", "bars"), LEDGER, 4)
+def _(t):
+    return P.fold_ledger(t.trades).select("ticker", "eur_cost_basis", "eur_realized")
+
+
+@query("k6_trade_log", "SELECT id, ticker, traded_at FROM trades ORDER BY traded_at DESC, id DESC", ("trades",))
+def _(t):
+    return P.trade_log(t.trades).select("id", "ticker", "traded_at")
 
 
 @query("c14_validate_ledger", """SELECT ticker, error FROM (SELECT l.ticker, CASE n%3 WHEN 0 THEN CASE WHEN l.quantity<1000000 THEN 'oversell' END WHEN 1 THEN CASE WHEN TIMESTAMP '1990-01-01' + INTERVAL 1 DAY * CAST(18000+n AS int) > TIMESTAMP '2030-01-01' THEN 'future trade' END END AS error
@@ -49,12 +60,12 @@ def _(t):
     days = F.when(k % 3 == 1, 18000 + k).otherwise(14000)
     newest = t.trades.groupBy("ticker").agg(F.max("id").alias("id"), F.first("currency").alias("currency"))
     edits = newest.select((-F.col("id")).alias("id"), "ticker", F.when(k % 3 == 0, "sell").otherwise("buy").alias("side"), F.when(k % 3 == 0, 1e6).otherwise(1.0).alias("quantity"), F.lit(1.0).alias("price_per_share"), "currency", F.lit(0.0).alias("fees"), (F.lit("1990-01-01").cast("timestamp") + F.make_dt_interval(days)).alias("traded_at"))
-    return P.validate_ledger(t.trades, edits.select(t.trades.columns), "2030-01-01 00:00:00")
+    return P.validate_ledger(t.trades, edits, "2030-01-01 00:00:00")
 
 
-@query("c15_positions", "SELECT ticker, round(market_value,3) AS market_value, round(unrealized,3) AS unrealized, round(day_change,3) AS day_change FROM view", ("trades", "bars"), LEDGER, 3)
+@query("c15_positions", "SELECT ticker, round(market_value,3) AS market_value, round(unrealized,3) AS unrealized, round(day_change,3) AS day_change, round(unrealized/cost_basis*100,3) AS unrealized_pct, round(day_change/quantity/(price-day_change/quantity)*100,3)+0.0e0 AS day_change_pct, round(market_value/1.1e0,3) AS market_value_eur FROM view", ("trades", "bars"), LEDGER, 3)
 def _(t):
-    return P.ordered(view(t)).select("ticker", "market_value", "unrealized", "day_change")
+    return P.ordered(view(t)).select("ticker", "market_value", "unrealized", "day_change", "unrealized_pct", "day_change_pct", "market_value_eur")
 
 
 @query("j15_quotes", "SELECT ticker, round(price,6) AS price FROM view", ("trades", "bars"), LEDGER)
@@ -62,7 +73,7 @@ def _(t):
     return view(t).select("ticker", "price")
 
 
-@query("a22_portfolio_totals", "SELECT count(*) AS n_open, round(sum(market_value),2) AS market_value, round(sum(unrealized),2) AS unrealized, round(sum(day_change),2) AS day_change, round(sum(realized),2) AS realized FROM view", ("trades", "bars"), LEDGER, 2)
+@query("a22_portfolio_totals", "SELECT count(*) AS n_open, round(sum(market_value),2) AS market_value, round(sum(unrealized),2) AS unrealized, round(sum(day_change),2) AS day_change, round(sum(realized),2) AS realized, round(sum(market_value)/1.1e0,2) AS market_value_eur FROM view", ("trades", "bars"), LEDGER, 2)
 def _(t):
     return P.totals(view(t))
 
@@ -89,6 +100,13 @@ def _(t):
     return P.factor_concentration(v, factors, 0.3)
 
 
+@query("a21_listed_weight", "SELECT round(w,6) AS weight, round((w-0.4e0)*100,6)+0.0e0 AS excess_pp FROM (SELECT sum(CASE WHEN CAST(substr(ticker,2) AS int)%3<2 THEN market_value ELSE 0 END)/sum(market_value) AS w FROM view) x", ("trades", "bars"), LEDGER)
+def _(t):
+    v = view(t)
+    factors = quotes(t).select("ticker", F.concat(F.lit("F"), (F.substring("ticker", 2, 2).cast("int") % 3).cast("string")).alias("factor"))
+    return P.listed_weight(P.factor_concentration(v, factors, 0.3), ["F0", "F1"], 0.4)
+
+
 SCREEN = """sc AS (SELECT *, coalesce(forward_pe<25,false) OR coalesce(peg_ratio>0 AND peg_ratio<1.5e0,false) OR coalesce(ev_to_ebitda>0 AND ev_to_ebitda<15,false) AS pass_value,
  coalesce(revenue_growth>0.15e0 AND earnings_growth IS NOT NULL AND (earnings_growth>0 OR coalesce(revenue_growth_qoq>revenue_growth,false)),false) AS pass_growth,
  coalesce(gross_margin>0.4e0 AND return_on_equity>0.15e0 AND debt_to_equity<1,false) AS pass_quality,

@@ -50,7 +50,8 @@ SELECT event_id AS claim_id, event_id AS document_id, user_id%25 AS creator_id,
 SELECT o_orderkey AS id, concat('T', lpad(CAST(o_custkey%20 AS string),2,'0')) AS ticker,
  CASE WHEN rn%4=0 THEN 'sell' ELSE 'buy' END AS side,
  CAST(CASE WHEN rn%4=0 THEN 1+o_orderkey%5 ELSE 10+o_orderkey%20 END AS double) AS quantity,
- o_totalprice/1000.0e0 AS price_per_share, 'USD' AS currency, CAST(o_orderkey%3 AS double) AS fees, CAST(o_orderdate AS timestamp) AS traded_at
+ o_totalprice/1000.0e0 AS price_per_share, 'USD' AS currency, CAST(o_orderkey%3 AS double) AS fees, CAST(o_orderdate AS timestamp) AS traded_at,
+ CASE WHEN o_custkey%4=3 AND o_orderkey%7=0 THEN NULL ELSE 0.9e0*(CASE WHEN rn%4=0 THEN 1+o_orderkey%5 ELSE 10+o_orderkey%20 END)*o_totalprice/1000.0e0 END AS eur_amount
 FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey%20 ORDER BY o_orderdate,o_orderkey) AS rn FROM {orders}) t""",
     # who posted: one channel per creator
     "creators": """
