@@ -115,3 +115,10 @@ def forward_slice(as_ofs: DataFrame, bars: DataFrame, forward_days: int) -> Data
     until = F.col("as_of") + F.expr(f"interval {forward_days} days")
     near = _between(as_ofs, bars, F.to_date("knowable_through"), F.to_date(until), forward_days + 60)
     return near.where((F.col("ts") > F.col("knowable_through")) & (F.col("ts") <= until))
+
+
+def bars_in_interval(rows: DataFrame, bars: DataFrame, start_no: str, n: str, end: str) -> DataFrame:
+    """Rows (with ticker) and the bars from number start_no up to n further ones that begin by `end`: one equi-join on (ticker, bar number)."""
+    numbers = F.explode(F.sequence(F.col(start_no), F.col(start_no) + F.col(n)))
+    wanted = rows.withColumn("bar_no", numbers)
+    return wanted.join(numbered(bars).select("ticker", "bar_no", "ts", "open", "high", "low", "close"), ["ticker", "bar_no"]).where(F.col("ts") <= F.col(end))

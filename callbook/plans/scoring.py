@@ -1,4 +1,4 @@
-"""Scores of creators and lenses."""
+"""Scores of creators and lenses."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callbook.functions.stats import hit_rate, sharpe_like, wilson
+from callbook.plans.signals import with_context
 
 WINDOWS = {"all": None, "365d": 365, "90d": 90}
 
@@ -47,7 +48,7 @@ def lens_scorecards(results: DataFrame, horizon: str, since) -> DataFrame:
     hits = F.count_if(F.col("direction_correct"))
     out = rows.groupBy("lens_name").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct(F.struct("ticker", F.to_date("as_of"))).alias("n_ticker_days"), hits.alias("hits"),
-        F.avg("excess_vs_spy_pct").alias("avg_excess"), F.avg(sign * F.col("excess_vs_spy_pct")).alias("directional_excess"), F.count(sign * F.col("excess_vs_spy_pct")).alias("n_directional"),
+        F.round(F.avg("excess_vs_spy_pct"), 4).alias("avg_excess"), F.round(F.avg(sign * F.col("excess_vs_spy_pct")), 4).alias("directional_excess"), F.count(sign * F.col("excess_vs_spy_pct")).alias("n_directional"),
     )
     low, high = wilson(F.col("hits"), F.col("n"))
     return out.withColumns({"hit_rate": F.col("hits") / F.col("n"), "lower_ci": low, "upper_ci": high})
@@ -63,8 +64,14 @@ def lens_breakdowns(results: DataFrame, horizon: str = "5d") -> DataFrame:
     return out.select("lens_name", kind.alias("kind"), F.coalesce("regime", "conviction", "direction").alias("value"), "n", "hits", (F.col("hits") / F.col("n")).alias("hit_rate"), low.alias("lower_ci"), high.alias("upper_ci"))
 
 
+def outcomes_report(outcomes: DataFrame, calls: DataFrame, documents: DataFrame, channels: DataFrame, creators: DataFrame) -> DataFrame:
+    """Every outcome with its call, when it was posted and by whom; calls that lead to no creator are left out."""
+    posted = with_context(calls.select("call_id", "document_id", "ticker", "direction", "entry_type"), documents, channels, creators)
+    return outcomes.join(posted.drop("document_id", "channel_id", "creator_id", "active").withColumnRenamed("display_name", "creator"), "call_id")
+
+
 def creator_report(outcomes: DataFrame, calls: DataFrame) -> DataFrame:
-    """Per creator and horizon: calls, sum, mean, median and hit rate of the known returns."""
+    """Per creator and horizon: calls, sum, mean, median and hit rate of the known returns."""
     rows = outcomes.where("status = 'evaluated'").join(calls.select("call_id", "creator_id"), "call_id")
     return rows.groupBy("creator_id", "horizon").agg(F.count_distinct("call_id").alias("n_calls"), F.sum("return_pct").alias("sum_return"), F.avg("return_pct").alias("mean_return"), F.median("return_pct").alias("median_return"), hit_rate(F.col("return_pct")).alias("hit_rate"))
 

@@ -76,10 +76,15 @@ def ticker_signals(calls: DataFrame, claims: DataFrame, scorecards: DataFrame, w
     return out.withColumn("window_end", end)
 
 
+def mentions(calls: DataFrame, claims: DataFrame) -> DataFrame:
+    """S3: accepted calls and claims in one table."""
+    one = lambda rows, is_call: rows.where("status = 'accepted'").select("ticker", "creator_id", "final_confidence", F.lit(is_call).alias("is_call"))
+    return one(calls, True).unionByName(one(claims, False))
+
+
 def creator_coverage(tickers: DataFrame, calls: DataFrame, claims: DataFrame) -> DataFrame:
-    """Per requested ticker, accepted calls and claims and their mean confidence; tickers without any stay with 0 and null."""
-    mentions = calls.where("status = 'accepted'").select("ticker", "final_confidence").unionByName(claims.where("status = 'accepted'").select("ticker", "final_confidence"))
-    found = mentions.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_mentions"), F.avg("final_confidence").alias("avg_confidence"))
+    """Per requested ticker, accepted calls and claims and their mean confidence; tickers without any stay with 0 and null."""
+    found = mentions(calls, claims).groupBy("ticker").agg(F.count(F.lit(1)).alias("n_mentions"), F.avg("final_confidence").alias("avg_confidence"))
     return tickers.select("ticker").distinct().join(found, "ticker", "left").withColumn("n_mentions", F.coalesce("n_mentions", F.lit(0)))
 
 
@@ -106,10 +111,10 @@ def ticker_summary(calls: DataFrame, outcomes: DataFrame) -> DataFrame:
     return calls.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_calls"), *way.values()).join(told, "ticker", "left").na.fill(0)
 
 
-def list_calls(calls: DataFrame, *, creator_id=None, ticker=None, direction=None, status=None, min_confidence=None, order: str = "recent", limit: int = 50, offset: int = 0) -> DataFrame:
+def list_calls(calls: DataFrame, *, creator_id=None, ticker=None, direction=None, status=None, manual_status=None, min_confidence=None, order: str = "recent", limit: int = 50, offset: int = 0) -> DataFrame:
     """calls by optional filters, newest or most confident first, with the total before paging as n_total."""
     rows = calls
-    for column, value in (("creator_id", creator_id), ("ticker", ticker and ticker.upper()), ("direction", direction), ("status", status)):
+    for column, value in (("creator_id", creator_id), ("ticker", ticker and ticker.upper()), ("direction", direction), ("status", status), ("manual_status", manual_status)):
         if value is not None:
             rows = rows.where(F.col(column) == value)
     if min_confidence is not None:
@@ -119,15 +124,24 @@ def list_calls(calls: DataFrame, *, creator_id=None, ticker=None, direction=None
     return rows.orderBy(key, "call_id").offset(offset).limit(limit).crossJoin(F.broadcast(total))  # one row
 
 
-def ticker_claims(claims: DataFrame, ticker: str, since=None, types=None, classes=None, polarity=None, status: str = "accepted", limit: int = 50) -> DataFrame:
-    """a ticker's claims, newest first."""
+def ticker_claims(claims: DataFrame, ticker: str, since=None, types=None, classes=None, polarity=None, creator_id=None, status: str = "accepted", limit: int = 50, offset: int = 0) -> DataFrame:
+    """a page of a ticker's claims, newest first."""
     rows = claims.where((F.col("ticker") == ticker.upper()) & (F.col("status") == status))
     if since is not None:
         rows = rows.where(F.col("posted_at") >= F.lit(since).cast("timestamp"))
-    for column, values in (("claim_type", types), ("claim_class", classes), ("polarity", polarity and [polarity])):
+    for column, values in (("claim_type", types), ("claim_class", classes), ("polarity", polarity and [polarity]), ("creator_id", creator_id is not None and [creator_id])):
         if values:
             rows = rows.where(F.col(column).isin(*values))
-    return rows.orderBy(F.desc("posted_at"), "claim_id").limit(limit)
+    return rows.orderBy(F.desc("posted_at"), "claim_id").offset(offset).limit(limit)
+
+
+def signals_feed(signals: DataFrame, signal_type: str | None = None, window_size: str | None = None) -> DataFrame:
+    """signals of a type and a window, the newest window first."""
+    rows = signals
+    for column, value in (("signal_type", signal_type), ("window_size", window_size)):
+        if value is not None:
+            rows = rows.where(F.col(column) == value)
+    return rows.orderBy(F.desc("window_end"), "signal_type", "ticker")
 
 
 def recent_claims(claims: DataFrame, creators: DataFrame, as_of, days: int = 30, most: int = 12) -> DataFrame:
@@ -138,9 +152,15 @@ def recent_claims(claims: DataFrame, creators: DataFrame, as_of, days: int = 30,
     return ranked.join(creators.select("creator_id", "display_name"), "creator_id", "left")
 
 
-def with_context(rows: DataFrame, creators: DataFrame) -> DataFrame:
-    """Rows with their creator's name and whether that creator is active."""
-    return rows.join(creators.select("creator_id", "display_name", "active"), "creator_id")
+def document_view(documents: DataFrame, channels: DataFrame, creators: DataFrame) -> DataFrame:
+    """Documents (document_id, channel_id, posted_at, ...) with the creator of their channel; those without one are left out."""
+    return documents.join(channels.select("channel_id", "creator_id"), "channel_id").join(creators.select("creator_id", "display_name", "active"), "creator_id")
+
+
+def with_context(rows: DataFrame, documents: DataFrame, channels: DataFrame, creators: DataFrame) -> DataFrame:
+    """Rows of documents (calls or claims) with when and by whom their document was posted. The document decides, not the row."""
+    context = document_view(documents, channels, creators).select("document_id", "channel_id", "creator_id", "posted_at", "display_name", "active")
+    return rows.drop("creator_id", "posted_at").join(context, "document_id")
 
 
 def calls_overlay(calls: DataFrame, outcomes: DataFrame, horizon: str = "5d") -> DataFrame:
@@ -149,16 +169,29 @@ def calls_overlay(calls: DataFrame, outcomes: DataFrame, horizon: str = "5d") ->
     return calls.select("call_id", "ticker", "posted_at", "direction").join(only, "call_id", "left")
 
 
-def nested_outcomes(calls: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Calls with all their outcomes as an array sorted by horizon (empty if none)."""
+def nested_outcomes(calls: DataFrame, outcomes: DataFrame, documents: DataFrame, channels: DataFrame, creators: DataFrame) -> DataFrame:
+    """Calls (with extracted_at) with their creator if known, the time of their document or else of extraction, and all
+    their outcomes as an array sorted by horizon (empty if none)."""
     lists = outcomes.groupBy("call_id").agg(F.sort_array(F.collect_list(F.struct("horizon", "status", "return_pct"))).alias("outcomes"))
-    return calls.join(lists, "call_id", "left").withColumn("outcomes", F.coalesce("outcomes", F.array().cast("array<struct<horizon:string,status:string,return_pct:double>>")))
+    posted = documents.select("document_id", "channel_id", F.col("posted_at").alias("_posted")).join(channels.select("channel_id", "creator_id"), "channel_id", "left").join(creators.select("creator_id", "display_name"), "creator_id", "left")
+    out = calls.drop("creator_id", "posted_at").join(posted, "document_id", "left").join(lists, "call_id", "left")
+    none = F.array().cast("array<struct<horizon:string,status:string,return_pct:double>>")
+    return out.withColumns({"posted_at": F.coalesce("_posted", "extracted_at"), "outcomes": F.coalesce("outcomes", none)}).drop("_posted")
+
 
+def processed_documents(calls: DataFrame, claims: DataFrame, version: str | None = None) -> DataFrame:
+    """document_id of every call and claim, of one extractor_version where given."""
+    rows = [r if version is None else r.where(F.col("extractor_version") == version) for r in (calls, claims)]
+    return rows[0].select("document_id").unionByName(rows[1].select("document_id"))
 
-def pending_documents(segments: DataFrame, processed: DataFrame, min_segments: int = 3) -> DataFrame:
-    """Documents with enough segments that no call or claim comes from."""
+
+def pending_documents(documents: DataFrame, segments: DataFrame, processed: DataFrame, min_segments: int = 3, creator: str | None = None) -> DataFrame:
+    """Documents (document_view) with enough segments that no call or claim comes from, newest first; of creators whose name holds a text, in any case."""
+    if creator is not None:
+        documents = documents.where(F.contains(F.lower("display_name"), F.lit(creator.lower())))
     enough = segments.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_segments")).where(F.col("n_segments") >= min_segments)
-    return enough.join(processed.select("document_id").distinct(), "document_id", "left_anti")
+    rows = documents.join(enough, "document_id").join(processed.select("document_id").distinct(), "document_id", "left_anti")
+    return rows.orderBy(F.desc_nulls_last("posted_at"), "document_id")
 
 
 def latest_plan(plans: DataFrame) -> DataFrame:
@@ -166,10 +199,12 @@ def latest_plan(plans: DataFrame) -> DataFrame:
     return plans.groupBy("ticker", "mode", F.to_date("computed_at").alias("day")).agg(F.max("plan_id").alias("plan_id"))
 
 
-def coverage_flags(tickers: DataFrame, calls: DataFrame, claims: DataFrame) -> DataFrame:
-    """Whether a ticker has accepted calls and accepted claims."""
-    has = lambda df, name: df.where("status = 'accepted'").select("ticker").distinct().withColumn(name, F.lit(True))
-    out = tickers.select("ticker").distinct().join(has(calls, "has_calls"), "ticker", "left").join(has(claims, "has_claims"), "ticker", "left")
+def coverage_flags(tickers: DataFrame, signals: DataFrame, calls: DataFrame, claims: DataFrame) -> DataFrame:
+    """Whether a ticker has signals, accepted calls and accepted claims."""
+    has = lambda df, name: df.select("ticker").distinct().withColumn(name, F.lit(True))
+    out = tickers.select("ticker").distinct().join(has(signals, "has_signals"), "ticker", "left")
+    for rows, name in ((calls, "has_calls"), (claims, "has_claims")):
+        out = out.join(has(rows.where("status = 'accepted'"), name), "ticker", "left")
     return out.na.fill(False)
 
 
@@ -209,6 +244,11 @@ def labels(tags: DataFrame) -> DataFrame:
     return tags.select("label").distinct().orderBy("label")
 
 
+def entity_tags(tags: DataFrame, entity_type: str, entity_id: str) -> DataFrame:
+    """the tags of one entity, newest first."""
+    return tags.where((F.col("entity_type") == entity_type) & (F.col("entity_id") == entity_id)).orderBy(F.desc("created_at"), "label")
+
+
 def document_segments(segments: DataFrame, document_id: int) -> DataFrame:
     """a document's segments in time order."""
     return segments.where(F.col("document_id") == document_id).orderBy("start_seconds", "segment_id")

@@ -153,8 +153,8 @@ LENS = """wil AS (SELECT *, hits*1.0e0/n AS hit_rate,
 
 
 @query("a7_lens_scorecards", f"SELECT lens_name, n, n_ticker_days, hits, n_directional, {r6('avg_excess','directional_excess','hit_rate','lower_ci','upper_ci')} FROM wil", ("lens_results",), LENS.format("""
- SELECT lens_name, count(*) AS n, count(DISTINCT (ticker, CAST(as_of AS date))) AS n_ticker_days, count(*) FILTER (WHERE direction_correct) AS hits, avg(excess_vs_spy_pct) AS avg_excess,
- avg(s*excess_vs_spy_pct) AS directional_excess, count(s*excess_vs_spy_pct) AS n_directional FROM (SELECT *, CASE direction WHEN 'bullish' THEN 1.0e0 WHEN 'bearish' THEN -1.0e0 END AS s FROM lens_results WHERE horizon='5d' AND as_of>=TIMESTAMP '2001-01-10') GROUP BY 1"""))
+ SELECT lens_name, count(*) AS n, count(DISTINCT (ticker, CAST(as_of AS date))) AS n_ticker_days, count(*) FILTER (WHERE direction_correct) AS hits, round(avg(excess_vs_spy_pct),4) AS avg_excess,
+ round(avg(s*excess_vs_spy_pct),4) AS directional_excess, count(s*excess_vs_spy_pct) AS n_directional FROM (SELECT *, CASE direction WHEN 'bullish' THEN 1.0e0 WHEN 'bearish' THEN -1.0e0 END AS s FROM lens_results WHERE horizon='5d' AND as_of>=TIMESTAMP '2001-01-10') GROUP BY 1"""))
 def _(t):
     return S.lens_scorecards(t.lens_results, "5d", "2001-01-10 00:00:00")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from callbook.operators import bars as B
 from callbook.operators import calendar as C
 from callbook.plans import outcomes as O
+from callbook.plans import scoring as S
 from callbook.plans import signals as G
 from callbook.queries.base import query, r6
 from callbook.queries.calls import BASE, OUTCOMES, outcomes
@@ -81,10 +82,20 @@ def _(t):
     return G.ticker_claims(t.claims, "t05", "2001-01-05 00:00:00", types=["catalyst", "risk"]).select("claim_id", "claim_type", "claim_class", "polarity", "posted_at")
 
 
+@query("f6_creator_claims", "SELECT claim_id, posted_at FROM claims WHERE ticker='T05' AND status='accepted' AND creator_id=5 ORDER BY posted_at DESC, claim_id LIMIT 10 OFFSET 3", ("claims",))
+def _(t):
+    return G.ticker_claims(t.claims, "T05", creator_id=5, limit=10, offset=3).select("claim_id", "posted_at")
+
+
+@query("f10_entity_tags", "SELECT label, created_at FROM (SELECT concat('topic ', CAST(event_id%7 AS varchar)) AS label, ts AS created_at FROM events WHERE user_id=3) x")
+def _(t):
+    tags = t.events.select(F.lit("user").alias("entity_type"), F.col("user_id").cast("string").alias("entity_id"), F.concat(F.lit("topic "), (F.col("event_id") % 7).cast("string")).alias("label"), F.col("ts").alias("created_at"))
+    return G.entity_tags(tags, "user", "3").select("label", "created_at")
+
+
 @query("f7_signals_feed", f"SELECT ticker, n_mentions FROM (SELECT ticker, count(*) AS n_mentions FROM mentions WHERE NOT is_call AND ticker IS NOT NULL AND claim_class='factual' AND posted_at<={TS} AND posted_at>={TS}-INTERVAL 7 DAY GROUP BY 1) x", MT, MENTIONS)
 def _(t):
-    rows = G.ticker_signals(t.calls, t.claims, t.scorecards, END)
-    return rows.where("signal_type = 'claims_factual' and window_size = '7d'").orderBy(F.desc("window_end"), "signal_type", "ticker").select("ticker", "n_mentions")
+    return G.signals_feed(G.ticker_signals(t.calls, t.claims, t.scorecards, END), "claims_factual", "7d").select("ticker", "n_mentions")
 
 
 @query("f11_active_creators", "SELECT creator_id, display_name FROM creators WHERE active", ("creators",))
@@ -102,14 +113,20 @@ def _(t):
     return G.document_segments(t.segments, 3).select("segment_id", "start_seconds", "end_seconds", "text")
 
 
-@query("j1_calls_with_context", "SELECT call_id, ticker, posted_at, display_name, active FROM calls JOIN creators USING (creator_id)", ("calls", "creators"))
+@query("j1_calls_with_context", "SELECT call_id, ticker, d.posted_at, k.creator_id, display_name, active FROM calls c JOIN call_documents d USING (document_id) JOIN channels h USING (channel_id) JOIN creators k ON k.creator_id=h.creator_id", ("calls", "call_documents", "channels", "creators"))
+def _(t):
+    return G.with_context(t.calls, t.call_documents, t.channels, t.creators).select("call_id", "ticker", "posted_at", "creator_id", "display_name", "active")
+
+
+@query("j2_claims_with_context", "SELECT claim_id, ticker, claim_class, d.posted_at, display_name FROM claims c JOIN claim_documents d USING (document_id) JOIN channels h USING (channel_id) JOIN creators k ON k.creator_id=h.creator_id WHERE ticker IS NOT NULL", ("claims", "claim_documents", "channels", "creators"))
 def _(t):
-    return G.with_context(t.calls, t.creators).select("call_id", "ticker", "posted_at", "display_name", "active")
+    return G.with_context(t.claims.where("ticker is not null"), t.claim_documents, t.channels, t.creators).select("claim_id", "ticker", "claim_class", "posted_at", "display_name")
 
 
-@query("j2_claims_with_context", "SELECT claim_id, ticker, claim_class, display_name FROM claims JOIN creators USING (creator_id) WHERE ticker IS NOT NULL", ("claims", "creators"))
+@query("j4_outcomes_report", f"SELECT call_id, k.display_name AS creator, d.posted_at, c.ticker, c.direction, c.entry_type, o.horizon, o.activated, o.status, CAST(o.hit_target AS varchar) AS hit_target, CAST(o.hit_stop AS varchar) AS hit_stop, {r6('return_pct','gross_return_pct','benchmark_return_pct','excess_return_pct','mfe','mae')} FROM outcomes o JOIN calls c USING (call_id) JOIN call_documents d USING (document_id) JOIN channels h USING (channel_id) JOIN creators k ON k.creator_id=h.creator_id", BASE + ("call_documents", "channels", "creators"), OUTCOMES)
 def _(t):
-    return G.with_context(t.claims.where("ticker is not null"), t.creators).select("claim_id", "ticker", "claim_class", "display_name")
+    rows = S.outcomes_report(outcomes(t), t.calls, t.call_documents, t.channels, t.creators).drop("activation_at", "entry_fill_price", "exit_at", "exit_price")
+    return rows.withColumns({c: F.col(c).cast("string") for c in ("hit_target", "hit_stop")})
 
 
 @query("j3_recent_claims", f"SELECT ticker, claim_id, \"rank\", display_name FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY posted_at DESC, claim_id) AS \"rank\" FROM claims WHERE status='accepted' AND ticker IS NOT NULL AND posted_at<={TS} AND posted_at>={TS}-INTERVAL 30 DAY) c LEFT JOIN creators USING (creator_id) WHERE \"rank\"<=12", ("claims", "creators"))
@@ -143,18 +160,32 @@ def _(t):
     return B.align_benchmark(t.bars, BENCHMARK).select("ticker", "ts", "close", "benchmark_close")
 
 
-@query("j11_bars_in_interval", "SELECT call_id, count(b.ts) AS n_bars, round(max(b.high),6) AS top, round(min(b.low),6) AS bottom FROM aimed m JOIN bars b ON b.ticker=m.ticker AND b.ts BETWEEN m.activation_at AND m.horizon_end WHERE m.horizon='5d' GROUP BY 1", BASE, OUTCOMES.replace("), walked AS", "), walked AS"))
+@query("j11_bars_in_interval", "SELECT call_id, count(b.ts) AS n_bars, round(max(b.high),6) AS top, round(min(b.low),6) AS bottom FROM aimed m JOIN bars b ON b.ticker=m.ticker AND b.ts BETWEEN m.activation_at AND m.horizon_end WHERE m.horizon='5d' GROUP BY 1", BASE, OUTCOMES)
 def _(t):
     live = O.activations(t.calls.where("status = 'accepted'"), t.bars).where("activation_at is not null").withColumn("n", F.lit(5))
     aimed = C.nth_session_close(live, t.sessions, "activation_at", "n").where("horizon_end is not null")
-    rows = aimed.select("call_id", "ticker", "horizon_end", F.explode(F.expr("transform(sequence(0, n), k -> a0 + k)")).alias("bar_no"))
-    rows = rows.join(B.numbered(t.bars).select("ticker", "bar_no", "ts", "high", "low"), ["ticker", "bar_no"]).where("ts <= horizon_end")
+    rows = B.bars_in_interval(aimed.select("call_id", "ticker", "horizon_end", "a0", "n"), t.bars, "a0", "n", "horizon_end")
     return rows.groupBy("call_id").agg(F.count(F.lit(1)).alias("n_bars"), F.max("high").alias("top"), F.min("low").alias("bottom"))
 
 
-@query("j13_pending_documents", "SELECT document_id, count(*) AS n_segments FROM segments WHERE document_id NOT IN (SELECT document_id FROM calls WHERE status='accepted' UNION ALL SELECT document_id FROM claims WHERE claim_id%3=0) GROUP BY 1 HAVING count(*)>=3", ("segments", "calls", "claims"))
+PENDING = "done AS (SELECT document_id FROM calls WHERE status='accepted' UNION ALL SELECT document_id FROM claims WHERE claim_id%3=0), long_ones AS (SELECT document_id, count(*) AS n_segments FROM segments GROUP BY 1 HAVING count(*)>=3), pend AS (SELECT d.document_id, title, d.posted_at, n_segments, display_name FROM call_documents d JOIN channels USING (channel_id) JOIN creators USING (creator_id) JOIN long_ones USING (document_id) WHERE d.document_id NOT IN (SELECT document_id FROM done))"
+PT = ("segments", "calls", "claims", "call_documents", "channels", "creators")
+
+
+def pending(t, creator=None):
+    versions = lambda rows, live: rows.withColumn("extractor_version", F.when(live, "v2").otherwise("v1"))
+    done = G.processed_documents(versions(t.calls, F.col("status") == "accepted"), versions(t.claims, F.col("claim_id") % 3 == 0), "v2")
+    return G.pending_documents(G.document_view(t.call_documents, t.channels, t.creators), t.segments, done, creator=creator).select("document_id", "title", "posted_at", "n_segments", "display_name")
+
+
+@query("j13_pending_documents", "SELECT * FROM pend", PT, PENDING)
+def _(t):
+    return pending(t)
+
+
+@query("j13_pending_of_creator", "SELECT * FROM pend WHERE display_name ILIKE '%ia%'", PT, PENDING)
 def _(t):
-    return G.pending_documents(t.segments, t.calls.where("status = 'accepted'").select("document_id").unionByName(t.claims.where("claim_id % 3 = 0").select("document_id")))
+    return pending(t, "Ia")
 
 
 @query("j14_plan_cache", "SELECT ticker, mode, CAST(CAST(computed_at AS date) AS varchar) AS day, max(plan_id) AS plan_id FROM (SELECT snapshot_id AS plan_id, ticker, lens_name AS mode, as_of AS computed_at FROM lens_results) GROUP BY 1,2,3", ("lens_results",))
@@ -163,20 +194,21 @@ def _(t):
     return G.latest_plan(plans).withColumn("day", F.col("day").cast("string"))
 
 
-@query("j16_coverage_flags", "SELECT ticker, ticker IN (SELECT ticker FROM calls WHERE status='accepted') AS has_calls, ticker IN (SELECT ticker FROM claims WHERE status='accepted' AND ticker IS NOT NULL) AS has_claims FROM (SELECT DISTINCT ticker FROM bars UNION SELECT 'ZZZ')", ("bars", "calls", "claims"))
+@query("j16_coverage_flags", f"SELECT ticker, ticker IN (SELECT ticker FROM mentions WHERE ticker IS NOT NULL AND posted_at<={TS} AND posted_at>={TS}-INTERVAL 30 DAY) AS has_signals, ticker IN (SELECT ticker FROM calls WHERE status='accepted') AS has_calls, ticker IN (SELECT ticker FROM claims WHERE status='accepted' AND ticker IS NOT NULL) AS has_claims FROM (SELECT DISTINCT ticker FROM bars UNION SELECT 'ZZZ')", ("bars",) + MT, MENTIONS)
 def _(t):
-    return G.coverage_flags(t.bars.select("ticker").union(t.spark.sql("select 'ZZZ'")), t.calls, t.claims)
+    return G.coverage_flags(t.bars.select("ticker").union(t.spark.sql("select 'ZZZ'")), G.ticker_signals(t.calls, t.claims, t.scorecards, END), t.calls, t.claims)
 
 
-@query("j17_document_view", "SELECT DISTINCT document_id, display_name FROM calls JOIN creators USING (creator_id) WHERE active", ("calls", "creators"))
+@query("j17_document_view", "SELECT document_id, title, posted_at, creator_id, display_name, active FROM claim_documents JOIN channels USING (channel_id) JOIN creators USING (creator_id)", ("claim_documents", "channels", "creators"))
 def _(t):
-    return G.with_context(t.calls.select("document_id", "creator_id"), t.creators).where("active").select("document_id", "display_name").distinct()
+    return G.document_view(t.claim_documents, t.channels, t.creators).select("document_id", "title", "posted_at", "creator_id", "display_name", "active")
 
 
-@query("j18_nested_outcomes", "SELECT call_id, coalesce(string_agg(concat(horizon, '=', status), ',' ORDER BY horizon), '') AS outcomes FROM calls c LEFT JOIN (SELECT call_id, horizon, status FROM outcomes) o USING (call_id) GROUP BY call_id".replace("concat(horizon, '=', status)", "horizon || '=' || o.status"), BASE, OUTCOMES)
+@query("j18_nested_outcomes", "SELECT call_id, any_value(display_name) AS display_name, coalesce(any_value(d.posted_at), any_value(c.posted_at)+INTERVAL 2 DAY) AS posted_at, coalesce(string_agg(o.horizon || '=' || o.status, ',' ORDER BY o.horizon), '') AS outcomes FROM calls c LEFT JOIN call_documents d USING (document_id) LEFT JOIN channels h USING (channel_id) LEFT JOIN creators k ON k.creator_id=h.creator_id LEFT JOIN (SELECT call_id, horizon, status FROM outcomes) o USING (call_id) GROUP BY call_id", BASE + ("call_documents", "channels", "creators"), OUTCOMES)
 def _(t):
-    rows = G.nested_outcomes(t.calls, outcomes(t))
-    return rows.select("call_id", F.array_join(F.transform("outcomes", lambda o: F.concat_ws("=", o["horizon"], o["status"])), ",").alias("outcomes"))
+    calls = t.calls.withColumn("extracted_at", F.col("posted_at") + F.expr("interval 2 days"))
+    rows = G.nested_outcomes(calls, outcomes(t), t.call_documents, t.channels, t.creators)
+    return rows.select("call_id", "display_name", "posted_at", F.array_join(F.transform("outcomes", lambda o: F.concat_ws("=", o["horizon"], o["status"])), ",").alias("outcomes"))
 
 
 @query("w25_latest_signals", "SELECT lens_name, ticker, max(as_of) AS window_end FROM lens_results WHERE as_of<=TIMESTAMP '2001-01-20 00:00:00' GROUP BY 1,2", ("lens_results",))
@@ -196,12 +228,11 @@ def _(t):
     return B.tradeable(C.knowable_through(days, t.sessions), t.bars)
 
 
-@query("s3_mentions", "SELECT is_call, count(*) AS n FROM mentions GROUP BY 1", MT, MENTIONS)
+@query("s3_mentions", "SELECT is_call, count(*) AS n, count(DISTINCT ticker) AS n_tickers FROM mentions GROUP BY 1", MT, MENTIONS)
 def _(t):
-    both = t.calls.where("status = 'accepted'").select(F.lit(True).alias("is_call")).unionByName(t.claims.where("status = 'accepted'").select(F.lit(False).alias("is_call")))
-    return both.groupBy("is_call").agg(F.count(F.lit(1)).alias("n"))
+    return G.mentions(t.calls, t.claims).groupBy("is_call").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("ticker").alias("n_tickers"))
 
 
 @query("s1_processed_documents", "SELECT document_id, count(*) AS n FROM (SELECT document_id FROM calls UNION ALL SELECT document_id FROM claims) GROUP BY 1", ("calls", "claims"))
 def _(t):
-    return t.calls.select("document_id").unionByName(t.claims.select("document_id")).groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
+    return G.processed_documents(t.calls, t.claims).groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
