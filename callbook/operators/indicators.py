@@ -15,6 +15,8 @@ from callbook.operators import bars as B
 SMA = (20, 50, 150, 200)
 EMA = (8, 21)
 RETURNS = (1, 5, 21, 63, 126, 252)
+#: Fixed value: the widest 20-bar range that counts as tight.
+TIGHT = 0.05
 
 
 def _last(n: int, skip: int = 0):
@@ -47,6 +49,11 @@ def ema(bars: DataFrame, spans: tuple[int, ...] = EMA) -> DataFrame:
     return bars.join(rows.groupBy("ticker").applyInPandas(run, fields).drop("close"), ["ticker", "ts"])
 
 
+def ema_distances(bars: DataFrame, spans: tuple[int, ...] = EMA) -> DataFrame:
+    """(ticker, ts, dist_ema_<n>): the close over each EMA, less 1."""
+    return ema(bars, spans).select("ticker", "ts", *[_change(F.col("close"), F.col(f"ema_{n}")).alias(f"dist_ema_{n}") for n in spans])
+
+
 def panel(bars: DataFrame) -> DataFrame:
     """Bars with all rolling columns but the EMAs."""
     w = B.by_ticker()
@@ -86,7 +93,7 @@ def panel(bars: DataFrame) -> DataFrame:
         "base_low_60": F.min("low").over(_last(60)), "base_high_60": F.max("high").over(_last(60)),
     }
     out = base.withColumns(cols)
-    out = out.withColumns({**{f"dist_sma_{n}": _change(close, F.col(f"sma_{n}")) for n in SMA}, "atr_14_pct": F.col("atr_14") / close, "ma_alignment": ma_alignment()})
+    out = out.withColumns({**{f"dist_sma_{n}": _change(close, F.col(f"sma_{n}")) for n in SMA}, "atr_14_pct": F.col("atr_14") / close, "tight_20": F.col("consolidation_20") <= TIGHT, "ma_alignment": ma_alignment()})
     return out.drop("_up", "_down", "_tr", "_log")
 
 

@@ -46,21 +46,26 @@ def _same_price(want: Column, got: Column) -> Column:
     return F.when(want.isNull() & got.isNull(), True).otherwise(F.coalesce(close, F.lit(False)))
 
 
+#: Compared fields and how: as they are, or as prices.
+SAME, PRICES = ("ticker", "direction", "entry_type", "timeframe"), ("entry_price", "target_price", "stop_price")
+
+
 def extraction_eval(expected: DataFrame, found: DataFrame) -> DataFrame:
-    """One row of counts, precision, recall, F1 and accuracy per field on joint positives.
+    """One row of counts, precision, recall, F1 (0 where nothing can be divided) and accuracy per field on joint positives.
 
-    Both hold id, is_call, ticker, direction, entry_price; an id missing on a side is no call there.
+    Both hold id, is_call and the fields above; an id missing on a side is no call there. An expected timeframe that is
+    unknown counts as unspecified. Accuracies are null without joint positives.
     """
-    e = expected.select("id", *[F.col(c).alias(f"e_{c}") for c in ("is_call", "ticker", "direction", "entry_price")])
-    f = found.select("id", *[F.col(c).alias(f"f_{c}") for c in ("is_call", "ticker", "direction", "entry_price")])
-    rows = e.join(f, "id", "full_outer")
+    side = lambda df, k: df.select("id", *[F.col(c).alias(f"{k}_{c}") for c in ("is_call", *SAME, *PRICES)])
+    rows = side(expected, "e").join(side(found, "f"), "id", "full_outer").withColumn("e_timeframe", F.coalesce("e_timeframe", F.lit("unspecified")))
     want, got = F.coalesce("e_is_call", F.lit(False)), F.coalesce("f_is_call", F.lit(False))
     both = want & got
-    share = lambda ok: F.avg(F.when(both, F.coalesce(ok, F.lit(False)).cast("double")))
+    share = lambda c, ok: F.avg(F.when(both, F.coalesce(ok, F.lit(False)).cast("double"))).alias(f"{c}_accuracy")
     out = rows.agg(
         F.count_if(both).alias("tp"), F.count_if(~want & got).alias("fp"), F.count_if(want & ~got).alias("fn"), F.count_if(~want & ~got).alias("tn"),
-        share(F.col("e_ticker").eqNullSafe(F.col("f_ticker"))).alias("ticker_accuracy"), share(F.col("e_direction").eqNullSafe(F.col("f_direction"))).alias("direction_accuracy"), share(_same_price(F.col("e_entry_price"), F.col("f_entry_price"))).alias("price_accuracy"),
+        *[share(c, F.col(f"e_{c}").eqNullSafe(F.col(f"f_{c}"))) for c in SAME], *[share(c, _same_price(F.col(f"e_{c}"), F.col(f"f_{c}"))) for c in PRICES],
     )
+    over = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
     tp = F.col("tp")
-    out = out.withColumns({"precision": tp / F.nullif(tp + F.col("fp"), F.lit(0)), "recall": tp / F.nullif(tp + F.col("fn"), F.lit(0))})
-    return out.withColumn("f1", 2 * F.col("precision") * F.col("recall") / F.nullif(F.col("precision") + F.col("recall"), F.lit(0.0)))
+    out = out.withColumns({"precision": over(tp, tp + F.col("fp")), "recall": over(tp, tp + F.col("fn"))})
+    return out.withColumn("f1", over(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))

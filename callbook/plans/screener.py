@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callbook.plans.signals import creator_coverage
+
 
 @dataclass(frozen=True)
 class ScreenConfig:
@@ -88,6 +90,64 @@ def flags(cfg: ScreenConfig) -> Column:
     return F.array_compact(F.array(F.when(cheap, "cheap_for_a_reason"), F.when(soon, F.concat(F.lit("earnings_in_"), c("days_to_earnings").cast("string"), F.lit("d"))), F.when(far, "extended_above_200d")))
 
 
+#: Tags of missing figures, each with the columns of which one must be known.
+QUALITY = {
+    "no_pe": ("forward_pe", "trailing_pe"), "no_revenue_growth": ("revenue_growth",), "no_gross_margin": ("gross_margin",),
+    "no_roe": ("return_on_equity",), "no_sma_200": ("sma_200",), "no_relative_strength": ("rs_vs_benchmark",),
+}
+
+
+def screen_universe(universe: DataFrame, metrics: DataFrame, technicals: DataFrame, calls: DataFrame, claims: DataFrame, cfg: ScreenConfig = ScreenConfig(), enabled: tuple[str, ...] | None = None, sector: str | None = None) -> DataFrame:
+    """Every ticker of a universe (ticker, sector; of one sector if given) screened on its metrics and technicals
+    (indicators.screen_technicals), with its coverage by creators beside them.
+
+    The universe's sector stands in for a missing one. A ticker without metrics is an error: it passes nothing and comes
+    last. Coverage never moves a row. data_quality names what is missing. Metrics without a column have it as null.
+    """
+    listed = universe if sector is None else universe.where(F.lower("sector") == sector.lower())
+    listed = listed.select("ticker", F.col("sector").alias("_sector"))
+    own = metrics.drop("price_vs_sma_200", "rs_vs_benchmark", "sma_200", "last_close").withColumn("_known", F.lit(True))
+    for column in ("trailing_pe", "sector"):
+        if column not in own.columns:
+            own = own.withColumn(column, F.lit(None).cast("string" if column == "sector" else "double"))
+    side = technicals.select("ticker", "last_close", "sma_200", "rs_vs_benchmark", (F.col("last_close") / F.nullif("sma_200", F.lit(0.0)) - 1).alias("price_vs_sma_200"))
+    known = F.col("_known").isNotNull()
+    rows = listed.join(own, "ticker", "left").join(side, "ticker", "left").join(creator_coverage(listed, calls, claims), "ticker", "left")
+    rows = rows.withColumns(
+        {
+            **{c: F.when(known, F.col(c)) for c in ("last_close", "sma_200", "rs_vs_benchmark", "price_vs_sma_200", "avg_confidence")},
+            "n_mentions": F.when(known, F.col("n_mentions")).otherwise(0), "sector": F.coalesce(F.nullif("sector", F.lit("")), F.nullif("_sector", F.lit(""))),
+            "error": F.when(~known, "no_metrics"),
+        }
+    )
+    lacks = F.array_compact(F.array(*[F.when(F.coalesce(*columns).isNull(), tag) for tag, columns in QUALITY.items()]))
+    none = F.array().cast("array<string>")
+    out = screen(rows, cfg, enabled).withColumns({"data_quality": F.when(known, lacks).otherwise(none), "lacking": F.when(known, F.col("lacking")).otherwise(none)})
+    return out.drop("_sector", "_known").orderBy(F.col("error").isNotNull(), F.desc("n_passed"), "ticker")
+
+
+#: Columns of a screen's table and where they come from.
+SCREEN_TABLE = {
+    "ticker": "ticker", "sector": "sector", "fwd_pe": "forward_pe", "peg": "peg_ratio", "ev_ebitda": "ev_to_ebitda", "rev_growth": "revenue_growth", "earn_growth": "earnings_growth", "gross_margin": "gross_margin",
+    "roe": "return_on_equity", "debt_equity": "debt_to_equity", "pct_vs_200d": "price_vs_sma_200", "rs_vs_spy_3mo": "rs_vs_benchmark", "days_to_earnings": "days_to_earnings", "filters_passed": "filters_passed",
+    "creator_mentions": "n_mentions", "avg_creator_confidence": "avg_confidence", "flags": "flags", "data_quality": "data_quality", "error": "error",
+}
+
+
+def screen_table(screened: DataFrame, only_passing: bool = True) -> DataFrame:
+    """IO10: a screen as a flat table of fixed columns, lists joined by commas; a column that the screen lacks is empty."""
+    passed = F.array_compact(F.array(*[F.when(F.col(f"pass_{n}"), n) for n in FILTERS if f"pass_{n}" in screened.columns]).cast("array<string>"))
+    rows = (screened.where("n_passed > 0") if only_passing else screened).withColumn("filters_passed", passed)
+    types = dict(rows.dtypes)
+
+    def flat(source: str) -> Column:
+        if source not in types:
+            return F.lit(None).cast("string")
+        return F.concat_ws(",", source) if types[source].startswith("array") else F.coalesce(source, F.lit("")) if types[source] == "string" else F.col(source)
+
+    return rows.select(*[flat(source).alias(name) for name, source in SCREEN_TABLE.items()])
+
+
 #: What a peer's ratio must lie strictly between to count (None: any).
 BOUNDS = {
     "forward_pe": (-200.0, 500.0), "trailing_pe": (-200.0, 500.0), "peg": (-50.0, 50.0), "price_to_sales": (0.0, 200.0),

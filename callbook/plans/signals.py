@@ -188,7 +188,7 @@ def processed_documents(calls: DataFrame, claims: DataFrame, version: str | None
 def pending_documents(documents: DataFrame, segments: DataFrame, processed: DataFrame, min_segments: int = 3, creator: str | None = None) -> DataFrame:
     """Documents (document_view) with enough segments that no call or claim comes from, newest first; of creators whose name holds a text, in any case."""
     if creator is not None:
-        documents = documents.where(F.contains(F.lower("display_name"), F.lit(creator.lower())))
+        documents = documents.where(F.col("display_name").ilike(f"%{creator}%"))
     enough = segments.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_segments")).where(F.col("n_segments") >= min_segments)
     rows = documents.join(enough, "document_id").join(processed.select("document_id").distinct(), "document_id", "left_anti")
     return rows.orderBy(F.desc_nulls_last("posted_at"), "document_id")

@@ -20,12 +20,21 @@ def _(t):
     return L.lens_outcomes(t.lens_results.select("snapshot_id", "ticker", "as_of", "direction"), t.bars, t.sessions, BENCHMARK, NOW)
 
 
-@query("a19_extraction_eval", f"""SELECT tp, fp, fn, tn, {r6('ticker_accuracy','direction_accuracy','price_accuracy','precision','recall')}, round(2*precision*recall/(precision+recall),6) AS f1 FROM (SELECT *, tp*1.0e0/(tp+fp) AS precision, tp*1.0e0/(tp+fn) AS recall FROM (
+_FIELDS = ("ticker", "direction", "entry_type", "timeframe", "entry_price", "target_price", "stop_price")
+
+
+@query("a19_extraction_eval", f"""SELECT tp, fp, fn, tn, {r6(*[f'{c}_accuracy' for c in _FIELDS], 'precision', 'recall')}, round(2*precision*recall/(precision+recall),6) AS f1 FROM (SELECT *, tp*1.0e0/(tp+fp) AS precision, tp*1.0e0/(tp+fn) AS recall FROM (
  SELECT count(*) FILTER (WHERE w AND g) AS tp, count(*) FILTER (WHERE NOT w AND g) AS fp, count(*) FILTER (WHERE w AND NOT g) AS fn, count(*) FILTER (WHERE NOT w AND NOT g) AS tn,
- avg(CASE WHEN call_id%10<>3 THEN 1.0e0 ELSE 0.0e0 END) FILTER (WHERE w AND g) AS ticker_accuracy, 1.0e0 AS direction_accuracy, avg(CASE WHEN entry_price IS NULL OR call_id%4<>0 THEN 1.0e0 ELSE 0.0e0 END) FILTER (WHERE w AND g) AS price_accuracy
+ {", ".join(f"avg(CASE WHEN {ok} THEN 1.0e0 ELSE 0.0e0 END) FILTER (WHERE w AND g) AS {c}_accuracy" for c, ok in zip(_FIELDS, ("call_id%10<>3", "true", "entry_type<>'limit'", "call_id%6=1 OR call_id%6=4 OR call_id%6=2", "entry_price IS NULL OR call_id%4<>0", "call_id%8<>5 OR target_price IS NULL AND entry_price IS NULL", "stop_price IS NULL OR stop_price<>0")))}
  FROM (SELECT *, status='accepted' AS w, call_id%7<>0 AS g FROM calls)) a) b""", ("calls",))
 def _(t):
-    want = t.calls.select(F.col("call_id").alias("id"), (F.col("status") == "accepted").alias("is_call"), "ticker", "direction", "entry_price")
-    off = F.when(F.col("call_id") % 4 == 0, 1.05).otherwise(1.005)
-    got = t.calls.where("call_id % 7 <> 0").select(F.col("call_id").alias("id"), F.lit(True).alias("is_call"), F.when(F.col("call_id") % 10 == 3, "ZZZ").otherwise(F.col("ticker")).alias("ticker"), "direction", (F.col("entry_price") * off).alias("entry_price"))
+    n = F.col("call_id")
+    want = t.calls.select(n.alias("id"), (F.col("status") == "accepted").alias("is_call"), "ticker", "direction", "entry_type", F.when(n % 3 == 1, "swing").when(n % 3 == 0, "intraday").alias("timeframe"), "entry_price", "target_price", "stop_price")
+    off = F.when(n % 4 == 0, 1.05).otherwise(1.005)
+    # a target where none is expected and none where one is
+    target = F.when(n % 8 == 5, F.when(F.col("target_price").isNull(), F.col("entry_price"))).otherwise(F.col("target_price"))
+    got = t.calls.where("call_id % 7 <> 0").select(
+        n.alias("id"), F.lit(True).alias("is_call"), F.when(n % 10 == 3, "ZZZ").otherwise(F.col("ticker")).alias("ticker"), "direction", F.when(F.col("entry_type") == "limit", "market").otherwise(F.col("entry_type")).alias("entry_type"),
+        F.when(n % 3 == 1, "swing").when(n % 6 == 2, "unspecified").otherwise("position").alias("timeframe"), (F.col("entry_price") * off).alias("entry_price"), target.alias("target_price"), "stop_price",
+    )
     return L.extraction_eval(want, got)

@@ -183,9 +183,9 @@ def _(t):
     return pending(t)
 
 
-@query("j13_pending_of_creator", "SELECT * FROM pend WHERE display_name ILIKE '%ia%'", PT, PENDING)
+@query("j13_pending_of_creator", "SELECT * FROM pend WHERE display_name ILIKE '%nation_1%'", PT, PENDING)
 def _(t):
-    return pending(t, "Ia")
+    return pending(t, "Nation_1")
 
 
 @query("j14_plan_cache", "SELECT ticker, mode, CAST(CAST(computed_at AS date) AS varchar) AS day, max(plan_id) AS plan_id FROM (SELECT snapshot_id AS plan_id, ticker, lens_name AS mode, as_of AS computed_at FROM lens_results) GROUP BY 1,2,3", ("lens_results",))

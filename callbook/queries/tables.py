@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from callbook.functions import text as X
 from callbook.operators import bars as B
+from callbook.operators import indicators as I
 from callbook.plans import portfolio as P
 from callbook.plans import screener as S
 from callbook.queries.base import query, r6
 from callbook.sources import tables as IO
 from callbook.streaming import streams
+from callbook.testdata import BENCHMARK
 
 LEDGER = """lg AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY traded_at, id) AS k FROM trades),
 rec AS (SELECT ticker, k, quantity AS qty, quantity*price_per_share+fees AS basis, 0.0e0 AS realized, eur_amount AS eb, 0.0e0 AS er FROM lg WHERE k=1
@@ -118,6 +120,39 @@ def _(t):
     return S.screen(t.metrics).select("ticker", "pass_value", "pass_growth", "pass_quality", "pass_technical", "n_passed")
 
 
+UNIVERSE = f"""sn AS (SELECT ticker, max(close) FILTER (WHERE k=1) AS last_close, CASE WHEN count(*)>=50 THEN avg(close) END AS sma_200, max(close) FILTER (WHERE k=1)/max(close) FILTER (WHERE k=63)-1 AS r FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) AS k FROM bars) WHERE k<=200 GROUP BY 1),
+tech AS (SELECT ticker, last_close/sma_200-1 AS x, sma_200, r-(SELECT r FROM sn WHERE ticker='T00') AS rs FROM sn),
+said AS (SELECT ticker, count(*) AS n, avg(final_confidence) AS c FROM (SELECT 'P' || CAST(call_id%300 AS varchar) AS ticker, final_confidence FROM calls WHERE status='accepted' UNION ALL SELECT 'P' || CAST(claim_id%200 AS varchar), final_confidence FROM claims WHERE status='accepted') z GROUP BY 1),
+joined AS (SELECT u.ticker, u.own, CASE WHEN m.ticker IS NULL THEN u.sector ELSE coalesce(m.sector, u.sector) END AS sector, m.ticker IS NOT NULL AS known, forward_pe, peg_ratio, ev_to_ebitda, revenue_growth, earnings_growth, revenue_growth_qoq, gross_margin, return_on_equity, debt_to_equity, days_to_earnings, x, sma_200, rs, coalesce(n,0) AS n, c
+ FROM (SELECT ticker, sector, CAST(substr(ticker,2) AS int) AS own FROM metrics) u LEFT JOIN (SELECT * REPLACE (CASE WHEN CAST(substr(ticker,2) AS int)%3=0 THEN NULL ELSE sector END AS sector) FROM metrics WHERE CAST(substr(ticker,2) AS int)%10<>7) m ON m.ticker=u.ticker LEFT JOIN tech t ON t.ticker=concat('T', lpad(CAST(own%20 AS varchar),2,'0')) LEFT JOIN said s ON s.ticker=u.ticker),
+su AS (SELECT *, known AND (coalesce(forward_pe<25,false) OR coalesce(peg_ratio>0 AND peg_ratio<1.5e0,false) OR coalesce(ev_to_ebitda>0 AND ev_to_ebitda<15,false)) AS v, known AND coalesce(revenue_growth>0.15e0 AND earnings_growth IS NOT NULL AND (earnings_growth>0 OR coalesce(revenue_growth_qoq>revenue_growth,false)),false) AS g,
+ known AND coalesce(gross_margin>0.4e0 AND return_on_equity>0.15e0 AND debt_to_equity<1,false) AS q, known AND coalesce(x>0 AND x<=0.3e0 AND rs>0,false) AS h FROM joined)"""
+
+
+def screened(t):
+    number = F.expr("cast(substr(ticker, 2) as int)")
+    metrics = t.metrics.where(number % 10 != 7).withColumn("sector", F.when(number % 3 != 0, F.col("sector")))
+    listing = t.metrics.select("ticker", F.concat(F.lit("T"), F.lpad((number % 20).cast("string"), 2, "0")).alias("_t"))
+    technicals = I.screen_technicals(t.bars, BENCHMARK).withColumnRenamed("ticker", "_t").join(listing, "_t")
+    about = lambda rows, key, n: rows.withColumn("ticker", F.concat(F.lit("P"), (F.col(key) % n).cast("string")))
+    return S.screen_universe(t.metrics.select("ticker", "sector"), metrics, technicals, about(t.calls, "call_id", 300), about(t.claims, "claim_id", 200))
+
+
+@query("c7_screen_universe", f"SELECT ticker, sector, CASE WHEN NOT known THEN 'no_metrics' END AS error, CAST(v AS int)+CAST(g AS int)+CAST(q AS int)+CAST(h AS int) AS n_passed, CASE WHEN known THEN n ELSE 0 END AS n_mentions, CASE WHEN known THEN round(c,6) END AS avg_confidence, CASE WHEN known THEN round(x,6)+0.0e0 END AS price_vs_sma_200 FROM su", ("metrics", "bars", "calls", "claims"), UNIVERSE)
+def _(t):
+    return screened(t).select("ticker", "sector", "error", "n_passed", "n_mentions", "avg_confidence", "price_vs_sma_200")
+
+
+@query("io10_screen_table", f"""SELECT ticker, coalesce(sector,'') AS sector, {r6('fwd_pe','peg','ev_ebitda','rev_growth','earn_growth','gross_margin','roe','debt_equity','pct_vs_200d','rs_vs_spy_3mo','avg_creator_confidence')}, CAST(days_to_earnings AS varchar) AS days_to_earnings, creator_mentions, filters_passed, flags, data_quality, '' AS error FROM (
+ SELECT ticker, sector, forward_pe AS fwd_pe, peg_ratio AS peg, ev_to_ebitda AS ev_ebitda, revenue_growth AS rev_growth, earnings_growth AS earn_growth, gross_margin, return_on_equity AS roe, debt_to_equity AS debt_equity, x AS pct_vs_200d, rs AS rs_vs_spy_3mo, c AS avg_creator_confidence, days_to_earnings, n AS creator_mentions,
+ concat_ws(',', CASE WHEN v THEN 'value' END, CASE WHEN g THEN 'growth' END, CASE WHEN q THEN 'quality' END, CASE WHEN h THEN 'technical' END) AS filters_passed,
+ concat_ws(',', CASE WHEN v AND earnings_growth<0 THEN 'cheap_for_a_reason' END, CASE WHEN days_to_earnings BETWEEN 0 AND 30 THEN 'earnings_in_' || CAST(days_to_earnings AS varchar) || 'd' END, CASE WHEN x>0.3e0 THEN 'extended_above_200d' END) AS flags,
+ concat_ws(',', CASE WHEN forward_pe IS NULL THEN 'no_pe' END, CASE WHEN revenue_growth IS NULL THEN 'no_revenue_growth' END, CASE WHEN gross_margin IS NULL THEN 'no_gross_margin' END, CASE WHEN return_on_equity IS NULL THEN 'no_roe' END, CASE WHEN sma_200 IS NULL THEN 'no_sma_200' END, CASE WHEN rs IS NULL THEN 'no_relative_strength' END) AS data_quality
+ FROM su WHERE v OR g OR q OR h) y""", ("metrics", "bars", "calls", "claims"), UNIVERSE)
+def _(t):
+    return S.screen_table(screened(t)).withColumn("days_to_earnings", F.col("days_to_earnings").cast("string"))
+
+
 @query("t24_flags", "SELECT ticker, CASE WHEN (coalesce(forward_pe<25,false) OR coalesce(peg_ratio>0 AND peg_ratio<1.5e0,false) OR coalesce(ev_to_ebitda>0 AND ev_to_ebitda<15,false)) AND earnings_growth<0 THEN 'cheap_for_a_reason|' ELSE '' END || CASE WHEN days_to_earnings BETWEEN 0 AND 30 THEN 'earnings_in_' || CAST(days_to_earnings AS varchar) || 'd|' ELSE '' END || CASE WHEN price_vs_sma_200>0.3e0 THEN 'extended_above_200d|' ELSE '' END AS flags FROM metrics", ("metrics",))
 def _(t):
     return S.screen(t.metrics).select("ticker", F.array_join(F.transform("flags", lambda x: F.concat(x, F.lit("|"))), "").alias("flags"))
@@ -230,6 +265,13 @@ def _(t):
     return IO.upsert_counts(t.calls.where("status = 'accepted'"), t.calls, "call_id")
 
 
+@query("io6_upsert_gold", "SELECT call_id AS source_key, CASE WHEN status='accepted' THEN 'call' ELSE 'none' END AS label, CASE WHEN direction='long' THEN 'new' ELSE 'old' END AS notes FROM calls", ("calls",))
+def _(t):
+    label = F.when(F.col("status") == "accepted", "call").otherwise("none").alias("label")
+    rows = lambda df, notes: df.select(F.col("call_id").alias("source_key"), label, F.lit(notes).alias("notes"))
+    return IO.upsert_gold(rows(t.calls, "old"), rows(t.calls.where("direction = 'long'"), "new"))
+
+
 @query("io8_upsert_by_key", "SELECT call_id, CASE WHEN direction='long' THEN 'new' ELSE 'old' END AS version FROM calls", ("calls",))
 def _(t):
     old = t.calls.select("call_id", F.lit("old").alias("version"))

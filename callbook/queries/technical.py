@@ -38,18 +38,18 @@ panel0 AS (SELECT ticker, ts, open, high, low, close, volume, bar_no, {", ".join
  max(high) OVER {_w(63)} AS recent_high_63, min(low) OVER {_w(63)} AS recent_low_63, min(low) OVER {_w(60)} AS base_low_60, max(high) OVER {_w(60)} AS base_high_60,
  {", ".join(f"{_chg('close', f'sma_{n}')} AS dist_sma_{n}" for n in I.SMA)},
  CASE WHEN sma_50 IS NULL OR sma_200 IS NULL THEN 'insufficient' WHEN close>sma_50 AND sma_50>sma_200 THEN 'bullish_stack' WHEN close<sma_50 AND sma_50<sma_200 THEN 'bearish_stack' ELSE 'mixed' END AS ma_alignment FROM b3),
-panel AS (SELECT *, atr_14/close AS atr_14_pct FROM panel0)"""
+panel AS (SELECT *, atr_14/close AS atr_14_pct, CAST(consolidation_20<=0.05e0 AS varchar) AS tight_20 FROM panel0)"""
 RS = f"""al AS (SELECT b.ticker, b.ts, b.close, s.close AS bc FROM bars b JOIN bars s ON s.ticker='T00' AND s.ts=b.ts),
 rs AS (SELECT ticker, ts, {", ".join(f"({_chg('close', f'lag(close,{n}) OVER {_O}')})-({_chg('bc', f'lag(bc,{n}) OVER {_O}')}) AS rs_{n}" for n in (63, 126))} FROM al)"""
 
 
 def _panel_query(name: str, *columns: str, digits: int = 6):
-    texts = [c for c in columns if c == "ma_alignment"]
+    texts = [c for c in columns if c in ("ma_alignment", "tight_20")]
     numbers = [c for c in columns if c not in texts]
 
     @query(name, f"SELECT {', '.join(['ticker', 'ts', *texts])}{', ' if numbers else ''}{r6(*numbers, digits=digits)} FROM panel", ("bars",), PANEL, digits)
     def _(t):
-        return I.panel(t.bars).select("ticker", "ts", *texts, *numbers)
+        return I.panel(t.bars).select("ticker", "ts", *[F.col(c).cast("string").alias(c) for c in texts], *numbers)
 
 
 # means of prices of four decimals fall on ties at six
@@ -63,18 +63,26 @@ _panel_query("w8_returns", *[f"return_{n}" for n in I.RETURNS])
 _panel_query("w9_gap", "gap")
 _panel_query("w10_high_low_52w", "pct_off_high_52w", "pct_off_low_52w")
 _panel_query("w13_distances", *[f"dist_sma_{n}" for n in I.SMA])
-_panel_query("w16_consolidation", "consolidation_20")
+_panel_query("w16_consolidation", "consolidation_20", "tight_20")
 _panel_query("w17_pullback_breakout", "pullback_63", "breakout_63")
 _panel_query("w18_recent_range", "recent_high_63", "recent_low_63", "base_low_60", "base_high_60")
 _panel_query("t13_ma_alignment", "ma_alignment")
 
 
+EMAS = f"nb AS (SELECT *, row_number() OVER {_O} AS bar_no FROM bars), rec AS (SELECT ticker, ts, bar_no, close AS e8, close AS e21 FROM nb WHERE bar_no=1 UNION ALL SELECT n.ticker, n.ts, n.bar_no, n.close*2/9.0e0+r.e8*7/9.0e0, n.close*2/22.0e0+r.e21*20/22.0e0 FROM rec r JOIN nb n ON n.ticker=r.ticker AND n.bar_no=r.bar_no+1)"
+
+
 @query("w2_ema", f"""SELECT ticker, ts, {r6('ema_8','ema_21')} FROM (SELECT ticker, ts, CASE WHEN bar_no>=8 THEN e8 END AS ema_8, CASE WHEN bar_no>=21 THEN e21 END AS ema_21 FROM rec) x""", ("bars",),
-       f"nb AS (SELECT *, row_number() OVER {_O} AS bar_no FROM bars), rec AS (SELECT ticker, ts, bar_no, close AS e8, close AS e21 FROM nb WHERE bar_no=1 UNION ALL SELECT n.ticker, n.ts, n.bar_no, n.close*2/9.0e0+r.e8*7/9.0e0, n.close*2/22.0e0+r.e21*20/22.0e0 FROM rec r JOIN nb n ON n.ticker=r.ticker AND n.bar_no=r.bar_no+1)")
+       EMAS)
 def _(t):
     return I.ema(t.bars).select("ticker", "ts", "ema_8", "ema_21")
 
 
+@query("w13_ema_distances", f"SELECT ticker, ts, CASE WHEN bar_no>=8 THEN round(close/e8-1,6)+0.0e0 END AS dist_ema_8, CASE WHEN bar_no>=21 THEN round(close/e21-1,6)+0.0e0 END AS dist_ema_21 FROM rec JOIN bars USING (ticker, ts)", ("bars",), EMAS)
+def _(t):
+    return I.ema_distances(t.bars)
+
+
 @query("w11_relative_strength", f"SELECT ticker, ts, {r6('rs_63','rs_126')} FROM rs", ("bars",), RS)
 def _(t):
     return I.relative_strength(t.bars, BENCHMARK)

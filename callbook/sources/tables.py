@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callbook.functions.text import canonical_symbol
+from callbook.plans.screener import screen_table
 
 UNIVERSE = "ticker string, name string, sector string, source string"
 GOLD = "id string, source_text string, expected struct<is_trade_call:boolean,ticker:string,direction:string,entry_type:string,entry_price:double,target_price:double,stop_price:double,timeframe:string>, notes string"
@@ -42,16 +43,39 @@ def append_if_absent(existing: DataFrame, new: DataFrame, keys: list[str]) -> Da
     return existing.unionByName(new.join(existing.select(*keys).distinct(), keys, "left_anti"))
 
 
+def gold_rows(gold: DataFrame) -> DataFrame:
+    """IO6: read_gold's rows as flat labels; null or empty expectations are no call."""
+    fields = [f.name for f in gold.schema["expected"].dataType.fields if f.name != "is_trade_call"]
+    known = F.coalesce(*[F.col(f"expected.{c}").cast("string") for c in ("is_trade_call", *fields)]).isNotNull()
+    return gold.select(F.col("id").alias("source_key"), "source_text", known.alias("expected_is_call"), *[F.col(f"expected.{c}").alias(f"expected_{c}") for c in fields], F.coalesce("notes", F.lit("")).alias("notes"))
+
+
+def upsert_gold(existing: DataFrame, incoming: DataFrame, key: str = "source_key") -> DataFrame:
+    """IO6: labels with the incoming ones in place of those of their key. Which of repeated incoming keys stays is not defined."""
+    return upsert_by_key(existing, incoming.dropDuplicates([key]), [key])
+
+
 def upsert_counts(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """IO6: how many keys of incoming are new and how many replace one."""
     keys = incoming.select(key).distinct().join(existing.select(key, F.lit(True).alias("_old")).distinct(), key, "left")
     return keys.agg(F.count_if(F.col("_old").isNull()).alias("inserted"), F.count_if(F.col("_old").isNotNull()).alias("updated"))
 
 
+def as_utc(column: str) -> Column:
+    """A time in text; one without a zone is meant in UTC, whatever the session's zone."""
+    text = F.trim(F.col(column).cast("string"))
+    return F.try_to_timestamp(F.when(text.rlike(r"(Z|[+-]\d{2}:?\d{2})$") & F.contains(text, F.lit(":")), text).otherwise(F.concat(text, F.lit("Z"))))
+
+
 def ingest_documents(existing: DataFrame, raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """IO7: new documents (source_type, external_id unseen; repeats once) and their segments in rows."""
+    """IO7: new documents (source_type, external_id unseen; repeats once) and their segments in rows.
+
+    A posted_at of text or without a zone is meant in UTC. A document without segments is kept and has no rows of them.
+    """
     keys = ["source_type", "external_id"]
     fresh = raw.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")
+    if dict(raw.dtypes).get("posted_at") in ("string", "timestamp_ntz"):
+        fresh = fresh.withColumn("posted_at", as_utc("posted_at"))
     segments = fresh.select(*keys, F.posexplode("segments").alias("segment_id", "segment")).select(*keys, "segment_id", "segment.*")
     return fresh.drop("segments"), segments
 
@@ -66,13 +90,31 @@ def explode_plan_lenses(plans: DataFrame) -> DataFrame:
 
 
 def write_screen(screened: DataFrame, path: str, day: str) -> None:
-    """IO10: passing rows as CSV (lists comma-joined) and all rows as JSON, in a folder of the day."""
-    lists = [c for c, t in screened.dtypes if t.startswith("array")]
-    flat = screened.where("n_passed > 0").withColumns({c: F.concat_ws(",", c) for c in lists})
-    flat.write.mode("overwrite").csv(f"{path}/day={day}/passing", header=True)
+    """IO10: passing rows as CSV of fixed columns (screener.screen_table) and all rows as JSON, in a folder of the day."""
+    screen_table(screened).write.mode("overwrite").csv(f"{path}/day={day}/passing", header=True)
     screened.write.mode("overwrite").json(f"{path}/day={day}/full")
 
 
-def snapshot(rows: DataFrame, path: str) -> None:
-    """IO11: append a snapshot."""
-    rows.write.mode("append").parquet(path)
+#: The columns of a snapshot.
+HEADLINE = (
+    "ticker", "as_of", "status", "status_confidence", "setup_type", "setup_confidence", "primary_style", "last_close", "pct_off_52w_high", "return_5d", "return_21d", "return_63d",
+    "ma_alignment", "rsi_14", "atr_14_pct", "sma_50_slope_21d_pct", "relative_strength_vs_spy_63d", "nearest_support", "nearest_resistance", "pullback_pct_from_recent_high",
+    "breakout_distance_pct", "entry_zone_available", "entry_trigger", "entry_zone_low", "entry_zone_high", "invalidation_reference", "risk_reward_estimate", "transcript_n_calls",
+    "transcript_n_claims", "transcript_n_creators", "transcript_polarity_30d", "transcript_coverage_status", "transcript_confirms",
+)
+#: The panel's names of those that differ.
+PANEL_NAMES = {"last_close": "close", "pct_off_52w_high": "pct_off_high_52w", "return_21d": "return_21", "return_63d": "return_63", "return_5d": "return_5", "sma_50_slope_21d_pct": "sma_50_slope_21", "relative_strength_vs_spy_63d": "rs_63", "pullback_pct_from_recent_high": "pullback_63", "breakout_distance_pct": "breakout_63", "as_of": "ts"}
+
+
+def headline(view: DataFrame) -> DataFrame:
+    """IO11: a research view's row per (ticker, as_of) cut to the columns of a snapshot, in their order; what the view lacks is null."""
+    def pick(name: str) -> Column:
+        source = next((c for c in (name, PANEL_NAMES.get(name)) if c in view.columns), None)
+        return (F.lit(None).cast("string") if source is None else F.col(source)).alias(name)
+
+    return view.select(*[pick(c) for c in HEADLINE])
+
+
+def snapshot(view: DataFrame, path: str) -> None:
+    """IO11: append the headline rows of a view."""
+    headline(view).write.mode("append").parquet(path)

@@ -212,4 +212,4 @@ def test_sources(spark, tmp_path):
     assert docs.count() == 1 and {r["external_id"] for r in segments.collect()} == {"a"}
     rows = spark.createDataFrame([("A", 1, ["x", "y"]), ("B", 0, [])], "ticker string, n_passed int, flags array<string>")
     IO.write_screen(rows, str(tmp_path / "s"), "2026-05-01")
-    assert spark.read.csv(str(tmp_path / "s/day=2026-05-01/passing"), header=True).collect()[0]["flags"] == "x,y" and spark.read.json(str(tmp_path / "s/day=2026-05-01/full")).count() == 2
+    assert spark.read.csv(str(tmp_path / "s/day=2026-05-01/passing"), header=True).collect()[0]["flags"] == "x,y" and spark.read.csv(str(tmp_path / "s/day=2026-05-01/passing"), header=True).columns == list(SC.SCREEN_TABLE) and spark.read.json(str(tmp_path / "s/day=2026-05-01/full")).count() == 2
