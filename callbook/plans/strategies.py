@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from callbook.functions.stats import hit_rate, wilson
 from callbook.operators import bars as B
 from callbook.operators import calendar as C
+from callbook.sources.tables import upsert_by_key
 from callbook.operators import indicators as I
 from callbook.plans.outcomes import benchmark_returns
 from callbook.plans.signals import CREDIBLE, polarity_value, scorecard_as_of
@@ -112,7 +113,7 @@ def simulate(decisions: DataFrame, as_ofs: DataFrame, bars: DataFrame, benchmark
     return trades.select("as_of", "ticker", "direction", "score", "weight", "hold_days", "entry_at", "exit_at", "entry_price", "exit_price", "return_pct", F.coalesce("regime_at_entry", F.lit("unknown")).alias("regime_at_entry"), "benchmark_return_pct", *more)
 
 
-def equity_curve(trades: DataFrame, run: str = "strategy") -> DataFrame:
+def equity_curve(trades: DataFrame, run: str | list[str] = "strategy") -> DataFrame:
     """Per run its trades by exit with nav (compounded weight * return, start 1) and drawdown from the running high.
 
     The order within a run is sequential; runs are independent and spread over the cluster.
@@ -128,7 +129,7 @@ def cagr(final: Column, days: Column) -> Column:
     return F.when((days >= 30) & (final > 0), F.pow(final, F.lit(365.25) / days) - 1)
 
 
-def run_metrics(trades: DataFrame, run: str = "strategy", start=None, end=None, min_trades: int = 30) -> DataFrame:
+def run_metrics(trades: DataFrame, run: str | list[str] = "strategy", start=None, end=None, min_trades: int = 30) -> DataFrame:
     """Per run total, CAGR, Sharpe and volatility of the curve's steps, drawdown, hit rate with interval, win/loss ratio, turnover and sanity flags.
 
     ordered: every trade enters no later than it leaves, and inside [start, end] where these are given. leak_suspect: over
@@ -204,11 +205,42 @@ def config_hash(config: dict) -> str:
     return hashlib.sha256(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()[:16]
 
 
-def walkforward(names: list[str], bars: DataFrame, sessions: DataFrame, claims: DataFrame, calls: DataFrame, scorecards: DataFrame, benchmark: str, start, end, cost_grid: tuple[int, ...] = (10,), frequency: str = "weekly") -> DataFrame:
-    """Trades of the named strategies over all rebalance dates, once per cost of the grid (the same fills, another cost)."""
+def walkforward(
+    names: list[str], bars: DataFrame, sessions: DataFrame, claims: DataFrame, calls: DataFrame, scorecards: DataFrame, benchmark: str, start, end, cost_grid: tuple[int, ...] = (10,), frequency: str = "weekly", cutoff=None
+) -> DataFrame:
+    """Trades of the named strategies over all rebalance dates, once per cost of the grid (the same fills, another cost).
+
+    The end is clamped to the cutoff, if one is given: later windows are kept for a last evaluation.
+    """
+    end = clamped(end, cutoff)
     as_ofs = C.knowable_through(C.rebalance_dates(sessions, start, end, frequency).select("as_of"), sessions)
     frames = StrategyFrames(as_ofs, B.tradeable(as_ofs, bars), claims, calls, scorecards)
     # decisions of all strategies, told apart by a column, meet the bars once
     decided = reduce(DataFrame.unionByName, [STRATEGIES[name](frames).withColumn("strategy", F.lit(name)) for name in names])
     runs = simulate(decided, as_ofs, bars, benchmark, 0)
     return runs.withColumn("cost_bps", F.explode(F.array(*[F.lit(c) for c in cost_grid]))).withColumn("return_pct", F.col("return_pct") - F.col("cost_bps") / 10000.0)
+
+
+def clamped(end: str, cutoff: str | None) -> str:
+    """The earlier of two ISO dates."""
+    return end if cutoff is None else min(end, cutoff)
+
+
+def walkforward_results(trades: DataFrame, versions: dict[str, str], cost_grid: tuple[int, ...], config: dict) -> DataFrame:
+    """Metrics of each strategy and cost with the strategy's version and the hash of the whole configuration.
+
+    versions: of each strategy by name. config: what else makes up a run; its start, end and min_n_trades serve the sanity checks.
+    """
+    hashed = F.lit(None).cast("string")
+    for name, version in versions.items():
+        for cost in cost_grid:
+            run = config_hash({**config, "strategy_name": name, "strategy_version": version, "cost_bps": cost})
+            hashed = F.when((F.col("strategy") == name) & (F.col("cost_bps") == cost), run).otherwise(hashed)
+    version = reduce(lambda rest, item: F.when(F.col("strategy") == item[0], item[1]).otherwise(rest), versions.items(), F.lit(None).cast("string"))
+    out = run_metrics(trades, ["strategy", "cost_bps"], config.get("start"), config.get("end"), config.get("min_n_trades", 30))
+    return out.withColumns({"strategy_version": version, "config_hash": hashed})
+
+
+def persist_results(held: DataFrame, new: DataFrame) -> DataFrame:
+    """Held results with the new ones in place of those of the same strategy, version and configuration."""
+    return upsert_by_key(held, new, ["strategy", "strategy_version", "config_hash"])

@@ -91,6 +91,15 @@ def _(t):
     return trades(t, (5, 10, 25, 50)).groupBy("strategy", "cost_bps").agg(F.count(F.lit(1)).alias("n"), F.avg("return_pct").alias("mean_return"))
 
 
+@query("c12_results", f"""SELECT strategy, c.cost_bps, 'v1' AS strategy_version, count(*) AS n_trades, round(avg(gross-c.cost_bps/10000.0e0),6)+0.0e0 AS mean_return, count(*)<40 AS underpowered,
+ substr(sha256('{{"benchmark_ticker": "T00", "cost_bps": ' || c.cost_bps || ', "end": "{END}", "min_n_trades": 40, "rebalance": "weekly", "start": "{START}", "strategy_name": "' || strategy || '", "strategy_version": "v1"}}'), 1, 16) AS config_hash FROM trades, (SELECT unnest([5,25]) AS cost_bps) c GROUP BY 1,2""", T5, FRAMES)
+def _(t):
+    config = {"start": START, "end": END, "benchmark_ticker": BENCHMARK, "rebalance": "weekly", "min_n_trades": 40}
+    costs = (5, 25)
+    made = X.walkforward(ALL, t.bars, t.sessions, t.claims, t.calls, t.scorecards, BENCHMARK, START, "2010-01-01", costs, cutoff=END)
+    return X.walkforward_results(made, dict.fromkeys(ALL, "v1"), costs, config).select("strategy", "cost_bps", "strategy_version", "n_trades", "mean_return", "underpowered", "config_hash")
+
+
 @query("a11_trade_stats", "SELECT strategy, count(*) AS n_trades, round(avg(CASE WHEN return_pct>0 THEN 1.0e0 ELSE 0.0e0 END),6) AS hit_rate, round(avg(hold_days),6) AS avg_holding FROM curve GROUP BY 1", T5, FRAMES)
 def _(t):
     return X.run_metrics(trades(t)).select("strategy", "n_trades", "hit_rate", "avg_holding")

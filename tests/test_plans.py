@@ -44,3 +44,14 @@ def test_plan_has_no_cartesian_product_or_row_python(spark, sf_dir, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_results_are_kept_by_configuration(spark):
+    from callbook.plans import strategies as X
+
+    fields = "strategy string, strategy_version string, config_hash string, n_trades long"
+    held = spark.createDataFrame([("a", "v1", "x", 1), ("a", "v1", "y", 2), ("a", "v2", "x", 3)], fields)
+    got = X.persist_results(held, spark.createDataFrame([("a", "v1", "x", 9), ("b", "v1", "x", 4)], fields))
+    assert sorted(map(tuple, got.collect())) == [("a", "v1", "x", 9), ("a", "v1", "y", 2), ("a", "v2", "x", 3), ("b", "v1", "x", 4)]
+    assert X.clamped("2025-01-01", "2024-06-30") == "2024-06-30" and X.clamped("2024-01-01", None) == "2024-01-01"
+    assert X.config_hash({"b": 1, "a": "x"}) == X.config_hash({"a": "x", "b": 1}) != X.config_hash({"a": "x", "b": 2})
