@@ -42,12 +42,14 @@ class SuffixTree:
         s.append(0)
         self.size, self.base = len(s), max(s) + 1
         self._build(s)
-        self._tour()
 
     def _build(self, s: list[int]) -> None:
         size, base = self.size, self.base
-        begin, end, link = array("i", [0]), array("i", [0]), array("i", [0])
+        room = bytes(8 * size)  # at most 2 * size nodes
+        begin, end, link = array("i", room), array("i", room), array("i", room)
+        depth, suffix = array("i", room), array("i", room)  # letters above an inner node; where a leaf's suffix begins
         child: dict[int, int] = {}  # node * base + first number of the edge -> node
+        get = child.get
         made = 1
         node = edge = length = waiting = 0  # the active point and how many suffixes wait there
         for i, c in enumerate(s):
@@ -57,12 +59,9 @@ class SuffixTree:
                 if not length:
                     edge = i
                 key = node * base + s[edge]
-                at = child.get(key)
+                at = get(key)
                 if at is None:
-                    begin.append(i)
-                    end.append(size)
-                    link.append(0)
-                    child[key] = made
+                    leaf = child[key] = made
                     made += 1
                     if fresh:
                         link[fresh] = node
@@ -75,66 +74,68 @@ class SuffixTree:
                         length -= span
                         node = at
                         continue
-                    if s[first + length] == c:
+                    other = s[first + length]
+                    if other == c:
                         length += 1
                         if fresh:
                             link[fresh] = node
                         break
                     # the edge is split: an inner node, below it the old end and a new leaf
-                    begin.append(first)
-                    end.append(first + length)
-                    link.append(0)
-                    begin.append(i)
-                    end.append(size)
-                    link.append(0)
+                    begin[made] = first
+                    end[made] = begin[at] = first + length
+                    depth[made] = depth[node] + length
+                    leaf = made + 1
                     child[key] = made
-                    child[made * base + c] = made + 1
-                    begin[at] = first + length
-                    child[made * base + s[first + length]] = at
+                    child[made * base + c] = leaf
+                    child[made * base + other] = at
                     if fresh:
                         link[fresh] = made
                     fresh = made
                     made += 2
+                begin[leaf] = i
+                end[leaf] = size
                 waiting -= 1
+                suffix[leaf] = i - waiting
                 if node:
                     node = link[node]
                 elif length:
                     length -= 1
                     edge = i - waiting + 1
-        self.child, self.span = child, np.frombuffer(end, np.int32) - np.frombuffer(begin, np.int32)
+        self._tour(child, made, np.frombuffer(depth, np.int32), suffix)
 
-    def _tour(self) -> None:
-        """Leaves in order and the depth of the node where the tour turns before each."""
-        keys = np.fromiter(self.child.keys(), np.int64, len(self.child))
-        below = np.fromiter(self.child.values(), np.int32, len(self.child))
-        del self.child
+    def _tour(self, child: dict[int, int], made: int, depth: np.ndarray, suffix: array) -> None:
+        """Leaves in order and the depth of the node where the tour turns between each two."""
+        keys = np.fromiter(child.keys(), np.int64, len(child))
+        below = np.fromiter(child.values(), np.int64, len(child))
         order = np.argsort(keys)
-        below = below[order]
-        cuts = np.searchsorted(keys[order], np.arange(len(self.span) + 1, dtype=np.int64) * self.base).tolist()
-        children, span = below[::-1].tolist(), self.span.tolist()
-        total = len(children)
-        depths, turns = [], []
-        stack, held, turn = [0], [0], 0  # nodes to visit and the depths of their parents
-        first = [False] * len(span)
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            if lo < hi:
-                first[children[total - 1 - lo]] = True
+        above, below = keys[order] // self.base, below[order]
+        # what the tour meets below each node, last first: a child, the turn (-1 - node), the child before it, ...
+        met = np.empty(2 * len(below), np.int64)
+        met[0::2], met[1::2] = -1 - above, below
+        head = np.append(True, above[1:] != above[:-1])
+        keep = np.ones(len(met), bool)
+        keep[0::2] = ~head  # no turn before the first child
+        met = met[keep]
+        cuts = np.append(2 * np.searchsorted(above, np.arange(made + 1)), 0)[:-1]
+        cuts -= np.append(0, np.cumsum(np.bincount(above, minlength=made) > 0))
+        total = len(met)
+        met = met[::-1].tolist()
+        cuts = (total - cuts).tolist()
+        leaves, turns = [], []
+        stack = [0]
+        pop, leaf, turn = stack.pop, leaves.append, turns.append
         while stack:
-            v, above = stack.pop(), held.pop()
-            if not first[v]:
-                turn = above
-            lo, hi = cuts[v], cuts[v + 1]
-            depth = above + span[v]
-            if lo == hi:
-                depths.append(depth)
-                turns.append(turn)
+            v = pop()
+            if v < 0:
+                turn(v)
+            elif (lo := cuts[v + 1]) == (hi := cuts[v]):
+                leaf(v)
             else:
-                stack += children[total - hi : total - lo]
-                held += [depth] * (hi - lo)
-        self.order = self.size - np.array(depths, np.int64)
+                stack += met[lo:hi]
+        self.order = np.frombuffer(suffix, np.int32)[leaves].astype(np.int64)
         self.rank = np.empty(self.size, np.int64)
         self.rank[self.order] = np.arange(self.size)
-        least = np.array(turns, np.int32)
+        least = np.append(0, depth[-1 - np.array(turns, np.int64)]).astype(np.int32)
         self.minima = [least]
         step = 1
         while 2 * step < self.size:
