@@ -18,6 +18,7 @@ import functools
 import hashlib
 import heapq
 import re
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -103,29 +104,32 @@ class Vocabulary:
             at = at[~hit & (held != 0)]
         return out
 
-    def edges(self, chunk: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each end, the lattice's edges (start, log-probability, ids) into it."""
-        into: list[list] = [[] for _ in range(len(chunk) + 1)]
-        for i in range(len(chunk)):
-            for j in range(i + 1, min(len(chunk), i + self.longest) + 1):
-                piece = self.ids.get(chunk[i:j])
-                if piece is not None:
-                    into[j].append((i, float(self.logp[piece]), (piece,)))
-                elif j == i + 1:
-                    spelled = tuple(int(b) for b in self.byte_ids[list((chunk[i].replace(SPACE, " ")).encode())])
-                    into[j].append((i, float(self.logp[list(spelled)].sum()), spelled))
-        return into
+    def edges(self, chunk: str, end: int) -> list[tuple[int, float, tuple[int, ...]]]:
+        """The lattice's edges (start, log-probability, ids) into a place of a chunk."""
+        found = []
+        for i in range(max(0, end - self.longest), end):
+            piece = self.ids.get(chunk[i:end])
+            if piece is not None:
+                found.append((i, float(self.logp[piece]), (piece,)))
+            elif i == end - 1:
+                spelled = tuple(int(b) for b in self.byte_ids[list((chunk[i].replace(SPACE, " ")).encode())])
+                found.append((i, float(self.logp[list(spelled)].sum()), spelled))
+        return found
 
     def n_best(self, chunk: str, n: int) -> list[Best]:
-        """The n best segmentations of a chunk, best first: forward Viterbi, then A-star from the end."""
-        into = self.edges(chunk)
-        ahead = [0.0] + [-np.inf] * len(chunk)  # best log-probability from the start: the exact heuristic
+        """The n best segmentations of a chunk, best first: forward Viterbi, then A-star from the end.
+
+        Of equal scores the path that has come further goes first, and no place is left more than n times, since its n
+        best ends are all that the n best segmentations can hold: the work is linear in the chunk, whatever ties it has.
+        """
+        ahead = array("d", [0.0])  # best log-probability from the start: the exact heuristic
         for j in range(1, len(chunk) + 1):
-            ahead[j] = max(ahead[i] + s for i, s, _ in into[j])
-        heap: list[tuple] = [(-ahead[-1], 0, len(chunk), 0.0, None)]
+            ahead.append(max(ahead[i] + s for i, s, _ in self.edges(chunk, j)))
+        heap: list[tuple] = [(-ahead[-1], len(chunk), 0, 0.0, None)]
+        left = bytearray(len(chunk) + 1) if n < 256 else [0] * (len(chunk) + 1)
         found, made = [], 0
         while heap and len(found) < n:
-            _, _, at, behind, path = heapq.heappop(heap)
+            _, at, _, behind, path = heapq.heappop(heap)
             if at == 0:
                 ids: list[int] = []
                 while path is not None:
@@ -133,9 +137,12 @@ class Vocabulary:
                     path = path[1]
                 found.append(Best(behind, tuple(ids)))
                 continue
-            for i, s, piece in into[at]:
+            if left[at] == n:
+                continue
+            left[at] += 1
+            for i, s, piece in self.edges(chunk, at):
                 made += 1
-                heapq.heappush(heap, (-(ahead[i] + behind + s), made, i, behind + s, (piece, path)))
+                heapq.heappush(heap, (-(ahead[i] + behind + s), i, made, behind + s, (piece, path)))
         return found
 
 
@@ -280,8 +287,9 @@ def encode(docs: DataFrame, n: int = 4, model: str = MODEL, with_ids: bool = Tru
 
     nbest is array<struct<score,n_pieces,ids>>, best first, ties by the earlier chunk; fewer than n where a text has
     fewer segmentations. ids_sha256 is of the best ids as 32-bit little-endian integers, and `decoded` says whether
-    they decode to the text. Null and empty texts have no pieces and one empty segmentation of score 0. Columns named
-    like the results are replaced.
+    they decode to the text. Null and empty texts have no pieces and one empty segmentation of score 0. Repeated rows
+    are encoded each, long texts whole; a chunk without word boundaries takes time and memory in proportion to its
+    length, whatever it consists of. Columns named like the results are replaced.
     """
     docs = docs.drop("n_pieces", "ids", "ids_sha256", "nbest", "decoded")
 

@@ -15,7 +15,7 @@ def v():
 
 def everything(v, chunk):
     """All segmentations of a chunk as (score, ids)."""
-    into = v.edges(chunk)
+    into = [v.edges(chunk, j) for j in range(len(chunk) + 1)]
 
     def upto(j):
         if j == 0:
@@ -66,3 +66,15 @@ def test_edge_cases(spark):
 def test_every_document_round_trips(spark, sf_dir):
     out = pieces.query(spark, sf_dir)
     assert out.where("decoded").count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
+def test_runs_of_one_letter(v):
+    for chunk in ("a" * 12, pieces.SPACE * 9, "ab" * 6):
+        want = sorted((score for score, _ in everything(v, chunk)), reverse=True)
+        got = v.n_best(chunk, 9)
+        assert [b.score for b in got] == pytest.approx(want[:9])
+        assert len({b.ids for b in got}) == min(9, len(want))
+    for chunk in ("a" * 100_000, pieces.SPACE * 50_000, "漢字" * 20_000):
+        best = v.n_best(chunk, 4)
+        assert pieces.spell(np.array(best[0].ids), v).decode() == chunk.replace(pieces.SPACE, " ").removeprefix(" ")
+        assert all(a.score >= b.score - 1e-6 for a, b in zip(best, best[1:], strict=False))
