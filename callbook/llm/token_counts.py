@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,21 @@ def _encoder(path: str):
     return tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), size
 
 
+# Longer runs of blanks overrun the pattern's stack. It makes one token group of a run but for its last blank, which
+# stands before the next word (or of the whole run at the text's end), so such groups are encoded without the pattern.
+_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
+
+
+def token_ids(encoding, text: str) -> list[int]:
+    """The ids of a whole text."""
+    ids, at = [], 0
+    for run in _BLANKS.finditer(text) if len(text) >= 10_000 else ():
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        ids += encoding.encode_ordinary(text[at : run.start()]) + encoding._core_bpe.encode_single_piece(text[run.start() : end].encode())
+        at = end
+    return ids + encoding.encode_ordinary(text[at:])
+
+
 def allocate(ends: np.ndarray, lo: np.ndarray, hi: np.ndarray, rule: str) -> tuple[np.ndarray, int, float]:
     """Tokens per section, boundary-crossing tokens, and tokens outside, from token ends and section spans in bytes."""
     counts = np.zeros(len(lo))
@@ -91,7 +107,7 @@ def count_tokens(docs: DataFrame, rule: str = "first", vocabulary: str = VOCABUL
     token; where sections overlap, the text belongs to the one that starts earlier (or stands earlier, on a tie).
     Without the column the sections are the text's lines, each with its newline. Null and empty texts have no tokens;
     without a column of sections they have no section either. Repeated rows are counted each; long texts are encoded
-    whole. Columns named like the results are replaced. The vocabulary file must be on every executor.
+    whole, runs of blanks of any length included. Columns named like the results are replaced. The vocabulary file must be on every executor.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
@@ -103,7 +119,7 @@ def count_tokens(docs: DataFrame, rule: str = "first", vocabulary: str = VOCABUL
         found: list[list] = [[], [], [], []]
         for k, text in enumerate(texts_of(batch.column("text"))):
             raw = np.frombuffer(text.encode("utf-8"), np.uint8)
-            ends = np.cumsum(size[np.array(encoding.encode_ordinary(text), np.int64)]) if text else np.zeros(0, np.int64)
+            ends = np.cumsum(size[np.array(token_ids(encoding, text), np.int64)]) if text else np.zeros(0, np.int64)
             if given is None:
                 newline = np.flatnonzero(raw == 10) + 1
                 hi = newline if len(newline) and newline[-1] == len(raw) else np.append(newline, len(raw))

@@ -84,3 +84,12 @@ def test_every_document(spark, sf_dir):
     out = tc.query(spark, sf_dir).collect()
     assert len(out) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     assert all(sum(r["section_tokens"]) == r["n_tokens"] for r in out)
+
+
+def test_long_runs_of_blanks():
+    encoding, _ = tc._encoder(tc.VOCABULARY)
+    for text in ("x" + " " * 12_000 + "y", " " * 12_000, "x" + "\n" * 12_000, "x" + " \n" * 8_000 + "word" + "\t" * 11_000 + " z", "x" + "\x1c" * 12_000 + "y", "a" + "　" * 10_001 + "b " * 3 + " " * 10_000):
+        assert tc.token_ids(encoding, text) == encoding.encode_ordinary(text)
+    for blank in " \n":
+        ids = tc.token_ids(encoding, "x" + blank * 5_000_000 + "y")
+        assert encoding.decode(ids) == "x" + blank * 5_000_000 + "y"
