@@ -6,11 +6,11 @@ any date the panel is a filter. A ticker has about 252 bars a year, which bounds
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callbook.operators import bars as B
+from callbook.operators import recurrences as R
 
 SMA = (20, 50, 150, 200)
 EMA = (8, 21)
@@ -33,20 +33,9 @@ def _change(now: Column, before: Column) -> Column:
 
 
 def ema(bars: DataFrame, spans: tuple[int, ...] = EMA) -> DataFrame:
-    """Bars with ema_<n>, alpha 2/(n+1), seeded with the first close; null until n bars.
-
-    The recursion has no window form; pandas runs it per ticker, whose bars are few.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
-        for n in spans:
-            pdf[f"ema_{n}"] = pdf["close"].ewm(span=n, adjust=False).mean().where(pd.RangeIndex(len(pdf)) >= n - 1)
-        return pdf
-
-    rows = bars.select("ticker", "ts", "close")
-    fields = "ticker string, ts timestamp, close double, " + ", ".join(f"ema_{n} double" for n in spans)
-    return bars.join(rows.groupBy("ticker").applyInPandas(run, fields).drop("close"), ["ticker", "ts"])
+    """Bars with ema_<n>, alpha 2/(n+1), seeded with the first close; null until n bars."""
+    means = R.running_means(bars, {f"ema_{n}": 2 / (n + 1) for n in spans})
+    return means.withColumns({f"ema_{n}": F.when(F.col("_bars") >= n, F.col(f"ema_{n}")) for n in spans}).drop("_bars")
 
 
 def ema_distances(bars: DataFrame, spans: tuple[int, ...] = EMA) -> DataFrame:

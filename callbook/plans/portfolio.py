@@ -5,45 +5,70 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from callbook.operators.recurrences import day_block
+
 EPS = 1e-9
 
 
-def fold_ledger(trades: DataFrame) -> DataFrame:
+def fold_ledger(trades: DataFrame, days: int = 30) -> DataFrame:
     """Per ticker quantity, cost_basis, realized, currency and error, at average cost in the order of (traded_at, id).
 
-    The fold runs inside the JVM over a ticker's sorted trades. A ledger that cannot be folded (unknown side, oversell,
-    mixed currency) keeps what it had and names the error instead. Trades may carry eur_amount, the whole amount in EUR
-    with fees: where every trade of a ticker has one, eur_cost_basis and eur_realized are folded alongside.
+    A buy adds to the basis and a sale scales it by what is left, so a block's trades are one affine map of the basis that
+    the block begins with: basis -> a basis + b, realized -> realized + r0 + r1 basis. Blocks of `days` days are folded
+    apart, from the quantity that the sums of earlier blocks give, and one row of block maps per ticker is then folded in
+    order. A sale that leaves nothing ends the map (a = b = 0). A ledger that cannot be folded (unknown side, oversell,
+    mixed currency) keeps what it had and names the error instead: later trades and blocks change nothing. Trades may carry
+    eur_amount, the whole amount in EUR with fees: where every trade of a ticker has one, eur_cost_basis and eur_realized
+    are folded alongside.
     """
     if "eur_amount" not in trades.columns:
         trades = trades.withColumn("eur_amount", F.lit(None).cast("double"))
     one = F.struct("traded_at", "id", "side", "quantity", "price_per_share", "fees", "eur_amount")
-    rows = trades.groupBy("ticker").agg(
-        F.sort_array(F.collect_list(one)).alias("log"), F.min("currency").alias("currency"), F.count_distinct("currency").alias("_n"), F.count_if(F.col("eur_amount").isNull()).alias("_no_eur"),
-        F.min("traded_at").alias("first_traded_at"), F.max("traded_at").alias("last_traded_at"), F.count(F.lit(1)).alias("n_trades"),
+    signed = F.when(F.col("side") == "buy", F.col("quantity")).when(F.col("side") == "sell", -F.col("quantity"))
+    blocks = trades.withColumn("block", day_block("traded_at", days)).groupBy("ticker", "block").agg(
+        F.sort_array(F.collect_list(one)).alias("log"), F.coalesce(F.sum(signed), F.lit(0.0)).alias("net"), F.min("currency").alias("currency"), F.max("currency").alias("_other"),
+        F.count_if(F.col("eur_amount").isNull()).alias("no_eur"), F.min("traded_at").alias("first_traded_at"), F.max("traded_at").alias("last_traded_at"), F.count(F.lit(1)).alias("n_trades"),
     )
-    money = ("qty", "basis", "realized", "eur_basis", "eur_realized")
-    state = lambda why, **kw: F.struct(*[kw[m].alias(m) for m in money], why.cast("string").alias("error"))
-    zero = state(F.lit(None), **{m: F.lit(0.0) for m in money})
+    earlier = Window.partitionBy("ticker").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    held = blocks.select("ticker", "block", F.coalesce(F.sum("net").over(earlier), F.lit(0.0)).alias("held"))
+    names = ("qty", "a", "b", "eur_b", "r0", "r1", "eur_r0")
+    state = lambda why, **kw: F.struct(*[kw[m].alias(m) for m in names], why.cast("string").alias("error"))
+    start = state(F.lit(None), **{m: F.lit(0.0) for m in names} | {"qty": F.when(F.abs("held") > EPS, F.col("held")).otherwise(0.0), "a": F.lit(1.0)})
 
     def step(s, t):
         q, fees, eur = t["quantity"], F.coalesce(t["fees"], F.lit(0.0)), F.coalesce(t["eur_amount"], F.lit(0.0))
         amount = q * t["price_per_share"]
-        sold_part = lambda basis: q * F.when(s["qty"] > EPS, s[basis] / s["qty"]).otherwise(0.0)
-        left = s["qty"] - q
-        kept = lambda x: F.when(left <= EPS, 0.0).otherwise(x)
-        bought = state(F.lit(None), qty=s["qty"] + q, basis=s["basis"] + amount + fees, realized=s["realized"], eur_basis=s["eur_basis"] + eur, eur_realized=s["eur_realized"])
+        same = {m: s[m] for m in names}
+        part, left = F.when(s["qty"] > EPS, q / s["qty"]).otherwise(0.0), s["qty"] - q
+        kept = lambda m: F.when(left <= EPS, 0.0).otherwise(s[m] - part * s[m])
+        bought = state(F.lit(None), **same | {"qty": s["qty"] + q, "b": s["b"] + amount + fees, "eur_b": s["eur_b"] + eur})
         sold = state(
-            F.lit(None), qty=kept(left), basis=kept(s["basis"] - sold_part("basis")), realized=s["realized"] + (amount - fees) - sold_part("basis"),
-            eur_basis=kept(s["eur_basis"] - sold_part("eur_basis")), eur_realized=s["eur_realized"] + eur - sold_part("eur_basis"),
+            F.lit(None), qty=F.when(left <= EPS, 0.0).otherwise(left), a=kept("a"), b=kept("b"), eur_b=kept("eur_b"),
+            r0=s["r0"] + (amount - fees) - part * s["b"], r1=s["r1"] - part * s["a"], eur_r0=s["eur_r0"] + eur - part * s["eur_b"],
         )
-        failed = lambda why: state(F.lit(why), **{m: s[m] for m in money})
+        failed = lambda why: state(F.lit(why), **same)
         return F.when(s["error"].isNotNull(), s).when(~F.coalesce(t["side"].isin("buy", "sell"), F.lit(False)), failed("unknown side")).when(t["side"] == "buy", bought).when(q > s["qty"] + EPS, failed("oversell")).otherwise(sold)
 
-    out = rows.withColumn("s", F.aggregate("log", zero, step))
+    maps = blocks.join(held, ["ticker", "block"]).withColumn("m", F.aggregate("log", start, step)).drop("log", "net", "held")
+    rows = maps.groupBy("ticker").agg(
+        F.sort_array(F.collect_list(F.struct("block", "m"))).alias("maps"), F.min("currency").alias("currency"), (F.min("currency") != F.max("_other")).alias("_mixed"), F.sum("no_eur").alias("_no_eur"),
+        F.min("first_traded_at").alias("first_traded_at"), F.max("last_traded_at").alias("last_traded_at"), F.sum("n_trades").alias("n_trades"),
+    )
+    money = ("qty", "basis", "realized", "eur_basis", "eur_realized")
+    whole = lambda why, **kw: F.struct(*[kw[m].alias(m) for m in money], why.cast("string").alias("error"))
+
+    def follow(s, x):
+        m = x["m"]
+        after = whole(
+            m["error"], qty=m["qty"], basis=m["a"] * s["basis"] + m["b"], realized=s["realized"] + m["r0"] + m["r1"] * s["basis"],
+            eur_basis=m["a"] * s["eur_basis"] + m["eur_b"], eur_realized=s["eur_realized"] + m["eur_r0"] + m["r1"] * s["eur_basis"],
+        )
+        return F.when(s["error"].isNotNull(), s).otherwise(after)
+
+    out = rows.withColumn("s", F.aggregate("maps", whole(F.lit(None), **dict.fromkeys(money, F.lit(0.0))), follow))
     in_eur = lambda c: F.when(F.col("_no_eur") == 0, F.col(c))
     return out.select(
-        "ticker", F.col("s.qty").alias("quantity"), F.col("s.basis").alias("cost_basis"), F.col("s.realized").alias("realized"), "currency", F.when(F.col("_n") > 1, "mixed currency").otherwise(F.col("s.error")).alias("error"),
+        "ticker", F.col("s.qty").alias("quantity"), F.col("s.basis").alias("cost_basis"), F.col("s.realized").alias("realized"), "currency", F.when(F.col("_mixed"), "mixed currency").otherwise(F.col("s.error")).alias("error"),
         in_eur("s.eur_basis").alias("eur_cost_basis"), in_eur("s.eur_realized").alias("eur_realized"), "first_traded_at", "last_traded_at", "n_trades",
     )
 
