@@ -37,7 +37,7 @@ from callbook.llm.common import map_arrow, saved, scratch, slices, texts_of
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 END_ID = 2
-_KNOWN = 200_000  # parts of texts in each of the two generations that a worker remembers
+_KNOWN = 300_000  # parts of texts in each of the two generations that a worker remembers
 # The vocabulary's pre-split joins white space only in runs of three and more, or two at the end of the text. Elsewhere
 # each blank or newline begins a token, so texts fall into parts that are encoded apart.
 _OTHER_BLANK = re.compile("[\0\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -81,8 +81,8 @@ class Tokenizer:
                 word = _WORD.fullmatch(part)
                 if word is None:
                     found = array("I", self.whole.encode(part, add_special_tokens=False).ids).tobytes()
-                elif word[2]:  # marks after a word begin a token of their own
-                    found = self.ids_of(word[1]) + self.ids_of(word[2])
+                elif word[2]:  # marks after a word begin a token of their own, and are remembered apart from it
+                    return self.ids_of(word[1]) + self.ids_of(word[2])
                 else:
                     found = array("I", [t.id for t in self.bpe.tokenize(part.encode().decode("latin-1").translate(self.letters))]).tobytes()
             if len(self.young) >= _KNOWN:
