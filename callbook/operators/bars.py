@@ -59,12 +59,12 @@ def latest_close(events: DataFrame, bars: DataFrame, at: str, lookback_days: int
     return found.withColumns({"close": F.when(fresh, F.col("close")), "close_ts": F.when(fresh, F.col("close_ts"))})
 
 
-def align_benchmark(bars: DataFrame, benchmark: str) -> DataFrame:
-    """Bars with the benchmark's close of the same day, where both have one.
+def align_benchmark(bars: DataFrame, benchmark: str, aligned_with: DataFrame | None = None) -> DataFrame:
+    """Bars with the benchmark's close (from aligned_with, where given) of the same day, where both have one.
 
     The benchmark is one ticker: its rows are as many as days, so broadcasting them is bounded by the calendar.
     """
-    series = bars.where((F.col("ticker") == benchmark) & F.col("close").isNotNull()).select("ts", F.col("close").alias("benchmark_close"))
+    series = (bars if aligned_with is None else aligned_with).where((F.col("ticker") == benchmark) & F.col("close").isNotNull()).select("ts", F.col("close").alias("benchmark_close"))
     return bars.where(F.col("close").isNotNull()).join(F.broadcast(series), "ts")
 
 

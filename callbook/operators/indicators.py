@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from callbook.operators import bars as B
 from callbook.operators import recurrences as R
+from callbook.operators.levels import swing_flags
 
 SMA = (20, 50, 150, 200)
 EMA = (8, 21)
@@ -92,10 +93,13 @@ def ma_alignment() -> Column:
     return F.when(a.isNull() | b.isNull(), "insufficient").when((p > a) & (a > b), "bullish_stack").when((p < a) & (a < b), "bearish_stack").otherwise("mixed")
 
 
-def relative_strength(bars: DataFrame, benchmark: str, spans: tuple[int, ...] = (63, 126)) -> DataFrame:
-    """(ticker, ts, rs_<n>): return over n common bars minus the benchmark's over the same ones."""
+def relative_strength(bars: DataFrame, benchmark: str, spans: tuple[int, ...] = (63, 126), aligned_with: DataFrame | None = None) -> DataFrame:
+    """(ticker, ts, rs_<n>): return over n common bars minus the benchmark's over the same ones.
+
+    aligned_with: bars that hold the benchmark's, where `bars` are only some of them.
+    """
     w = B.by_ticker()
-    aligned = B.align_benchmark(bars, benchmark)
+    aligned = B.align_benchmark(bars, benchmark, aligned_with)
     rs = {f"rs_{n}": _change(F.col("close"), F.lag("close", n).over(w)) - _change(F.col("benchmark_close"), F.lag("benchmark_close", n).over(w)) for n in spans}
     return aligned.select("ticker", "ts", *[c.alias(k) for k, c in rs.items()])
 
@@ -136,25 +140,5 @@ def swings(bars: DataFrame, reach: int = 5) -> DataFrame:
 
     A swing is knowable only when the bars after it exist: from bar confirmed_no on.
     """
-    w = B.by_ticker()
-    rows = B.numbered(bars)
-    before, after = w.rowsBetween(-reach, -1), w.rowsBetween(1, reach)
-    whole = (F.col("bar_no") > reach) & (F.col("bar_no") <= F.col("n_bars") - reach)
-    high = whole & (F.col("high") > F.max("high").over(before)) & (F.col("high") > F.max("high").over(after))
-    low = whole & (F.col("low") < F.min("low").over(before)) & (F.col("low") < F.min("low").over(after))
-    kinds = F.array_compact(F.array(F.when(high, F.struct(F.lit("high").alias("kind"), F.col("high").alias("price"))), F.when(low, F.struct(F.lit("low").alias("kind"), F.col("low").alias("price")))))
-    return rows.withColumn("kinds", kinds).withColumn("s", F.explode("kinds")).select("ticker", "bar_no", "ts", "s.kind", "s.price", (F.col("bar_no") + reach).alias("confirmed_no"))
-
-
-def nearest_levels(bars: DataFrame, as_of_no: DataFrame, span: int = 252, keep: int = 5) -> DataFrame:
-    """Per ticker at bar as_of_no (ticker, as_of_no): closest swing prices under and over the close among swings confirmed by then in the last `span` bars, and the `keep` newest swings of each kind by price."""
-    now = B.numbered(bars).join(as_of_no, "ticker").where("bar_no = as_of_no").select("ticker", "as_of_no", F.col("close").alias("at"))
-    near = swings(bars).join(now, "ticker").where((F.col("confirmed_no") <= F.col("as_of_no")) & (F.col("bar_no") > F.col("as_of_no") - span))
-    newest = near.withColumn("n", F.row_number().over(Window.partitionBy("ticker", "kind").orderBy(F.desc("bar_no"))))
-    kept = lambda kind: F.sort_array(F.collect_list(F.when((F.col("kind") == kind) & (F.col("n") <= keep), F.col("price"))))
-    levels = newest.groupBy("ticker").agg(
-        F.max(F.when(F.col("price") < F.col("at"), F.col("price"))).alias("support"), F.min(F.when(F.col("price") > F.col("at"), F.col("price"))).alias("resistance"),
-        kept("high").alias("swing_highs"), kept("low").alias("swing_lows"),
-    )
-    out = now.join(levels, "ticker", "left")
-    return out.withColumns({"support_distance": F.col("at") / F.col("support") - 1, "resistance_distance": F.col("resistance") / F.col("at") - 1})
+    kinds = F.array_compact(F.array(*[F.when(F.col(f"swing_{k}").isNotNull(), F.struct(F.lit(k).alias("kind"), F.col(f"swing_{k}").alias("price"))) for k in ("high", "low")]))
+    return swing_flags(bars, reach).withColumn("s", F.explode(kinds)).select("ticker", "bar_no", "ts", "s.kind", "s.price", (F.col("bar_no") + reach).alias("confirmed_no"))

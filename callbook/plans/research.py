@@ -7,24 +7,62 @@ from pyspark.sql import functions as F
 
 from callbook.functions import setup as U
 from callbook.functions import zones as Z
+from callbook.operators import bars as B
 from callbook.operators import indicators as I
+from callbook.operators import levels as L
+
+#: More bars than any window of the panel and of the levels spans.
+TAIL = 330
+
+
+#: Columns of a view that levels, EMAs and excess returns give.
+LEVELS = ("support", "resistance", "support_distance", "resistance_distance", "swing_highs", "swing_lows")
+EXCESS = ("excess_5", "excess_21", "excess_63")
+
+
+def _with_setup(rows: DataFrame) -> DataFrame:
+    parts = {"setup_type": "setup_type", "confidence": "setup_confidence", "reasons": "setup_reasons", "counterarguments": "counterarguments"}
+    return rows.withColumn("_s", U.setup()).withColumns({to: F.col(f"_s.{part}") for part, to in parts.items()}).drop("_s")
 
 
 def research_panel(bars: DataFrame, benchmark: str) -> DataFrame:
-    """Indicators, levels, relative strength and setup of every ticker on every bar, in one pass over its bars."""
-    rows = I.panel(bars).join(I.relative_strength(bars, benchmark), ["ticker", "ts"], "left").withColumn("_s", U.setup())
-    return rows.withColumns({"setup_type": F.col("_s.setup_type"), "setup_confidence": F.col("_s.confidence")}).drop("_s")
+    """Indicators, relative strength and setup of every ticker on every bar, in one pass over its bars."""
+    return _with_setup(I.panel(bars).join(I.relative_strength(bars, benchmark), ["ticker", "ts"], "left"))
 
 
-def judged(panel: DataFrame) -> DataFrame:
+def judged(panel: DataFrame, heard=None) -> DataFrame:
     """A panel with ema_21 (and, where known, support and resistance) and its style fits, status, entry zone and action."""
     panel = panel.withColumns({c: F.lit(None).cast("double") for c in ("support", "resistance") if c not in panel.columns})
-    out = panel.withColumn("style_fit", U.style_fit()).withColumns({"primary_style": U.primary_style(F.col("style_fit"), F.col("setup_type")), "_s": U.status()})
-    out = Z.with_risk(out.withColumns({"status": F.col("_s.status"), "status_confidence": F.col("_s.confidence"), "rubric": F.col("_s.rubric")}).drop("_s"))
+    panel = panel.withColumns({c: F.lit(None).cast("double") for c in ("dollar_volume", "atr_14_pct") if c not in panel.columns})
+    out = panel.withColumn("style_fit", U.style_fit()).withColumn("primary_style", U.primary_style(F.col("style_fit"), F.col("setup_type"))).withColumn("_s", U.status(heard))
+    parts = {"status": "status", "confidence": "status_confidence", "summary": "status_summary", "caveats": "caveats", "rubric": "rubric"}
+    out = Z.with_risk(out.withColumns({to: F.col(f"_s.{part}") for part, to in parts.items()}).drop("_s"))
     label = U.action(F.col("status"), F.col("status_confidence"), F.col("available"))
     return out.withColumns({"_a": label, "pass_rate": U.pass_rate(F.col("rubric"))}).withColumns({"action": F.col("_a.label"), "action_confidence": F.col("_a.confidence")}).drop("_a")
 
 
+def research_view(bars: DataFrame, benchmark: str, coverage: DataFrame | None = None, context: DataFrame | None = None) -> DataFrame:
+    """The whole view of every ticker on every bar, as it was known then: indicators, relative strength, excess returns,
+    EMAs, levels, setup with reasons, style fits, status with its rubric, entry zone, action, and whether history suffices.
+
+    coverage (ticker, has_signals, has_calls, has_claims) and context (ticker, as_of, ... of transcript_context, met where
+    as_of falls on the bar's day) are joined where given; tickers that coverage lacks were never heard of.
+    """
+    at = ["ticker", "ts"]
+    rows = research_panel(bars, benchmark).join(I.excess_returns(bars, benchmark), at, "left")
+    rows = rows.join(I.ema(bars).select(*at, *[f"ema_{n}" for n in I.EMA]), at).join(L.levels(bars).select(*at, *LEVELS), at)
+    heard = None
+    if coverage is not None:
+        flags = ("has_signals", "has_calls", "has_claims")
+        rows = rows.join(coverage.select("ticker", *flags), "ticker", "left").na.fill(False, list(flags))
+        heard = F.col("has_signals") | F.col("has_calls")
+    out = judged(rows, heard).withColumn("enough_history", U.enough_history(F.col("bar_no")))
+    if context is not None:
+        said = context.withColumn("_day", F.to_date("as_of")).drop("setup_type")
+        out = out.withColumn("_day", F.to_date("ts")).join(said, ["ticker", "_day"], "left").drop("_day")
+    return out
+
+
 def _rank(values: tuple[str, ...], column: str):
     at = F.array_position(F.array(*map(F.lit, values)), F.col(column))
     return F.when(at > 0, at).otherwise(F.lit(99))
@@ -38,10 +76,14 @@ def scan(tickers: DataFrame, bars: DataFrame, benchmark: str, as_of) -> DataFram
     """
     seen = bars.where(F.col("ts") <= F.lit(as_of).cast("timestamp"))
     last = Window.partitionBy("ticker").orderBy(F.desc("ts"))
-    panel = research_panel(seen, benchmark).join(I.ema(seen, (21,)).select("ticker", "ts", "ema_21"), ["ticker", "ts"])
-    newest = panel.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
-    at = seen.groupBy("ticker").agg(F.count(F.lit(1)).alias("as_of_no"))
-    newest = newest.join(I.nearest_levels(seen, at).select("ticker", "support", "resistance"), "ticker", "left")
+    newest = lambda rows, n=1: rows.withColumn("_n", F.row_number().over(last)).where(F.col("_n") <= n).drop("_n")
+    # all windows of a ticker's newest bar lie in its last TAIL bars; only its EMA and its number look further back
+    tail = newest(seen, TAIL)
+    strength = newest(I.relative_strength(newest(B.align_benchmark(seen, benchmark), TAIL).drop("benchmark_close"), benchmark, aligned_with=seen))
+    counts = seen.groupBy("ticker").agg(F.count(F.lit(1)).alias("bar_no"))
+    rows = newest(I.panel(tail)).drop("bar_no").join(counts, "ticker").join(strength, ["ticker", "ts"], "left")
+    rows = rows.join(newest(I.ema(seen, (21,))).select("ticker", "ema_21"), "ticker").join(newest(L.levels(tail)).select("ticker", *LEVELS), "ticker")
+    newest = _with_setup(rows)
     asked = tickers.select(F.upper(F.trim("ticker")).alias("ticker")).distinct()
     out = asked.join(newest, "ticker", "left").withColumns({"setup_type": F.coalesce("setup_type", F.lit("insufficient_data")), "setup_confidence": F.coalesce("setup_confidence", F.lit("low"))})
     suited = F.coalesce(F.col("primary_style") != "not_suitable_now", F.lit(False))

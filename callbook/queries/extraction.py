@@ -75,11 +75,11 @@ def _lows(column: str):
 _TEXT = "array_to_string(list_transform({}, lambda x: printf('%.8f', x)), ',')"
 
 
-@query("t19_candidate_levels", f"SELECT ticker, coalesce(bok,false) AS has_breakout, coalesce(pok,false) AS has_pullback, {_TEXT.format('prim')} AS primaries, {_TEXT.format('runs')} AS runners, {_TEXT.format('inv')} AS invalidations FROM exits", ("bars",), EXITS)
+@query("t19_candidate_levels", f"SELECT ticker, ts, coalesce(bok,false) AS has_breakout, coalesce(pok,false) AS has_pullback, {_TEXT.format('prim')} AS primaries, {_TEXT.format('runs')} AS runners, {_TEXT.format('inv')} AS invalidations FROM exits", ("bars",), EXITS)
 def _(t):
     out = _levels(t)
     stops = F.array_join(F.transform("invalidations", lambda x: F.format_string("%.8f", x)), ",")
-    return out.select("ticker", F.col("breakout_entry").isNotNull().alias("has_breakout"), F.col("pullback_entry").isNotNull().alias("has_pullback"), _lows("primaries").alias("primaries"), _lows("runners").alias("runners"), stops.alias("invalidations"))
+    return out.select("ticker", "ts", F.col("breakout_entry").isNotNull().alias("has_breakout"), F.col("pullback_entry").isNotNull().alias("has_pullback"), _lows("primaries").alias("primaries"), _lows("runners").alias("runners"), stops.alias("invalidations"))
 
 
 _K = "CAST(substr(ticker,2) AS int)"
@@ -87,12 +87,12 @@ PICKS = f"""{EXITS}, k0 AS (SELECT *, (coalesce(bok,false) OR coalesce(pok,false
 picks AS (SELECT *, CASE WHEN kind2='breakout' THEN bl ELSE pl END AS elow, greatest(0, least(k%4-1, len(prim)-1)) AS pi, CASE WHEN k%5<>0 AND len(runs)>0 THEN greatest(0, least(k%5-1, len(runs)-1)) END AS ri, greatest(0, least(k%3, len(inv)-1)) AS ii FROM k0 WHERE can)"""
 
 
-@query("t21_resolve_picks", f"SELECT ticker, kind2 AS entry_kind, CAST(pi AS int) AS primary_index, CAST(coalesce(ri,-1) AS int) AS runner_index, CAST(ii AS int) AS invalidation_index, {r6('entry_low','primary_low','runner_low','invalidation')} FROM (SELECT *, elow AS entry_low, prim[pi+1] AS primary_low, runs[ri+1] AS runner_low, CASE WHEN inv[ii+1]<elow THEN inv[ii+1] ELSE elow-0.75e0*atr_14 END AS invalidation FROM picks) q", ("bars",), PICKS)
+@query("t21_resolve_picks", f"SELECT ticker, ts, kind2 AS entry_kind, CAST(pi AS int) AS primary_index, CAST(coalesce(ri,-1) AS int) AS runner_index, CAST(ii AS int) AS invalidation_index, {r6('entry_low','primary_low','runner_low','invalidation', digits=8)} FROM (SELECT *, elow AS entry_low, prim[pi+1] AS primary_low, runs[ri+1] AS runner_low, CASE WHEN inv[ii+1]<elow THEN inv[ii+1] ELSE elow-0.75e0*atr_14 END AS invalidation FROM picks) q", ("bars",), PICKS, 8)
 def _(t):
     k = F.substring("ticker", 2, 2).cast("int")
     asked = _levels(t).withColumns({"entry_kind": F.when(k % 3 == 1, "pullback").when(k % 3 == 2, "nonsense").otherwise("breakout"), "primary_index": k % 4 - 1, "runner_index": F.when(k % 5 != 0, k % 5 - 1), "invalidation_index": k % 3})
     out = Z.resolve_picks(asked).where("entry is not null")
-    return out.select("ticker", "entry_kind", "primary_index", F.coalesce("runner_index", F.lit(-1)).alias("runner_index"), "invalidation_index", F.col("entry.low").alias("entry_low"), F.col("primary.low").alias("primary_low"), F.col("runner.low").alias("runner_low"), "invalidation")
+    return out.select("ticker", "ts", "entry_kind", "primary_index", F.coalesce("runner_index", F.lit(-1)).alias("runner_index"), "invalidation_index", F.col("entry.low").alias("entry_low"), F.col("primary.low").alias("primary_low"), F.col("runner.low").alias("runner_low"), "invalidation")
 
 
 ASKED = """asked AS (SELECT concat('T', lpad(CAST(i AS varchar),2,'0')) AS ticker, TIMESTAMP '2000-12-01' + INTERVAL 10 DAY * CAST(i AS int) AS as_of, CASE i%4 WHEN 0 THEN 'strong_uptrend' WHEN 1 THEN 'downtrend' WHEN 2 THEN 'unclear' ELSE 'extended_momentum' END AS setup_type FROM range(25) r(i)),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from callbook.functions import setup as U
 from callbook.operators import indicators as I
+from callbook.operators import levels as L
 from callbook.plans import research as R
 from callbook.plans import scoring
 from callbook.queries.base import query, r6
@@ -105,17 +106,20 @@ def _(t):
     return I.swings(t.bars).withColumns({"bar_no": F.col("bar_no").cast("long"), "confirmed_no": F.col("confirmed_no").cast("long")})
 
 
-_NEWEST = "array_to_string(list_transform(list_sort(list(price) FILTER (WHERE kind='{}' AND k<=5)), lambda x: printf('%.8f', x)), ',')"
+_NEWEST = "array_to_string(list_transform({}(list(price) FILTER (WHERE kind='{}' AND k<=5)), lambda x: printf('%.8f', x)), ',')"
+# the levels of every bar from the swings confirmed by then
+NEAR = f"""near AS (SELECT n.ticker, n.ts, n.bar_no, n.close, max(price) FILTER (WHERE price<close) AS support, min(price) FILTER (WHERE price>close) AS resistance, coalesce({_NEWEST.format('list_reverse_sort', 'high')},'') AS highs, coalesce({_NEWEST.format('list_sort', 'low')},'') AS lows
+ FROM nb n LEFT JOIN (SELECT m.ticker, m.bar_no AS at_no, s.price, s.kind, row_number() OVER (PARTITION BY m.ticker, m.bar_no, s.kind ORDER BY s.bar_no DESC) AS k FROM nb m JOIN swings s ON s.ticker=m.ticker AND s.bar_no+5<=m.bar_no AND s.bar_no>m.bar_no-252) y ON y.ticker=n.ticker AND y.at_no=n.bar_no GROUP BY 1,2,3,4)"""
 
 
-@query("w15_nearest_levels", f"""SELECT ticker, round(price_now,6) AS price_now, round(support,6) AS support, round(resistance,6) AS resistance, coalesce(highs,'') AS highs, coalesce(lows,'') AS lows, round(price_now/support-1,6)+0.0e0 AS support_distance, round(resistance/price_now-1,6)+0.0e0 AS resistance_distance FROM (
- SELECT ticker, close AS price_now, max(price) FILTER (WHERE price<close) AS support, min(price) FILTER (WHERE price>close) AS resistance, {_NEWEST.format('high')} AS highs, {_NEWEST.format('low')} AS lows
- FROM (SELECT n.ticker, n.close, s.price, s.kind, row_number() OVER (PARTITION BY n.ticker, s.kind ORDER BY s.bar_no DESC) AS k FROM (SELECT * FROM nb WHERE bar_no=n_bars-20) n JOIN swings s ON s.ticker=n.ticker AND s.bar_no+5<=n.bar_no AND s.bar_no>n.bar_no-252) y GROUP BY 1,2) x""", ("bars",), SWINGS)
+def _texts(prices: str):
+    return F.array_join(F.transform(prices, lambda x: F.format_string("%.8f", x)), ",")
+
+
+@query("w15_nearest_levels", f"SELECT ticker, ts, bar_no, {r6('support','resistance')}, highs, lows, round((close-support)/close,6)+0.0e0 AS support_distance, round((resistance-close)/close,6)+0.0e0 AS resistance_distance FROM near", ("bars",), f"{SWINGS}, {NEAR}")
 def _(t):
-    at = t.bars.groupBy("ticker").agg((F.count(F.lit(1)) - 20).alias("as_of_no"))
-    text = lambda c: F.array_join(F.transform(c, lambda x: F.format_string("%.8f", x)), ",")
-    out = I.nearest_levels(t.bars, at)
-    return out.select("ticker", F.col("at").alias("price_now"), "support", "resistance", text("swing_highs").alias("highs"), text("swing_lows").alias("lows"), "support_distance", "resistance_distance")
+    out = L.levels(t.bars)
+    return out.select("ticker", "ts", F.col("bar_no").cast("long").alias("bar_no"), "support", "resistance", _texts("swing_highs").alias("highs"), _texts("swing_lows").alias("lows"), "support_distance", "resistance_distance")
 
 
 REGIME = f"reg AS (SELECT ts, CASE WHEN c IS NULL THEN 'unknown' WHEN c>0.02e0 THEN 'up' WHEN c<-0.02e0 THEN 'down' ELSE 'flat' END AS regime FROM (SELECT ts, close/lag(close,21) OVER (ORDER BY ts)-1 AS c FROM bars WHERE ticker='T00') x)"
@@ -157,10 +161,29 @@ def _(t):
     return R.research_panel(t.bars, BENCHMARK).groupBy(F.concat_ws(" ", "setup_type", "setup_confidence").alias("setup")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("t33_freshness", "SELECT ticker, count(*) AS n_bars, CASE WHEN count(*)<200 THEN 'short_history' ELSE '' END || CASE WHEN date_diff('day', max(ts)::DATE, DATE '2001-12-20')>7 THEN 'stale' ELSE '' END AS notes FROM bars GROUP BY 1", ("bars",))
+_P = lambda x, d=1: f"printf('%.{d}f', ({x})*100)"
+_DOWN = f"""|| CASE WHEN sma_50_slope_21 IS NOT NULL THEN '|50-day slope is '||{_P('sma_50_slope_21')}||'% over 21 bars — pointing down.' ELSE '' END || CASE WHEN rs_126<0 THEN '|Underperformed SPY by '||{_P('abs(rs_126)')}||'% over 126 bars.' ELSE '' END"""
+
+
+@query("t14_reasons", f"""SELECT p.ticker, p.ts, CASE split_part(setup,' ',1)
+ WHEN 'insufficient_data' THEN 'Only '||p.bar_no||' bars available; need ≥200 to evaluate the long-trend stack.'
+ WHEN 'low_liquidity' THEN 'Dollar volume '||CASE WHEN dollar_volume>=1e6 THEN '$'||printf('%.1f',dollar_volume/1e6)||'M' WHEN dollar_volume>=1e3 THEN '$'||printf('%.0f',dollar_volume/1e3)||'K' ELSE '$'||printf('%.0f',dollar_volume) END||' below $5.0M threshold.'
+ WHEN 'high_volatility_unstable' THEN 'ATR(14) is '||{_P('coalesce(atr_14_pct,0)')}||'% of price or realized vol is '||{_P('coalesce(realized_vol_21,0)', 0)}||'% annualized — both stops and entries become wide.'
+ WHEN 'downtrend' THEN CASE WHEN setup='downtrend medium' THEN 'MAs are stacked bearishly (price < 50 < 200).' ELSE 'Price is '||{_P('dist_sma_200')}||'% below the 200-SMA with the 200-day slope still negative.' END {_DOWN}
+ WHEN 'extended_momentum' THEN 'Price is '||{_P('dist_sma_50', 0)}||'% above the 50-day MA — extended.|RSI(14) at '||printf('%.0f',rsi_14)||' — overbought.'
+ WHEN 'uptrend_pullback' THEN 'Bullish MA stack with a '||{_P('pullback_63')}||'% pullback from the 63-bar high.'||CASE WHEN sma_50_slope_21>0.005e0 THEN '|50-day slope '||{_P('sma_50_slope_21')}||'% over 21 bars — uptrend still intact.' ELSE '' END
+ WHEN 'breakout_candidate' THEN CASE WHEN breakout_63>0 AND breakout_63<=0.03e0 THEN 'Fresh breakout: closed '||{_P('breakout_63')}||'% above the 63-bar recent high.' ELSE 'Within '||{_P('abs(breakout_63)')}||'% of the 63-bar recent high — breakout setup.' END||CASE WHEN consolidation_20<=0.08e0 THEN '|Tight consolidation ('||{_P('consolidation_20')}||'% range over 20 bars).' ELSE '' END
+ WHEN 'strong_uptrend' THEN 'Bullish MA stack (price > 20 > 50 > 200).|50-day slope '||{_P('sma_50_slope_21')}||'% over 21 bars — upward sloping.'
+ WHEN 'range_bound' THEN 'MAs are not stacked; price is consolidating in a tight range.' ELSE 'No rule branch matched this combination of indicators + levels.' END AS reasons FROM panel p JOIN setups s USING (ticker, ts) LEFT JOIN rs USING (ticker, ts)""", ("bars",), SETUP)
+def _(t):
+    return R.research_panel(t.bars, BENCHMARK).select("ticker", "ts", F.array_join("setup_reasons", "|").alias("reasons"))
+
+
+@query("t33_freshness", "SELECT ticker, count(*) AS n_bars, count(*)>=252 AS enough, date_diff('day', max(ts)::DATE, DATE '2001-12-20') AS age, CASE WHEN count(*)<200 THEN 'short_history' ELSE '' END || CASE WHEN date_diff('day', max(ts)::DATE, DATE '2001-12-20')>7 THEN 'stale' ELSE '' END AS notes FROM bars GROUP BY 1", ("bars",))
 def _(t):
     rows = t.bars.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_bars"), F.max("ts").alias("last"))
-    return rows.select("ticker", "n_bars", F.array_join(U.freshness(F.col("n_bars"), F.col("last"), F.lit("2001-12-20 00:00:00").cast("timestamp")), "").alias("notes"))
+    at = F.lit("2001-12-20 00:00:00").cast("timestamp")
+    return rows.select("ticker", "n_bars", U.enough_history(F.col("n_bars")).alias("enough"), U.bar_age(F.col("last"), at).cast("long").alias("age"), F.array_join(U.freshness(F.col("n_bars"), F.col("last"), at), "").alias("notes"))
 
 
 def status_sql(where: str = "") -> str:
@@ -192,8 +215,7 @@ st AS (SELECT *, CASE status WHEN 'insufficient_data' THEN 'N/A' WHEN 'skip_for_
 
 
 def judged(t):
-    panel = R.research_panel(t.bars, BENCHMARK).join(I.ema(t.bars, (21,)).select("ticker", "ts", "ema_21"), ["ticker", "ts"])
-    return R.judged(panel)
+    return R.research_view(t.bars, BENCHMARK)
 
 
 _FITS = " || ".join(f"CAST(f_{n} AS varchar)" for n in U.STYLES)
@@ -210,11 +232,37 @@ def _(t):
     return judged(t).select("ticker", "ts", "status", "status_confidence", "pass_rate")
 
 
+_RULES = {
+    "ma_alignment_bullish": ("high", "ma_alignment='bullish_stack'", "NULL", "bullish_stack", "kind NOT IN ('insufficient_data','low_liquidity','high_volatility_unstable','extended_momentum')"),
+    "sma_50_slope_positive": ("high", "coalesce(sma_50_slope_21>0,false)", "sma_50_slope_21", "0.0", "kind NOT IN ('insufficient_data','low_liquidity','high_volatility_unstable','extended_momentum')"),
+    "rs_vs_spy_63d_positive": ("medium", "leads", "rs_63", "0.0", "plain"), "rsi_in_range_40_70": ("low", "lo=1", "rsi_14", "40-70", "plain"),
+    "has_clean_risk_reference": ("medium", "base_low_60 IS NOT NULL", "NULL", "yes", "plain"), "style_fit_present": ("medium", "best>=2", "NULL", "non-low", "plain"),
+    "data_sufficiency": ("high", "false", "bar_no", "200", "kind='insufficient_data'"), "dollar_volume_min": ("high", "false", "dollar_volume", "5000000", "kind='low_liquidity'"),
+    "atr_pct_under_high": ("high", "false", "atr_14_pct", "0.08", "kind='high_volatility_unstable'"), "dist_to_sma_50_below_extended": ("high", "false", "dist_sma_50", "0.15", "kind='extended_momentum'"),
+    "rsi_under_75": ("medium", "coalesce(rsi_14<=75,false)", "rsi_14", "75", "kind='extended_momentum'"),
+}
+_PLAIN = "(SELECT *, kind NOT IN ('insufficient_data','low_liquidity','high_volatility_unstable','extended_momentum','downtrend') AS plain FROM st)"
+
+
+@query("t16_rubric", " UNION ALL ".join(f"SELECT ticker, ts, '{n}' AS rule, '{w}' AS weight, {p} AS passed, round(CAST({v} AS double),6)+0.0e0 AS value, '{x}' AS threshold FROM {_PLAIN} WHERE {given}" for n, (w, p, v, x, given) in _RULES.items()), ("bars",), f"{SETUP}, {status_sql()}")
+def _(t):
+    rows = judged(t).select("ticker", "ts", F.explode("rubric").alias("r")).select("ticker", "ts", "r.*")
+    return rows.select("ticker", "ts", "rule", "weight", "passed", F.expr("try_cast(value as double)").alias("value"), "threshold")
+
+
 @query("t17_action", "SELECT ticker, ts, action, available FROM st", ("bars",), f"{SETUP}, {status_sql()}")
 def _(t):
     return judged(t).select("ticker", "ts", "action", "available")
 
 
+@query("c5_research_view", f"""SELECT ticker, ts, kind AS setup_type, sure AS setup_confidence, status, status_confidence, primary_style, action, bar_no>=252 AS enough_history, highs, lows, {r6('support','resistance','ema_21','rs_63','rs_126','pass_rate')}, round(o.r5-b.r5,6)+0.0e0 AS excess_5, round(o.r21-b.r21,6)+0.0e0 AS excess_21, round(o.r63-b.r63,6)+0.0e0 AS excess_63
+ FROM st JOIN (SELECT ticker, ts, support, resistance, highs, lows FROM near) USING (ticker, ts) JOIN own o USING (ticker, ts) ASOF LEFT JOIN (SELECT ts, r5, r21, r63 FROM own WHERE ticker='T00') b ON b.ts<=st.ts""", ("bars",),
+       f"{SETUP}, {status_sql()}, {SWINGS}, {NEAR}, own AS (SELECT ticker, ts, {', '.join(f'{_chg('close', f'lag(close,{n}) OVER {_O}')} AS r{n}' for n in (5, 21, 63))} FROM bars)")
+def _(t):
+    out = judged(t)
+    return out.select("ticker", "ts", "setup_type", "setup_confidence", "status", "status_confidence", "primary_style", "action", "enough_history", _texts("swing_highs").alias("highs"), _texts("swing_lows").alias("lows"), "support", "resistance", "ema_21", "rs_63", "rs_126", "pass_rate", "excess_5", "excess_21", "excess_63")
+
+
 AS_OF = "2000-06-30"
 SCAN = f"""{SETUP}, {status_sql(f"WHERE p.ts<=TIMESTAMP '{AS_OF}'")},
 asked AS (SELECT DISTINCT ticker FROM bars UNION SELECT 'ZZZ'),

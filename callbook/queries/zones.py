@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from callbook.functions import zones as Z
 from callbook.operators import bars as B
 from callbook.operators import calendar as C
-from callbook.operators import indicators as I
 from callbook.plans import research as R
 from callbook.queries.base import query, r6
 from callbook.queries.technical import SETUP
@@ -18,9 +17,9 @@ LEVELS = """ext AS (SELECT ticker, ts, high, low, row_number() OVER (PARTITION B
  min(low) OVER (PARTITION BY ticker ORDER BY ts ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS lb, min(low) OVER (PARTITION BY ticker ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS la FROM bars),
 piv AS (SELECT ticker, bar_no, high AS price FROM ext WHERE bar_no>5 AND bar_no<=n_bars-5 AND high>hb AND high>ha UNION ALL SELECT ticker, bar_no, low FROM ext WHERE bar_no>5 AND bar_no<=n_bars-5 AND low<lb AND low<la),
 rec AS (SELECT ticker, bar_no, close AS ema_21 FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts) AS bar_no FROM bars) WHERE bar_no=1 UNION ALL SELECT n.ticker, n.bar_no, n.close*2/22.0e0+r.ema_21*20/22.0e0 FROM rec r JOIN (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts) AS bar_no FROM bars) n ON n.ticker=r.ticker AND n.bar_no=r.bar_no+1),
-at0 AS (SELECT p.*, split_part(s.setup,' ',1) AS setup_type, r.ema_21, (SELECT max(price) FROM piv v WHERE v.ticker=p.ticker AND v.bar_no+5<=p.bar_no AND v.bar_no>p.bar_no-252 AND price<p.close) AS support,
+at0 AS (SELECT p.*, split_part(s.setup,' ',1) AS setup_type, CASE WHEN p.bar_no>=21 THEN r.ema_21 END AS ema_21, (SELECT max(price) FROM piv v WHERE v.ticker=p.ticker AND v.bar_no+5<=p.bar_no AND v.bar_no>p.bar_no-252 AND price<p.close) AS support,
  (SELECT min(price) FROM piv v WHERE v.ticker=p.ticker AND v.bar_no+5<=p.bar_no AND v.bar_no>p.bar_no-252 AND price>p.close) AS resistance
- FROM panel p JOIN setups s USING (ticker, ts) JOIN rec r ON r.ticker=p.ticker AND r.bar_no=p.bar_no JOIN (SELECT ticker, max(bar_no) AS m FROM panel GROUP BY 1) x ON x.ticker=p.ticker AND p.bar_no=x.m-40),
+ FROM panel p JOIN setups s USING (ticker, ts) JOIN rec r ON r.ticker=p.ticker AND r.bar_no=p.bar_no WHERE s.setup<>'insufficient_data low'),
 z0 AS (SELECT *, CASE WHEN setup_type='breakout_candidate' THEN 'breakout' WHEN setup_type='uptrend_pullback' OR (setup_type='strong_uptrend' AND pullback_63>=0.04e0) THEN 'pullback' WHEN setup_type='range_bound' THEN 'range' END AS kind FROM at0),
 z1 AS (SELECT *, CASE kind WHEN 'breakout' THEN recent_high_63 WHEN 'pullback' THEN least(ema_21, sma_50) WHEN 'range' THEN base_low_60 END AS zlow,
  CASE kind WHEN 'breakout' THEN greatest(base_low_60, recent_high_63-1.5e0*atr_14) WHEN 'pullback' THEN greatest(CASE WHEN support<least(ema_21,sma_50) THEN support END, sma_50-atr_14, least(ema_21,sma_50)-1.5e0*atr_14) WHEN 'range' THEN base_low_60-0.5e0*atr_14 END AS inv,
@@ -28,16 +27,13 @@ z1 AS (SELECT *, CASE kind WHEN 'breakout' THEN recent_high_63 WHEN 'pullback' T
 
 
 def _rows(t):
-    at = t.bars.groupBy("ticker").agg((F.count(F.lit(1)) - 40).alias("as_of_no"))
-    levels = I.nearest_levels(t.bars, at).select("ticker", "as_of_no", "support", "resistance")
-    panel = R.research_panel(t.bars, BENCHMARK).join(I.ema(t.bars).select("ticker", "ts", "ema_21"), ["ticker", "ts"])
-    return panel.join(levels, "ticker").where("bar_no = as_of_no")
+    return R.research_view(t.bars, BENCHMARK).where("setup_type <> 'insufficient_data'")
 
 
-@query("t18_entry_zone", f"SELECT ticker, setup_type, kind IS NOT NULL AS available, {r6('zlow','inv','risk_pct','risk_atrs','reward_risk')} FROM (SELECT *, (zlow-inv)/zlow AS risk_pct, (zlow-inv)/atr_14 AS risk_atrs, CASE WHEN zlow>inv AND (kind='range' OR target>zlow) THEN (target-zlow)/(zlow-inv) END AS reward_risk FROM z1) q", ("bars",), f"{SETUP}, {LEVELS}")
+@query("t18_entry_zone", f"SELECT ticker, ts, setup_type, kind IS NOT NULL AS available, {r6('zlow','inv','risk_pct','risk_atrs','reward_risk')} FROM (SELECT *, (zlow-inv)/zlow AS risk_pct, (zlow-inv)/atr_14 AS risk_atrs, CASE WHEN zlow>inv AND (kind='range' OR target>zlow) THEN (target-zlow)/(zlow-inv) END AS reward_risk FROM z1) q", ("bars",), f"{SETUP}, {LEVELS}")
 def _(t):
-    out = Z.with_risk(_rows(t))
-    return out.select("ticker", "setup_type", "available", F.col("zone.low").alias("zlow"), F.col("zone.invalidation").alias("inv"), "risk_pct", "risk_atrs", "reward_risk")
+    out = _rows(t)
+    return out.select("ticker", "ts", "setup_type", "available", F.col("zone.low").alias("zlow"), F.col("zone.invalidation").alias("inv"), "risk_pct", "risk_atrs", "reward_risk")
 
 
 @query("t20_rr_distribution", """SELECT ticker, count(*) AS n, round(min(b),6) AS low, round_even(median(b),2) AS middle, round(max(b),6) AS high FROM (
