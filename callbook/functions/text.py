@@ -1,12 +1,15 @@
-"""Transcript text: cleaning, symbols, tickers, windows and validation."""
+"""Transcript text: cleaning, symbols, tickers, scores and validation."""
 
 from __future__ import annotations
 
+import bisect
+import functools
+import itertools
 import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that mark a trade call, and words that hedge.
@@ -45,45 +48,91 @@ def symbol_variants(symbol: Column) -> Column:
 STOP = ("A", "I", "AT", "ON", "BE", "AS", "BY", "DO", "GO", "IF", "IS", "IT", "OR", "SO", "TO", "UP", "WE")
 
 
-def detector(universe: dict[str, str], aliases: dict[str, str] | None = None, letters: str = "[A-Z]"):
-    """A column function text -> mentions, in the order of the text, of canonical symbols.
-
-    universe maps canonical tickers to company names, aliases maps phrases to tickers. Methods by confidence: $TICKER .95
-    (1 to 5 letters), an upper-case token of 2 to 5 letters .85 (not after $, not in STOP), a one-word company name .70, an
-    alias .65, 3 to 5 letters spelled apart in any case .60; the first method wins a place. letters is the pattern of a
-    ticker's characters. Offsets need Python; texts come in Arrow batches and one compiled pattern serves all names.
+@functools.lru_cache(4)
+def _automaton(phrases: tuple[tuple[str, str, str, float], ...]):
+    """Aho-Corasick automaton of phrases (lower-cased phrase, ticker, method, confidence); of equal phrases all count, in their order."""
+    import ahocorasick
+
+    found: dict[str, list] = {}
+    for rank, (phrase, *rest) in enumerate(phrases):
+        found.setdefault(phrase, []).append((rank, *rest))
+    automaton = ahocorasick.Automaton()
+    for phrase, values in found.items():
+        automaton.add_word(phrase, (phrase, values))
+    automaton.make_automaton()
+    return automaton
+
+
+def _is_word(char: str) -> bool:
+    return char.isalnum() or char == "_"
+
+
+def _phrases_in(text: str, automaton) -> Iterator[tuple[int, int, int, str, str, float]]:
+    """(rank, start, end, ticker, method, confidence) of phrases that stand between word boundaries; one phrase's matches don't overlap."""
+    last: dict[str, int] = {}
+    for at, (phrase, values) in automaton.iter(text):
+        end = at + 1
+        start = end - len(phrase)
+        if start < last.get(phrase, 0):
+            continue
+        if _is_word(text[start - 1 : start]) == _is_word(phrase[0]) or _is_word(text[end : end + 1]) == _is_word(phrase[-1]):
+            continue
+        last[phrase] = end
+        for rank, *rest in values:
+            yield rank, start, end, *rest
+
+
+def detector(universe: dict[str, str], aliases: dict[str, str] | None = None, letters: str = "[A-Z]", most_chars: int = 50_000_000):
+    """A column function text -> mentions, in the order of the text.
+
+    universe maps canonical tickers to company names, aliases maps phrases to tickers, in the universe or not. Methods by
+    confidence: $TICKER .95 (1 to 5 letters), an upper-case token of 2 to 5 letters .85 (not after $, not in STOP), a one-word
+    company name .70 (of equal names the first), an alias .65, 3 to 5 letters spelled apart in any case .60; the first method
+    wins a ticker's place. letters is the pattern of a ticker's characters. Texts come in Arrow batches, each searched as a
+    whole: once per pattern, and once by an automaton of all names and aliases, whatever their number. It is built once per
+    worker; names and aliases go to the workers with the function and may hold `most_chars` characters together.
     """
-    words = {n.lower(): t for t, n in universe.items() if n and " " not in n}
-    phrases = {p.lower(): t for p, t in (aliases or {}).items() if t in universe}
+    listed: dict[str, str] = {}
+    for ticker, name in universe.items():
+        if name and " " not in name.strip():
+            listed.setdefault(name.strip().lower(), ticker)
+    # Names of methods.
+    phrases = tuple((n, t, "company_name", 0.70) for n, t in listed.items() if n) + tuple((p.lower(), t, "asr_map", 0.65) for p, t in (aliases or {}).items() if p)
+    if sum(len(p[0]) for p in phrases) > most_chars:
+        raise ValueError(f"names and aliases hold over {most_chars} characters")
     share = r"(?:\.[A-Z])?\b"
     dollar, cased = re.compile(rf"\$({letters}{{1,5}}{share})"), re.compile(rf"(?<!\$)\b{letters}{{2,5}}{share}")
     spelled = re.compile(r"\b[a-z](?:\s+[a-z]){2,4}\b")
     canonical = lambda symbol: symbol.strip().upper().replace(".", "-")
-    either = lambda d: re.compile(r"\b(" + "|".join(map(re.escape, sorted(d, key=len, reverse=True))) + r")\b", re.IGNORECASE) if d else None
-    named, phrased = either(words), either(phrases)
-
-    def find(text: str) -> list[dict]:
-        hits: dict[tuple[str, int], dict] = {}
-
-        def add(ticker: str | None, m: re.Match, method: str, confidence: float) -> None:
-            if ticker in universe:
-                hits.setdefault((ticker, m.start()), {"ticker": ticker, "start": m.start(), "end": m.end(), "matched": text[m.start() : m.end()], "method": method, "confidence": confidence})
-
-        for m in dollar.finditer(text):
-            add(canonical(m[1]), m, "dollar", 0.95)
-        for m in cased.finditer(text):
-            if canonical(m[0]) not in STOP:
-                add(canonical(m[0]), m, "cased", 0.85)
-        for pattern, table, method, confidence in ((named, words, "name", 0.70), (phrased, phrases, "alias", 0.65)):
-            for m in pattern.finditer(text) if pattern else ():
-                add(table[m[0].lower()], m, method, confidence)
-        for m in spelled.finditer(text.lower()):
-            add("".join(m[0].split()).upper(), m, "spelled", 0.60)
-        return sorted(hits.values(), key=lambda h: (h["start"], h["ticker"]))
+
+    def find(texts: list[str]) -> list[list[dict]]:
+        hits: list[dict[tuple[str, int], dict]] = [{} for _ in texts]
+        plain, lowered = texts, [t.lower() for t in texts]
+        begins = {id(group): list(itertools.accumulate((len(t) + 1 for t in group), initial=0)) for group in (plain, lowered)}
+
+        def add(group: list[str], ticker: str, start: int, end: int, method: str, confidence: float) -> None:
+            k = bisect.bisect_right(begins[id(group)], start) - 1
+            start, end = start - begins[id(group)][k], end - begins[id(group)][k]
+            hits[k].setdefault((ticker, start), {"ticker": ticker, "start": start, "end": end, "matched": texts[k][start:end], "method": method, "confidence": confidence})
+
+        whole, low = "\0".join(plain), "\0".join(lowered)  # no pattern or phrase crosses the mark
+        for m in dollar.finditer(whole):
+            if (ticker := canonical(m[1])) in universe:
+                add(plain, ticker, m.start(), m.end(), "dollar", 0.95)
+        for m in cased.finditer(whole):
+            if (ticker := canonical(m[0])) in universe and ticker not in STOP:
+                add(plain, ticker, m.start(), m.end(), "cased", 0.85)
+        if phrases:
+            for _, start, end, ticker, method, confidence in sorted(_phrases_in(low, _automaton(phrases))):
+                add(lowered, ticker, start, end, method, confidence)
+        for m in spelled.finditer(low):
+            if (ticker := "".join(m[0].split()).upper()) in universe:
+                add(lowered, ticker, m.start(), m.end(), "spelled_out", 0.60)
+        return [sorted(h.values(), key=lambda m: m["start"]) for h in hits]
 
     @F.pandas_udf(MENTION)
     def detect(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: find(t or ""))
+        return pd.Series(find([t or "" for t in texts]), index=texts.index, dtype=object)
 
     return detect
 
@@ -111,10 +160,24 @@ def has_hedge(text: Column) -> Column:
     return F.coalesce(text.rlike(HEDGES), F.lit(False))
 
 
+def _cut(text: Column, chars: int) -> Column:
+    """A text of at most `chars` characters, ending in an ellipsis where it was cut."""
+    return F.when(F.length(text) > chars, F.concat(F.rtrim(F.substring(text, 1, chars - 1)), F.lit("…"))).otherwise(text)
+
+
 def limited(items: Column, most: int = 5, chars: int = 400) -> Column:
     """At most `most` items of at most `chars` characters, cut ones ending in an ellipsis."""
-    cut = lambda s: F.when(F.length(s) > chars, F.concat(F.rtrim(F.substring(s, 1, chars - 1)), F.lit("…"))).otherwise(s)
-    return F.transform(F.slice(items, 1, most), cut)
+    return F.transform(F.slice(items, 1, most), lambda s: _cut(s, chars))
+
+
+def summary(text: Column, chars: int = 240) -> Column:
+    """A lens's summary, cut to 240 characters."""
+    return _cut(text, chars)
+
+
+def wrapped(text: Column) -> Column:
+    """A bare text as a list of one; null gives an empty list."""
+    return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(F.array(text))
 
 
 def final_confidence(llm: Column, rule: Column, n_filled: Column) -> Column:
@@ -138,58 +201,6 @@ def plausible_price(price: Column, market: Column, tolerance: float = 0.5) -> Co
     return F.when(~F.coalesce(far, F.lit(False)), price)
 
 
-def consolidate(segments: DataFrame, seconds: float = 25.0, chars: int = 1500, gap: float = 3.0) -> DataFrame:
-    """(document_id, window_no, start_seconds, end_seconds, text, n_segments): segments merged greedily in time order.
-
-    A window closes before a segment that would stretch it past `seconds` or `chars`, or that begins more than `gap`
-    after it. Segments without text are skipped. The merge is sequential, so a document's rows are folded in order.
-    """
-    cleaned = segments.select("document_id", "segment_id", "start_seconds", "end_seconds", clean_text(F.col("text")).alias("text")).where("text <> ''")
-    rows = cleaned.repartition("document_id").sortWithinPartitions("document_id", "start_seconds", "segment_id")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        doc, number, start, end, texts = None, 0, 0.0, 0.0, []
-
-        def closed():
-            return (doc, number, start, end, " ".join(texts), len(texts))
-
-        columns = ["document_id", "window_no", "start_seconds", "end_seconds", "text", "n_segments"]
-        for frame in frames:
-            out = []
-            for d, s, e, t in zip(frame["document_id"], frame["start_seconds"], frame["end_seconds"], frame["text"], strict=True):
-                full = texts and (e - start > seconds or sum(len(x) + 1 for x in texts) + len(t) > chars or s - end > gap)
-                if texts and (d != doc or full):
-                    out.append(closed())
-                    number, texts = (number + 1 if d == doc else 0), []
-                if not texts:
-                    number = number if d == doc else 0
-                    doc, start = d, s
-                end = e
-                texts.append(t)
-            yield pd.DataFrame(out, columns=columns)
-        if texts:
-            yield pd.DataFrame([closed()], columns=columns)
-
-    return rows.mapInPandas(run, "document_id long, window_no int, start_seconds double, end_seconds double, text string, n_segments int")
-
-
-def cluster_windows(windows: DataFrame, least: float = 2.0, apart: float = 60.0) -> DataFrame:
-    """Windows scoring at least `least` with a cluster number per document; a new one begins more than `apart` seconds after the last."""
-    w = Window.partitionBy("document_id").orderBy("start_seconds")
-    new = F.coalesce(F.col("start_seconds") - F.lag("end_seconds").over(w) > apart, F.lit(True))
-    return windows.where(F.col("score") >= least).withColumn("_new", new.cast("int")).withColumn("cluster", F.sum("_new").over(w)).drop("_new")
-
-
-def candidate_windows(segments: DataFrame, detect, around: float = 90.0) -> DataFrame:
-    """Per document and cluster: span, summed score, tickers, and the text of all windows within `around` seconds."""
-    windows = consolidate(segments).withColumn("mentions", detect(F.col("text")))
-    scored = windows.withColumn("score", score_window(F.col("text"), F.size("mentions")))
-    groups = cluster_windows(scored).groupBy("document_id", "cluster").agg(F.min("start_seconds").alias("from"), F.max("end_seconds").alias("to"), F.sum("score").alias("score"), F.flatten(F.sort_array(F.collect_list(F.transform("mentions", lambda m: m["ticker"])))).alias("tickers"))
-    near = groups.join(windows.select("document_id", "start_seconds", "end_seconds", "text"), "document_id").where((F.col("end_seconds") >= F.col("from") - around) & (F.col("start_seconds") <= F.col("to") + around))
-    context = near.groupBy("document_id", "cluster").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start_seconds", "text"))), lambda s: s["text"]), " ").alias("context"))
-    return groups.withColumn("tickers", F.array_sort(F.array_distinct("tickers"))).join(context, ["document_id", "cluster"])
-
-
 def checked_claim(claim_class: Column, evidence: Column) -> Column:
     """struct<claim_class, rule_confidence>: a fact whose evidence hedges is an opinion, 0.20 less sure."""
     hedged = (claim_class == "factual") & has_hedge(evidence)

@@ -112,6 +112,12 @@ def resolve_picks(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"primary": F.get("primaries", c("primary_index")), "runner": F.get("runners", c("runner_index")), "invalidation": stop})
 
 
+def bounded_confidence(raw: Column, rubric: Column) -> Column:
+    """A model's confidence, but no higher than the rubric's; an unknown one is low."""
+    rank = lambda c: F.greatest(F.array_position(F.array(*map(F.lit, ("low", "medium", "high"))), F.coalesce(c, F.lit("low"))), F.lit(1))
+    return F.element_at(F.array(*map(F.lit, ("low", "medium", "high"))), F.least(rank(raw), rank(rubric)).cast("int"))
+
+
 def with_risk(rows: DataFrame) -> DataFrame:
     """Rows with zone, available, risk_pct, risk_atrs and reward_risk (to the nearest resistance, or the range's top)."""
     rows = rows.withColumn("zone", entry_zone())

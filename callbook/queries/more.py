@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from callbook.functions import text as X
 from callbook.operators import indicators as I
+from callbook.operators import windows as W
 from callbook.plans import research as R
 from callbook.plans import signals as G
 from callbook.queries.base import query
@@ -66,7 +67,7 @@ def _(t):
 @query("w28_clusters", "SELECT document_id, segment_id, cluster FROM (SELECT *, sum(fresh) OVER (PARTITION BY document_id ORDER BY start_seconds) AS cluster FROM (SELECT *, CASE WHEN coalesce(start_seconds-lag(end_seconds) OVER (PARTITION BY document_id ORDER BY start_seconds)>3,true) THEN 1 ELSE 0 END AS fresh FROM segments WHERE segment_id%3<>1) q) r", ("segments",))
 def _(t):
     rows = t.segments.withColumn("score", F.when(F.col("segment_id") % 3 != 1, 2.0).otherwise(0.0))
-    return X.cluster_windows(rows, 2.0, 3.0).select("document_id", "segment_id", F.col("cluster").cast("long").alias("cluster"))
+    return W.cluster_windows(rows, 2.0, 3.0).select("document_id", "segment_id", F.col("cluster").cast("long").alias("cluster"))
 
 
 @query("io7_ingest_documents", "SELECT CAST(document_id AS varchar) AS external_id, count(*) AS n_segments FROM segments WHERE document_id%3<>0 GROUP BY 1", ("segments",))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from callbook.functions import text as X
 from callbook.operators import bars as B
 from callbook.operators import indicators as I
+from callbook.operators import windows as W
 from callbook.plans import portfolio as P
 from callbook.plans import screener as S
 from callbook.queries.base import query, r6
@@ -231,14 +232,36 @@ def _(t):
     return t.lens_results.select("snapshot_id", X.direction_correct(F.col("direction"), F.col("return_pct")).alias("correct"))
 
 
-@query("w27_consolidate")
+# segments walked one window after the other; rec holds the first segment of each
+WINDOWS = r"""sg0 AS (SELECT document_id, segment_id, start_seconds AS s, end_seconds AS e, trim(regexp_replace(regexp_replace(replace(text, chr(160), ' '), '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g'), '\s+', ' ', 'g')) AS txt FROM segments),
+sg AS (SELECT *, row_number() OVER w AS i, sum(length(txt)+1) OVER w AS p, coalesce(s-lag(e) OVER w>3, false) AS gap FROM sg0 WHERE txt<>'' WINDOW w AS (PARTITION BY document_id ORDER BY s, segment_id)),
+nxt AS (SELECT a.document_id, a.i, min(b.i) AS j FROM sg a LEFT JOIN sg b ON b.document_id=a.document_id AND b.i>a.i AND b.i<=a.i+751 AND (b.e-a.s>25 OR b.p-1-(a.p-length(a.txt)-1)>1500 OR b.gap) GROUP BY 1,2),
+rec AS (SELECT DISTINCT document_id, CAST(1 AS bigint) AS i, 0 AS window_no FROM sg UNION ALL SELECT r.document_id, n.j, r.window_no+1 FROM rec r JOIN nxt n ON n.document_id=r.document_id AND n.i=r.i WHERE n.j IS NOT NULL),
+win AS (SELECT r.document_id, r.window_no, min(g.s) AS start_seconds, max_by(g.e, g.i) AS end_seconds, string_agg(g.txt, ' ' ORDER BY g.i) AS text, count(*) AS n_segments, string_agg(CAST(g.segment_id AS varchar), ',' ORDER BY g.i) AS ids FROM rec r JOIN nxt n ON n.document_id=r.document_id AND n.i=r.i JOIN sg g ON g.document_id=r.document_id AND g.i>=r.i AND (n.j IS NULL OR g.i<n.j) GROUP BY 1,2)"""
+
+
+def _ids(column: str):
+    return F.array_join(F.transform(column, lambda i: i.cast("string")), ",")
+
+
+@query("w27_consolidate", "SELECT document_id, CAST(window_no AS int) AS window_no, start_seconds, end_seconds, text, CAST(n_segments AS int) AS n_segments, ids FROM win", ("segments",), WINDOWS)
 def _(t):
-    return X.consolidate(t.segments)
+    return W.consolidate(t.segments).withColumn("ids", _ids("segment_ids")).drop("segment_ids")
+
+
+_WORDS = X.CALL_WORDS.replace("'", "''")
+CANDIDATES = f"""{WINDOWS},
+sc AS (SELECT *, 1.5e0*m+least(v,3)+0.5e0*least(pr,3)+CASE WHEN m>0 AND v>0 THEN 0.5e0 ELSE 0.0e0 END AS score FROM (SELECT *, regexp_extract_all(text, '\\bT[01][0-9]\\b') AS found, len(regexp_extract_all(text, '\\bT[01][0-9]\\b')) AS m, len(regexp_extract_all(text, '{_WORDS}')) AS v,
+ len(list_filter(regexp_extract_all(text, '{X.PRICE}'), lambda x: CAST(replace(x,'$','') AS double) BETWEEN 1 AND 100000)) AS pr FROM win) x),
+cl AS (SELECT *, sum(CASE WHEN start_seconds-last_end<=60 THEN 0 ELSE 1 END) OVER (PARTITION BY document_id ORDER BY start_seconds) AS cluster FROM (SELECT *, lag(end_seconds) OVER (PARTITION BY document_id ORDER BY start_seconds) AS last_end FROM sc WHERE score>=2) y),
+gr AS (SELECT document_id, cluster, min(start_seconds) AS lo, max(end_seconds) AS hi, sum(score) AS score, min_by(ids, window_no) AS first_ids, array_to_string(list_sort(list_distinct(flatten(list(found)))), ',') AS tickers FROM cl GROUP BY 1,2)"""
 
 
-@query("c16_candidate_windows")
+@query("c16_candidate_windows", """SELECT g.document_id, CAST(cluster AS bigint) AS cluster, lo AS "from", hi AS "to", round(any_value(score),6) AS score, any_value(tickers) AS tickers, any_value(first_ids) AS first_ids, string_agg(w.text, ' ' ORDER BY w.window_no) AS context, string_agg(w.ids, ',' ORDER BY w.window_no) AS context_ids, min(w.start_seconds) AS context_start, max(w.end_seconds) AS context_end
+ FROM gr g JOIN win w ON w.document_id=g.document_id AND w.end_seconds>=lo-90 AND w.start_seconds<=hi+90 GROUP BY 1,2,3,4""", ("segments",), CANDIDATES)
 def _(t):
-    return X.candidate_windows(t.segments, X.detector(universe(), letters="[A-Z0-9]"))
+    out = W.candidate_windows(t.segments, X.detector(universe(), letters="[A-Z0-9]"))
+    return out.select("document_id", "cluster", "from", "to", "score", F.array_join("tickers", ",").alias("tickers"), _ids("first_segment_ids").alias("first_ids"), "context", _ids("context_segment_ids").alias("context_ids"), "context_start", "context_end")
 
 
 @query("io1_clean_bars", "SELECT ticker, count(*) AS n, round(sum(close),4) AS total FROM bars GROUP BY 1", ("bars",), digits=4)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from callbook.functions import setup, stats, text
 from callbook.operators import bars as B
 from callbook.operators import indicators as I
+from callbook.operators import windows
 from callbook.plans import outcomes as O
 from callbook.plans import portfolio as P
 from callbook.plans import research as R
@@ -141,15 +142,15 @@ def test_actions(spark):
 
 def test_segments_merge_and_split(spark):
     rows = [(1, 0, 0.0, 2.0, "one"), (1, 1, 2.5, 4.5, "two"), (1, 2, 10.0, 11.0, "  "), (1, 3, 20.0, 22.0, "three"), (2, 0, 0.0, 30.0, "long"), (2, 1, 30.5, 31.0, "next")]
-    got = text.consolidate(spark.createDataFrame(rows, "document_id long, segment_id long, start_seconds double, end_seconds double, text string"))
+    got = windows.consolidate(spark.createDataFrame(rows, "document_id long, segment_id long, start_seconds double, end_seconds double, text string"))
     assert sorted((r["document_id"], r["window_no"], r["text"]) for r in got.collect()) == [(1, 0, "one two"), (1, 1, "three"), (2, 0, "long"), (2, 1, "next")]
 
 
 def test_mentions(spark):
     detect = text.detector({"NVDA": "Nvidia", "AMD": "AMD", "AAPL": "Apple", "AI": "C3", "BRK-B": "Berkshire Hathaway", "ON": "Onsemi", "IT": "Gartner"}, {"in video": "NVDA"})
     cases = {
-        "Buy $NVDA and AMD; AI helps apple, in video and a m d.": [("NVDA", "dollar"), ("AMD", "cased"), ("AI", "cased"), ("AAPL", "name"), ("NVDA", "alias"), ("AMD", "spelled")],
-        "go ON with IT": [], "$BRK.B or BRK.B": [("BRK-B", "dollar"), ("BRK-B", "cased")], "N V D A": [("NVDA", "spelled")], "$ON it goes": [("ON", "dollar")], None: [],
+        "Buy $NVDA and AMD; AI helps apple, in video and a m d.": [("NVDA", "dollar"), ("AMD", "cased"), ("AI", "cased"), ("AAPL", "company_name"), ("NVDA", "asr_map"), ("AMD", "spelled_out")],
+        "go ON with IT": [], "$BRK.B or BRK.B": [("BRK-B", "dollar"), ("BRK-B", "cased")], "N V D A": [("NVDA", "spelled_out")], "$ON it goes": [("ON", "dollar")], None: [],
     }
     df = spark.createDataFrame([(t,) for t in cases], "t string")
     for r in df.select("t", detect("t").alias("m")).collect():
