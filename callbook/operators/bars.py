@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from callbook.operators.asof import as_of_join, over_times
+
 PRICES = ("open", "high", "low", "close")
 
 
@@ -31,6 +33,26 @@ def merge_bars(cached: DataFrame, fresh: DataFrame) -> DataFrame:
     return clean_bars(both, "_seq").drop("_seq")
 
 
+def upsert_bars(fresh: DataFrame, path: str, buckets: int = 64) -> None:
+    """IO2: merge fresh bars into the table at path, which is partitioned by bucket of the ticker and year.
+
+    Only partitions that fresh bars fall into are read and replaced; others keep their files. Doing it again, as after a
+    lost job, writes the same.
+    """
+    spark = fresh.sparkSession
+    keyed = fresh.withColumns({"bucket": F.pmod(F.xxhash64("ticker"), F.lit(buckets)).cast("int"), "year": F.year("ts")})
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    merged = keyed
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        held = spark.read.schema(keyed.schema).parquet(path)
+        touched = keyed.select("bucket", "year").distinct()  # at most buckets times years
+        merged = merge_bars(held.join(F.broadcast(touched), ["bucket", "year"], "left_semi"), keyed)
+    else:
+        merged = clean_bars(keyed)
+    rows = merged.repartition("bucket", "year").sortWithinPartitions("bucket", "year", "ticker", "ts")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "year").parquet(path)
+
+
 def as_of_slice(df: DataFrame, as_of, ts: str = "ts") -> DataFrame:
     """rows not after as_of."""
     return df.where(F.col(ts) <= F.lit(as_of).cast("timestamp"))
@@ -53,9 +75,8 @@ def day_index(bars: DataFrame, ahead_days: int = 60) -> DataFrame:
 
 def latest_close(events: DataFrame, bars: DataFrame, at: str, lookback_days: int = 30) -> DataFrame:
     """Events (ticker, at) with `close` and `close_ts` of the last bar at or before `at`, none if older than lookback_days."""
-    index = day_index(bars, lookback_days).select("ticker", "day", F.col("ts").alias("close_ts"), "close")
+    found = as_of_join(events, bars.withColumn("close_ts", F.col("ts")), at, "ts", ["close", "close_ts"])
     fresh = F.col("close_ts") >= F.col(at) - F.expr(f"interval {lookback_days} days")
-    found = events.withColumn("day", F.to_date(at)).join(index, ["ticker", "day"], "left").drop("day")
     return found.withColumns({"close": F.when(fresh, F.col("close")), "close_ts": F.when(fresh, F.col("close_ts"))})
 
 
@@ -78,12 +99,15 @@ def ticker_bars(bars: DataFrame, ticker: str, until, days: int) -> DataFrame:
 def tradeable(as_ofs: DataFrame, bars: DataFrame, days: int = 14, min_volume: int = 1000) -> DataFrame:
     """(as_of, ticker) with a bar of at least min_volume in the `days` before the as_of's last knowable session.
 
-    as_ofs holds as_of and knowable_through; each bar feeds the as_ofs of the days that follow it (equi-join on the day).
+    as_ofs holds as_of and knowable_through. Each such bar serves the as_ofs until the ticker's next one, for which the
+    calendar is asked, so only rows of the result are made.
     """
-    fed = bars.where(F.coalesce("volume", F.lit(0)) >= min_volume).select("ticker", "ts", F.explode(F.sequence(F.to_date("ts"), F.date_add(F.to_date("ts"), days + 7))).alias("day"))
-    known = as_ofs.withColumn("day", F.to_date("knowable_through"))
+    w = by_ticker()
+    sold = bars.where(F.coalesce("volume", F.lit(0)) >= min_volume).select("ticker", "ts").withColumn("_next", F.lead("ts").over(w))
+    last = F.least(F.coalesce(F.date_sub(F.to_date("_next"), 1), F.date_add(F.to_date("ts"), days + 8)), F.date_add(F.to_date("ts"), days + 8))
+    served = over_times(sold, as_ofs.select("as_of", "knowable_through"), "knowable_through", F.to_date("ts"), last)
     inside = (F.col("ts") <= F.col("knowable_through")) & (F.col("ts") >= F.date_trunc("day", F.col("as_of") - F.expr(f"interval {days} days")))
-    return fed.join(known, "day").where(inside).select("as_of", "ticker").distinct()
+    return served.where(inside).select("as_of", "ticker").distinct()
 
 
 def price_in(lower: Column, upper: Column, value: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callbook.functions import text as X
+from callbook.functions.zones import call_defects, claim_defects
 
 PRICES = ("entry", "target", "stop")
 #: Entry types that need a price, and what warnings, emptied fields and a milder class cost in confidence.
@@ -81,6 +82,36 @@ def validate_claims(raw: DataFrame, universe: DataFrame) -> DataFrame:
     return out.withColumns({"claim_class": F.when(~failed & F.col("milder"), "opinion").otherwise(F.col("claim_class")), "status": status}).drop("known", "milder")
 
 
+def windowed(raw: DataFrame, windows: DataFrame) -> DataFrame:
+    """C17: raw extractions (document_id, cluster) with the text and span of the candidate window that they were made from.
+
+    windows are those of candidate_windows. Extractions of a window that isn't there have no source and fail with their quotes.
+    """
+    kept = windows.select("document_id", "cluster", F.col("context").alias("source"), "context_start", "context_end", F.element_at("first_segment_ids", 1).alias("primary_segment_id"))
+    return raw.drop("source").join(kept, ["document_id", "cluster"], "left")
+
+
+def _whole(raw: DataFrame, defects: Column) -> tuple[DataFrame, DataFrame]:
+    """Raw rows that can stand, and the others with their defects as failures, rejected with confidence 0."""
+    marked = raw.withColumn("_defects", defects)
+    bad = marked.where(F.size("_defects") > 0).withColumns(
+        {"failures": F.transform("_defects", lambda d: F.concat(F.lit("malformed_"), d)), "warnings": F.array().cast("array<string>"), "rule_confidence": F.lit(0.0), "final_confidence": F.lit(0.0), "status": F.lit("rejected")}
+    )
+    return marked.where(F.size("_defects") == 0).drop("_defects"), bad.drop("_defects")
+
+
+def extract_calls(raw: DataFrame, universe: DataFrame) -> DataFrame:
+    """C17: raw calls through T34, then T10 and T12: a call whose parts contradict each other is rejected before it is checked against its source."""
+    good, bad = _whole(raw, call_defects())
+    return validate_calls(good, universe).unionByName(bad.withColumn("emptied", F.array().cast("array<string>")))
+
+
+def extract_claims(raw: DataFrame, universe: DataFrame) -> DataFrame:
+    """C17: raw claims through T34, then T11 and T12."""
+    good, bad = _whole(raw, claim_defects())
+    return validate_claims(good, universe).unionByName(bad)
+
+
 def extraction_summary(calls: DataFrame, claims: DataFrame) -> DataFrame:
     """C17: one row: calls kept and rejected, claims kept and rejected."""
     count = lambda df, kind: df.agg(F.count_if(F.col("status") != "rejected").alias(f"{kind}_extracted"), F.count_if(F.col("status") == "rejected").alias(f"{kind}_rejected"))

@@ -8,17 +8,24 @@ from pyspark.sql import functions as F
 from callbook.functions.text import direction_correct
 from callbook.operators import bars as B
 from callbook.operators import calendar as C
+from callbook.operators.indicators import regimes
 from callbook.plans.outcomes import HORIZONS
+from callbook.sources.tables import append_if_absent
 
 
-def lens_outcomes(snapshots: DataFrame, bars: DataFrame, sessions: DataFrame, benchmark: str, now) -> DataFrame:
+def lens_outcomes(snapshots: DataFrame, bars: DataFrame, sessions: DataFrame, benchmark: str, now, max_age_days: int = 60, existing: DataFrame | None = None) -> DataFrame:
     """C4: per snapshot (snapshot_id, ticker, as_of, direction) and horizon that has passed: return from the last knowable
     close to the last bar by the n-th session after it, excess over the benchmark (which counts as 0 where it is
-    unknown), and whether the direction was right. Horizons pass in calendar days and are measured in sessions.
+    unknown), whether the direction was right, and the benchmark's regime at as_of. Horizons pass in calendar days and are
+    measured in sessions. Snapshots older than max_age_days are left; existing outcomes (of the same columns) stay as they
+    are and come first: only keys that they lack are computed.
     """
+    snapshots = snapshots.where(F.col("as_of") >= F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(max_age_days)))
     horizons = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(n).alias("n")) for h, n in HORIZONS.items()])).alias("h")
     rows = C.as_of_session(snapshots, sessions, "as_of").select("*", horizons).select("*", "h.horizon", "h.n").drop("h")
     rows = rows.where(F.col("as_of") + F.make_dt_interval(F.col("n")) <= F.lit(now).cast("timestamp"))
+    if existing is not None:
+        rows = rows.join(existing.select("snapshot_id", "horizon").distinct(), ["snapshot_id", "horizon"], "left_anti")
     dates = C.numbered_sessions(sessions).select("session_no", F.to_date("session_date").alias("date"))
     rows = rows.join(F.broadcast(dates.withColumnRenamed("date", "from_day")), "session_no")
     rows = rows.withColumn("_to", F.col("session_no") + F.col("n")).join(F.broadcast(dates.select(F.col("session_no").alias("_to"), F.col("date").alias("to_day"))), "_to")
@@ -27,7 +34,10 @@ def lens_outcomes(snapshots: DataFrame, bars: DataFrame, sessions: DataFrame, be
     ref = index.where(F.col("ticker") == benchmark).drop("ticker")
     both = _moves(move, ref, [], "benchmark")
     out = both.where("own is not null").withColumn("excess_pct", F.col("own") - F.coalesce("benchmark", F.lit(0.0)))
-    return out.select("snapshot_id", "horizon", F.col("own").alias("return_pct"), "excess_pct", direction_correct(F.col("direction"), F.col("own")).alias("direction_correct"))
+    states = regimes(bars, benchmark)  # a row per calendar day
+    out = out.withColumn("day", F.to_date("as_of")).join(F.broadcast(states), "day", "left").withColumn("regime", F.coalesce("regime", F.lit("unknown")))
+    made = out.select("snapshot_id", "horizon", F.col("own").alias("return_pct"), "excess_pct", direction_correct(F.col("direction"), F.col("own")).alias("direction_correct"), "regime")
+    return made if existing is None else append_if_absent(existing, made, ["snapshot_id", "horizon"])
 
 
 def _moves(rows: DataFrame, index: DataFrame, keys: list[str], name: str) -> DataFrame:

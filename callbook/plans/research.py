@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callbook.functions import setup as U
@@ -91,9 +91,10 @@ def scan(tickers: DataFrame, bars: DataFrame, benchmark: str, as_of) -> DataFram
 
 
 def scan_counts(scanned: DataFrame) -> DataFrame:
-    """Rows of a scan: all, research candidates, watched, skipped, and those without enough data."""
+    """Rows of a scan: all, research candidates, watched, skipped, those without enough data, and those with an error (where the scan has that column)."""
     of = lambda state: F.count_if(F.col("status") == state)
-    return scanned.agg(F.count(F.lit(1)).alias("n"), of("research_candidate").alias("n_research_candidates"), of("watch").alias("n_watch"), of("skip_for_now").alias("n_skip"), of("insufficient_data").alias("n_insufficient"))
+    failed = F.col("error").isNotNull() if "error" in scanned.columns else F.lit(False)
+    return scanned.agg(F.count_if(failed).alias("n_errors"), F.count(F.lit(1)).alias("n"), of("research_candidate").alias("n_research_candidates"), of("watch").alias("n_watch"), of("skip_for_now").alias("n_skip"), of("insufficient_data").alias("n_insufficient"))
 
 
 def snapshot_history(snapshots: DataFrame, ticker: str, until, days: int, limit: int) -> DataFrame:
@@ -103,6 +104,49 @@ def snapshot_history(snapshots: DataFrame, ticker: str, until, days: int, limit:
     return rows.orderBy("as_of", "snapshot_id").limit(limit)
 
 
+#: Fields of a digest and their units, by panel, as the columns of a view are named here.
+CATALOGUE = {
+    "valuation": {
+        "market_cap": "usd", "forward_pe": "ratio", "trailing_pe": "ratio", "peg_ratio": "ratio", "price_to_sales_ttm": "ratio", "price_to_book": "ratio", "enterprise_to_ebitda": "ratio",
+        "earnings_growth_forward": "fraction", "revenue_growth_yoy": "fraction", "profit_margins": "fraction", "float_shares": "shares", "shares_outstanding": "shares", "short_pct_of_float": "fraction",
+        "held_pct_institutions": "fraction", "beta": "ratio", "dividend_yield": "percent", "days_to_next_earnings": "days", "sector": "categorical", "industry": "categorical",
+    },
+    "market": {"close": "price", "return_5": "fraction", "return_21": "fraction", "return_63": "fraction", "return_252": "fraction", "excess_21": "fraction", "pct_off_high_52w": "fraction", "pct_off_low_52w": "fraction", "dollar_volume": "usd"},
+    "indicators": {
+        "rsi_14": "index_0_100", "atr_14": "price", "atr_14_pct": "fraction", "ma_alignment": "categorical", "sma_50_slope_21": "fraction", "sma_200_slope_63": "fraction",
+        "dist_sma_50": "fraction", "dist_sma_200": "fraction", "realized_vol_21": "fraction", "rs_63": "fraction",
+    },
+    "levels": {"support": "price", "resistance": "price", "recent_high_63": "price", "base_low_60": "price", "pullback_63": "fraction", "breakout_63": "fraction"},
+}
+
+
+def dividend_yield(value: Column) -> Column:
+    """A yield as percent: one between 0 and 0.05 is a share, since no payer yields so little."""
+    return F.when((value > 0) & (value < 0.05), value * 100).otherwise(value)
+
+
+def measures(view: DataFrame, catalogue: dict[str, dict[str, str]] = CATALOGUE) -> DataFrame:
+    """One row per ticker, bar and known field of the catalogue: path (panel.field), value, label (of categorical fields), unit, and all missing paths.
+
+    Fields that the view has no column for are missing. A text without letters counts as missing.
+    """
+    known, missing = [], []
+    for panel, fields in catalogue.items():
+        for field, unit in fields.items():
+            path = f"{panel}.{field}"
+            there = F.col(field) if field in view.columns else F.lit(None).cast("string")
+            text = unit == "categorical"
+            label = F.nullif(F.trim(there.cast("string")), F.lit("")) if text else F.lit(None).cast("string")
+            value = F.lit(None).cast("double") if text else F.nanvl(there.cast("double"), F.lit(None).cast("double"))
+            value = dividend_yield(value) if field == "dividend_yield" else value
+            one = F.struct(F.lit(path).alias("path"), value.alias("value"), label.alias("label"), F.lit(unit).alias("unit"))
+            held = (label if text else value).isNotNull()
+            known.append(F.when(held, one))
+            missing.append(F.when(~held, F.lit(path)))
+    rows = view.select("ticker", "ts", F.array_compact(F.array(*missing)).alias("missing"), F.explode(F.array_compact(F.array(*known))).alias("m"))
+    return rows.select("ticker", "ts", "m.*", "missing")
+
+
 def panel_digest(panel: DataFrame, fields: dict[str, str]) -> DataFrame:
     """One row per ticker, bar and known field (field, value, unit) of a wide panel; unknown fields are listed in `missing`, one row's list on each of its rows."""
     known = F.array_compact(F.array(*[F.when(F.col(f).isNotNull(), F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("value"), F.lit(u).alias("unit"))) for f, u in fields.items()]))

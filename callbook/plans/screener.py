@@ -177,3 +177,109 @@ def relative_value(peers: DataFrame, ratios: DataFrame) -> DataFrame:
     gap = lambda c: F.col(c) - F.col(f"median_{c}")
     side = lambda x, up, down: F.when(x > 0.05, up).when(x < -0.05, down).when(x.isNotNull(), "in_line").otherwise("unknown")
     return joined.select("target", "n_peers", ratio.alias("ratio"), F.when(ratio > 1.30, "rich").when(ratio < 0.75, "cheap").when(ratio.isNotNull(), "in_line").otherwise("unknown").alias("value"), side(gap("revenue_growth"), "faster", "slower").alias("growth"), side(gap("profit_margins"), "higher", "lower").alias("margin"))
+
+
+def screen_counts(screened: DataFrame) -> DataFrame:
+    """One row: the universe's size, rows completed and with an error, and those that pass (passed is true)."""
+    failed = F.col("error").isNotNull()
+    return screened.agg(F.count(F.lit(1)).alias("universe"), F.count_if(~failed).alias("completed"), F.count_if(failed).alias("errors"), F.count_if(~failed & F.coalesce("passed", F.lit(False))).alias("passing"))
+
+
+#: Peers by sector and industry key, in order of precedence, and by sector where no key fits.
+INDUSTRY_PEERS = (
+    ("Technology", "semiconductor", "NVDA AMD AVGO MU INTC QCOM"),
+    ("Technology", "semiconductor equipment", "AMAT LRCX KLAC ASML"),
+    ("Technology", "consumer electronics", "AAPL HPQ DELL SONY"),
+    ("Technology", "software—application", "MSFT CRM ADBE NOW INTU"),
+    ("Technology", "software application", "MSFT CRM ADBE NOW INTU"),
+    ("Technology", "software—infrastructure", "MSFT ORCL SNOW NET CRWD"),
+    ("Technology", "software infrastructure", "MSFT ORCL SNOW NET CRWD"),
+    ("Technology", "information technology services", "IBM ACN INFY WIT"),
+    ("Technology", "computer hardware", "AAPL HPQ DELL STX WDC"),
+    ("Technology", "electronic components", "TEL APH GLW FLEX"),
+    ("Communication Services", "internet content", "GOOGL META NFLX DIS PINS"),
+    ("Communication Services", "entertainment", "DIS NFLX WBD PARA"),
+    ("Communication Services", "telecom services", "T VZ TMUS"),
+    ("Consumer Cyclical", "auto manufacturers", "TSLA F GM RIVN LCID"),
+    ("Consumer Cyclical", "internet retail", "AMZN SHOP MELI ETSY"),
+    ("Consumer Cyclical", "specialty retail", "BBY ULTA TSCO FIVE"),
+    ("Consumer Cyclical", "restaurants", "MCD SBUX CMG QSR"),
+    ("Consumer Cyclical", "lodging", "MAR HLT H ABNB"),
+    ("Consumer Defensive", "discount stores", "WMT COST TGT DG"),
+    ("Consumer Defensive", "beverages—non-alcoholic", "KO PEP MNST KDP"),
+    ("Consumer Defensive", "packaged foods", "KHC GIS K MDLZ"),
+    ("Energy", "oil & gas e&p", "XOM CVX COP EOG FANG"),
+    ("Energy", "oil & gas integrated", "XOM CVX BP SHEL"),
+    ("Energy", "oil & gas refining", "MPC VLO PSX DK"),
+    ("Healthcare", "drug manufacturers—general", "JNJ PFE MRK LLY NVO"),
+    ("Healthcare", "drug manufacturers general", "JNJ PFE MRK LLY NVO"),
+    ("Healthcare", "biotechnology", "AMGN GILD REGN VRTX BIIB"),
+    ("Healthcare", "medical devices", "MDT ABT BSX SYK EW"),
+    ("Financial Services", "banks—diversified", "JPM BAC C WFC"),
+    ("Financial Services", "capital markets", "GS MS BLK SCHW HOOD COIN"),
+    ("Financial Services", "insurance", "BRK-B PGR ALL TRV"),
+    ("Industrials", "aerospace & defense", "BA LMT RTX NOC GD"),
+    ("Industrials", "railroads", "UNP CSX NSC CP"),
+    ("Industrials", "specialty industrial machinery", "HON ETN ITW PH"),
+    ("Industrials", "electrical equipment", "GE ETN EMR ROK PLUG FCEL BE"),
+    ("Real Estate", "reit", "O AMT PLD EQIX SPG"),
+    ("Utilities", "utilities—regulated electric", "NEE DUK SO AEP"),
+    ("Basic Materials", "specialty chemicals", "LIN APD SHW PPG"),
+    ("Basic Materials", "gold", "NEM GOLD AEM KGC"),
+)
+SECTOR_PEERS = (
+    ("Technology", "MSFT AAPL GOOGL META AMZN NVDA"),
+    ("Communication Services", "GOOGL META NFLX DIS"),
+    ("Consumer Cyclical", "AMZN TSLA HD NKE MCD"),
+    ("Consumer Defensive", "WMT PG KO PEP COST"),
+    ("Energy", "XOM CVX COP EOG"),
+    ("Healthcare", "JNJ PFE MRK LLY ABBV"),
+    ("Financial Services", "JPM BAC BRK-B V MA"),
+    ("Industrials", "GE HON CAT UPS BA"),
+    ("Real Estate", "O AMT PLD EQIX"),
+    ("Utilities", "NEE DUK SO AEP"),
+    ("Basic Materials", "LIN APD SHW NEM"),
+)
+#: Companies of a kind of their own, whatever their sector: known by ticker or by a word of the industry.
+CRYPTO_PEERS = ("MARA", "RIOT", "CLSK", "WULF", "BTBT", "HUT", "IREN")
+
+
+def peer_tables(spark) -> tuple[DataFrame, DataFrame]:
+    """The tables that resolve_peers takes: (place, sector, key, peers) and (sector, peers)."""
+    keyed = [(0, None, "crypto", list(CRYPTO_PEERS))] + [(k + 1, s, i, p.split()) for k, (s, i, p) in enumerate(INDUSTRY_PEERS)]
+    return spark.createDataFrame(keyed, "place int, sector string, key string, peers array<string>"), spark.createDataFrame([(s, p.split()) for s, p in SECTOR_PEERS], "sector string, peers array<string>")
+
+
+def _grams(text: Column, size: int) -> Column:
+    """The distinct runs of `size` characters of a text."""
+    return F.when(F.length(text) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+
+
+def resolve_peers(companies: DataFrame, keyed: DataFrame, fallback: DataFrame, special: tuple[str, ...] = CRYPTO_PEERS) -> DataFrame:
+    """(target, peer, rank, by) of companies (ticker, sector, industry): peers of the first key (by place) that the
+    industry holds, whatever its case, and whose sector is the company's (null: any); else of its sector; else none (a row
+    with null peer). `special` tickers are peers of each other. A target is no peer of its own.
+
+    keyed: place, sector, key, peers. Which keys an industry holds is looked up in an index of runs of three characters: each
+    key is filed under the run that fewest industries hold, so a match needs one equi-join and one exact check.
+    """
+    low = companies.select("ticker", "sector", F.lower(F.coalesce("industry", F.lit(""))).alias("industry"))
+    industries = low.where("industry <> ''").select("industry").distinct()
+    sizes = (1, 2, 3)
+    grams = industries.select("industry", F.explode(F.concat(*[_grams(F.col("industry"), n) for n in sizes])).alias("gram"))
+    held = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    keys = keyed.withColumn("key", F.lower("key")).withColumn("_size", F.least(F.length("key"), F.lit(3)))
+    mine = F.when(F.col("_size") == 1, _grams(F.col("key"), 1)).when(F.col("_size") == 2, _grams(F.col("key"), 2)).otherwise(_grams(F.col("key"), 3))
+    filed = keys.select("place", "key", F.explode(mine).alias("gram")).join(held, "gram", "left")
+    rarest = filed.groupBy("place", "key").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).select("place", "key", "g.gram")
+    found = grams.join(rarest, "gram").where(F.col("industry").contains(F.col("key"))).select("industry", "place").join(keys.select("place", F.col("sector").alias("_sector"), "peers"), "place")
+    fits = F.col("_sector").isNull() | (F.col("_sector") == F.col("sector"))
+    first = low.join(found, "industry").where(fits).groupBy("ticker").agg(F.min(F.struct("place", "peers")).alias("_k"))
+    rows = low.join(first, "ticker", "left").join(fallback.select("sector", F.col("peers").alias("_f")), "sector", "left")
+    listed = F.array(*map(F.lit, special)) if special else F.array().cast("array<string>")
+    own = F.array_contains(listed, F.upper("ticker"))
+    told = F.coalesce(F.col("sector") != "", F.lit(False)) | (F.col("industry") != "")
+    by = F.when(~told, "none").when(own, "special").when(F.col("_k").isNotNull(), "industry").when(F.col("_f").isNotNull(), "sector").otherwise("none")
+    rows = rows.withColumn("by", by).withColumn("peers", F.when(F.col("by") == "special", listed).when(F.col("by") == "industry", F.col("_k.peers")).when(F.col("by") == "sector", F.col("_f")))
+    others = F.filter("peers", lambda p: F.upper(p) != F.upper("ticker"))
+    return rows.select(F.col("ticker").alias("target"), "by", F.posexplode_outer(others).alias("rank", "peer")).select("target", "peer", (F.col("rank") + 1).alias("rank"), "by")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from callbook.operators.asof import over_times
+
 CLASS_WEIGHT = {"factual": 1.0, "opinion": 0.5, "speculation": 0.25, "hype": 0.0}
 WINDOW_DAYS = {"1d": 1, "7d": 7, "30d": 30}
 CREDIBLE = 0.55
@@ -31,16 +33,12 @@ def latest_credibility(scorecards: DataFrame) -> DataFrame:
 def scorecard_as_of(as_ofs: DataFrame, scorecards: DataFrame) -> DataFrame:
     """(as_of, creator_id, hit_rate_lower_ci) of each creator's newest scorecard computed by as_of.
 
-    A scorecard holds from its computation until the creator's next one. Cards are laid over the days that they hold, up
-    to the last as_of, and met by an equi-join on the day; on the days of a change the hour decides.
+    A scorecard holds from its computation until the creator's next one. The as_ofs of the days from one to the other are
+    looked up in the calendar, so only rows of the result are made; on the days of a change the hour decides.
     """
-    times = as_ofs.select("as_of").distinct()
-    end = times.agg(F.max(F.to_date("as_of")).alias("_end"))  # one row
     w = Window.partitionBy("creator_id").orderBy("computed_at", "scorecard_id")
-    held = scorecards.withColumn("until", F.lead("computed_at").over(w)).crossJoin(F.broadcast(end))
-    last = F.least(F.coalesce(F.to_date("until"), F.col("_end")), F.col("_end"))
-    held = held.where(F.to_date("computed_at") <= last).withColumn("_day", F.explode(F.sequence(F.to_date("computed_at"), last)))
-    met = held.join(F.broadcast(times.withColumn("_day", F.to_date("as_of"))), "_day")  # as_ofs: bounded by the calendar
+    held = scorecards.withColumn("until", F.lead("computed_at").over(w)).drop("as_of")
+    met = over_times(held, as_ofs.select("as_of").distinct(), "as_of", F.to_date("computed_at"), F.to_date("until"))
     return met.where((F.col("computed_at") <= F.col("as_of")) & (F.col("until").isNull() | (F.col("until") > F.col("as_of")))).select("as_of", "creator_id", "hit_rate_lower_ci")
 
 

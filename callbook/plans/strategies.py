@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from callbook.functions.stats import hit_rate, wilson
 from callbook.operators import bars as B
+from callbook.operators.asof import over_times
 from callbook.operators import calendar as C
 from callbook.sources.tables import upsert_by_key
 from callbook.operators import indicators as I
@@ -36,11 +37,10 @@ class StrategyFrames:
     def visible(self, mentions: DataFrame, days: int) -> DataFrame:
         """mentions with every as_of that sees them in the `days` before it, on tradeable tickers.
 
-        Each mention is laid over the days that it feeds and met by an equi-join on the day.
+        The as_ofs of a mention's days are looked up in the calendar, so only rows of the result are made.
         """
-        fed = mentions.where("status = 'accepted' and ticker is not null").withColumn("_day", F.explode(F.sequence(F.to_date("posted_at"), F.date_add(F.to_date("posted_at"), days))))
-        times = self.as_ofs.select("as_of", F.to_date("as_of").alias("_day"))
-        near = fed.join(F.broadcast(times), "_day").drop("_day")  # as_ofs: bounded by the calendar
+        fed = mentions.where("status = 'accepted' and ticker is not null and posted_at is not null")
+        near = over_times(fed, self.as_ofs.select("as_of"), "as_of", F.to_date("posted_at"), F.date_add(F.to_date("posted_at"), days))
         return near.where((F.col("posted_at") <= F.col("as_of")) & (F.col("posted_at") >= F.col("as_of") - F.expr(f"interval {days} days"))).join(self.tradeable, ["as_of", "ticker"])
 
 
@@ -129,8 +129,8 @@ def cagr(final: Column, days: Column) -> Column:
     return F.when((days >= 30) & (final > 0), F.pow(final, F.lit(365.25) / days) - 1)
 
 
-def run_metrics(trades: DataFrame, run: str | list[str] = "strategy", start=None, end=None, min_trades: int = 30) -> DataFrame:
-    """Per run total, CAGR, Sharpe and volatility of the curve's steps, drawdown, hit rate with interval, win/loss ratio, turnover and sanity flags.
+def run_metrics(trades: DataFrame, run: str | list[str] = "strategy", start=None, end=None, min_trades: int = 30, rf: float = 0.0) -> DataFrame:
+    """Per run total, CAGR, Sharpe (over a yearly rate rf) and volatility of the curve's steps, drawdown, hit rate with interval, win/loss ratio, turnover and sanity flags.
 
     ordered: every trade enters no later than it leaves, and inside [start, end] where these are given. leak_suspect: over
     30 trades whose mean return is more than five times the benchmark's, where the benchmark has a mean other than 0.
@@ -154,7 +154,7 @@ def run_metrics(trades: DataFrame, run: str | list[str] = "strategy", start=None
     return out.withColumns(
         {
             "cagr": cagr(F.col("final_nav"), days),
-            "sharpe": F.when(enough, F.col("_mean") / F.col("_sd") * 252**0.5), "volatility": F.when(enough, F.col("_sd") * 252**0.5),
+            "sharpe": F.when(enough, (F.col("_mean") - rf / 252) / F.col("_sd") * 252**0.5), "volatility": F.when(enough, F.col("_sd") * 252**0.5),
             "hit_rate_lower_ci": low, "hit_rate_upper_ci": high, "turnover": F.when(days > 0, F.col("_w") * year / days),
             "underpowered": F.col("n_trades") < min_trades,
             "leak_suspect": F.coalesce((F.col("n_trades") > 30) & (F.col("mean_benchmark") != 0) & (F.col("mean_return") > 5 * F.abs("mean_benchmark")), F.lit(False)),
