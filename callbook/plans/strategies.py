@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from callbook.functions.stats import hit_rate, wilson
 from callbook.operators import bars as B
 from callbook.operators.asof import over_times
+from callbook.operators.quantiles import exact_quantiles
+from callbook.operators.recurrences import day_block
 from callbook.operators import calendar as C
 from callbook.sources.tables import upsert_by_key
 from callbook.operators import indicators as I
@@ -113,15 +115,26 @@ def simulate(decisions: DataFrame, as_ofs: DataFrame, bars: DataFrame, benchmark
     return trades.select("as_of", "ticker", "direction", "score", "weight", "hold_days", "entry_at", "exit_at", "entry_price", "exit_price", "return_pct", F.coalesce("regime_at_entry", F.lit("unknown")).alias("regime_at_entry"), "benchmark_return_pct", *more)
 
 
-def equity_curve(trades: DataFrame, run: str | list[str] = "strategy") -> DataFrame:
-    """Per run its trades by exit with nav (compounded weight * return, start 1) and drawdown from the running high.
+def equity_curve(trades: DataFrame, run: str | list[str] = "strategy", days: int = 64) -> DataFrame:
+    """Per run its trades by exit with step, nav (compounded weight * return, start 1) and drawdown from the running high.
 
-    The order within a run is sequential; runs are independent and spread over the cluster.
+    A block of days of a run multiplies the nav that it begins with, so blocks are worked on apart; one short row per run
+    and block gives what each begins with: its nav, the high so far, and its number of steps.
     """
-    w = Window.partitionBy(run).orderBy("exit_at", "ticker", "as_of")
+    keys = [run] if isinstance(run, str) else list(run)
+    rows = trades.withColumn("_block", day_block("exit_at", days))
+    w = Window.partitionBy(*keys, "_block").orderBy("exit_at", "ticker", "as_of")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    nav = trades.withColumns({"step": F.row_number().over(w), "nav": F.product(1 + F.col("weight") * F.col("return_pct")).over(upto)})
-    return nav.withColumn("drawdown", F.col("nav") / F.greatest(F.lit(1.0), F.max("nav").over(upto)) - 1)
+    rows = rows.withColumns({"_step": F.row_number().over(w), "_grown": F.product(1 + F.col("weight") * F.col("return_pct")).over(upto)})
+    rows = rows.withColumn("_top", F.max("_grown").over(upto))
+    ends = rows.groupBy(*keys, "_block").agg(F.max_by("_grown", "_step").alias("grown"), F.max("_top").alias("top"), F.max("_step").alias("steps"))
+    over = Window.partitionBy(*keys).orderBy("_block")
+    earlier = over.rowsBetween(Window.unboundedPreceding, -1)
+    begins = ends.withColumn("_nav", F.coalesce(F.product("grown").over(earlier), F.lit(1.0))).withColumn("_high", F.col("_nav") * F.col("top"))
+    begins = begins.select(*keys, "_block", "_nav", F.greatest(F.lit(1.0), F.max("_high").over(earlier)).alias("_before"), F.coalesce(F.sum("steps").over(earlier), F.lit(0)).alias("_steps"))
+    out = rows.join(begins, [*keys, "_block"]).withColumns({"step": (F.col("_step") + F.col("_steps")).cast("int"), "nav": F.col("_nav") * F.col("_grown")})
+    high = F.greatest("_before", F.col("_nav") * F.col("_top"))
+    return out.withColumn("drawdown", F.col("nav") / high - 1).select(*trades.columns, "step", "nav", "drawdown")
 
 
 def cagr(final: Column, days: Column) -> Column:
@@ -138,8 +151,7 @@ def run_metrics(trades: DataFrame, run: str | list[str] = "strategy", start=None
     entry = F.col("entry_at")
     inside = (entry >= F.lit(start).cast("timestamp") if start is not None else F.lit(True)) & (entry <= F.lit(end).cast("timestamp") if end is not None else F.lit(True))
     curve = equity_curve(trades, run)
-    w = Window.partitionBy(run).orderBy("step")
-    steps = curve.withColumn("r", F.col("nav") / F.coalesce(F.lag("nav").over(w), F.lit(1.0)) - 1)
+    steps = curve.withColumn("r", F.col("weight") * F.col("return_pct"))  # the curve's own steps
     r = F.col("return_pct")
     out = steps.groupBy(run).agg(
         F.count(F.lit(1)).alias("n_trades"), F.max_by("nav", "step").alias("final_nav"), F.min_by("entry_at", "step").alias("start_at"), F.max("exit_at").alias("end_at"), F.min(F.least(F.lit(0.0), "drawdown")).alias("max_drawdown"),
@@ -184,10 +196,11 @@ def benchmark_curve(bars: DataFrame, benchmark: str, start, end) -> DataFrame:
 
 def calibrate(scores: DataFrame, buckets: int = 10, flag_above: float = 0.20, run: str = "strategy") -> DataFrame:
     """Per run, exact score quantile buckets (low, high] with mean score, hit rate and flag; Brier score and the least-squares line over buckets.
+    The quantiles come from refined histograms, so a run's scores are never one task's.
 
     scores: (run, score, hit 0/1). Runs with fewer rows than buckets give nothing.
     """
-    edges = scores.groupBy(run).agg(F.percentile("score", F.array(*[F.lit(i / buckets) for i in range(1, buckets)])).alias("edges"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= buckets)
+    edges = exact_quantiles(scores, [run], "score", tuple(i / buckets for i in range(1, buckets))).select(run, F.col("quantiles").alias("edges"), F.col("n").alias("_n")).where(F.col("_n") >= buckets)
     placed = scores.join(edges, run).withColumn("bucket", F.size(F.filter("edges", lambda e: e < F.col("score"))))
     rows = placed.groupBy(run, "bucket").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score"), F.avg("hit").alias("hit_rate"), F.sum(F.pow(F.col("score") - F.col("hit"), 2)).alias("_b"))
     w = Window.partitionBy(run)

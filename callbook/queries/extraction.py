@@ -49,6 +49,22 @@ def _(t):
     return E.validate_claims(t.raw_claims, _universe(t)).select("raw_id", F.array_join("failures", ",").alias("failures"), "claim_class", "rule_confidence", "final_confidence", "status")
 
 
+# T34 first: parts that contradict each other
+_MALFORMED = " || ".join(f"CASE WHEN ({p}_price IS NULL)<>({p}_evidence IS NULL) THEN ',malformed_{p}_evidence' ELSE '' END" for p in _NAMES) + " || CASE WHEN entry_type IN ('limit','trigger_above','trigger_below') AND entry_price IS NULL THEN ',malformed_entry_price' ELSE '' END"
+
+
+@query("c17_extract_calls", f"SELECT raw_id, CASE WHEN bad<>'' THEN substr(bad,2) ELSE failures END AS failures, CASE WHEN bad<>'' THEN 0.0e0 ELSE round(v.final_confidence,6)+0.0e0 END AS final_confidence, CASE WHEN bad<>'' THEN 'rejected' ELSE v.status END AS status FROM (SELECT raw_id, {_MALFORMED} AS bad FROM raw_calls) b JOIN valid v USING (raw_id)", ("raw_calls",), RAW)
+def _(t):
+    return E.extract_calls(t.raw_calls, _universe(t)).select("raw_id", F.array_join("failures", ",").alias("failures"), "final_confidence", "status")
+
+
+@query("c17_extract_claims", f"SELECT raw_id, CASE WHEN bad<>'' THEN bad ELSE failures END AS failures, CASE WHEN bad<>'' THEN 0.0e0 ELSE round(v.final_confidence,6)+0.0e0 END AS final_confidence, CASE WHEN bad<>'' THEN 'rejected' ELSE v.status END AS status FROM (SELECT raw_id, CASE WHEN raw_id%3=0 AND ticker IS NULL THEN 'malformed_ticker' WHEN raw_id%3=1 AND ticker IS NULL AND raw_id%7<>0 THEN 'malformed_ticker_or_sector' ELSE '' END AS bad FROM raw_claims) b JOIN vclaims v USING (raw_id)", ("raw_claims",), RAW_CLAIMS)
+def _(t):
+    n = F.col("raw_id")
+    raw = t.raw_claims.withColumns({"claim_type": F.when(n % 3 == 0, "earnings_view").when(n % 3 == 1, "catalyst").otherwise("macro_view"), "sector": F.when(n % 7 == 0, "Energy")})
+    return E.extract_claims(raw, _universe(t)).select("raw_id", F.array_join("failures", ",").alias("failures"), "final_confidence", "status")
+
+
 @query("c17_validate_extractions", "SELECT (SELECT count(*) FROM valid WHERE status<>'rejected') AS calls_extracted, (SELECT count(*) FROM valid WHERE status='rejected') AS calls_rejected, count(*) FILTER (WHERE status<>'rejected') AS claims_extracted, count(*) FILTER (WHERE status='rejected') AS claims_rejected FROM vclaims", ("raw_calls", "raw_claims"), f"{RAW}, {RAW_CLAIMS}")
 def _(t):
     return E.extraction_summary(E.validate_calls(t.raw_calls, _universe(t)), E.validate_claims(t.raw_claims, _universe(t)))

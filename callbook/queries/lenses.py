@@ -6,16 +6,18 @@ from pyspark.sql import functions as F
 
 from callbook.plans import lenses as L
 from callbook.queries.base import query, r6
+from callbook.queries.technical import REGIME
 from callbook.testdata import BENCHMARK
 
 NOW = "2001-02-20 00:00:00"
 
 
-@query("c4_lens_outcomes", f"""SELECT snapshot_id, horizon, {r6('return_pct','excess_pct')}, CASE direction WHEN 'bullish' THEN return_pct>0.005e0 WHEN 'bearish' THEN return_pct< -0.005e0 ELSE abs(return_pct)<=0.005e0 END AS direction_correct FROM (
- SELECT q.snapshot_id, q.horizon, q.direction, b1.close/b0.close-1 AS return_pct, b1.close/b0.close-1-coalesce(CASE WHEN m1.ts>q.d0 THEN m1.close/m0.close-1 END,0) AS excess_pct
- FROM q ASOF JOIN bars b0 ON b0.ticker=q.ticker AND b0.ts<=q.d0 ASOF JOIN bars b1 ON b1.ticker=q.ticker AND b1.ts<=q.d1 ASOF LEFT JOIN mk m0 ON m0.ts<=q.d0 ASOF LEFT JOIN mk m1 ON m1.ts<=q.d1 WHERE b1.ts>q.d0) x""", ("bars", "sessions", "lens_results"),
+@query("c4_lens_outcomes", f"""SELECT snapshot_id, horizon, {r6('return_pct','excess_pct')}, CASE direction WHEN 'bullish' THEN return_pct>0.005e0 WHEN 'bearish' THEN return_pct< -0.005e0 ELSE abs(return_pct)<=0.005e0 END AS direction_correct, coalesce(regime,'unknown') AS regime FROM (
+ SELECT q.snapshot_id, q.horizon, q.direction, q.as_of, b1.close/b0.close-1 AS return_pct, b1.close/b0.close-1-coalesce(CASE WHEN m1.ts>q.d0 THEN m1.close/m0.close-1 END,0) AS excess_pct
+ FROM q ASOF JOIN bars b0 ON b0.ticker=q.ticker AND b0.ts<=q.d0 ASOF JOIN bars b1 ON b1.ticker=q.ticker AND b1.ts<=q.d1 ASOF LEFT JOIN mk m0 ON m0.ts<=q.d0 ASOF LEFT JOIN mk m1 ON m1.ts<=q.d1 WHERE b1.ts>q.d0) x ASOF LEFT JOIN reg r ON r.ts<=date_trunc('day', x.as_of)""", ("bars", "sessions", "lens_results"),
        f"""mk AS (SELECT * FROM bars WHERE ticker='{BENCHMARK}'), ses AS (SELECT *, row_number() OVER (ORDER BY session_date) AS no FROM sessions),
-q AS (SELECT l.snapshot_id, l.ticker, l.direction, h.horizon, s.session_date AS d0, e.session_date AS d1 FROM lens_results l ASOF JOIN ses s ON s.market_close<=l.as_of JOIN (VALUES ('1d',1),('3d',3),('5d',5),('21d',21)) h(horizon,n) ON l.as_of+to_days(h.n)<=TIMESTAMP '{NOW}' JOIN ses e ON e.no=s.no+h.n)""")
+{REGIME},
+q AS (SELECT l.snapshot_id, l.ticker, l.direction, l.as_of, h.horizon, s.session_date AS d0, e.session_date AS d1 FROM lens_results l ASOF JOIN ses s ON s.market_close<=l.as_of JOIN (VALUES ('1d',1),('3d',3),('5d',5),('21d',21)) h(horizon,n) ON l.as_of+to_days(h.n)<=TIMESTAMP '{NOW}' AND l.as_of>=TIMESTAMP '{NOW}'-INTERVAL 60 DAY JOIN ses e ON e.no=s.no+h.n)""")
 def _(t):
     return L.lens_outcomes(t.lens_results.select("snapshot_id", "ticker", "as_of", "direction"), t.bars, t.sessions, BENCHMARK, NOW)
 

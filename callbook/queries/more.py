@@ -76,3 +76,9 @@ def _(t):
     raw = lists.select(F.lit("chat").alias("source_type"), F.col("document_id").cast("string").alias("external_id"), "segments")
     known = t.segments.where("document_id % 3 = 0").select(F.lit("chat").alias("source_type"), F.col("document_id").cast("string").alias("external_id")).distinct()
     return IO.ingest_documents(known, raw)[1].groupBy("external_id").agg(F.count(F.lit(1)).alias("n_segments"))
+
+
+@query("t28_measures", " UNION ALL ".join(f"SELECT '{panel}.{c}' AS path, '{u}' AS unit, count({c}) AS n, round({'NULL' if u == 'categorical' else f'sum({c})/count({c})'},4)+0.0e0 AS mean FROM panel HAVING count({c})>0" for panel, fields in R.CATALOGUE.items() for c, u in fields.items() if c in ("close", "rsi_14", "atr_14", "atr_14_pct", "ma_alignment", "return_5", "return_21", "return_63", "return_252", "pct_off_high_52w", "pct_off_low_52w", "dollar_volume", "sma_50_slope_21", "sma_200_slope_63", "dist_sma_50", "dist_sma_200", "realized_vol_21", "recent_high_63", "base_low_60", "pullback_63", "breakout_63")), ("bars",), PANEL, 4)
+def _(t):
+    # every field that the indicator panel has, over all bars
+    return R.measures(I.panel(t.bars)).groupBy("path", "unit").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))

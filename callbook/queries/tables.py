@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callbook.functions import text as X
@@ -11,6 +13,7 @@ from callbook.operators import indicators as I
 from callbook.operators import windows as W
 from callbook.plans import portfolio as P
 from callbook.plans import screener as S
+from callbook.plans import signals as G
 from callbook.queries.base import query, r6
 from callbook.sources import tables as IO
 from callbook.streaming import streams
@@ -318,3 +321,47 @@ def _(t):
 @query("st2_signals_batch_twin", "SELECT ticker, date_trunc('day', posted_at)+INTERVAL 1 DAY AS window_end, count(*) AS n_mentions FROM claims WHERE status='accepted' AND ticker IS NOT NULL GROUP BY 1,2", ("claims",))
 def _(t):
     return streams.continuous_signals(t.claims).select("ticker", "window_end", "n_mentions")
+
+
+_MENTIONED = """m0 AS (SELECT ticker, creator_id, posted_at, CASE direction WHEN 'long' THEN 1.0e0 WHEN 'short' THEN -1.0e0 ELSE 0.0e0 END AS p, 1.0e0 AS cw, 1 AS c FROM calls WHERE status='accepted' AND ticker IS NOT NULL
+ UNION ALL SELECT ticker, creator_id, posted_at, CASE polarity WHEN 'bullish' THEN 1.0e0 WHEN 'bearish' THEN -1.0e0 ELSE 0.0e0 END, CASE claim_class WHEN 'factual' THEN 1.0e0 WHEN 'opinion' THEN 0.5e0 WHEN 'speculation' THEN 0.25e0 ELSE 0.0e0 END, 0 FROM claims WHERE status='accepted' AND ticker IS NOT NULL),
+cred AS (SELECT creator_id, max_by(hit_rate_lower_ci, (computed_at, scorecard_id)) AS credibility FROM scorecards WHERE hit_rate_lower_ci IS NOT NULL GROUP BY 1),
+m1 AS (SELECT m0.*, coalesce(credibility,1.0e0)*cw AS w, CAST(date_trunc('day', posted_at) AS date) AS d FROM m0 LEFT JOIN cred USING (creator_id)),
+ends AS (SELECT DISTINCT ticker, n, d+CAST(i+1 AS int) AS e FROM m1, (VALUES (1),(7),(30)) z(n), range(30) r(i) WHERE i<n)"""
+
+
+@query("st2_window_signals", f"SELECT ticker, CAST(n AS varchar)||'d' AS window_size, CAST(e AS timestamp) AS window_end, CAST(sum(1-c) AS bigint) AS n_claims, CAST(sum(c) AS bigint) AS n_calls, round(avg(p),8)+0.0e0 AS net_polarity, round(sum(p*w)/nullif(sum(w),0),8)+0.0e0 AS credibility_weighted, true AS creators_in_bound FROM ends JOIN m1 USING (ticker) WHERE m1.d<e AND m1.d>=e-CAST(n AS int) GROUP BY 1,2,3", ("calls", "claims", "scorecards"), _MENTIONED, 8)
+def _(t):
+    daily = streams.daily_mentions(t.claims, t.calls, G.latest_credibility(t.scorecards))
+    out = [streams.window_signals(daily, size) for size in G.WINDOW_DAYS]
+    # at most 25 creators here, which sketches of this size count exactly
+    both = reduce(DataFrame.unionByName, out)
+    return both.select("ticker", "window_size", "window_end", "n_claims", "n_calls", "net_polarity", "credibility_weighted", F.col("n_creators").between(1, 25).alias("creators_in_bound"))
+
+
+_SECTORS = "CASE p_partkey%5 WHEN 0 THEN 'Metal' WHEN 1 THEN 'Plated' WHEN 2 THEN 'Other' WHEN 3 THEN NULL ELSE '' END"
+
+
+@query("t27_resolve_peers", f"""SELECT target, CASE WHEN peers IS NULL THEN 'none' WHEN place IS NULL THEN 'sector' ELSE 'industry' END AS by, array_to_string(list_filter(coalesce(peers,[]), lambda x: x<>target), ',') AS peers FROM (
+ SELECT c.ticker AS target, min(k.place) AS place, coalesce(min_by(k.peers, k.place), any_value(f.peers)) AS peers FROM (SELECT 'P'||p_partkey AS ticker, {_SECTORS} AS sector, lower(p_type) AS industry FROM part) c
+ LEFT JOIN (VALUES (0, NULL, 'promo burnished', ['P1','P2','P3']), (1, 'Metal', 'copper', ['P5','P10','P15']), (2, 'Metal', 'steel', ['P20','P25']), (3, 'Plated', 'plated', ['P6','P11']), (4, 'Other', 'zzz', ['P7'])) k(place, sector, key, peers) ON contains(c.industry, k.key) AND (k.sector IS NULL OR k.sector=c.sector)
+ LEFT JOIN (VALUES ('Metal', ['P30','P35']), ('Other', ['P2','P7'])) f(sector, peers) ON f.sector=c.sector GROUP BY 1) q""")
+def _(t):
+    parts = t.part.select(F.concat(F.lit("P"), "p_partkey").alias("ticker"), F.expr(_SECTORS).alias("sector"), F.col("p_type").alias("industry"))
+    keyed = [(0, None, "promo burnished", ["P1", "P2", "P3"]), (1, "Metal", "Copper", ["P5", "P10", "P15"]), (2, "Metal", "steel", ["P20", "P25"]), (3, "Plated", "plated", ["P6", "P11"]), (4, "Other", "zzz", ["P7"])]
+    fallback = t.spark.createDataFrame([("Metal", ["P30", "P35"]), ("Other", ["P2", "P7"])], "sector string, peers array<string>")
+    found = S.resolve_peers(parts, t.spark.createDataFrame(keyed, "place int, sector string, key string, peers array<string>"), fallback)
+    listed = F.sort_array(F.collect_list(F.when(F.col("peer").isNotNull(), F.struct("rank", "peer"))))
+    return found.groupBy("target", "by").agg(F.array_join(listed["peer"], ",").alias("peers"))
+
+
+@query("f11_scan_input", "SELECT DISTINCT upper(trim(c_mktsegment)) AS ticker FROM customer WHERE trim(c_mktsegment)<>'' AND c_custkey%3<>0")
+def _(t):
+    watched = t.customer.select(F.when(F.col("c_custkey") % 3 == 0, "creator").otherwise("ticker").alias("entity_type"), F.concat(F.lit(" "), F.lower("c_mktsegment")).alias("entity_id"))
+    return G.scan_input(watched)
+
+
+@query("a20_screen_counts", "SELECT count(*) AS universe, count(*) FILTER (WHERE p_partkey%13<>5) AS completed, count(*) FILTER (WHERE p_partkey%13=5) AS errors, count(*) FILTER (WHERE p_partkey%13<>5 AND p_size>25) AS passing FROM part")
+def _(t):
+    rows = t.part.select((F.col("p_size") > 25).alias("passed"), F.when(F.col("p_partkey") % 13 == 5, "timeout").alias("error"))
+    return S.screen_counts(rows)

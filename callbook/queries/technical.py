@@ -287,7 +287,7 @@ def _(t):
     return rows.select("ticker", F.row_number().over(Window.orderBy("_at")).cast("long").alias("place"))
 
 
-@query("a20_scan_counts", "SELECT count(*) AS n, count(*) FILTER (WHERE status='research_candidate') AS n_research_candidates, count(*) FILTER (WHERE status='watch') AS n_watch, count(*) FILTER (WHERE status='skip_for_now') AS n_skip, count(*) FILTER (WHERE status='insufficient_data') AS n_insufficient FROM scanned", ("bars",), SCAN)
+@query("a20_scan_counts", "SELECT count(*) AS n, CAST(0 AS bigint) AS n_errors, count(*) FILTER (WHERE status='research_candidate') AS n_research_candidates, count(*) FILTER (WHERE status='watch') AS n_watch, count(*) FILTER (WHERE status='skip_for_now') AS n_skip, count(*) FILTER (WHERE status='insufficient_data') AS n_insufficient FROM scanned", ("bars",), SCAN)
 def _(t):
     return R.scan_counts(scanned(t))
 
