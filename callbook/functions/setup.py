@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Thresholds of the setup cascade.
@@ -58,8 +58,11 @@ AGAINST = {
 }
 
 
-def setup() -> Column:
-    """struct<setup_type, confidence, reasons, counterarguments> of a panel row with rs_126; rules are tried in order, the first that holds names it."""
+def with_setup(rows: DataFrame) -> DataFrame:
+    """Panel rows with rs_126 and, of the first rule that holds, setup_type, setup_confidence, setup_reasons and counterarguments.
+
+    Only the number of the rule is found by trying them; what isn't asked for is not made.
+    """
     c = F.col
     bull, bear = c("ma_alignment") == "bullish_stack", c("ma_alignment") == "bearish_stack"
     falling = bear & (c("sma_50_slope_21").isNull() | (c("sma_50_slope_21") < DOWN_SLOPE))
@@ -102,15 +105,22 @@ def setup() -> Column:
         (bull & rising, "strong_uptrend", "medium", ["Bullish MA stack (price > 20 > 50 > 200).", say("50-day slope ", slope, "% over 21 bars — upward sloping.")]),
         (c("ma_alignment").isin("mixed", "insufficient") & _is(c("consolidation_20") <= RANGE), "range_bound", "medium", ["MAs are not stacked; price is consolidating in a tight range."]),
     ]
+    rules.append((F.lit(True), "unclear", "low", ["No rule branch matched this combination of indicators + levels."]))
     texts = lambda items: F.array_compact(F.array(*[i if isinstance(i, Column) else F.lit(i) for i in items])).cast("array<string>")
 
-    def named(kind: str, sure: str, reasons: list) -> Column:
-        return F.struct(F.lit(kind.removeprefix("broken ")).alias("setup_type"), F.lit(sure).alias("confidence"), texts(reasons).alias("reasons"), texts(AGAINST.get(kind, ())).alias("counterarguments"))
-
-    chain = None
-    for rule, kind, sure, reasons in rules:
-        chain = F.when(rule, named(kind, sure, reasons)) if chain is None else chain.when(rule, named(kind, sure, reasons))
-    return chain.otherwise(named("unclear", "low", ["No rule branch matched this combination of indicators + levels."]))
+    def chain(tests: list[Column], values: list[Column]) -> Column:
+        out = F.when(tests[0], values[0])
+        for test, value in zip(tests[1:], values[1:], strict=True):
+            out = out.when(test, value)
+        return out
+
+    number = chain([test for test, *_ in rules], [F.lit(k) for k in range(len(rules))])
+    of = lambda value: chain([F.col("_rule") == k for k in range(len(rules))], [value(*rule[1:]) for rule in rules])
+    made = {
+        "setup_type": of(lambda kind, sure, reasons: F.lit(kind.removeprefix("broken "))), "setup_confidence": of(lambda kind, sure, reasons: F.lit(sure)),
+        "setup_reasons": of(lambda kind, sure, reasons: texts(reasons)), "counterarguments": of(lambda kind, sure, reasons: texts(AGAINST.get(kind, ()))),
+    }
+    return rows.withColumn("_rule", number).withColumns(made).drop("_rule")
 
 
 def style_fit() -> Column:

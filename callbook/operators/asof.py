@@ -34,31 +34,24 @@ def as_of_join(events: DataFrame, rows: DataFrame, at: str, ts: str, columns: li
     return joined.select("_event.*", *[F.when(known, F.col(f"_found.v_{c}")).alias(c) for c in columns])
 
 
-def numbered_times(times: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
-    """times with _no (from 1, by `column`), and (day, before): for each day from the first to the one after the last, how many times lie on earlier days.
-
-    Times are as_of dates: both tables are bounded by the calendar.
+def calendar_row(times: DataFrame, column: str) -> DataFrame:
+    """One row: the dates `times` by `column` (_times, an array of structs), the first day (_first), and for each day from it to
+    the one after the last how many dates lie on earlier days (_earlier). as_of dates are bounded by the calendar, and so is the row.
     """
-    order = Window.orderBy(column)
-    numbered = times.withColumn("_no", F.row_number().over(order))
-    ends = times.agg(F.min(F.to_date(column)).alias("a"), F.max(F.to_date(column)).alias("z"))
-    days = ends.where("a is not null").select(F.explode(F.sequence("a", F.date_add("z", 1))).alias("day"))
-    counts = times.groupBy(F.to_date(column).alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum(F.coalesce("n", F.lit(0))).over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return numbered, days.join(counts, "day", "left").select("day", before.cast("int").alias("before"))
+    day = lambda t: F.to_date(t[column])
+    row = times.where(F.col(column).isNotNull()).agg(F.sort_array(F.collect_list(F.struct(F.col(column), *[F.col(c) for c in times.columns if c != column]))).alias("_times")).where(F.size("_times") > 0)
+    row = row.withColumns({"_first": day(F.element_at("_times", 1)), "_last": F.date_add(day(F.element_at("_times", -1)), 1)})
+    earlier = F.transform(F.sequence("_first", "_last"), lambda d: F.size(F.filter("_times", lambda t: day(t) < d)))
+    return row.select("_times", "_first", "_last", earlier.alias("_earlier"))
 
 
 def over_times(rows: DataFrame, times: DataFrame, column: str, first_day: Column, last_day: Column) -> DataFrame:
     """Each row with every one of `times` (as_of dates) whose `column` falls on first_day to last_day (null: without end).
 
-    The numbers of the first and last such date are looked up in the calendar, so the work is that of the result.
+    Where the first and the last such date stand is looked up by day in a calendar of one row, so the work is that of the result.
     """
-    numbered, by_day = numbered_times(times, column)
-    ends = by_day.agg(F.min("day").alias("_a"), F.max("day").alias("_z"))  # one row
-    rows = rows.crossJoin(F.broadcast(ends))
-    clamp = lambda d: F.greatest(F.col("_a"), F.least(d, F.col("_z")))
-    rows = rows.withColumns({"_from": clamp(first_day), "_to": clamp(F.coalesce(F.date_add(last_day, 1), F.col("_z")))})
-    for side, name in (("_from", "_lo"), ("_to", "_hi")):
-        rows = rows.join(F.broadcast(by_day.select(F.col("day").alias(side), F.col("before").alias(name))), side)
-    rows = rows.where("_hi > _lo").withColumn("_no", F.explode(F.sequence(F.col("_lo") + 1, F.col("_hi"))))
-    return rows.join(F.broadcast(numbered), "_no").drop("_no", "_lo", "_hi", "_from", "_to", "_a", "_z")
+    rows = rows.crossJoin(F.broadcast(calendar_row(times, column)))  # one row
+    at = lambda d: F.get("_earlier", F.date_diff(F.greatest(F.col("_first"), F.least(d, F.col("_last"))), F.col("_first")))
+    rows = rows.withColumns({"_lo": at(first_day), "_hi": at(F.coalesce(F.date_add(last_day, 1), F.col("_last")))}).where("_hi > _lo")
+    rows = rows.withColumn("_t", F.explode(F.slice("_times", F.col("_lo") + 1, F.col("_hi") - F.col("_lo"))))
+    return rows.drop("_times", "_first", "_last", "_earlier", "_lo", "_hi").select("*", "_t.*").drop("_t")

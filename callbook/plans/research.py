@@ -20,14 +20,9 @@ LEVELS = ("support", "resistance", "support_distance", "resistance_distance", "s
 EXCESS = ("excess_5", "excess_21", "excess_63")
 
 
-def _with_setup(rows: DataFrame) -> DataFrame:
-    parts = {"setup_type": "setup_type", "confidence": "setup_confidence", "reasons": "setup_reasons", "counterarguments": "counterarguments"}
-    return rows.withColumn("_s", U.setup()).withColumns({to: F.col(f"_s.{part}") for part, to in parts.items()}).drop("_s")
-
-
 def research_panel(bars: DataFrame, benchmark: str) -> DataFrame:
     """Indicators, relative strength and setup of every ticker on every bar, in one pass over its bars."""
-    return _with_setup(I.panel(bars).join(I.relative_strength(bars, benchmark), ["ticker", "ts"], "left"))
+    return U.with_setup(I.panel(bars).join(I.relative_strength(bars, benchmark), ["ticker", "ts"], "left"))
 
 
 def judged(panel: DataFrame, heard=None) -> DataFrame:
@@ -83,7 +78,7 @@ def scan(tickers: DataFrame, bars: DataFrame, benchmark: str, as_of) -> DataFram
     counts = seen.groupBy("ticker").agg(F.count(F.lit(1)).alias("bar_no"))
     rows = newest(I.panel(tail)).drop("bar_no").join(counts, "ticker").join(strength, ["ticker", "ts"], "left")
     rows = rows.join(newest(I.ema(seen, (21,))).select("ticker", "ema_21"), "ticker").join(newest(L.levels(tail)).select("ticker", *LEVELS), "ticker")
-    newest = _with_setup(rows)
+    newest = U.with_setup(rows)
     asked = tickers.select(F.upper(F.trim("ticker")).alias("ticker")).distinct()
     out = asked.join(newest, "ticker", "left").withColumns({"setup_type": F.coalesce("setup_type", F.lit("insufficient_data")), "setup_confidence": F.coalesce("setup_confidence", F.lit("low"))})
     suited = F.coalesce(F.col("primary_style") != "not_suitable_now", F.lit(False))
