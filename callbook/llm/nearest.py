@@ -9,7 +9,7 @@ themselves: a neighbour's neighbours are candidates. Spark's join makes the cand
 shard then compares its nodes with their candidates on the vectors and keeps the `degree` best. Only paths with an
 edge that is new since the last round give candidates. Rounds end when few edges change, or after `rounds`.
 
-Searching: a query enters each shard's graph at nodes spread by chance (and at itself, if it is a node there), keeps
+Searching: a query enters each shard's graph at nodes of all its connected parts (and at itself, if it is a node there), keeps
 the `beam` best nodes seen, and expands the best unexpanded one until the best `beam` are all expanded. All queries of
 a block move in lockstep in numpy. Results of the shards are merged.
 
@@ -121,6 +121,25 @@ def build_graph(nodes: DataFrame, degree: int = 24, rounds: int = 8, settled: fl
     return graph.select("shard", "node", "near")
 
 
+def _entries(links: np.ndarray, least: int) -> np.ndarray:
+    """Nodes at which searches enter a shard's graph: some in each of its connected parts, more in larger ones.
+
+    The graph of clustered vectors falls apart into its clusters, and greedy steps never leave a part.
+    """
+    n = len(links)
+    part = np.arange(n)
+    while True:
+        lower = np.minimum(part, part[links].min(1))
+        lower = lower[lower]
+        if np.array_equal(lower, part):
+            break
+        part = lower
+    order = np.argsort(part, kind="stable")
+    firsts = np.flatnonzero(np.append(True, part[order][1:] != part[order][:-1]))
+    every = np.linspace(0, n - 1, min(n, max(least, 2 * math.isqrt(n)))).astype(np.int64)
+    return order[np.union1d(firsts, every)]
+
+
 def _search(pdf: pd.DataFrame, queries: pd.DataFrame, k: int, beam: int, entries: int) -> pd.DataFrame:
     """Greedy search of a block of queries in one shard's graph."""
     out = pd.DataFrame({"query_id": [], "node": [], "score": []})
@@ -140,8 +159,8 @@ def _search(pdf: pd.DataFrame, queries: pd.DataFrame, k: int, beam: int, entries
     links[own, np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)] = to
     q = np.stack(queries["vector"].to_numpy())
     q32, m = q.astype(np.float32), len(q)
-    beam, rows = min(beam, n), np.arange(m)
-    start = np.linspace(0, n - 1, min(n, max(entries, 1))).astype(np.int64)
+    beam, rows = min(max(beam, k), n), np.arange(m)
+    start = _entries(links, entries)
     mine = np.minimum(np.searchsorted(ids, queries["node"].to_numpy()), n - 1)
     first = np.concatenate([np.repeat(start[None, :], m, 0), np.where(ids[mine] == queries["node"].to_numpy(), mine, 0)[:, None]], 1)
     seen = np.zeros((m, n), bool)

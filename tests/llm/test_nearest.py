@@ -1,6 +1,7 @@
 """Nearest neighbours: recall against brute force, ties, unusable vectors."""
 
 import numpy as np
+import pytest
 
 from callbook.llm import nearest
 
@@ -49,3 +50,34 @@ def test_different_vectors_under_one_id(spark):
     rows = [(20, [0.0, 1.0]), (20, [1.0, 0.0]), (1, [0.0, 2.0]), (2, [3.0, 0.0]), (2, [3.0, 0.0])]
     got = nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5).collect()
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == [(20, 1, 1, 2.0), (20, 2, 2, 0.0)]
+
+
+def _recall(spark, x, k=20, **parameters):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found: dict = {}
+    for r in nearest.nearest(df, k=k, **parameters).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    asked = np.arange(0, len(x), 20)
+    scores = x[asked].astype(float) @ x.T.astype(float)
+    scores[np.arange(len(asked)), asked] = -np.inf
+    hits = 0
+    for q, row in zip(asked.tolist(), scores, strict=True):
+        assert len(found[q]) == min(k, len(x) - 1)
+        edge = np.sort(row)[-k]
+        hits += sum(row[v] >= edge - 1e-9 for v in found[q])
+    return hits / (k * len(asked))
+
+
+@pytest.mark.parametrize("noise", [0.1, 0.4])
+def test_recall_on_clusters_with_the_querys_parameters(spark, noise):
+    rng = np.random.default_rng(7)
+    unit = lambda a: (a / np.linalg.norm(a, axis=1, keepdims=True)).astype(np.float32)
+    centres = unit(rng.normal(size=(100, 64)))
+    x = unit(centres[rng.integers(0, 100, 8192)] + noise * unit(rng.normal(size=(8192, 64))))
+    x[5000:6000] = x[17]  # and a vector that many rows hold
+    assert _recall(spark, x) >= 0.95
+
+
+def test_more_neighbours_than_the_beam_holds(spark):
+    x = np.random.default_rng(3).normal(size=(600, 8)).astype(np.float32)
+    assert _recall(spark, x, k=150, beam=40, degree=12, shard_rows=1000) >= 0.99
