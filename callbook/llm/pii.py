@@ -15,7 +15,7 @@ an @ are searched, once; what is found is a table in the shared folder, and so a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callbook.llm.common import row_key, saved
@@ -34,6 +34,8 @@ PATTERNS = {
 # Identifier-like: a token of 6 or more letters, digits, _ or - with a digit in it.
 CANDIDATE = r"(?<![A-Za-z0-9_@.+-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{6,}+"
 SPAN = "array<struct<kind:int,start:long,end:long,value:string,left:string>>"
+HITS = "array<struct<kind:int,i:int,gap:int,value:string,left:string>>"
+OPEN = -1  # the kind of a candidate
 CONTEXT = 3  # words or signs before a slot
 
 
@@ -49,20 +51,14 @@ def _left(before: Column) -> Column:
 
 
 def _matches(text: Column, number: int, kind: str, pattern: str) -> Column:
-    """All leftmost non-overlapping matches with their places in code points and what stands before them."""
+    """All leftmost non-overlapping matches: their number, the length of what stands before each since the last one, and its end."""
     found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    between = F.split(text, pattern, -1)
+    pairs = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda b, v: F.struct(b.alias("between"), v.alias("value")))
 
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["between"])
-        end = start + F.length(pair["value"])
-        one = F.struct(F.lit(number).alias("kind"), start.cast("long").alias("start"), end.cast("long").alias("end"), pair["value"].alias("value"), _left(pair["between"]).alias("left"))
-        return F.struct(end.cast("long").alias("at"), F.concat(state["spans"], F.array(one)).alias("spans"))
+    def hit(pair: Column, i: Column) -> Column:
+        return F.struct(F.lit(number).alias("kind"), i.alias("i"), F.length(pair["between"]).alias("gap"), pair["value"].alias("value"), _left(pair["between"]).alias("left"))
 
-    pairs = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda b, v: F.struct(b.alias("between"), v.alias("value")))
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("spans"))
-    spans = F.aggregate(pairs, begin, step, lambda state: state["spans"])
-    return F.when(_has(kind, text), spans).otherwise(F.array().cast(SPAN))
+    return F.when(_has(kind, text), F.transform(pairs, hit)).otherwise(F.array().cast(HITS))
 
 
 def _digits(value: Column) -> Column:
@@ -91,13 +87,26 @@ def _octets(value: Column) -> Column:
 CHECKS = {"email": lambda v: F.lit(True), "ip": _octets, "card": _luhn, "phone": lambda v: F.length(_digits(v)).between(9, 15)}
 
 
-def base_spans(text: Column) -> Column:
-    """Checked spans of all kinds, by kind and then start."""
+def _search(scanned: DataFrame) -> DataFrame:
+    """Rows (k1, k2, kind, start, end, value, left): checked base spans, and with kind -1 candidates that meet none of them.
 
-    def checked(number: int, kind: str) -> Column:
-        return F.filter(_matches(text, number, kind, PATTERNS[kind]), lambda s: CHECKS[kind](s["value"]))
-
-    return F.concat(*[checked(i, kind) for i, kind in enumerate(KINDS)])
+    Places are running sums over a text's matches, and whether a candidate meets a base span is the running maximum of
+    the ends of those that begin before it ends, so the work is linear (but for sorting) in the number of matches.
+    """
+    searched = [_matches(F.col("text"), i, kind, PATTERNS[kind]) for i, kind in enumerate(KINDS)]
+    hits = F.concat(*searched, _matches(F.col("text"), OPEN, "candidate", CANDIDATE))
+    one = scanned.select("k1", "k2", hits.alias("hits")).dropDuplicates(["k1", "k2"])
+    so_far = Window.partitionBy("k1", "k2", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.col("gap") + F.length("value")).over(so_far)
+    placed = one.select("k1", "k2", F.inline("hits")).withColumn("end", end).withColumn("start", F.col("end") - F.length("value"))
+    valid = F.lit(True)
+    for i, kind in enumerate(KINDS):
+        valid = F.when(F.col("kind") == i, CHECKS[kind](F.col("value"))).otherwise(valid)
+    is_open = F.col("kind") == OPEN
+    begun = Window.partitionBy("k1", "k2").orderBy(F.when(is_open, F.col("end") - 1).otherwise(F.col("start")), is_open).rowsBetween(Window.unboundedPreceding, 0)
+    reach = F.max(F.when(~is_open, F.col("end"))).over(begun)
+    free = placed.where(valid).withColumn("reach", reach).where(~is_open | F.col("reach").isNull() | (F.col("reach") <= F.col("start")))
+    return free.select("k1", "k2", "kind", "start", "end", "value", "left")
 
 
 def _number_of(kind: int) -> Column:
@@ -131,24 +140,24 @@ def _grow(seeds: DataFrame, open_: DataFrame, rounds: int, min_values: int, min_
 def find(docs: DataFrame, rounds: int = 2, min_values: int = 5, min_docs: int = 5, min_conf: float = 0.6, min_score: float = 0.7) -> DataFrame:
     """docs with base (array of spans), n_email, n_ip, n_card, n_phone (of base), added and spans (base and added).
 
-    Null text counts as empty. Repeated rows are each searched and get the same result. Columns named like the results are replaced.
+    Null text counts as empty. Repeated rows get the same result each. Columns named like the results are replaced. Texts are
+    searched whole, and the work is linear in a text's length and number of matches, up to sorting these.
     """
     docs = docs.drop("base", "added", "spans", *[f"n_{k}" for k in KINDS])
     text = F.coalesce(F.col("text"), F.lit(""))
-    scanned = docs.select(F.col("doc_id"), *row_key("doc_id", "text"), F.when(text.rlike("[0-9@]"), text).alias("text"))
-    found = scanned.where("text is not null").select("k1", "k2", base_spans(F.col("text")).alias("base"), _matches(F.col("text"), -1, "candidate", CANDIDATE).alias("open"))
-    found = saved(found.dropDuplicates(["k1", "k2"]), "pii")
-    seeds = found.select("k1", "k2", F.inline("base"))
-    free = F.filter("open", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    open_ = found.select("k1", "k2", F.inline(free)).drop("kind")
+    scanned = docs.where(text.rlike("[0-9@]")).select(*row_key("doc_id", "text"), "text")
+    found = saved(_search(scanned), "pii")
+    seeds, open_ = found.where(F.col("kind") != OPEN), found.where(F.col("kind") == OPEN).drop("kind")
     grown = _grow(seeds, open_, rounds, min_values, min_docs, min_conf, min_score)
-    added = open_.join(grown, ["left", "value"]).groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("kind", "start", "end", "value", "left"))).alias("added"))
-    spans = found.select("k1", "k2", "base").join(added, ["k1", "k2"], "left")
+    taken = seeds.withColumn("is_base", F.lit(True)).unionByName(open_.join(grown, ["left", "value"]).withColumn("is_base", F.lit(False)))
+    span = F.struct("kind", "start", "end", "value", "left")
+    parts = [F.sort_array(F.collect_list(F.when(which, span))).alias(name) for name, which in (("base", F.col("is_base")), ("added", ~F.col("is_base")))]
+    spans = taken.groupBy("k1", "k2").agg(*parts)
     k1, k2 = row_key("doc_id", "text")
     keyed = docs.withColumns({"_k1": k1, "_k2": k2})
     out = keyed.join(spans, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left")
     none = F.array().cast(SPAN)
-    return out.withColumns({"base": F.coalesce("base", none), "added": F.coalesce(F.col("added").cast(SPAN), none)}).withColumns(
+    return out.withColumns({c: F.coalesce(F.col(c).cast(SPAN), none) for c in ("base", "added")}).withColumns(
         {f"n_{k}": _number_of(i) for i, k in enumerate(KINDS)}
         | {"spans": F.sort_array(F.concat("base", "added"))}
     ).drop("_k1", "_k2", "k1", "k2")
