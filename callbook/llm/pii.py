@@ -45,8 +45,12 @@ def _has(kind: str, text: Column) -> Column:
 
 
 def _left(before: Column) -> Column:
-    """The last words or signs of what stands before a slot, lower-cased (at most 80 characters are looked at)."""
-    units = F.regexp_extract_all(F.lower(F.substring(before, -80, 80)), F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"), 0)
+    """The last words or signs of what stands before a slot, lower-cased: words of any length, however far off.
+
+    The text is read from its end, so only these units are looked at and not all that stands before them.
+    """
+    tail = F.reverse(F.regexp_extract(F.reverse(before), rf"\A\s*+(?:(?:[\p{{L}}\p{{N}}]++|[^\s\p{{L}}\p{{N}}])\s*+){{0,{CONTEXT}}}", 0))
+    units = F.regexp_extract_all(F.lower(tail), F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"), 0)
     return F.array_join(F.slice(units, F.greatest(F.lit(1), F.size(units) - CONTEXT + 1), F.lit(CONTEXT)), " ")
 
 

@@ -5,6 +5,7 @@ import random
 import re
 import time
 
+import regex
 from pyspark.sql import types as T
 
 from callbook.llm import pii
@@ -120,3 +121,13 @@ def test_many_matches_in_one_text(spark):
     assert time.monotonic() - begun < 60
     assert [r["n_email"] for r in got] == [n, 1]
     check(got)
+
+
+def test_left_context_has_no_bound(spark):
+    """Three words or signs, whatever their length and the blanks between them."""
+    rng = random.Random(3)
+    units = ["owner", "x" * 90, "é" * 200, ":", "(", "🙂", "İstanbul", "42", "a" * 100_000]
+    texts = ["", " ", "\n" * 300, *("".join(rng.choice(units) + rng.choice([" ", "  ", "\t" * 120, "", "\n"]) for _ in range(rng.randrange(1, 9))) for _ in range(200))]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select("text", pii._left(pii.F.col("text")).alias("left")).collect()
+    for r in got:
+        assert r["left"] == " ".join(regex.findall(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]", r["text"].lower())[-3:])
