@@ -86,6 +86,16 @@ def unnamed(spark: SparkSession, tables: list[str]) -> None:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many parts with rows as there are cores: a file of one row group would be one task.
+
+    Parts are counted without reading a column. A table of many parts, such as any large one, is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = df.select(F.spark_partition_id().alias("part")).distinct().count()
+    return df if parts >= cores else df.repartition(cores)
+
+
 def row_key(*cols: str) -> list:
     """Two 64-bit hashes that name a row by its values (null-safe): repeated rows share them."""
     texts = [F.coalesce(F.col(c).cast("string"), F.lit("\x00null")) for c in cols]

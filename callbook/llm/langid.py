@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from callbook.llm.common import map_arrow, schema_with, texts_of
+from callbook.llm.common import map_arrow, saved, schema_with, spread, texts_of
 
 LETTER = r"\p{L}"
 _POINT_BITS = np.uint64(21)  # of a code point
@@ -176,20 +176,22 @@ def sample_languages(labelled: DataFrame, rows: int = 24) -> list[tuple[str, str
     """Per language, `rows` whole texts by a hash of doc_id (all, if fewer).
 
     Rows with null lang or without a letter are left out; a repeated row counts each time. This sample, bounded by its
-    rows alone, is all that is learned.
+    rows alone, is all that is learned. Ids are ranked first, with a hash of the text for those that name several texts; a
+    second scan then fetches the texts, so no text is sorted.
     """
-    h = F.xxhash64(F.col("doc_id").cast("string"), "lang")
-    ranked = (
-        labelled.where(F.col("lang").isNotNull() & F.coalesce(F.col("text").rlike(LETTER), F.lit(False)))
-        .select("lang", "text", h.alias("h"), "doc_id")
-        .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text")))
-        .where(F.col("rank") <= rows)
-    )
-    taken = ranked.select("lang", "rank", "text").collect()
-    found: dict[str, list[str]] = {}
-    for row in sorted(taken, key=lambda r: (r["lang"], r["rank"])):
-        found.setdefault(row["lang"], []).append(row["text"])
-    return [(lang, "\n".join(parts)) for lang, parts in sorted(found.items())]
+    key = ["lang", "doc_id", "t"]
+    able = labelled.where(F.col("lang").isNotNull() & F.coalesce(F.col("text").rlike(LETTER), F.lit(False)))
+    able = able.select("lang", F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
+    h = F.xxhash64(F.col("doc_id"), F.lit("lang"))
+    ranked = able.select(*key, h.alias("h")).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "t"))).where(F.col("rank") <= rows)
+    taken = saved(ranked.groupBy(*key).agg(F.min("rank").alias("rank"), F.count(F.lit(1)).alias("n")), "sampled")
+    same = (F.col("s.lang") == F.col("d.lang")) & F.col("s.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("s.t") == F.col("d.t"))
+    found = able.alias("d").join(F.broadcast(taken.alias("s")), same)  # at most `rows` keys a language
+    texts = found.select("d.lang", "rank", "n", "text").dropDuplicates(["lang", "rank"]).collect()
+    parts: dict[str, list[str]] = {}
+    for row in sorted(texts, key=lambda r: (r["lang"], r["rank"])):
+        parts.setdefault(row["lang"], []).extend([row["text"]] * row["n"])
+    return [(lang, "\n".join(of_lang)) for lang, of_lang in sorted(parts.items())]
 
 
 def identify(docs: DataFrame, samples: list[tuple[str, str]], block: int = 512) -> DataFrame:
@@ -229,4 +231,4 @@ def held_out(doc_id: str):
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     samples = sample_languages(docs.where(~held_out("doc_id")).select("doc_id", "text", "lang"))
-    return identify(docs.select("doc_id", "text"), samples).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+    return identify(spread(docs.select("doc_id", "text")), samples).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")

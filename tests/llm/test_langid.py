@@ -74,3 +74,16 @@ def test_whole_texts_are_learned(spark):
     long_ = "a" * 5000 + "qzx"
     got = langid.sample_languages(spark.createDataFrame([(1, long_, "en"), (2, "b", "en"), (2, "b", "en")], "doc_id long, text string, lang string"))
     assert sorted(got[0][1].split("\n")) == [long_, "b", "b"]
+
+
+def test_sample_is_that_of_a_plain_ranking(spark):
+    """Ids ranked before texts: repeats count each time, and an id may name several texts or be null."""
+    rows = [(k % 90 if k % 17 else None, f"text {chr(97 + k % 11)} of {k % 50}", f"l{k % 3}") for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    F = langid.F
+    hashed = df.select("lang", "doc_id", "text", F.xxhash64(F.col("doc_id").cast("string"), F.lit("lang")).alias("h"), F.xxhash64("text").alias("t")).collect()
+    want = []
+    for lang in ("l0", "l1", "l2"):
+        ranked = sorted((r for r in hashed if r["lang"] == lang), key=lambda r: (r["h"], r["doc_id"] is not None, r["doc_id"] or 0, r["t"]))
+        want.append((lang, "\n".join(r["text"] for r in ranked[:24])))
+    assert langid.sample_languages(df) == want

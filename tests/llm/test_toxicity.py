@@ -93,3 +93,21 @@ def test_counts_match_a_plain_count(spark):
     got = toxicity._counts(spark.createDataFrame(rows, "doc_id long, text string, label int")).collect()
     assert {r["bucket"]: [r["clean"], r["toxic"]] for r in got if r["bucket"] >= 0} == want
     assert [(r["clean"], r["toxic"]) for r in got if r["bucket"] < 0] == [(sum(y == 0 for *_, y in rows), sum(y for *_, y in rows))]
+
+
+def test_held_out_quality_with_and_without_the_cuts(spark):
+    """On labelled rows that were not learned from: the cuts lose nothing that the whole vocabulary would find."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    training = toxicity.training_rows(docs, labels)
+    held = docs.where(toxicity.held_out("doc_id")).join(labels.select("doc_id", "toxic"), "doc_id").select("text", "toxic").collect()
+    y = np.array([r["toxic"] for r in held])
+
+    def quality(**cuts):
+        s = toxicity.learn(training, **cuts).score([r["text"] or "" for r in held])
+        above = (s[y == 1][:, None] > s[y == 0]).mean() + 0.5 * (s[y == 1][:, None] == s[y == 0]).mean()
+        return above, ((s >= 0.7) == (y == 1)).mean()
+
+    (area, right), (area_all, right_all) = quality(), quality(min_z=0.0, min_docs=1)
+    print(f"held-out rows {len(y)}, toxic {y.sum()}: area {area:.4f}, right {right:.4f}; without cuts {area_all:.4f}, {right_all:.4f}")
+    assert len(y) > 50 and 0 < y.sum() < len(y)
+    assert area >= 0.9 and right >= 0.9 and area >= area_all - 0.02 and right >= right_all - 0.02
