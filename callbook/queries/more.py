@@ -10,8 +10,9 @@ from callbook.operators import windows as W
 from callbook.plans import research as R
 from callbook.plans import signals as G
 from callbook.queries.base import query
-from callbook.queries.technical import PANEL
+from callbook.queries.technical import NEAR, PANEL, SETUP, SWINGS, judged, status_sql
 from callbook.sources import tables as IO
+from callbook.streaming import streams
 
 
 @query("t5_score_window", f"""SELECT document_id, segment_id, round(1.5e0*m+least(w,3)+0.5e0*least(p,3)+CASE WHEN m>0 AND w>0 THEN 0.5e0 ELSE 0 END,6) AS score FROM (
@@ -82,3 +83,57 @@ def _(t):
 def _(t):
     # every field that the indicator panel has, over all bars
     return R.measures(I.panel(t.bars)).groupBy("path", "unit").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
+
+
+@query("io3_universe", "SELECT 'P' || p_partkey || '-B' AS ticker, p_name AS name, p_brand AS sector, 'file' AS source FROM part WHERE p_partkey%9>1 AND p_brand='Brand#13'")
+def _(t):
+    key = F.col("p_partkey")
+    ticker = F.when(key % 9 == 0, "  ").when(key % 9 > 1, F.concat(F.lit(" p"), key.cast("string"), F.lit(".b ")))
+    return IO.universe_rows(t.part.select(ticker.alias("ticker"), F.col("p_name").alias("name"), F.col("p_brand").alias("sector"), F.lit("file").alias("source")), "BRAND#13")
+
+
+@query("io5_gold", """SELECT CAST(call_id AS varchar) AS id, 'about ' || ticker AS source_text, CASE WHEN status='accepted' THEN true END AS is_call, CASE WHEN status='accepted' THEN ticker END AS ticker, CASE WHEN status='accepted' THEN direction END AS direction,
+ CASE WHEN status='accepted' THEN round(entry_price,6) END AS entry_price, CASE WHEN status='accepted' THEN round(stop_price,6) END AS stop_price, CASE WHEN call_id%2=0 THEN 'n' END AS notes FROM calls""", ("calls",))
+def _(t):
+    # one line a call, and blank lines and remarks between them
+    expected = F.when(F.col("status") == "accepted", F.struct(F.lit(True).alias("is_trade_call"), "ticker", "direction", "entry_price", "stop_price"))
+    line = F.to_json(F.struct(F.col("call_id").cast("string").alias("id"), F.concat(F.lit("about "), "ticker").alias("source_text"), expected.alias("expected"), F.when(F.col("call_id") % 2 == 0, "n").alias("notes")))
+    gold = IO.gold_of_lines(t.calls.select(F.explode(F.array(line, F.lit("  "), F.lit(" // {a remark}"))).alias("value")))
+    e = F.col("expected")
+    return gold.select("id", "source_text", e["is_trade_call"].alias("is_call"), e["ticker"].alias("ticker"), e["direction"].alias("direction"), e["entry_price"].alias("entry_price"), e["stop_price"].alias("stop_price"), "notes")
+
+
+_HEAD = """hz AS (SELECT st.*, n.support, n.resistance, CASE WHEN available THEN CASE kind WHEN 'breakout_candidate' THEN 'breakout' WHEN 'range_bound' THEN 'range' ELSE 'pullback' END END AS zk FROM st JOIN (SELECT ticker, ts, support, resistance FROM near) n USING (ticker, ts)),
+hz1 AS (SELECT *, CASE zk WHEN 'breakout' THEN recent_high_63 WHEN 'pullback' THEN least(ema_21,sma_50) WHEN 'range' THEN base_low_60 END AS zlow, CASE zk WHEN 'breakout' THEN recent_high_63 WHEN 'pullback' THEN coalesce(ema_21,sma_50) WHEN 'range' THEN base_low_60 END AS trig,
+ CASE zk WHEN 'breakout' THEN greatest(base_low_60, recent_high_63-1.5e0*atr_14) WHEN 'pullback' THEN greatest(CASE WHEN support<least(ema_21,sma_50) THEN support END, sma_50-atr_14, least(ema_21,sma_50)-1.5e0*atr_14) WHEN 'range' THEN base_low_60-0.5e0*atr_14 END AS inv,
+ CASE zk WHEN 'range' THEN base_high_60 ELSE resistance END AS aim FROM hz)"""
+#: The columns of a snapshot in the SQL's terms; the rest bear their own names.
+_HEAD_SQL = {
+    "as_of": "ts", "setup_type": "kind", "setup_confidence": "sure", "last_close": "close", "pct_off_52w_high": "pct_off_high_52w", "return_5d": "return_5", "return_21d": "return_21", "return_63d": "return_63", "sma_50_slope_21d_pct": "sma_50_slope_21",
+    "relative_strength_vs_spy_63d": "rs_63", "nearest_support": "support", "nearest_resistance": "resistance", "pullback_pct_from_recent_high": "pullback_63", "breakout_distance_pct": "breakout_63", "entry_zone_available": "available", "entry_trigger": "trig",
+    "entry_zone_low": "zlow", "entry_zone_high": "CASE WHEN zk='pullback' AND ema_21<>sma_50 THEN greatest(ema_21,sma_50) ELSE zlow+0.5e0*atr_14 END", "invalidation_reference": "inv", "risk_reward_estimate": "CASE WHEN zlow>inv AND (zk='range' OR aim>zlow) THEN (aim-zlow)/(zlow-inv) END",
+} | {c: "NULL" for c in IO.HEADLINE if c.startswith("transcript_")}
+
+
+def _head(name: str) -> str:
+    value = _HEAD_SQL.get(name, name)
+    kind = {"string": "varchar", "long": "bigint"}.get(IO.TYPES[name], IO.TYPES[name])
+    return f"round({value},6)+0.0e0 AS {name}" if kind == "double" and value != "NULL" else f"CAST({value} AS {kind}) AS {name}"
+
+
+@query("io11_snapshot", f"SELECT {', '.join(map(_head, IO.HEADLINE))} FROM hz1", ("bars",), f"{SETUP}, {status_sql()}, {SWINGS}, {NEAR}, {_HEAD}")
+def _(t):
+    return IO.headline(judged(t))
+
+
+@query("st1_unique_documents", "SELECT 'talk' AS source_type, CAST(document_id AS varchar) AS external_id, title, posted_at FROM claim_documents", ("claim_documents",))
+def _(t):
+    first = t.claim_documents.select(F.lit("talk").alias("source_type"), F.col("document_id").cast("string").alias("external_id"), "title", "posted_at")
+    again = first.withColumns({"title": F.lit("again"), "posted_at": F.col("posted_at") + F.expr("interval 1 hour")})
+    return streams.unique_documents(again.unionByName(first))
+
+
+@query("st4_pauses", """SELECT document_id, make_timestamp(CAST(min(start_seconds)*1000000 AS bigint)) AS start_at, make_timestamp(CAST(max(start_seconds)*1000000 AS bigint)) + INTERVAL 5 SECOND AS end_at, count(*) AS n_segments
+ FROM (SELECT *, sum(fresh) OVER (PARTITION BY document_id ORDER BY start_seconds) AS stretch FROM (SELECT *, CASE WHEN coalesce(start_seconds-lag(start_seconds) OVER (PARTITION BY document_id ORDER BY start_seconds)>5,true) THEN 1 ELSE 0 END AS fresh FROM segments) a) b GROUP BY document_id, stretch""", ("segments",))
+def _(t):
+    return streams.pauses(t.segments.withColumn("spoken_at", F.timestamp_seconds("start_seconds")), "5 seconds")

@@ -15,7 +15,12 @@ PLAN = "as_of string, cost double, lenses array<struct<name:string,direction:str
 
 def read_universe(spark: SparkSession, path: str, sector: str | None = None) -> DataFrame:
     """IO3: ticker, name, sector, source of a CSV with a header; blank tickers are dropped, symbols made canonical."""
-    rows = spark.read.csv(path, header=True, schema=UNIVERSE, enforceSchema=False).withColumn("ticker", canonical_symbol(F.col("ticker"))).where("ticker is not null and ticker <> ''")
+    return universe_rows(spark.read.csv(path, header=True, schema=UNIVERSE, enforceSchema=False), sector)
+
+
+def universe_rows(raw: DataFrame, sector: str | None = None) -> DataFrame:
+    """IO3 from a table of the same columns."""
+    rows = raw.withColumn("ticker", canonical_symbol(F.col("ticker"))).where("ticker is not null and ticker <> ''")
     return rows if sector is None else rows.where(F.lower("sector") == sector.lower())
 
 
@@ -29,7 +34,12 @@ def merge_universes(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
     """IO5: one JSON object a line; blank lines and those that begin with // are skipped."""
-    lines = spark.read.text(path).where("trim(value) <> '' and not startswith(trim(value), '//')")
+    return gold_of_lines(spark.read.text(path))
+
+
+def gold_of_lines(lines: DataFrame) -> DataFrame:
+    """IO5 from a table of lines (value)."""
+    lines = lines.where("trim(value) <> '' and not startswith(trim(value), '//')")
     return lines.select(F.from_json("value", GOLD).alias("g")).select("g.*")
 
 
@@ -102,15 +112,23 @@ HEADLINE = (
     "breakout_distance_pct", "entry_zone_available", "entry_trigger", "entry_zone_low", "entry_zone_high", "invalidation_reference", "risk_reward_estimate", "transcript_n_calls",
     "transcript_n_claims", "transcript_n_creators", "transcript_polarity_30d", "transcript_coverage_status", "transcript_confirms",
 )
-#: The panel's names of those that differ.
-PANEL_NAMES = {"last_close": "close", "pct_off_52w_high": "pct_off_high_52w", "return_21d": "return_21", "return_63d": "return_63", "return_5d": "return_5", "sma_50_slope_21d_pct": "sma_50_slope_21", "relative_strength_vs_spy_63d": "rs_63", "pullback_pct_from_recent_high": "pullback_63", "breakout_distance_pct": "breakout_63", "as_of": "ts"}
+#: Where a research view (with its zone and the context of transcripts) has those that differ in name.
+SOURCES = {
+    "as_of": "ts", "last_close": "close", "pct_off_52w_high": "pct_off_high_52w", "return_5d": "return_5", "return_21d": "return_21", "return_63d": "return_63", "sma_50_slope_21d_pct": "sma_50_slope_21",
+    "relative_strength_vs_spy_63d": "rs_63", "nearest_support": "support", "nearest_resistance": "resistance", "pullback_pct_from_recent_high": "pullback_63", "breakout_distance_pct": "breakout_63",
+    "entry_zone_available": "available", "entry_trigger": "zone.trigger", "entry_zone_low": "zone.low", "entry_zone_high": "zone.high", "invalidation_reference": "zone.invalidation", "risk_reward_estimate": "reward_risk",
+    "transcript_n_calls": "n_calls", "transcript_n_claims": "n_claims", "transcript_n_creators": "n_creators", "transcript_polarity_30d": "net_polarity_30d", "transcript_coverage_status": "coverage", "transcript_confirms": "verdict",
+}
+_STRINGS = ("ticker", "status", "status_confidence", "setup_type", "setup_confidence", "primary_style", "ma_alignment", "transcript_coverage_status", "transcript_confirms")
+TYPES = dict.fromkeys(HEADLINE, "double") | dict.fromkeys(_STRINGS, "string") | dict.fromkeys(("transcript_n_calls", "transcript_n_claims", "transcript_n_creators"), "long") | {"as_of": "timestamp", "entry_zone_available": "boolean"}
 
 
 def headline(view: DataFrame) -> DataFrame:
-    """IO11: a research view's row per (ticker, as_of) cut to the columns of a snapshot, in their order; what the view lacks is null."""
+    """IO11: a research view's row per (ticker, as_of) cut to the columns of a snapshot, in their order and types; what the view lacks is null."""
+
     def pick(name: str) -> Column:
-        source = next((c for c in (name, PANEL_NAMES.get(name)) if c in view.columns), None)
-        return (F.lit(None).cast("string") if source is None else F.col(source)).alias(name)
+        source = next((c for c in (SOURCES.get(name, name), name) if c.split(".")[0] in view.columns), None)
+        return (F.lit(None) if source is None else F.col(source)).cast(TYPES[name]).alias(name)
 
     return view.select(*[pick(c) for c in HEADLINE])
 

@@ -14,8 +14,12 @@ from callbook.plans.signals import WINDOW_DAYS, class_weight, polarity_value
 
 
 def unique_documents(raw: DataFrame, late: str = "2 days") -> DataFrame:
-    """ST1: each (source_type, external_id) once within the watermark on posted_at."""
-    return raw.withWatermark("posted_at", late).dropDuplicatesWithinWatermark(["source_type", "external_id"])
+    """ST1: each (source_type, external_id) once within the watermark on posted_at; of a table, once altogether (its earliest)."""
+    keys = ["source_type", "external_id"]
+    if not raw.isStreaming:
+        rest = [c for c in raw.columns if c not in keys]
+        return raw.groupBy(*keys).agg(F.min_by(F.struct(*rest), "posted_at").alias("first")).select(*keys, "first.*").select(raw.columns)
+    return raw.withWatermark("posted_at", late).dropDuplicatesWithinWatermark(keys)
 
 
 def continuous_signals(claims: DataFrame, size: str = "1d", late: str = "2 days") -> DataFrame:
@@ -61,18 +65,23 @@ def _table_at(spark: SparkSession, path: str, schema) -> DataFrame | None:
     return spark.read.schema(schema).parquet(path) if there else None
 
 
-def evaluate_batches(evaluate: Callable[[DataFrame], DataFrame], path: str) -> Callable[[DataFrame, int], None]:
+def evaluate_batches(evaluate: Callable[[DataFrame], DataFrame], path: str, day: str | None = None) -> Callable[[DataFrame, int], None]:
     """ST3: a foreachBatch function that evaluates a batch's calls and appends outcomes of keys not yet in the table at path.
 
     What the table holds decides, not the batch's number: a batch that comes again, or a query started anew over the same
-    table, appends nothing twice.
+    table, appends nothing twice. With `day`, a date column of the outcomes that is the same whenever a call is evaluated
+    (such as that of its post), the table is partitioned by it and only the batch's own days of it are read.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         found = evaluate(batch).dropDuplicates(["call_id", "horizon"])
         held = _table_at(batch.sparkSession, path, found.schema)
+        if held is not None and day is not None:
+            days = [r[0] for r in found.select(day).distinct().collect()]  # as many as the batch has days
+            held = held.where(F.col(day).isin([d for d in days if d is not None]) | (F.col(day).isNull() if None in days else F.lit(False)))
         fresh = found if held is None else found.join(held.select("call_id", "horizon"), ["call_id", "horizon"], "left_anti")
-        fresh.write.mode("append").parquet(path)
+        writer = fresh.write.mode("append")
+        (writer if day is None else writer.partitionBy(day)).parquet(path)
 
     return run
 

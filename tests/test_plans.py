@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from callbook.registry import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-FEW = ["k1_leaderboard", "c3_outcomes", "a3_ticker_signals", "t14_setup", "c12_walkforward", "c13_fold_ledger", "c7_screen", "j7_latest_close", "w15_nearest_levels", "io12_plan_lenses", "w27_consolidate", "c16_candidate_windows", "t27_resolve_peers", "c17_extract_claims", "c5_research_view", "t16_rubric"]
+FEW = ["k1_leaderboard", "c3_outcomes", "a3_ticker_signals", "t14_setup", "c12_walkforward", "c13_fold_ledger", "c7_screen", "j7_latest_close", "w15_nearest_levels", "io12_plan_lenses", "w27_consolidate", "c16_candidate_windows", "t27_resolve_peers", "c17_extract_claims", "c5_research_view", "t16_rubric", "io3_universe", "io5_gold", "io11_snapshot", "st1_unique_documents", "st4_pauses"]
 
 
 def plain(rows):

@@ -49,6 +49,10 @@ def test_labels_documents_and_snapshots(spark, tmp_path):
     docs, segments = IO.ingest_documents(raw.select("source_type", "external_id").limit(0), raw)
     assert {r["external_id"]: r["posted_at"] for r in docs.collect()} == {"a": D(2024, 5, 1, 10), "b": D(2024, 5, 1, 8), "c": None} and segments.count() == 1
     view = spark.createDataFrame([("A", D(2024, 5, 1), "watch", 10.0)], "ticker string, ts timestamp, status string, close double")
+    heard = view.selectExpr("*", "100.5 as support", "named_struct('kind', 'range', 'trigger', 9.0d, 'low', 9.0d, 'high', 9.5d, 'invalidation', 8.5d) as zone", "true as available", "3L as n_calls", "'fresh' as coverage", "cast(null as timestamp) as as_of")
+    one = IO.headline(heard).first()
+    assert (one["nearest_support"], one["entry_trigger"], one["entry_zone_high"], one["invalidation_reference"], one["entry_zone_available"]) == (100.5, 9.0, 9.5, 8.5, True)
+    assert (one["transcript_n_calls"], one["transcript_coverage_status"], one["as_of"]) == (3, "fresh", D(2024, 5, 1)) and IO.headline(heard).dtypes == IO.headline(view).dtypes
     IO.snapshot(view, str(tmp_path / "snap"))
     IO.snapshot(view, str(tmp_path / "snap"))
     back = spark.read.parquet(str(tmp_path / "snap"))

@@ -16,6 +16,8 @@ def test_documents_once(spark, tmp_path):
     spark.createDataFrame(rows, "source_type string, external_id string, posted_at timestamp").write.parquet(str(tmp_path / "d"))
     stream = spark.readStream.schema("source_type string, external_id string, posted_at timestamp").parquet(str(tmp_path / "d"))
     assert drained(spark, streams.unique_documents(stream), "docs_once").count() == 2
+    twin = streams.unique_documents(spark.read.parquet(str(tmp_path / "d")))
+    assert sorted(map(tuple, twin.collect())) == [rows[0], rows[2]]
 
 
 def test_signals_match_batch(spark, tmp_path):
@@ -39,6 +41,21 @@ def test_only_new_outcomes_are_appended(spark, tmp_path):
     assert sorted(r["call_id"] for r in spark.read.parquet(path).collect()) == list(range(9))
 
 
+def test_outcomes_by_day_read_only_their_days(spark, tmp_path):
+    path = str(tmp_path / "o")
+    run = streams.evaluate_batches(lambda df: df.selectExpr("id as call_id", "'5d' as horizon", "if(id = 11, null, date_add(date'2026-05-01', cast(id div 4 as int))) as day"), path, "day")
+    run(spark.range(6), 0)
+    seen = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "o").rglob("*.parquet")}
+    # an unreadable file of a day that the next batch doesn't touch: it is not read
+    (tmp_path / "o/day=2030-01-01").mkdir()
+    (tmp_path / "o/day=2030-01-01/bad.parquet").write_bytes(b"no parquet")
+    run(spark.range(4, 12), 1)
+    run(spark.range(4, 12), 1)
+    (tmp_path / "o/day=2030-01-01/bad.parquet").unlink()
+    assert sorted(r["call_id"] for r in spark.read.parquet(path).collect()) == list(range(12))
+    assert seen.items() <= {p.name: p.stat().st_mtime_ns for p in (tmp_path / "o").rglob("*.parquet")}.items()
+
+
 def test_live_positions_match_the_folded_ledger(spark, tmp_path):
     from callbook.plans import portfolio as P
 
