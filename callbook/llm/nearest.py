@@ -10,8 +10,8 @@ shard then compares its nodes with their candidates on the vectors and keeps the
 edge that is new since the last round give candidates. Rounds end when few edges change, or after `rounds`.
 
 Searching: a query enters each shard's graph at nodes of all its connected parts (and at itself, if it is a node there), keeps
-the `beam` best nodes seen, and expands the best unexpanded one until the best `beam` are all expanded. All queries of
-a block move in lockstep in numpy. Results of the shards are merged.
+the `beam` best nodes seen, and expands the best unexpanded ones, some at a time, until the best `beam` are all expanded. All
+queries of a block move in lockstep in numpy. Results of the shards are merged.
 
 Larger inner product is nearer. For vectors of unequal length, neighbours in the graph are by the angle after one more
 component makes all of a shard's vectors equally long, so that long vectors are no hubs; searches use the inner product itself.
@@ -140,60 +140,60 @@ def _entries(links: np.ndarray, least: int) -> np.ndarray:
     return order[np.union1d(firsts, every)]
 
 
-def _search(pdf: pd.DataFrame, queries: pd.DataFrame, k: int, beam: int, entries: int) -> pd.DataFrame:
-    """Greedy search of a block of queries in one shard's graph."""
-    out = pd.DataFrame({"query_id": [], "node": [], "score": []})
-    if not len(pdf) or not len(queries):
-        return out
-    pdf = pdf.sort_values("node")
-    ids = pdf["node"].to_numpy()
-    x = np.stack(pdf["vector"].to_numpy())
-    x32, n = x.astype(np.float32), len(pdf)
-    # neighbours both ways, as rows padded with the node itself
-    own = np.repeat(np.arange(n), pdf["near"].map(len))
-    to = np.searchsorted(ids, np.concatenate([np.asarray(v, np.int64) for v in pdf["near"]])) if len(own) else own
-    pairs = np.unique(np.concatenate([own * n + to, to * n + own]))
-    own, to = pairs // n, pairs % n
-    count = np.bincount(own, minlength=n)
-    links = np.repeat(np.arange(n)[:, None], max(1, count.max(initial=1)), 1)
-    links[own, np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)] = to
+_TOGETHER = 16  # nodes that a search expands in one step
+
+
+def _walk(ids: np.ndarray, x: np.ndarray, x32: np.ndarray, links: np.ndarray, start: np.ndarray, queries: pd.DataFrame, k: int, beam: int) -> pd.DataFrame:
+    """Greedy search of a block of queries from the nodes in start, over links (a row of neighbours per node)."""
     q = np.stack(queries["vector"].to_numpy())
-    q32, m = q.astype(np.float32), len(q)
+    q32, m, n = q.astype(np.float32), len(q), len(ids)
     beam, rows = min(max(beam, k), n), np.arange(m)
-    start = _entries(links, entries)
     mine = np.minimum(np.searchsorted(ids, queries["node"].to_numpy()), n - 1)
     first = np.concatenate([np.repeat(start[None, :], m, 0), np.where(ids[mine] == queries["node"].to_numpy(), mine, 0)[:, None]], 1)
-    seen = np.zeros((m, n), bool)
+    seen = np.zeros(m * n, bool)
+    stamp = np.empty(m * n, np.int32)
     near = np.full((m, beam), -1)
     score = np.full((m, beam), -np.inf, np.float32)
     done = np.ones((m, beam), bool)
 
     def offer(who: np.ndarray, nodes: np.ndarray) -> None:
-        """Take nodes (a row per query in who) into the beams of these queries; those seen before do not count."""
-        nodes = np.sort(nodes, 1)
-        known = seen[who[:, None], nodes]
-        known[:, 1:] |= nodes[:, 1:] == nodes[:, :-1]
-        seen[who[:, None], nodes] = True
-        s = np.matmul(x32[nodes], q32[who][:, :, None])[:, :, 0]
-        s[known] = -np.inf
-        s = np.concatenate([score[who], s], 1)
-        best = np.argpartition(-s, beam - 1, 1)[:, :beam]
-        score[who] = np.take_along_axis(s, best, 1)
-        near[who] = np.take_along_axis(np.concatenate([near[who], nodes], 1), best, 1)
-        done[who] = np.take_along_axis(np.concatenate([done[who], known], 1), best, 1)
+        """Take nodes (a row per query in who) into the beams of these queries. Each is compared once, when first seen."""
+        at = (who[:, None] * n + nodes).ravel()
+        at = at[~seen[at]]
+        place = np.arange(len(at), dtype=np.int32)
+        stamp[at] = place
+        at = at[stamp[at] == place]
+        seen[at] = True
+        row, node = np.divmod(at, n)  # rows of one query are together, in the order of who
+        s = np.einsum("ij,ij->i", x32[node], q32[row])
+        better = s > score.min(1)[row]
+        row, node, s = row[better], node[better], s[better]
+        if not len(row):
+            return
+        firsts = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        size = np.diff(np.append(firsts, len(row)))
+        some, line = row[firsts], np.repeat(np.arange(len(firsts)), size)
+        shape, column = (len(firsts), size.max()), beam + np.arange(len(row)) - np.repeat(firsts, size)
+        scores = np.concatenate([score[some], np.full(shape, -np.inf, np.float32)], 1)
+        nodes = np.concatenate([near[some], np.full(shape, -1)], 1)
+        past = np.concatenate([done[some], np.ones(shape, bool)], 1)
+        scores[line, column], nodes[line, column], past[line, column] = s, node, False
+        best = np.argpartition(-scores, beam - 1, 1)[:, :beam]
+        score[some], near[some], done[some] = (np.take_along_axis(v, best, 1) for v in (scores, nodes, past))
 
     offer(rows, first)
-    active = rows
+    active, together = rows, max(1, min(_TOGETHER, beam, 1024 // links.shape[1]))  # fewer where a node has very many neighbours
     while len(active):
-        open_ = np.where(done[active] | np.isneginf(score[active]), -np.inf, score[active])
-        at = open_.argmax(1)
-        going = ~np.isneginf(open_[np.arange(len(active)), at])
-        active, at = active[going], at[going]
+        open_ = np.where(done[active], -np.inf, score[active])
+        at = np.argpartition(-open_, together - 1, 1)[:, :together]
+        going = ~np.isneginf(np.take_along_axis(open_, at, 1))
+        left = going.any(1)
+        active, at, going = active[left], at[left], going[left]
         if not len(active):
             break
-        expand = near[active, at]
-        done[active, at] = True
-        offer(active, links[expand])
+        expand = np.where(going, near[active[:, None], at], near[active, at[np.arange(len(active)), going.argmax(1)]][:, None])
+        done[active[:, None], at] = True
+        offer(active, links[expand].reshape(len(active), -1))
     take = min(k, beam)
     best = np.argpartition(-score, take - 1, 1)[:, :take]
     hit = np.take_along_axis(near, best, 1)
@@ -203,17 +203,48 @@ def _search(pdf: pd.DataFrame, queries: pd.DataFrame, k: int, beam: int, entries
     return pd.DataFrame({"query_id": queries["query_id"].to_numpy()[row], "node": ids[found], "score": exact})
 
 
+def _search(pdf: pd.DataFrame, queries: pd.DataFrame, k: int, beam: int, entries: int, block: int = 512) -> pd.DataFrame:
+    """Greedy search of queries in one shard's graph, in lockstep by blocks."""
+    out = pd.DataFrame({"query_id": [], "node": [], "score": []})
+    if not len(pdf) or not len(queries):
+        return out
+    pdf = pdf.sort_values("node")
+    ids = pdf["node"].to_numpy()
+    x = np.stack(pdf["vector"].to_numpy())
+    x32, n = x.astype(np.float32), len(pdf)
+    # neighbours both ways, as rows padded with the node itself
+    own = np.repeat(np.arange(n), pdf["near"].map(len))
+    to = np.searchsorted(ids, np.concatenate([np.asarray(v, np.int64) for v in pdf["near"]])) if len(own) else own
+    pairs = np.unique(np.concatenate([own * n + to, to * n + own]))
+    own, to = pairs // n, pairs % n
+    count = np.bincount(own, minlength=n)
+    links = np.repeat(np.arange(n)[:, None], max(1, count.max(initial=1)), 1)
+    links[own, np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)] = to
+    start = _entries(links, entries)
+    found = [_walk(ids, x, x32, links, start, queries.iloc[i : i + block], k, beam) for i in range(0, len(queries), block)]
+    return pd.concat(found, ignore_index=True)
+
+
+def _parts(queries: int, shards: int, cores: int, block: int, most: int = 32) -> int:
+    """Parts of the queries: at most `most` blocks each, and more where there are fewer than four tasks a core; none below a block.
+
+    Every part meets a copy of every shard, so more parts than that would only be more to shuffle.
+    """
+    blocks = math.ceil(queries / block)
+    return max(1, min(blocks, max(math.ceil(blocks / most), math.ceil(4 * cores / max(1, shards)))))
+
+
 def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int, beam: int = 220, entries: int = 12, block: int = 512) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query (query_id, node, vector), its own row left out.
 
-    Queries go to every shard of their dimension in blocks; a shard's graph goes to as many tasks as there are blocks.
+    Queries go to every shard of their dimension in parts; a shard's graph goes to as many tasks as there are parts.
     """
-    blocks = max(1, math.ceil(queries.count() / block))
     shards = saved(nodes.groupBy("shard").agg(F.count(F.lit(1)).alias("rows")), "shards")
+    blocks = _parts(queries.count(), shards.count(), nodes.sparkSession.sparkContext.defaultParallelism, block)
     dealt = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("dim", F.size("vector").cast("long"))
     to = dealt.join(shards.select("shard", F.expr("shard div 4294967296").alias("dim")), "dim").drop("dim")
     whole = nodes.join(graph, ["shard", "node"]).select("shard", "node", "vector", "near", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    found = whole.groupBy("shard", "block").cogroup(to.groupBy("shard", "block")).applyInPandas(lambda a, b: _search(a, b, k + 1, beam, entries), "query_id long, node long, score double")
+    found = whole.groupBy("shard", "block").cogroup(to.groupBy("shard", "block")).applyInPandas(lambda a, b: _search(a, b, k + 1, beam, entries, block), "query_id long, node long, score double")
     # the best nodes hold the best ids: each brings at most k + 1 of its own
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "node")
     nodes_found = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)

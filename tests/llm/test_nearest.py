@@ -1,6 +1,7 @@
 """Nearest neighbours: recall against brute force, ties, unusable vectors."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from callbook.llm import nearest
@@ -81,3 +82,32 @@ def test_recall_on_clusters_with_the_querys_parameters(spark, noise):
 def test_more_neighbours_than_the_beam_holds(spark):
     x = np.random.default_rng(3).normal(size=(600, 8)).astype(np.float32)
     assert _recall(spark, x, k=150, beam=40, degree=12, shard_rows=1000) >= 0.99
+
+
+def _graph(n, seed=0, degree=24):
+    x = np.random.default_rng(seed).normal(size=(n, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = np.argpartition(-(x @ x.T) + 9 * np.eye(n), degree, 1)[:, :degree].astype(np.int64)
+    return x, pd.DataFrame({"node": np.arange(n), "vector": list(x.astype(float)), "near": list(near)})
+
+
+def test_a_search_takes_few_steps(monkeypatch):
+    x, nodes = _graph(2048)
+    asked = np.arange(0, 2048, 20)
+    queries = pd.DataFrame({"query_id": asked, "vector": list(x[asked].astype(float)), "node": asked})
+    calls, partition = [], np.argpartition
+    monkeypatch.setattr(np, "argpartition", lambda *a, **k: calls.append(1) or partition(*a, **k))
+    found = nearest._search(nodes, queries, 21, 220, 12)
+    monkeypatch.undo()
+    assert len(calls) < 100  # a step for each node of the beam were over 220
+    best = np.argsort(-(x[asked] @ x.T), 1)[:, :21]
+    got = found.groupby("query_id")["node"].apply(set)
+    assert sum(len(got[q] & set(row.tolist())) for q, row in zip(asked.tolist(), best, strict=True)) >= 0.99 * best.size
+
+
+def test_few_copies_of_a_shard_for_many_queries():
+    # 60 blocks of queries on 150 shards: these are tasks enough
+    assert nearest._parts(30_720, 150, 12, 512) == 2
+    assert nearest._parts(2_565, 13, 12, 512) == 4
+    assert nearest._parts(100, 1, 12, 512) == 1
+    assert nearest._parts(0, 0, 12, 512) == 1
