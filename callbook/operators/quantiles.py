@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,8 +12,13 @@ def _ranked(counts: DataFrame, by: list[str], order: str) -> DataFrame:
     return counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
 
 
+def _between(a: Column, b: Column, share: Column) -> Column:
+    """The value at a share of the way from a to b; between equal values it is that value, which rounding must not miss."""
+    return F.when(a == b, a).otherwise(a * (1 - share) + b * share)
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: tuple[float, ...], bins: int = 1024, rounds: int = 2) -> DataFrame:
-    """keys, n and quantiles (array<double>, one per share): the values at share * (n - 1), interpolated as `percentile` does.
+    """keys, n and quantiles (array<double>, one per share): the values at share * (n - 1), interpolated between neighbours.
 
     Each round bins the values that may still hold a wanted rank between their least and greatest one, counts the bins
     (at most `bins` rows per kept range, summed in its tasks first) and keeps the bins that hold the ranks; the values
@@ -45,6 +50,6 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: tuple[fl
     def one(s: float):
         low, high = F.floor(at(s)).cast("long"), F.ceil(at(s)).cast("long")
         a, b = F.element_at("m", low), F.element_at("m", high)
-        return F.when(low == high, a).otherwise((high - at(s)) * a + (at(s) - low) * b)
+        return F.when(low == high, a).otherwise(_between(a, b, at(s) - low))
 
     return values.select(*keys, "n", F.array(*[one(s) for s in shares]).alias("quantiles"))

@@ -25,6 +25,15 @@ def test_equal_to_percentile(spark, bins, rounds):
         assert got[run][0] == pytest.approx(q, rel=1e-12, abs=0)
 
 
+def test_quantiles_among_equal_values_are_these_values(spark):
+    rng = random.Random(4)
+    rows = [(f"{k}", round(rng.random(), 6) * 20) for k in range(60)]
+    df = spark.createDataFrame([r for r in rows for _ in range(7)], "run string, v double")
+    values = dict(rows)
+    for r in exact_quantiles(df, ["run"], "v", tuple(i / 10 for i in range(1, 10))).collect():
+        assert r.quantiles == [values[r.run]] * 9
+
+
 def test_a_large_run(spark):
     df = spark.range(2_000_000).select(F.lit("x").alias("run"), (F.pmod(F.col("id") * 7919, F.lit(1_999_993)) * 1.0).alias("v"))
     got = exact_quantiles(df, ["run"], "v", (0.5, 0.99))
