@@ -220,7 +220,9 @@ _SQUASHED = "trim(regexp_replace(lower({}), '\\s+', ' ', 'g'))"
 @query("t6_evidence", f"SELECT document_id, segment_id, length({_SQUASHED.format('quote')})>0 AND contains({_SQUASHED.format('text')}, {_SQUASHED.format('quote')}) AS there FROM (SELECT document_id, segment_id, coalesce(text,'') AS text, coalesce(upper(substr(lead(text) OVER (PARTITION BY document_id ORDER BY segment_id), 3, 4)), '') AS quote FROM segments) x", ("segments",))
 def _(t):
     # a few characters of the next segment, in another case
-    quote = F.upper(F.substring(F.lead("text").over(Window.partitionBy("document_id").orderBy("segment_id")), 3, 4))
+    some = F.substring(F.lead("text").over(Window.partitionBy("document_id").orderBy("segment_id")), 3, 4)
+    # letter by letter: one without a single upper letter, as the German sharp s, stays
+    quote = F.array_join(F.transform(F.split(some, ""), lambda c: F.when(F.length(F.upper(c)) == 1, F.upper(c)).otherwise(c)), "")
     return t.segments.withColumn("quote", quote).select("document_id", "segment_id", X.evidence_in_source(F.col("quote"), F.col("text")).alias("there"))
 
 
