@@ -64,15 +64,19 @@ def packed(bars: DataFrame) -> DataFrame:
     return rows.groupBy("ticker", "pack").agg(F.sort_array(F.collect_list("bar")).alias("bars"))
 
 
+def _from_bar(first: Column, n: Column | int) -> Column:
+    """n bars of a pack from number `first` on; its bars are numbered without gaps."""
+    return F.slice("bars", (first - F.get("bars", F.lit(0))["bar_no"] + 1).cast("int"), n)
+
+
 def _followed(calls: DataFrame, bars: DataFrame) -> DataFrame:
-    """calls with first_bar's columns and `path`, the bars that can decide them (null where there is no bar after the post)."""
+    """calls with first_bar's columns and `path`, the bars that can activate them (null where there is no bar after the post)."""
     started = first_bar(calls, bars).withColumn("pack", F.floor(F.col("b0") / PACK))
-    b0, last = F.col("b0"), F.col("b0") + TRIGGER_WINDOW - 1 + max(HORIZONS.values())
-    return started.join(packed(bars), ["ticker", "pack"], "left").withColumn("path", F.filter("bars", lambda x: x["bar_no"].between(b0, last))).drop("pack", "bars")
+    return started.join(packed(bars), ["ticker", "pack"], "left").withColumn("path", _from_bar(F.col("b0"), TRIGGER_WINDOW)).drop("pack", "bars")
 
 
 def _activated(followed: DataFrame) -> DataFrame:
-    tried = F.filter(F.slice("path", 1, TRIGGER_WINDOW), lambda x: x["ts"] <= F.col("loaded_until"))
+    tried = F.filter("path", lambda x: x["ts"] <= F.col("loaded_until"))
     fill = lambda x: entry_fill(F.col("entry_type"), F.coalesce("direction", F.lit("")), F.col("entry_price"), x["open"], x["high"], x["low"])
     hits = F.filter(F.transform("tried", lambda x: F.struct(x["bar_no"].alias("bar_no"), x["ts"].alias("ts"), fill(x).alias("fill"))), lambda x: x["fill"].isNotNull())
     out = followed.withColumn("tried", tried).withColumn("hit", F.get(hits, F.lit(0)))
@@ -105,34 +109,54 @@ def benchmark_returns(spans: DataFrame, bars: DataFrame, benchmark: str) -> Data
     return joined.select(*[joined[c] for c in spans.columns], ((exit_ - entry) / entry).alias("benchmark_return_pct"))
 
 
+#: What an activation leads to at a horizon.
+_SPAN = {"horizon": "string", "horizon_end": "timestamp", "covered_at": "timestamp", "exit_at": "timestamp", "exit_price": "double", "top": "double", "bottom": "double", "benchmark_return_pct": "double"}
+
+
+def horizon_spans(bars: DataFrame, sessions: DataFrame, benchmark: str) -> DataFrame:
+    """(ticker, a0, spans): for each bar, what an activation at it leads to, one struct per horizon.
+
+    horizon_end is the close of the horizon's last session, covered_at the first bar that shows it is over; the rest is
+    over the bars until then. All calls that are activated at a bar share these, so they are worked out once per bar.
+    """
+    starts = B.numbered(bars).select("ticker", F.col("bar_no").alias("a0"), F.col("ts").alias("activation_at"), F.floor(F.col("bar_no") / PACK).alias("pack"))
+    horizons = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(n).alias("n")) for h, n in HORIZONS.items()])).alias("h")
+    each = starts.select("*", horizons).select("*", "h.horizon", "h.n").drop("h")
+    each = C.nth_session_close(each, sessions, "activation_at", "n")
+    each = each.join(packed(bars), ["ticker", "pack"]).withColumn("walk", _from_bar(F.col("a0"), F.col("n") + 1)).drop("bars", "pack")
+    each = each.withColumns({"covered_at": F.get(F.filter("walk", lambda x: x["ts"] >= F.col("horizon_end")), F.lit(0))["ts"], "inside": F.filter("walk", lambda x: x["ts"] <= F.col("horizon_end"))})
+    last = F.get("inside", F.size("inside") - 1)
+    each = each.withColumns({"exit_at": last["ts"], "exit_price": last["close"], "top": F.array_max(F.transform("inside", lambda x: x["high"])), "bottom": F.array_min(F.transform("inside", lambda x: x["low"]))})
+    each = benchmark_returns(each.drop("walk", "inside"), bars, benchmark)
+    return each.groupBy("ticker", "a0").agg(F.collect_list(F.struct(*_SPAN)).alias("spans"))
+
+
 def evaluate(calls: DataFrame, bars: DataFrame, sessions: DataFrame, benchmark: str, cost_bps: int = 10) -> DataFrame:
     """One row per call and horizon that has a state: data_missing, not_triggered or evaluated.
 
     Calls whose bars have not come yet, or whose window or horizon is still open, give no row and stay pending.
     """
-    done = _activated(_followed(calls, bars))
-    horizons = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(n).alias("n")) for h, n in HORIZONS.items()])).alias("h")
-    each = done.select("*", horizons).select("*", "h.horizon", "h.n").drop("h")
-    each = C.nth_session_close(each, sessions, "activation_at", "n")
-    known = F.coalesce(F.col("activation_at").isNotNull() & (F.col("horizon_end") <= F.col("loaded_until")), F.lit(False))
-    walk = F.filter("path", lambda x: x["bar_no"].between(F.col("a0"), F.col("a0") + F.col("n")))
-    covered = F.exists("walk", lambda x: (x["ts"] >= F.col("horizon_end")) & (x["ts"] <= F.col("loaded_until")))
-    each = each.withColumn("walk", F.when(known, walk))
+    # calls without activation meet no span; numbers below 1 spread them over the tasks
+    at = F.coalesce(F.col("a0").cast("long"), -1 - F.pmod(F.xxhash64("call_id"), F.lit(4096)))
+    done = _activated(_followed(calls, bars)).drop("path").withColumn("a0", at)
+    none = F.array(*[F.struct(*[F.lit(h if c == "horizon" else None).cast(t).alias(c) for c, t in _SPAN.items()]) for h in HORIZONS])
+    spans = horizon_spans(bars, sessions, benchmark).withColumn("a0", F.col("a0").cast("long"))
+    each = done.join(spans, ["ticker", "a0"], "left").select("*", F.explode(F.coalesce("spans", none)).alias("s")).drop("spans").select("*", "s.*").drop("s")
+    known = F.col("activation_at").isNotNull() & (F.col("horizon_end") <= F.col("loaded_until")) & (F.col("covered_at") <= F.col("loaded_until"))
     state = (
         F.when(~F.col("loaded"), "data_missing")
         .when(F.col("activation_at").isNull() & (F.col("sessions_seen") >= TRIGGER_WINDOW), "not_triggered")
-        .when(known & covered, "evaluated")
+        .when(known, "evaluated")
     )
     each = each.withColumn("status", state).where("status is not null")
-    each = each.withColumn("inside", F.when(F.col("status") == "evaluated", F.filter("walk", lambda x: x["ts"] <= F.col("horizon_end"))))
-    each = each.withColumns({"last": F.element_at("inside", -1), "top": F.array_max(F.transform("inside", lambda x: x["high"])), "bottom": F.array_min(F.transform("inside", lambda x: x["low"]))})
-    each = benchmark_returns(each.drop("path", "walk", "inside"), bars, benchmark)
+    # only an evaluated call has walked its span
+    each = each.withColumns({c: F.when(F.col("status") == "evaluated", F.col(c)) for c in ("exit_at", "exit_price", "top", "bottom")})
     live, long_, fill = F.col("status") == "evaluated", _is_long(), F.col("entry_fill_price")
-    gross = signed_pct(fill, F.col("last.close"), long_)
+    gross = signed_pct(fill, F.col("exit_price"), long_)
     good, bad = F.when(long_, F.col("top")).otherwise(F.col("bottom")), F.when(long_, F.col("bottom")).otherwise(F.col("top"))
     met = lambda level, up: F.when(up, F.col("top") >= level).otherwise(F.col("bottom") <= level)
     values = {
-        "activated": live, "activation_at": F.when(live, F.col("activation_at")), "entry_fill_price": F.when(live, fill), "exit_at": F.col("last.ts"), "exit_price": F.col("last.close"),
+        "activated": live, "activation_at": F.when(live, F.col("activation_at")), "entry_fill_price": F.when(live, fill), "exit_at": F.col("exit_at"), "exit_price": F.col("exit_price"),
         "gross_return_pct": F.when(live, gross), "return_pct": F.when(live, gross - cost_bps / 10000.0), "mfe": F.when(live, signed_pct(fill, good, long_)), "mae": F.when(live, signed_pct(fill, bad, long_)),
         "hit_target": met(F.col("target_price"), long_), "hit_stop": met(F.col("stop_price"), ~long_), "benchmark_return_pct": F.when(live, F.col("benchmark_return_pct")),
         "excess_return_pct": F.when(live, gross - cost_bps / 10000.0 - F.col("benchmark_return_pct")),
