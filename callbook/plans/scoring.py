@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callbook.functions.stats import hit_rate, sharpe_like, wilson
@@ -11,6 +11,14 @@ from callbook.plans.signals import with_context
 WINDOWS = {"all": None, "365d": 365, "90d": 90}
 
 
+def _once(*keys: str) -> Column:
+    """True for one row per call of each group, an activated one if there is any: counting these rows counts distinct calls.
+
+    The rows lie by call_id already, from the join with the calls, so this moves none and copies none.
+    """
+    return F.row_number().over(Window.partitionBy("call_id", *keys).orderBy(F.col("activated").desc_nulls_last())) == 1
+
+
 def creator_scorecards(outcomes: DataFrame, calls: DataFrame, as_of, windows: dict = WINDOWS, min_calls: int = 5) -> DataFrame:
     """A4: one row per creator, window and horizon with at least min_calls calls. Every row falls into its windows at
     once, so one shuffle serves all; medians are exact."""
@@ -18,12 +26,13 @@ def creator_scorecards(outcomes: DataFrame, calls: DataFrame, as_of, windows: di
     age = F.array(*[F.struct(F.lit(w).alias("window_label"), (F.lit(True) if d is None else F.col("posted_at") >= end - F.expr(f"interval {d} days")).alias("inside")) for w, d in windows.items()])
     rows = outcomes.where("status in ('evaluated', 'not_triggered')").join(calls.select("call_id", "creator_id", "ticker", "posted_at"), "call_id")
     rows = rows.select("*", F.explode(age).alias("w")).where("w.inside").withColumn("window_label", F.col("w.window_label"))
+    rows = rows.withColumn("_once", _once("creator_id", "window_label", "horizon"))
     live = lambda c: F.when(F.col("activated"), F.col(c))
     ret, excess, mae = live("return_pct"), live("excess_return_pct"), live("mae")
     out = rows.groupBy("creator_id", "window_label", "horizon").agg(
-        F.count_distinct("call_id").alias("n_calls"),
-        F.count_distinct(live("call_id")).alias("n_activated"),
-        F.count_distinct("ticker").alias("n_unique_tickers"),
+        F.count_if("_once").alias("n_calls"),
+        F.count_if(F.col("_once") & F.coalesce("activated", F.lit(False))).alias("n_activated"),
+        F.size(F.collect_set("ticker")).cast("long").alias("n_unique_tickers"),  # no more than there are tickers
         F.count(ret).alias("_n"), F.count_if(ret > 0).alias("_hits"), F.sum(ret).alias("_sum"),
         hit_rate(ret).alias("hit_rate"), F.avg(ret).alias("mean_return"), F.median(ret).alias("median_return"), F.stddev_samp(ret).alias("std_return"), sharpe_like(ret).alias("sharpe_like"),
         F.avg(mae).alias("mean_mae"), F.min(mae).alias("worst_mae"),
@@ -72,8 +81,8 @@ def outcomes_report(outcomes: DataFrame, calls: DataFrame, documents: DataFrame,
 
 def creator_report(outcomes: DataFrame, calls: DataFrame) -> DataFrame:
     """Per creator and horizon: calls, sum, mean, median and hit rate of the known returns."""
-    rows = outcomes.where("status = 'evaluated'").join(calls.select("call_id", "creator_id"), "call_id")
-    return rows.groupBy("creator_id", "horizon").agg(F.count_distinct("call_id").alias("n_calls"), F.sum("return_pct").alias("sum_return"), F.avg("return_pct").alias("mean_return"), F.median("return_pct").alias("median_return"), hit_rate(F.col("return_pct")).alias("hit_rate"))
+    rows = outcomes.where("status = 'evaluated'").join(calls.select("call_id", "creator_id"), "call_id").withColumn("_once", _once("creator_id", "horizon"))
+    return rows.groupBy("creator_id", "horizon").agg(F.count_if("_once").alias("n_calls"), F.sum("return_pct").alias("sum_return"), F.avg("return_pct").alias("mean_return"), F.median("return_pct").alias("median_return"), hit_rate(F.col("return_pct")).alias("hit_rate"))
 
 
 def recency_pivot(scorecards: DataFrame, horizon: str = "5d") -> DataFrame:
